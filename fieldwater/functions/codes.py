@@ -120,3 +120,14 @@ DAILY_MEAN_PRODUCTS = ("SWB_RO", "SWB_SS")
 
 # ---- Fixed values: product used in place of another before its first year.
 FALLBACK_PRODUCTS = {"OpenET": ("SSEBop", 2016)}
+
+
+def temporal_kind(dataset: str) -> str:
+    """How a product's cells are keyed once composited: static, yearly or monthly."""
+    kinds = {name: kind for name, _, kind in LOCAL_PRODUCTS}
+    kind = kinds.get(dataset, "monthly")
+    return "monthly" if kind == "daily" else kind
+
+
+def known_products() -> tuple[str, ...]:
+    return tuple(p[0] for p in REMOTE_PRODUCTS) + tuple(p[0] for p in LOCAL_PRODUCTS)

@@ -53,11 +53,12 @@ def region_shares(
 ) -> DataFrame:
     """Percentage of each listed crop among the listed crops of a region and year, one column per crop.
 
-    Conditional counts in one aggregation: no separate pass to find the pivot values.
+    A crop the region does not have is missing, not 0. Conditional counts in
+    one aggregation: no separate pass to find the pivot values.
     """
     counted = zoned.groupBy(*keys).agg(*[F.count_if(F.col(crop) == c).alias(c) for c in crops])
     total = sum((F.col(f"`{c}`") for c in crops), F.lit(0))
-    shares = {c: F.try_divide(F.col(f"`{c}`") * 100.0, F.col("Total")) for c in crops}
+    shares = {c: F.try_divide(F.nullif(F.col(f"`{c}`"), F.lit(0)) * 100.0, F.col("Total")) for c in crops}
     return counted.withColumn("Total", total).withColumns(shares)
 
 

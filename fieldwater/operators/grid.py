@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass, replace
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -134,8 +135,8 @@ def sample_predictors(
     """Add one column per dataset, sampled at each point's cell for its year and month.
 
     All datasets share one join: a point is expanded to its cell in every
-    dataset, joined once with the long cell table, and pivoted back by key.
-    Static and yearly cells carry NULL for the year or month they do not have.
+    dataset, joined once per kind of product (monthly, yearly, static) with the
+    long cell table, and pivoted back by key.
     """
     if not datasets:
         return points
@@ -151,25 +152,16 @@ def sample_predictors(
     wanted = points.select(key, year, month, F.explode(F.array(*places)).alias("_p")).select(
         key, year, month, "_p.dataset", "_p.row", "_p.col"
     )
-    long = cells.where(F.col("dataset").isin(list(datasets)))
+    wanted = wanted.withColumnsRenamed({year: "year", month: "month"})
+    keys_of = {"monthly": ["year", "month"], "yearly": ["year"], "static": []}
     parts = []
-    for fixed in ("monthly", "yearly", "static"):
-        part = long.where(
-            {
-                "monthly": F.col("month").isNotNull(),
-                "yearly": F.col("month").isNull() & F.col("year").isNotNull(),
-                "static": F.col("month").isNull() & F.col("year").isNull(),
-            }[fixed]
-        )
-        keys = {"monthly": ["year", "month"], "yearly": ["year"], "static": []}[fixed]
-        renamed = wanted.withColumnRenamed(year, "year") if year != "year" else wanted
-        renamed = renamed.withColumnRenamed(month, "month") if month != "month" else renamed
-        parts.append(
-            renamed.join(part.select("dataset", "row", "col", *keys, "value"), ["dataset", "row", "col", *keys]).select(
-                key, "dataset", "value"
-            )
-        )
-    found = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    for kind, keys in keys_of.items():
+        named = [d for d in datasets if codes.temporal_kind(d) == kind]
+        if named:
+            on = ["dataset", "row", "col", *keys]
+            part = cells.where(F.col("dataset").isin(named)).select(*on, "value")
+            parts.append(wanted.join(part, on).select(key, "dataset", "value"))
+    found = reduce(DataFrame.unionByName, parts)
     wide = found.groupBy(key).pivot("dataset", list(datasets)).agg(F.first("value", ignorenulls=True))
     return points.join(wide, key, "left")
 
@@ -224,7 +216,10 @@ def composite(
 
 
 def composite_by_catalogue(
-    cube: DataFrame, catalogue: DataFrame, keys: Sequence[str] = ("dataset", "row", "col", "year", "month")
+    cube: DataFrame,
+    catalogue: DataFrame,
+    keys: Sequence[str] = ("dataset", "row", "col", "year", "month"),
+    order: Sequence[str] = ("ts",),
 ) -> DataFrame:
     """Composite many products at once, each by the reducer and scale its catalogue row names.
 
@@ -236,7 +231,7 @@ def composite_by_catalogue(
         F.col("dataset"), F.col("reducer").alias("_reducer"), F.col("scale").alias("_scale"), F.col("band").alias("_band")
     )
     rows = attach(cube, measured(rules), ["dataset"])
-    v, when = F.col("value"), F.struct("ts")
+    v, when = F.col("value"), F.struct(*order)
     is_median = F.col("_reducer") == "median"
     grouped = rows.groupBy(*keys, "_reducer", "_scale").agg(
         F.sum(v).alias("_sum"),

@@ -59,11 +59,11 @@ def cell_runs(polygons: DataFrame, spec: GridSpec, carry: Sequence[str], ring: s
 
 
 def touched_by_edges(polygons: DataFrame, spec: GridSpec, carry: Sequence[str], ring: str = "ring") -> DataFrame:
-    """Cells that any edge of a polygon passes through."""
+    """Cells that any edge of a polygon meets, borders on the left and top of a cell included."""
     e = _edge_rows(polygons, spec, carry, ring)
     low, high = F.least("v1", "v2"), F.greatest("v1", "v2")
     first = F.greatest(F.floor(low), F.lit(0)).cast("int")
-    last = F.least(F.greatest(F.ceil(high) - 1, F.floor(low)), F.lit(spec.height - 1)).cast("int")
+    last = F.least(F.floor(high), F.lit(spec.height - 1)).cast("int")
     lined = (
         e.withColumns({"_lo": low, "_hi": high, "_a": first, "_b": last})
         .where(F.col("_a") <= F.col("_b"))
@@ -77,7 +77,7 @@ def touched_by_edges(polygons: DataFrame, spec: GridSpec, carry: Sequence[str],
     ua, ub = F.coalesce(at(top), F.col("u1")), F.coalesce(at(bottom), F.col("u2"))
     left, right = F.least(ua, ub), F.greatest(ua, ub)
     c0 = F.greatest(F.floor(left), F.lit(0)).cast("int")
-    c1 = F.least(F.greatest(F.ceil(right) - 1, F.floor(left)), F.lit(spec.width - 1)).cast("int")
+    c1 = F.least(F.floor(right), F.lit(spec.width - 1)).cast("int")
     ranged = lined.select(*carry, "row", c0.alias("_c0"), c1.alias("_c1")).where(F.col("_c0") <= F.col("_c1"))
     return ranged.select(*carry, "row", F.explode(F.sequence("_c0", "_c1")).alias("col"))
 
