@@ -1,0 +1,571 @@
+"""Driver-table queries: spatial joins, grids in space and time, maps and their comparison."""
+
+from __future__ import annotations
+
+from dataclasses import replace
+
+from pyspark.sql import functions as F
+
+from fieldwater.functions import geo
+from fieldwater.operators import compare, cropstats, grid, nearest, polygons, regrid
+from fieldwater.operators.grid import GridSpec
+from fieldwater.plans import domain
+from fieldwater.plans.domain import CUBE_ORDER
+from fieldwater.plans.domain import VIEW as V
+from fieldwater.plans.registry import query
+from fieldwater.sources import rasters
+
+
+def r(column, digits: int):
+    return F.round(column, digits)
+
+
+# ---------------------------------------------------------------- nearest, sampling, alignment
+
+
+@query("nearest_field", f"""
+    select pid, fid, round(d2, 6) as d2 from (select p.pid, f.fid, (p.x - f.x) * (p.x - f.x) + (p.y - f.y) * (p.y - f.y) as d2,
+    row_number() over (partition by p.pid order by (p.x - f.x) * (p.x - f.x) + (p.y - f.y) * (p.y - f.y), f.fid) as k
+    from {V['point']} p cross join {V['field']} f) t where k = 1""")
+def nearest_field(spark, d):
+    targets = domain.field_points(spark, d).select("fid", "x", "y")
+    found = nearest.nearest(domain.points(spark, d), targets, "fid")
+    return found.select("pid", "fid", r(F.col("dist2"), 6).alias("d2"))
+
+
+@query("link_fields", f"""
+    with a as (select o.id, o.yr % 3 as yr, o.crop, p.x, p.y from {V['annual']} o join {V['point']} p on o.site = p.pid),
+    pl as (select distinct yr, x, y from a where crop in ('1-URGENT', '5-LOW')),
+    near as (select yr, x, y, fid, fx, fy from (select pl.yr, pl.x, pl.y, f.fid, f.x as fx, f.y as fy,
+      row_number() over (partition by pl.yr, pl.x, pl.y order by (pl.x - f.x) * (pl.x - f.x) + (pl.y - f.y) * (pl.y - f.y), f.fid) as k
+      from pl join {V['field']} f on f.nation % 3 = pl.yr) t where k = 1)
+    select a.id, near.fid, coalesce(near.fx, a.x) as x, coalesce(near.fy, a.y) as y
+    from a left join near on a.crop in ('1-URGENT', '5-LOW') and a.yr = near.yr and a.x = near.x and a.y = near.y""")
+def link_fields(spark, d):
+    places = domain.points(spark, d).select(F.col("pid").alias("site"), "x", "y")
+    rows = domain.annual(spark, d).join(places, "site").select("id", (F.col("yr") % 3).alias("yr"), "crop", "x", "y")
+    fields = domain.field_points(spark, d).select("fid", "x", "y", (F.col("nation") % 3).alias("yr"))
+    eligible = F.col("crop").isin("1-URGENT", "5-LOW")
+    return nearest.link_to_fields(rows, fields, "fid", year="yr", eligible=eligible).select("id", "fid", "x", "y")
+
+
+@query("point_sample", f"""
+    select p.pid, g.val from {V['point']} p left join {V['cell']} g
+    on g.c = cast(floor(p.x / 2.0) as int) and g.r = cast(floor((100.0 - p.y) / 2.5) as int)""")
+def point_sample(spark, d):
+    spec = domain.cell_spec(spark, d)
+    found = grid.sample_points(domain.points(spark, d), domain.cells(spark, d), spec, "x", "y")
+    return found.select("pid", F.col("value").alias("val"))
+
+
+@query("predictor_sample", f"""
+    with a as (select o.id, o.yr, o.mon, cast(floor(p.x / 2.0) as int) as c, cast(floor((100.0 - p.y) / 2.5) as int) as r
+               from {V['annual']} o join {V['point']} p on o.site = p.pid),
+    m as (select r, c, yr, mon, avg(val) as v from {V['cube']} q group by 1, 2, 3, 4)
+    select a.id, round(m.v, 6) as ppt, cast(s.cls as double) as swb_hsg from a
+    left join m on a.r = m.r and a.c = m.c and a.yr = m.yr and a.mon = m.mon
+    left join {V['cell']} s on a.r = s.r and a.c = s.c""")
+def predictor_sample(spark, d):
+    spec = domain.cell_spec(spark, d)
+    places = domain.points(spark, d).select(F.col("pid").alias("site"), "x", "y")
+    rows = domain.annual(spark, d).select("id", "site", F.col("yr").alias("Year"), F.col("mon").alias("Month")).join(places, "site")
+    monthly = grid.composite(domain.cube(spark, d), "mean").withColumn("dataset", F.lit("PPT"))
+    static = domain.parts(spark, d).select(
+        "row", "col", F.lit(None).cast("int").alias("year"), F.lit(None).cast("int").alias("month"),
+        F.col("cls").cast("double").alias("value"), F.lit("SWB_HSG").alias("dataset"),
+    )
+    cells = monthly.unionByName(static)
+    rasters.check_products(["PPT", "SWB_HSG"])
+    specs = {"PPT": spec, "SWB_HSG": spec}
+    wide = grid.sample_predictors(rows, cells, specs, "x", "y", "id", ["PPT", "SWB_HSG"])
+    return wide.select("id", r(F.col("PPT"), 6).alias("ppt"), F.col("SWB_HSG").alias("swb_hsg"))
+
+
+def _finer(spec: GridSpec) -> GridSpec:
+    """A grid over the same ground, shifted and with cells two thirds as large."""
+    return replace(
+        spec, left=spec.left + 0.5, top=spec.top - 0.5, xres=spec.xres / 1.5, yres=spec.yres / 1.5,
+        width=int(spec.width * 1.5) - 1, height=int(spec.height * 1.5) - 1,
+    )
+
+
+# Lattice of that finer grid, with the source coordinates (in cells, from centre 0) of its cell centres.
+FINER = """(select tr, tc, (0.5 + (tc + 0.5) * (2.0 / 1.5)) / 2.0 - 0.5 as u, (0.5 + (tr + 0.5) * (2.5 / 1.5)) / 2.5 - 0.5 as v
+    from (select unnest(generate_series(0, cast(floor((select ceil(count(*) / 50.0) from part) * 1.5) as bigint) - 2)) as tr) a
+    cross join (select unnest(generate_series(0, 73)) as tc) b)"""
+
+
+@query("grid_align", f"""
+    select cast(t.tr as int) as "row", cast(t.tc as int) as col, s.val from {FINER} t join {V['cell']} s
+    on s.r = cast(floor(t.v + 0.5) as int) and s.c = cast(floor(t.u + 0.5) as int)""")
+def grid_align(spark, d):
+    spec = domain.cell_spec(spark, d)
+    moved = regrid.regrid(domain.cells(spark, d), spec, _finer(spec), "near")
+    return moved.select("row", "col", F.col("value").alias("val"))
+
+
+KERNEL_SQL = {
+    "bilinear": ("1", "1 - {t}"),
+    "cubic": ("2", "case when {t} < 1 then (1.5 * {t} - 2.5) * {t} * {t} + 1 else ((-0.5 * {t} + 2.5) * {t} - 4) * {t} + 2 end"),
+    "cubicspline": ("2", "case when {t} < 1 then (3 * {t} - 6) * {t} * {t} / 6 + 4.0 / 6 else (2 - {t}) * (2 - {t}) * (2 - {t}) / 6 end"),
+    "lanczos": ("3", "case when {t} < 1e-12 then 1 else 3 * sin(pi() * {t}) * sin(pi() * {t} / 3) / (pi() * pi() * {t} * {t}) end"),
+}
+
+
+def _interpolation_sql(kind: str) -> str:
+    reach, weight = KERNEL_SQL[kind]
+    wx, wy = weight.format(t="abs(t.u - s.c)"), weight.format(t="abs(t.v - s.r)")
+    return f"""
+    select cast(tr as int) as "row", cast(tc as int) as col, round(sum(w * val) / sum(w), 4) as val from (
+      select t.tr, t.tc, s.val, ({wx}) * ({wy}) as w from {FINER} t join {V['cell']} s
+      on s.c between cast(floor(t.u) as int) - {int(reach) - 1} and cast(floor(t.u) as int) + {reach}
+      and s.r between cast(floor(t.v) as int) - {int(reach) - 1} and cast(floor(t.v) as int) + {reach}
+      where abs(t.u - s.c) < {reach} and abs(t.v - s.r) < {reach}) q
+    group by 1, 2 having abs(sum(w)) > 1e-9"""
+
+
+def _interpolated(kind: str):
+    def run(spark, d):
+        spec = domain.cell_spec(spark, d)
+        made = regrid.regrid(domain.cells(spark, d), spec, _finer(spec), kind)
+        return made.where(F.col("value").isNotNull()).select("row", "col", r(F.col("value"), 4).alias("val"))
+
+    return run
+
+
+for _kind in regrid.INTERPOLATING:
+    query(f"regrid_{_kind}", _interpolation_sql(_kind))(_interpolated(_kind))
+
+
+# ---------------------------------------------------------------- composites
+
+
+@query("composite", f"""
+    select cell, yr, mon, round(sum(val), 4) as s, round(avg(val), 6) as a, round(quantile_cont(val, 0.5), 6) as med
+    from {V['cube']} q group by 1, 2, 3""")
+def composite(spark, d):
+    cube = domain.cube(spark, d)
+    return cube.groupBy("cell", F.col("year").alias("yr"), F.col("month").alias("mon")).agg(
+        r(F.sum("value"), 4).alias("s"), r(F.avg("value"), 6).alias("a"), r(F.percentile("value", 0.5), 6).alias("med")
+    )
+
+
+@query("first_last", f"""
+    select cell, max(case when ra = 1 then val end) as first_v, max(case when rd = 1 then val end) as last_v,
+      max(case when rd = 1 then val end) - max(case when ra = 1 then val end) as change from (
+      select cell, val, row_number() over (partition by cell order by ts, k1, k2, k3, k4) as ra,
+      row_number() over (partition by cell order by ts desc, k1 desc, k2 desc, k3 desc, k4 desc) as rd
+      from {V['cube']} q) t group by cell""")
+def first_last(spark, d):
+    cube = domain.cube(spark, d)
+    parts = {
+        name: grid.composite(cube, reducer, ["cell"], order=CUBE_ORDER).withColumnRenamed("value", name)
+        for name, reducer in (("first_v", "first"), ("last_v", "last"), ("change", "last_minus_first"))
+    }
+    return parts["first_v"].join(parts["last_v"], "cell").join(parts["change"], "cell")
+
+
+@query("composite_catalogue", f"""
+    select dataset, yr, mon, count(*) as n, round(sum(v), 3) as total from (
+      select case flag when 'A' then 'PPT' when 'N' then 'TMAX' else 'WS' end as dataset, r, c, yr, mon,
+             case flag when 'A' then sum(val) when 'N' then quantile_cont(val, 0.5) else avg(val) * 0.01 end as v
+      from {V['cube']} q group by flag, r, c, yr, mon) t group by 1, 2, 3""")
+def composite_catalogue(spark, d):
+    name = F.when(F.col("flag") == "A", "PPT").when(F.col("flag") == "N", "TMAX").otherwise("WS")
+    cube = domain.cube(spark, d).withColumn("dataset", name)
+    made = grid.composite_by_catalogue(cube, rasters.catalogue(spark), order=CUBE_ORDER)
+    return made.groupBy("dataset", F.col("year").alias("yr"), F.col("month").alias("mon")).agg(
+        F.count(F.lit(1)).alias("n"), r(F.sum("value"), 3).alias("total")
+    )
+
+
+@query("daily_cube", f"""
+    select r as "row", c as col, yr as year, mon as month, case when sum(val - 20) >= 0 then sum(val - 20) end as total,
+           round(avg(val - 20), 6) as mean
+    from {V['cube']} q group by 1, 2, 3, 4""")
+def daily_cube(spark, d):
+    days = domain.cube(spark, d).select("row", "col", F.to_date("ts").alias("date"), (F.col("value") - 20).alias("value"))
+    total = grid.daily_cube_to_month(days, "SWB_IRR").withColumnRenamed("value", "total")
+    mean = grid.daily_cube_to_month(days, "SWB_RO").withColumnRenamed("value", "mean")
+    joined = total.join(mean, ["row", "col", "year", "month"])
+    return joined.withColumn("mean", r(F.col("mean"), 6))
+
+
+@query("et_minus_soil", f"""
+    select r as "row", c as col, round(sum(case when flag = 'A' then k4 end) * 0.1 - sum(case when flag = 'R' then val end), 4) as deficit
+    from {V['cube']} q group by 1, 2 having count(case when flag = 'A' then 1 end) > 0 and count(case when flag = 'R' then 1 end) > 0""")
+def et_minus_soil(spark, d):
+    cube = domain.cube(spark, d)
+    et = cube.where(F.col("flag") == "A").select("row", "col", F.col("k4").alias("value"))
+    soil = cube.where(F.col("flag") == "R").select("row", "col", "value")
+    made = grid.et_minus_soil(et, soil, ["row", "col"])
+    return made.select("row", "col", r(F.col("value"), 4).alias("deficit"))
+
+
+# ---------------------------------------------------------------- blocks and windows
+
+
+@query("block_sum", f"""
+    select cast(floor(r / 10.0) as int) as br, cast(floor(c / 10.0) as int) as bc, round(sum(val), 4) as s, max(val) as mx,
+      min(val) as mn, round(avg(val), 6) as mean, round(quantile_cont(val, 0.25), 6) as q1, round(quantile_cont(val, 0.5), 6) as med,
+      round(quantile_cont(val, 0.75), 6) as q3 from {V['cell']} a group by 1, 2""")
+def block_sum(spark, d):
+    names = {"sum": "s", "max": "mx", "min": "mn", "average": "mean", "q1": "q1", "med": "med", "q3": "q3"}
+    out = None
+    for reducer, name in names.items():
+        part = grid.block_reduce(domain.cells(spark, d), 10, reducer).withColumnRenamed("value", name)
+        out = part if out is None else out.join(part, ["row", "col"])
+    shaped = out.withColumnsRenamed({"row": "br", "col": "bc"})
+    return shaped.withColumns({"s": r(F.col("s"), 4), **{c: r(F.col(c), 6) for c in ("mean", "q1", "med", "q3")}})
+
+
+@query("block_mode", f"""
+    select br, bc, crop from (select br, bc, crop, row_number() over (partition by br, bc order by n desc, crop) as k from (
+      select cast(floor(r / 10.0) as int) as br, cast(floor(c / 10.0) as int) as bc, crop, count(*) as n
+      from {V['cell']} a group by 1, 2, 3) a) b where k = 1""")
+def block_mode(spark, d):
+    made = grid.block_reduce(domain.parts(spark, d).select("row", "col", "crop"), 10, "mode", value="crop")
+    return made.withColumnsRenamed({"row": "br", "col": "bc"})
+
+
+@query("coarse_sum", f"""
+    select cast(floor(r / 10.0) as int) as "row", cast(floor(c / 10.0) as int) as col,
+      case when sum(val - 1200) > 0.5 then round(sum(val - 1200), 4) end as v from {V['cell']} a group by 1, 2""")
+def coarse_sum(spark, d):
+    shifted = domain.cells(spark, d).withColumn("value", F.col("value") - 1200)
+    return grid.coarse_sum(shifted, 10).select("row", "col", r(F.col("value"), 4).alias("v"))
+
+
+@query("majority_regrid", f"""
+    select br as "row", bc as col, cls from (select br, bc, cls, row_number() over (partition by br, bc order by n desc, cls) as k from (
+      select cast(floor((r + 0.5) * 30 / 100) as int) as br, cast(floor((c + 0.5) * 30 / 100) as int) as bc, cls, count(*) as n
+      from {V['cell']} a group by 1, 2, 3) a) b where k = 1""")
+def majority_regrid(spark, d):
+    height = domain.cell_spec(spark, d).height
+    fine = GridSpec(0.0, 0.0, 30.0, 30.0, height, domain.GRID_WIDTH)
+    coarse = GridSpec(0.0, 0.0, 100.0, 100.0, -(-height * 30 // 100), -(-domain.GRID_WIDTH * 30 // 100))
+    classes = domain.parts(spark, d).select("row", "col", F.col("cls").alias("value"))
+    return grid.majority_regrid(classes, fine, coarse).withColumnRenamed("value", "cls")
+
+
+@query("focal_mean", f"""
+    select a.r, a.c, round(avg(b.val), 6) as m from {V['cell']} a join {V['cell']} b
+    on b.r between a.r - 1 and a.r + 1 and b.c between a.c - 1 and a.c + 1 group by 1, 2""")
+def focal_mean(spark, d):
+    made = grid.focal_mean(domain.cells(spark, d), domain.cell_spec(spark, d), 1)
+    return made.select(F.col("row").alias("r"), F.col("col").alias("c"), r(F.col("value"), 6).alias("m"))
+
+
+GAPPY = f"(select r, c, case when cls <= 8 then val end as val, case when cls <= 8 then cls end as cls from {V['cell']} g)"
+
+
+def _fill_sql(pick: str) -> str:
+    return f"""
+    with g as {GAPPY},
+    n as (select a.r, a.c, b.val, b.cls, greatest(abs(a.r - b.r), abs(a.c - b.c)) as dist from g a join g b on b.val is not null
+          where a.val is null),
+    near as (select r, c, val, cls from (select *, min(dist) over (partition by r, c) as best from n) q where dist = best)
+    {pick}"""
+
+
+@query("focal_fill", _fill_sql("""select r as "row", c as col, round(avg(val), 6) as v from near group by 1, 2
+    union all select r as "row", c as col, round(val, 6) as v from g where val is not null"""))
+def focal_fill(spark, d):
+    gappy = domain.parts(spark, d).where(F.col("cls") <= 8).select("row", "col", "value")
+    made = grid.focal_fill(gappy, domain.cell_spec(spark, d))
+    return made.select("row", "col", r(F.col("value"), 6).alias("v"))
+
+
+@query("focal_fill_mode", _fill_sql("""select "row", col, v from (select r as "row", c as col, cls as v,
+    row_number() over (partition by r, c order by count(*) desc, cls) as k from near group by r, c, cls) t where k = 1
+    union all select r as "row", c as col, cls as v from g where val is not null"""))
+def focal_fill_mode(spark, d):
+    gappy = domain.parts(spark, d).where(F.col("cls") <= 8).select("row", "col", F.col("cls").alias("value"))
+    made = grid.focal_fill(gappy, domain.cell_spec(spark, d), categorical=True)
+    return made.select("row", "col", F.col("value").alias("v"))
+
+
+# ---------------------------------------------------------------- land cover and polygons
+
+COVER = "case cls when 11 then 111 when 8 then 83 when 20 then 92 else cls end"
+
+
+@query("landcover_fix", f"""
+    select r as "row", c as col, case when brand = 'Brand#7' then 0 when m in (3, 92) then m
+      when crop = 'SMALL' and not val > 1000 then 0 else m end as cls
+    from (select r, c, brand, crop, val, case when {COVER} in (111, 83) then 92 else {COVER} end as m from {V['cell']} a) t""")
+def landcover_fix(spark, d):
+    p = domain.parts(spark, d)
+    where = ["row", "col"]
+    code = F.when(F.col("cls") == 11, 111).when(F.col("cls") == 8, 83).when(F.col("cls") == 20, 92).otherwise(F.col("cls"))
+    fixed = grid.correct_land_cover_cells(
+        p.select(*where, code.alias("value")),
+        p.where(F.col("brand") == "Brand#7").select(*where, F.lit(1).alias("value")),
+        p.select(*where, F.when(F.col("crop") == "SMALL", 0).otherwise(1).alias("value")),
+        p.where(F.col("value") > 1000).select(*where, F.lit(1).alias("value")),
+        keys=[],
+    )
+    return fixed.withColumnRenamed("value", "cls")
+
+
+def _field_boxes(spark, d):
+    """A box around every supplier's point; its half widths come from the nation key."""
+    f = domain.field_points(spark, d)
+    half = F.col("nation") * 0.37 + 0.3
+    ring = geo.box_ring(F.col("x") - half, F.col("y") - half * 1.5, F.col("x") + half, F.col("y") + half * 1.5)
+    return f.select("fid", "bal", ring.alias("ring"))
+
+
+BOX = f"""(select fid, bal, (x - h) / 2.0 as u0, (x + h) / 2.0 as u1, (100.0 - (y + h * 1.5)) / 2.5 as v0, (100.0 - (y - h * 1.5)) / 2.5 as v1
+    from (select *, nation * 0.37e0 + 0.3e0 as h from {V['field']} f) g)"""
+LATTICE = """(select r, c from (select unnest(generate_series(0, cast(ceil((select count(*) from part) / 50.0) as bigint) - 1)) as r) a
+    cross join (select unnest(generate_series(0, 49)) as c) b)"""
+
+
+@query("burn_sum", f"""
+    select cast(g.r as int) as "row", cast(g.c as int) as col, round(sum(b.bal), 4) as v from {LATTICE} g join {BOX} b
+    on g.c + 0.5 >= b.u0 and g.c + 0.5 < b.u1 and g.r + 0.5 >= b.v0 and g.r + 0.5 < b.v1 group by 1, 2""")
+def burn_sum(spark, d):
+    made = polygons.burn(_field_boxes(spark, d), domain.cell_spec(spark, d), "fid", "bal")
+    return made.select("row", "col", r(F.col("value"), 4).alias("v"))
+
+
+@query("burn_touched", f"""
+    select distinct cast(g.r as int) as "row", cast(g.c as int) as col, cast(1 as double) as v from {LATTICE} g join {BOX} b
+    on g.c >= floor(b.u0) and g.c <= floor(b.u1) and g.r >= floor(b.v0) and g.r <= floor(b.v1)""")
+def burn_touched(spark, d):
+    made = polygons.burn(_field_boxes(spark, d), domain.cell_spec(spark, d), "fid")
+    return made.select("row", "col", F.col("value").alias("v"))
+
+
+@query("field_centroids", f"select fid, round(x, 6) as x, round(y, 6) as y from {V['field']} f")
+def field_centroids(spark, d):
+    cx, cy = geo.centroid(F.col("ring"))
+    return _field_boxes(spark, d).select("fid", r(cx, 6).alias("x"), r(cy, 6).alias("y"))
+
+
+@query("clip_polygons", f"""
+    select distinct a.r as "row", a.c as col, a.val from {V['cell']} a join {BOX} b
+    on a.c + 0.5 >= b.u0 and a.c + 0.5 < b.u1 and a.r + 0.5 >= b.v0 and a.r + 0.5 < b.v1""")
+def clip_polygons(spark, d):
+    kept = polygons.clip(domain.cells(spark, d), _field_boxes(spark, d), domain.cell_spec(spark, d), "fid")
+    return kept.select("row", "col", F.col("value").alias("val"))
+
+
+@query("clip_box", f"""
+    select r as "row", c as col, val from {V['cell']} a
+    where (c + 0.5) * 2.0 between (select min(x) + 10 from {V['field']} f) and (select max(x) - 10 from {V['field']} f)
+      and 100.0 - (r + 0.5) * 2.5 between (select min(y) + 10 from {V['field']} f) and (select max(y) - 10 from {V['field']} f)""")
+def clip_box(spark, d):
+    box = grid.extent_of_points(domain.field_points(spark, d), "x", "y").first()
+    spec = domain.cell_spec(spark, d)
+    kept = polygons.clip_box(domain.cells(spark, d), spec, box.xmin + 10, box.ymin + 10, box.xmax - 10, box.ymax - 10)
+    return kept.select("row", "col", F.col("value").alias("val"))
+
+
+def _zones(spark, spec: GridSpec):
+    """Three bands across the grid, bounded by diagonals of cells."""
+    x, y = lambda c: spec.left + c * spec.xres, lambda v: spec.top - v * spec.yres
+    far = float(spec.height + spec.width + 1)
+
+    def band(low: float, high: float):
+        # Cells with low <= row + col < high, for centres at half cells.
+        return [(x(-1.0), y(low + 1.5)), (x(far), y(low + 0.5 - far)), (x(far), y(high + 0.5 - far)), (x(-1.0), y(high + 1.5))]
+
+    shapes = [("A", band(-far, 30.0)), ("B", band(30.0, 60.0)), ("C", band(60.0, 2 * far))]
+    rows = [(z, [{"x": float(px), "y": float(py)} for px, py in ring]) for z, ring in shapes]
+    return spark.createDataFrame(rows, "zone string, ring array<struct<x: double, y: double>>")
+
+
+ZONE = "case when r + c < 30 then 'A' when r + c < 60 then 'B' else 'C' end"
+TYPES = ("ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD")
+
+
+@query("zonal_share", f"""
+    select zone, cls % 2 as year, {', '.join(
+        f'''round(100e0 * nullif(count(case when crop = '{t}' then 1 end), 0) / count(*), 6) as "{t}"''' for t in TYPES)},
+      count(*) as "Total" from (select {ZONE} as zone, crop, cls from {V['cell']} a) t group by 1, 2""")
+def zonal_share(spark, d):
+    spec = domain.cell_spec(spark, d)
+    rows = domain.parts(spark, d).select("row", "col", "crop", (F.col("cls") % 2).alias("year"))
+    zoned = polygons.zonal_cells(rows, _zones(spark, spec), spec, "zone")
+    shares = cropstats.region_shares(zoned, TYPES, ["zone", "year"])
+    return shares.withColumns({t: r(F.col(t), 6) for t in TYPES})
+
+
+@query("project_points", """
+    with k as (select radians(29.5e0) as p1, radians(45.5e0) as p2, radians(23e0) as p0, sqrt(0.00669438002290e0) as e, 0.00669438002290e0 as e2, 6378137e0 as a),
+    m as (select *, cos(p1) / sqrt(1 - e2 * sin(p1) * sin(p1)) as m1, cos(p2) / sqrt(1 - e2 * sin(p2) * sin(p2)) as m2,
+      (1 - e2) * (sin(p1) / (1 - e2 * sin(p1) * sin(p1)) - ln((1 - e * sin(p1)) / (1 + e * sin(p1))) / (2 * e)) as q1,
+      (1 - e2) * (sin(p2) / (1 - e2 * sin(p2) * sin(p2)) - ln((1 - e * sin(p2)) / (1 + e * sin(p2))) / (2 * e)) as q2,
+      (1 - e2) * (sin(p0) / (1 - e2 * sin(p0) * sin(p0)) - ln((1 - e * sin(p0)) / (1 + e * sin(p0))) / (2 * e)) as q0 from k),
+    n as (select *, (m1 * m1 - m2 * m2) / (q2 - q1) as n from m),
+    c as (select *, m1 * m1 + n * q1 as c, a * sqrt(m1 * m1 + n * q1 - n * q0) / n as rho0 from n),
+    p as (select c_custkey as pid, -96 + cast((c_custkey * 61) % 1000 as double) / 100 as lon, 30 + cast((c_custkey * 17) % 1000 as double) / 100 as lat from customer),
+    q as (select pid, lon, lat, c.*, (1 - e2) * (sin(radians(lat)) / (1 - e2 * sin(radians(lat)) * sin(radians(lat)))
+      - ln((1 - e * sin(radians(lat))) / (1 + e * sin(radians(lat)))) / (2 * e)) as qq from p cross join c)
+    select pid, round(a * sqrt(c - n * qq) / n * sin(n * radians(lon + 96)), 3) as x,
+      round(rho0 - a * sqrt(c - n * qq) / n * cos(n * radians(lon + 96)), 3) as y, round(lon, 6) as lon, round(lat, 6) as lat from q""")
+def project_points(spark, d):
+    """Forward projection of every point and the way back."""
+    p = domain.points(spark, d).select("pid", (F.col("x") / 10 - 96).alias("lon0"), (F.col("y") / 10 + 30).alias("lat0"))
+    x, y = geo.reproject(F.col("lon0"), F.col("lat0"), "lonlat", "albers")
+    plane = p.select("pid", x.alias("x"), y.alias("y"))
+    lon, lat = geo.reproject(F.col("x"), F.col("y"), "albers", "lonlat")
+    return plane.select("pid", r(F.col("x"), 3).alias("x"), r(F.col("y"), 3).alias("y"), r(lon, 6).alias("lon"), r(lat, 6).alias("lat"))
+
+
+@query("lonlat_grid", f"""
+    select cast(r as int) as "row", cast(c as int) as col, round((c + 0.5) * 2.0, 6) as lon, round(100.0 - (r + 0.5) * 2.5, 6) as lat,
+      round(c * 2.0, 6) as corner_lon, round(100.0 - r * 2.5, 6) as corner_lat from {LATTICE} g""")
+def lonlat_grid(spark, d):
+    spec = domain.cell_spec(spark, d)
+    centres = grid.lon_lat_grid(spark, spec)
+    corners = grid.lon_lat_grid(spark, spec, corner=True).withColumnsRenamed({"lon": "corner_lon", "lat": "corner_lat"})
+    both = centres.join(corners, ["row", "col"])
+    return both.select("row", "col", *[r(F.col(c), 6).alias(c) for c in ("lon", "lat", "corner_lon", "corner_lat")])
+
+
+@query("point_extent", f"select min(x) as xmin, min(y) as ymin, max(x) as xmax, max(y) as ymax from {V['point']} p")
+def point_extent(spark, d):
+    return grid.extent_of_points(domain.points(spark, d), "x", "y")
+
+
+@query("extent_grid", f"""
+    select r as "row", c as col, m as cls from (select r, c, case when {COVER} in (111, 83) then 92 else {COVER} end as m, val, crop
+      from {V['cell']} a) t
+    where exists (select 1 from {BOX} b where t.c + 0.5 >= b.u0 and t.c + 0.5 < b.u1 and t.r + 0.5 >= b.v0 and t.r + 0.5 < b.v1)""")
+def extent_grid(spark, d):
+    """Yearly extent: land cover corrected with the burned fields, then clipped to their outline."""
+    spec, boxes, p = domain.cell_spec(spark, d), _field_boxes(spark, d), domain.parts(spark, d)
+    code = F.when(F.col("cls") == 11, 111).when(F.col("cls") == 8, 83).when(F.col("cls") == 20, 92).otherwise(F.col("cls"))
+    where = ["row", "col"]
+    fixed = grid.correct_land_cover_cells(
+        p.select(*where, code.alias("value")),
+        p.select(*where, F.lit(0).alias("value")),
+        p.select(*where, F.when(F.col("crop") == "SMALL", 0).otherwise(1).alias("value")),
+        polygons.burn(boxes, spec, "fid"),
+        keys=[],
+    )
+    return polygons.clip(fixed, boxes, spec, "fid").withColumnRenamed("value", "cls")
+
+
+@query("cell_round_trip", f"""
+    select yr as year, count(*) as n, count(case when s <= 100 then 1 end) as present, round(sum(case when s <= 100 then s end), 2) as total
+    from (select r, c, yr, sum(val) as s from {V['cube']} q group by 1, 2, 3) t group by yr""")
+def cell_round_trip(spark, d):
+    """Write yearly cells with the sentinel for missing ones, read them back and count."""
+    yearly = grid.composite(domain.cube(spark, d), "sum", ["row", "col", "year"])
+    shaped = yearly.select(
+        "row", "col", F.when(F.col("value") <= 100, F.col("value")).alias("value"),
+        F.lit("PPT").alias("dataset"), "year", F.lit(None).cast("int").alias("month"),
+    )
+    path = rasters.write_cells(shaped, domain.scratch(spark, "cells"), domain.cell_spec(spark, d), "parts")
+    back = rasters.read_cells(spark, path, ["PPT"], nodata=rasters.read_spec(spark, path).nodata)
+    return back.groupBy("year").agg(
+        F.count(F.lit(1)).alias("n"), F.count("value").alias("present"), r(F.sum("value"), 2).alias("total")
+    )
+
+
+# ---------------------------------------------------------------- crop statistics and comparison
+
+
+@query("crop_use", f"""
+    select crop, mon, round(avg(v), 4) as mean_use, round(stddev_samp(v), 4) as sd_use from (
+      select q.r, q.c, q.yr, q.mon, sum(q.val) as v from {V['cube']} q where q.mon between 4 and 9 group by 1, 2, 3, 4) w
+    join (select r, c, case cls when 1 then 'Corn' when 2 then 'Cotton' when 3 then 'Rice' when 5 then 'Soybeans' else 'Other' end as crop
+      from {V['cell']} a) k on w.r = k.r and w.c = k.c group by 1, 2""")
+def crop_use(spark, d):
+    water = grid.composite(domain.cube(spark, d), "sum")
+    years = domain.cube(spark, d).select("year").distinct().agg(F.sort_array(F.collect_set("year")).alias("_y"))
+    cover = domain.parts(spark, d).withColumn("_y", years.scalar())
+    cover = cover.select("row", "col", F.col("cls").alias("value"), F.explode("_y").alias("year"))
+    spread = cropstats.crop_month_spread(cropstats.crop_use(water, cover))
+    return spread.select("crop", F.col("month").alias("mon"), r(F.col("mean_use"), 4).alias("mean_use"), r(F.col("sd_use"), 4).alias("sd_use"))
+
+
+@query("crop_month_std", f"""
+    select crop, mon, round(avg(wu), 4) as mean_wu, round(stddev_samp(wu), 4) as sd_wu from {V['annual']} a
+    where crop = '1-URGENT' or mon between 4 and 9 group by 1, 2""")
+def crop_month_std(spark, d):
+    rows = domain.annual(spark, d).select("crop", F.col("mon").alias("month"), F.col("wu").alias("value"))
+    made = cropstats.crop_month_spread(rows, "1-URGENT")
+    return made.select("crop", F.col("month").alias("mon"), r(F.col("mean_use"), 4).alias("mean_wu"), r(F.col("sd_use"), 4).alias("sd_wu"))
+
+
+@query("crop_month_means", f"select crop, mon, round(avg(wu), 4) as wu from {V['annual']} a group by 1, 2")
+def crop_month_means(spark, d):
+    rows = domain.annual(spark, d)
+    return cropstats.crop_month_means(rows, ["crop", "mon"], "wu").withColumn("wu", r(F.col("wu"), 4))
+
+
+@query("month_mean_by_crop", f"select crop, round(avg(wu), 4) as wu from {V['annual']} a where mon = 4 group by 1")
+def month_mean_by_crop(spark, d):
+    april = domain.annual(spark, d).where(F.col("mon") == 4)
+    return cropstats.crop_month_means(april, ["crop"], "wu").withColumn("wu", r(F.col("wu"), 4))
+
+
+@query("crop_counts", f"""
+    select crop, round(avg(n), 6) as cells from (select r % 4 as yr, case cls when 1 then 'Corn' when 2 then 'Cotton' when 3 then 'Rice' when 5 then 'Soybeans' end as crop, count(*) as n
+    from {V['cell']} a where cls in (1, 2, 3, 5) group by 1, 2) t group by crop""")
+def crop_counts(spark, d):
+    cover = domain.parts(spark, d).select((F.col("row") % 4).alias("year"), F.col("cls").alias("value"))
+    return cropstats.mean_crop_counts(cropstats.crop_counts(cover)).withColumn("cells", r(F.col("cells"), 6))
+
+
+def _models(spark, d):
+    """Two monthly models on one grid: summed quantities, and scaled prices without the returned lines."""
+    cube = domain.cube(spark, d)
+    older = grid.composite(cube, "sum")
+    kept = F.when(F.col("flag") != "R", F.col("k4") / 1000)
+    newer = grid.composite(cube.withColumn("value", kept), "sum")
+    return compare.match_models(older, newer)
+
+
+MATCHED = f"""(select r, c, yr, mon, sum(val) as older, sum(case when flag <> 'R' then k4 / 1000 end) as newer from {V['cube']} q
+    group by 1, 2, 3, 4 having count(case when flag <> 'R' then 1 end) > 0)"""
+
+
+@query("model_compare", f"""
+    select mon, round(older, 4) as older, round(newer, 4) as newer, round(older - newer, 4) as difference,
+      round(abs((older - newer) * 100 / older), 6) as pct
+    from (select mon, avg(o) as older, avg(n) as newer from (select yr, mon, sum(older) as o, sum(newer) as n from {MATCHED} m group by 1, 2) t
+      where mon <> 10 group by mon) q""")
+def model_compare(spark, d):
+    totals = compare.monthly_model_totals(_models(spark, d))
+    made = compare.mean_month_comparison(totals)
+    return made.select(
+        F.col("month").alias("mon"), *[r(F.col(c), 4).alias(c) for c in ("older", "newer", "difference")],
+        r(F.col("difference_percent"), 6).alias("pct"),
+    )
+
+
+@query("cell_difference", f"""
+    select r as "row", c as col, yr as year, mon as month, round(newer - older, 7) as difference from {MATCHED} m""")
+def cell_difference(spark, d):
+    made = compare.cell_differences(_models(spark, d))
+    return made.select("row", "col", "year", "month", r(F.col("difference"), 7).alias("difference"))
+
+
+@query("season_total", f"""
+    with m as (select * from {MATCHED} m where mon between 4 and 9),
+    s as (select yr, count(distinct mon) as k from m group by yr)
+    select m.r as "row", m.c as col, m.yr as year, case when count(m.older) = max(s.k) then round(sum(m.older), 7) end as older,
+      case when count(m.newer) = max(s.k) then round(sum(m.newer), 7) end as newer,
+      case when count(m.newer) = max(s.k) then round(sum(m.newer) - sum(m.older), 7) end as difference
+    from m join s on m.yr = s.yr group by 1, 2, 3""")
+def season_total(spark, d):
+    season = _models(spark, d).where(F.col("month").between(4, 9))
+    made = compare.season_totals(season)
+    return made.select("row", "col", "year", *[r(F.col(c), 7).alias(c) for c in ("older", "newer", "difference")])
+
+
+@query("kernel_density", f"""
+    with s as (select crop, count(*) as n, power(count(*), -0.2) * stddev_samp(wu) as h from {V['annual']} a group by crop),
+    g as (select i, 0 + i * (500000.0 / 99) as x from (select unnest(generate_series(0, 99)) as i) t)
+    select a.crop, cast(g.i as int) as i, round(1e6 * sum(exp(-power((g.x - a.wu) / s.h, 2) / 2) / (s.h * sqrt(2 * pi()))) / max(s.n), 6) as density
+    from {V['annual']} a join s on a.crop = s.crop cross join g group by 1, 2""")
+def kernel_density(spark, d):
+    made = cropstats.kernel_density(domain.annual(spark, d), ["crop"], "wu", 0.0, 500000.0, 100)
+    place = F.round(F.col("at") / (500000.0 / 99)).cast("int")
+    return made.select("crop", place.alias("i"), r(F.col("density") * 1e6, 6).alias("density"))

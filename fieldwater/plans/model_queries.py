@@ -1,0 +1,390 @@
+"""Driver-table queries: model inputs, fits, metrics, explanations, map scoring."""
+
+from __future__ import annotations
+
+from pyspark.ml.regression import LinearRegression
+from pyspark.sql import functions as F
+
+from fieldwater.functions import codes
+from fieldwater.functions.sizing import attach, measured
+from fieldwater.operators import estimators, evaluate, explain, features, grid, scoring, split, tuning
+from fieldwater.operators.clean import recode_crop
+from fieldwater.operators.neighbours import NeighboursRegressor
+from fieldwater.plans import domain
+from fieldwater.plans.domain import VIEW as V
+from fieldwater.plans.inputs import model_inputs as make_inputs
+from fieldwater.plans.inputs import prepare
+from fieldwater.plans.registry import query
+from fieldwater.sources import stages
+
+
+def r(column, digits: int):
+    return F.round(column, digits)
+
+
+def _labelled(spark, d):
+    """Annual readings with one feature: the month."""
+    rows = domain.annual(spark, d).select("id", "crop", "status", "yr", F.col("mon").cast("double").alias("m"), F.col("wu").alias("label"))
+    return features.assemble(rows, ["m"])
+
+
+def _linear(df):
+    return LinearRegression(solver="normal", regParam=0.0, labelCol="label").fit(df)
+
+
+FIT = f"(select regr_slope(wu, mon) as a, regr_intercept(wu, mon) as b from {V['annual']} f)"
+
+
+# ---------------------------------------------------------------- inputs
+
+
+@query("prepared_rows", f"""
+    with m as (select r, c, yr, mon, avg(val) as v from {V['cube']} q group by 1, 2, 3, 4),
+    a as (select o.id, o.crop, o.yr, o.mon, o.wu, cast(floor(p.x / 2.0) as int) as c, cast(floor((100.0 - p.y) / 2.5) as int) as r
+          from {V['annual']} o join {V['point']} p on o.site = p.pid),
+    j as (select a.*, m.v as et, s.cls as soil from a left join m on a.r = m.r and a.c = m.c and a.yr = m.yr and a.mon = m.mon
+          left join {V['cell']} s on a.r = s.r and a.c = s.c)
+    select id, round(et, 6) as et, round(et / avg(et) over (partition by crop), 6) as rel, cast(soil as double) as soil,
+      case crop when '1-URGENT' then 1.2e0 when '2-HIGH' then 0e0 when '3-MEDIUM' then 1.15e0 when '4-NOT SPECIFIED' then 1.15e0 else 1.2e0 end as cc,
+      round(et - soil, 6) as eff from j""")
+def prepared_rows(spark, d):
+    """Sampled predictors with crop coefficient, relative evapotranspiration and effective precipitation."""
+    spec = domain.cell_spec(spark, d)
+    crop = F.col("crop")
+    named = (
+        F.when(crop == "1-URGENT", "Rice").when(crop == "2-HIGH", "Fish Culture").when(crop == "3-MEDIUM", "Soybeans")
+        .when(crop == "4-NOT SPECIFIED", "Peanuts").otherwise("Corn")
+    )
+    places = domain.points(spark, d).select(F.col("pid").alias("site"), "x", "y")
+    rows = domain.annual(spark, d).select(
+        "id", "site", named.alias("crop"), F.col("yr").alias("Year"), F.col("mon").alias("Month"), F.col("wu").alias("AF_Acre")
+    ).join(places, "site")
+    cube = domain.cube(spark, d)
+    monthly = grid.composite(cube, "mean")
+    blank = F.lit(None).cast("int")
+    static = domain.parts(spark, d).select("row", "col", blank.alias("year"), blank.alias("month"), F.col("cls").cast("double").alias("value"))
+    cells = (
+        monthly.withColumn("dataset", F.lit("SSEBop"))
+        .unionByName(monthly.withColumn("dataset", F.lit("SWB_PPT")))
+        .unionByName(static.withColumn("dataset", F.lit("SWB_AWC")))
+    )
+    specs = dict.fromkeys(["SSEBop", "SWB_PPT", "SWB_AWC"], spec)
+    made = prepare(
+        rows, cells, specs, list(specs), "id", x="x", y="y", crop_coefficients=True, relative=True,
+        effective=("SWB_PPT", "SWB_AWC"),
+    )
+    return made.select(
+        "id", r(F.col("SSEBop"), 6).alias("et"), r(F.col("Relative_SSEBop"), 6).alias("rel"), F.col("SWB_AWC").alias("soil"),
+        F.col("CC").alias("cc"), r(F.col("EFF_PPT"), 6).alias("eff"),
+    )
+
+
+@query("model_inputs", f"""
+    with a as (select id, yr, mon, wu * 304.8 as y, case crop when '1-URGENT' then 'Rice' when '2-HIGH' then 'Fish Culture'
+                when '3-MEDIUM' then 'Soybeans' when '5-LOW' then 'Corn' end as crop, cast(site as double) as s from {V['annual']} o),
+    f as (select crop, quantile_cont(y, 0.25) as q1, quantile_cont(y, 0.75) as q3 from a where crop is not null group by crop),
+    k as (select a.*, row_number() over (partition by yr order by md5(concat('42|', cast(id as varchar))), id) as k, count(*) over (partition by yr) as n
+          from a join f on a.crop = f.crop where y <= f.q3 + 0.2 * (f.q3 - f.q1)),
+    t as (select *, k <= ceil(n * 0.2) as held from k),
+    l as (select min(y) as ylo, max(y) as yhi, min(s) as slo, max(s) as shi from t where not held)
+    select id, case when held then 'TEST' else 'TRAIN' end as split, round((y - ylo) / (yhi - ylo), 8) as target,
+      round((s - slo) / (shi - slo), 8) as site, cast(case when crop = 'Rice' then 1 else 0 end as double) as rice,
+      cast(case when mon = 4 then 1 else 0 end as double) as april from t cross join l""")
+def model_inputs(spark, d):
+    crop = F.col("crop")
+    named = (
+        F.when(crop == "1-URGENT", "Rice").when(crop == "2-HIGH", "Fish Culture").when(crop == "3-MEDIUM", "Soybeans")
+        .when(crop == "5-LOW", "Corn").otherwise("Peanuts")
+    )
+    rows = domain.annual(spark, d).select(
+        "id", named.alias("crop"), F.col("yr").alias("Year"), F.col("mon").alias("Month"), F.col("wu").alias("AF_Acre"),
+        F.col("site").cast("double").alias("s"),
+    )
+    made = make_inputs(
+        rows, "id", outlier_operation=2, fence_reach=0.2, split_strategy=2, test_size=0.2, test_years=(2020,), seed=42, scaling=True
+    )
+    return made.rows.select(
+        "id", F.col("DATA").alias("split"), r(F.col("AF_Acre"), 8).alias("target"), r(F.col("s"), 8).alias("site"),
+        F.col("crop_Rice").alias("rice"), F.col("Month_4").alias("april"),
+    )
+
+
+# ---------------------------------------------------------------- fits with an exact answer
+
+
+@query("linear_fit", f"""
+    select status as g, round(regr_slope(wu, mon), 4) as slope, round(regr_intercept(wu, mon), 3) as icpt from {V['annual']} a group by 1""")
+def linear_fit(spark, d):
+    """One model per class; each fit is distributed."""
+    rows = _labelled(spark, d).persist()
+    models = tuning.per_crop_models(rows, features.vocabulary(rows, "status"), _linear, "status")
+    table = [(g, float(m.coefficients[0]), float(m.intercept)) for g, m in models.items()]
+    fitted = spark.createDataFrame(table, "g string, slope double, icpt double")
+    rows.unpersist()
+    return fitted.select("g", r(F.col("slope"), 4).alias("slope"), r(F.col("icpt"), 3).alias("icpt"))
+
+
+@query("per_crop_predictions", f"""
+    with f as (select status, regr_slope(wu, mon) as a, regr_intercept(wu, mon) as b from {V['annual']} a group by 1)
+    select a.id, round(f.a * a.mon + f.b, 3) as p from {V['annual']} a join f on a.status = f.status""")
+def per_crop_predictions(spark, d):
+    rows = _labelled(spark, d)
+    models = tuning.per_crop_models(rows, features.vocabulary(rows, "status"), _linear, "status")
+    return tuning.predict_per_crop(models, rows, "status").select("id", r(F.col("prediction"), 3).alias("p"))
+
+
+@query("prediction_table", f"""
+    select id, crop, round(abs(a * mon + b), 3) as pred, round(wu, 3) as actual, round(wu - abs(a * mon + b), 3) as error
+    from {V['annual']} x cross join {FIT} f""")
+def prediction_table(spark, d):
+    """Fit on scaled columns, predict, and put target and features back in their units."""
+    rows = domain.annual(spark, d).select("id", "crop", F.col("mon").cast("double").alias("m"), F.col("wu").alias("label"))
+    scaler = features.MinMaxScaler.fit(rows, ["m", "label"])
+    scaled = features.assemble(scaler.transform(rows), ["m"])
+    made = tuning.prediction_table(_linear(scaled), scaled, scaler, "label", ["m"])
+    return made.select(
+        "id", "crop", r(F.col("Pred_GW"), 3).alias("pred"), r(F.col("Actual_GW"), 3).alias("actual"), r(F.col("Error_GW"), 3).alias("error")
+    )
+
+
+@query("model_round_trip", f"""
+    select id, round(abs(a * mon + b), 3) as p from {V['annual']} x cross join {FIT} f""")
+def model_round_trip(spark, d):
+    """Save model and scaler, load both, predict."""
+    rows = domain.annual(spark, d).select("id", F.col("mon").cast("double").alias("m"), F.col("wu").alias("label"))
+    scaler = features.MinMaxScaler.fit(rows, ["m", "label"])
+    scaled = features.assemble(scaler.transform(rows), ["m"])
+    path = domain.scratch(spark, "model")
+    stages.save_scaler(scaler, spark, f"{path}-scaler")
+    stages.save_model(_linear(scaled), path)
+    again, limits = stages.load_model("LR", path), stages.load_scaler(spark, f"{path}-scaler")
+    return again.transform(scaled).select("id", r(limits.unscale("label", F.abs("prediction")), 3).alias("p"))
+
+
+@query("neighbours", f"""
+    select pid, round(avg(bal), 4) as p from (select q.pid, t.bal, row_number() over (partition by q.pid
+      order by abs(q.x - t.x) + abs(q.y - t.y), t.bal) as k from {V['point']} q cross join {V['point']} t) n
+    where k <= 7 group by pid""")
+def neighbours(spark, d):
+    rows = features.assemble(domain.points(spark, d).withColumnRenamed("bal", "label"), ["x", "y"])
+    model = NeighboursRegressor(k=7, p=1.0).fit(rows)
+    return model.transform(rows).select("pid", r(F.col("prediction"), 4).alias("p"))
+
+
+# ---------------------------------------------------------------- metrics
+
+RESIDUALS = f"""(select id, crop, yr, mon, wu as y, m as p from (select *, avg(wu) over (partition by yr) as m from {V['annual']} a) t)"""
+
+
+def _predictions(spark, d):
+    """The yearly mean as the prediction."""
+    rows = domain.annual(spark, d)
+    means = measured(rows.groupBy("yr").agg(F.avg("wu").alias("Pred_GW")))
+    joined = attach(rows.withColumnRenamed("wu", "Actual_GW"), means, ["yr"])
+    return joined.withColumn("Error_GW", F.col("Actual_GW") - F.col("Pred_GW"))
+
+
+@query("metrics", f"""
+    select crop, round(1 - sum((y - p) * (y - p)) / sum((y - ym) * (y - ym)), 6) as r2, round(avg(abs(y - p)), 4) as mae,
+      round(sqrt(avg((y - p) * (y - p))), 4) as rmse, round(100 * sqrt(avg((y - p) * (y - p))) / avg(y), 6) as nrmse
+    from (select *, avg(y) over (partition by crop) as ym from {RESIDUALS} q) m group by crop""")
+def metrics(spark, d):
+    made = evaluate.metrics(_predictions(spark, d), ["crop"], precision=None)
+    return made.select("crop", r(F.col("r2"), 6).alias("r2"), r(F.col("mae"), 4).alias("mae"), r(F.col("rmse"), 4).alias("rmse"), r(F.col("nrmse"), 6).alias("nrmse"))
+
+
+@query("split_metrics", f"""
+    with q as (select *, case when yr in (1996, 2000) then 'TEST' else 'TRAIN' end as split from {RESIDUALS} z),
+    g as (select split, cast(null as varchar) as crop, cast(null as int) as yr, y, p from q union all
+      select split, crop, null, y, p from q union all select split, null, yr, y, p from q)
+    select split, crop, yr, count(*) as n_rows, round(avg(abs(y - p)), 2) as mae, round(sqrt(avg((y - p) * (y - p))), 2) as rmse
+    from g group by 1, 2, 3""")
+def split_metrics(spark, d):
+    parted = split.split_years(_predictions(spark, d), (1996, 2000), "yr")
+    made = evaluate.split_metrics(parted, "DATA", "crop", "yr", precision=2)
+    return made.select(F.col("DATA").alias("split"), "crop", "yr", "n_rows", "mae", "rmse")
+
+
+@query("std_residual", f"""
+    select id, round((y - p) / stddev_samp(y - p) over (partition by crop), 6) as z from {RESIDUALS} q where mon between 4 and 9""")
+def std_residual(spark, d):
+    made = evaluate.standardized_residuals(_predictions(spark, d), by="crop", months=codes.GROWING_MONTHS, month="mon")
+    return made.select("id", r(F.col("Std_Residuals"), 6).alias("z"))
+
+
+@query("split_ranges", f"""
+    select case when yr in (1996, 2000) then 'TEST' else 'TRAIN' end as split, min(wu) as min_actual, max(wu) as max_actual
+    from {V['annual']} a group by 1""")
+def split_ranges(spark, d):
+    parted = split.split_years(domain.annual(spark, d).withColumnRenamed("wu", "Actual_GW"), (1996, 2000), "yr")
+    return evaluate.actual_ranges(parted).withColumnRenamed("DATA", "split")
+
+
+# ---------------------------------------------------------------- explanations
+
+
+@query("partial_dependence", f"""
+    with q as (select quantile_cont(site, 0.05) as lo, quantile_cont(site, 0.95) as hi from {V['annual']} a),
+    f as (select regr_slope(wu, site) as a, regr_intercept(wu, site) as b from {V['annual']} a)
+    select cast(i as int) as i, round(lo + (hi - lo) * i / 99, 4) as at, round(a * (lo + (hi - lo) * i / 99) + b, 2) as response
+    from q cross join f cross join (select unnest(generate_series(0, 99)) as i) g""")
+def partial_dependence(spark, d):
+    rows = domain.annual(spark, d).select("id", F.col("site").cast("double").alias("s"), F.col("wu").alias("label"))
+    model = _linear(features.assemble(rows, ["s"]))
+    made = explain.partial_dependence(model, rows, ["s"], "s")
+    ends = made.agg(F.min("at").alias("lo"), F.max("at").alias("hi"))
+    lo, hi = ends.select("lo").scalar(), ends.select("hi").scalar()
+    place = F.round((F.col("at") - lo) / ((hi - lo) / 99)).cast("int")
+    return made.select(place.alias("i"), r(F.col("at"), 4).alias("at"), r(F.col("response"), 2).alias("response"))
+
+
+@query("permutation_importance")
+def permutation_importance(spark, d):
+    """A real feature and a constant one; the constant scores exactly 0."""
+    rows = domain.annual(spark, d).select(
+        "id", F.col("mon").cast("double").alias("m"), F.lit(1.0).alias("constant"), F.col("wu").alias("label")
+    )
+    model = estimators.make_estimator("DT").fit(features.assemble(rows, ["m", "constant"]))
+    scores = explain.permutation_importance(model, rows, ["m", "constant"], "id", repeats=2)
+    return explain.permutation_summary(scores)
+
+
+# ---------------------------------------------------------------- tuned models
+
+
+def _training(spark, d):
+    """Monthly composites of the cube with the class, size and place of the cell as features."""
+    p = domain.parts(spark, d).select("row", "col", "cls", F.col("value").alias("price"), "crop")
+    months = grid.composite(domain.cube(spark, d), "sum").join(p, ["row", "col"])
+    rows = months.select(
+        F.concat_ws("-", "row", "col", "year", "month").alias("key"), "crop", F.col("value").alias("label"),
+        *[F.col(c).cast("double").alias(c) for c in ("row", "col", "month", "cls", "price")],
+    )
+    return features.assemble(rows, ["row", "col", "month", "cls", "price"])
+
+
+COLUMNS = ("cls", "col", "month", "price", "row")
+
+
+@query("tree_search")
+def tree_search(spark, d):
+    """Grid search over stratified folds; one row per candidate with its mean scores."""
+    found = tuning.search(
+        _training(spark, d), "DT", "key", folds=3, repeats=1, strata=["crop"],
+        grid={"maxDepth": [3, 5], "minInstancesPerNode": [20]}, seed=7,
+    )
+    rows = [(str(sorted(c["params"].items())), *[float(c[k]) for k in ("train_r2", "train_rmse", "validation_r2", "validation_rmse", "validation_mae")]) for c in found.candidates]
+    return spark.createDataFrame(rows, "params string, train_r2 double, train_rmse double, validation_r2 double, validation_rmse double, validation_mae double")
+
+
+@query("linear_search")
+def linear_search(spark, d):
+    found = tuning.search(_training(spark, d), "LR", "key", folds=3, repeats=2, seed=7)
+    summary = found.summary()
+    return spark.createDataFrame([(k, float(v)) for k, v in summary.items()], "score string, value double")
+
+
+def _fitted(spark, d, name, **params):
+    rows = _training(spark, d).persist()
+    model = estimators.configured(estimators.make_estimator(name, 7), params).fit(rows)
+    return rows, model
+
+
+def _fit_metrics(name, **params):
+    def run(spark, d):
+        rows, model = _fitted(spark, d, name, **params)
+        return evaluate.metrics(model.transform(rows), ["crop"], "label", "prediction")
+
+    return run
+
+
+query("boosted_fit")(_fit_metrics("LGBM", maxIter=5, maxDepth=4, stepSize=0.1))
+query("forest_fit")(_fit_metrics("DRF", numTrees=10, maxDepth=5, subsamplingRate=0.9, featureSubsetStrategy="0.8"))
+query("bagged_fit")(_fit_metrics("BT", numTrees=5, maxDepth=5))
+query("extra_trees_fit")(_fit_metrics("ETR", numTrees=5, maxDepth=5))
+query("adaboost_fit")(_fit_metrics("ABR", maxIter=4, stepSize=0.5, maxDepth=3))
+query("huber_fit")(_fit_metrics("SVR", maxIter=20))
+
+
+@query("importances")
+def importances(spark, d):
+    rows, model = _fitted(spark, d, "DRF", numTrees=5, maxDepth=4)
+    return tuning.top_features(tuning.importances(model, COLUMNS, spark, "DRF", domain.scratch(spark, "forest")), 5)
+
+
+# ---------------------------------------------------------------- maps
+
+
+@query("predictor_frame", f"""
+    with m as (select r, c, yr, mon, avg(val) as v from {V['cube']} q group by 1, 2, 3, 4),
+    y as (select distinct yr from {V['cube']} q), g as (select unnest(generate_series(1, 12)) as mon)
+    select a.r as "row", a.c as col, y.yr as year, cast(g.mon as int) as month, round(m.v, 6) as ppt, a.val as awc,
+      case cls when 1 then 'Corn' when 2 then 'Cotton' when 3 then 'Rice' when 5 then 'Soybeans' when 4 then null else 'Other' end as crop,
+      round((a.c + 0.5) * 2.0, 6) as lon
+    from {V['cell']} a cross join y cross join g left join
+      m on a.r = m.r and a.c = m.c and y.yr = m.yr and g.mon = m.mon and a.cls <> 4""")
+def predictor_frame(spark, d):
+    return _predictors(spark, d).select(
+        "row", "col", "year", "month", r(F.col("PPT"), 6).alias("ppt"), F.col("SWB_AWC").alias("awc"), "crop", r(F.col("lon"), 6).alias("lon")
+    )
+
+
+def _predictors(spark, d):
+    spec = domain.cell_spec(spark, d)
+    cube, p = domain.cube(spark, d), domain.parts(spark, d)
+    years = cube.select("year").distinct().agg(F.sort_array(F.collect_set("year")).alias("_y"))
+    code = F.when(F.col("cls") == 4, 0).otherwise(F.col("cls"))
+    cover = p.withColumn("_y", years.scalar()).select("row", "col", code.alias("value"), F.explode("_y").alias("year"))
+    blank = F.lit(None).cast("int")
+    monthly = grid.composite(cube, "mean").withColumn("dataset", F.lit("PPT"))
+    static = p.select("row", "col", blank.alias("year"), blank.alias("month"), "value", F.lit("SWB_AWC").alias("dataset"))
+    predictors = monthly.unionByName(static)
+    return scoring.predictor_frame(cover, grid.lon_lat_grid(spark, spec), predictors, ["PPT", "SWB_AWC"], features.MONTHS)
+
+
+GROUP_MEANS = f"""(select avg(case when crop = '1-URGENT' then wu end) as rice, avg(case when crop = '2-HIGH' then wu end) as corn,
+    avg(case when crop = '3-MEDIUM' then wu end) as cotton, avg(case when crop = '5-LOW' then wu end) as soy from {V['annual']} a)"""
+
+
+@query("grid_scoring", f"""
+    with m as (select r, c, yr, mon, avg(val) as v from {V['cube']} q where mon in (6, 7) group by 1, 2, 3, 4)
+    select a.r as "row", a.c as col, m.yr as year, m.mon as month, case when a.val <= 1500 then round(10 * case cls when 1 then corn when 2 then cotton
+      when 3 then rice when 5 then soy else (rice + corn + cotton + soy) / 4 end, 2) end as use
+    from m join {V['cell']} a on a.r = m.r and a.c = m.c cross join {GROUP_MEANS} g where cls <> 4""")
+def grid_scoring(spark, d):
+    """Score every cell and month with a model of the class alone, whose fit is the class mean."""
+    crop = F.col("crop")
+    named = F.when(crop == "1-URGENT", "Rice").when(crop == "2-HIGH", "Corn").when(crop == "3-MEDIUM", "Cotton").when(crop == "5-LOW", "Soybeans")
+    crops = ["Corn", "Cotton", "Rice", "Soybeans"]
+    rows = domain.annual(spark, d).select(named.alias("crop"), F.col("wu").alias("label"), F.lit(0.0).alias("PPT")).where(F.col("crop").isNotNull())
+    coded = features.one_hot(rows, {"crop": crops})
+    names = ["PPT", *[f"crop_{c}" for c in crops]]
+    model = LinearRegression(solver="normal", regParam=0.0, fitIntercept=False, labelCol="label").fit(features.assemble(coded, names))
+    cells = _month_cells(spark, d)
+    scored = scoring.score_cells(model, cells, ["PPT"], crops, "label", month_col=None)
+    return scored.select("row", "col", "year", "month", r(F.col("value"), 2).alias("use"))
+
+
+def _month_cells(spark, d):
+    """Cells of two summer months; the predictor is zero, or missing for expensive parts."""
+    months = grid.composite(domain.cube(spark, d), "mean").where(F.col("month").isin(6, 7))
+    p = domain.parts(spark, d).where(F.col("cls") != 4).select("row", "col", recode_crop(F.col("cls")).alias("crop"), F.col("value").alias("price"))
+    joined = months.join(p, ["row", "col"])
+    return joined.select("row", "col", "year", "month", "crop", F.when(F.col("price") <= 1500, 0.0).alias("PPT"))
+
+
+@query("map_maker")
+def map_maker(spark, d):
+    """Predictor frame, tree model, fine map and its coarse sums for all months: totals by year and month."""
+    frame = _predictors(spark, d).persist()
+    known = frame.where(F.col("PPT").isNotNull() & F.col("crop").isNotNull())
+    crops = ["Corn", "Cotton", "Rice", "Soybeans"]
+    train = features.one_hot(known.withColumn("label", F.col("PPT")), {"crop": crops, "month": features.MONTHS}, drop=False)
+    base = ["lat", "lon", "SWB_AWC"]
+    names = [*base, *[f"crop_{c}" for c in crops], *[f"month_{m}" for m in features.MONTHS]]
+    model = estimators.configured(estimators.make_estimator("DT"), {"maxDepth": 4}).fit(features.assemble(train, names))
+    scored = scoring.score_cells(model, frame, base, crops, "label")
+    fine, coarse = scoring.score_maps(scored)
+    totals = fine.groupBy("year", "month").agg(r(F.sum("value"), 2).alias("fine"))
+    sums = coarse.groupBy("year", "month").agg(r(F.sum("value"), 2).alias("coarse"))
+    return totals.join(sums, ["year", "month"])
