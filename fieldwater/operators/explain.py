@@ -74,9 +74,10 @@ def partial_dependence(
 ) -> DataFrame:
     """Mean prediction with one feature held at each of ``points`` values between two of its quantiles.
 
-    Each row is expanded over the fixed grid in place and averaged on the map
-    side, so ``points`` rows are shuffled per partition. A feature with few
-    values uses those values.
+    Rows that agree in all other features are merged first and weighted. Each
+    is expanded over the fixed grid in place and averaged on the map side, so
+    ``points`` rows are shuffled per task. A feature with few values uses
+    those values.
     """
     distinct = [r[0] for r in rows.select(f"`{feature}`").distinct().limit(points + 1).collect()]
     if len(distinct) <= points:
@@ -84,10 +85,9 @@ def partial_dependence(
     else:
         lo, hi = quantiles(rows, [], feature, [low, high], ["lo", "hi"]).first()
         values = [lo + (hi - lo) * i / (points - 1) for i in range(points)]
-    others = [c for c in columns if c != feature]
+    others = [F.col(f"`{c}`") for c in columns if c != feature]
+    merged = rows.groupBy(*others).agg(F.count(F.lit(1)).alias("_c"))
     grid = F.explode(F.array(*[F.lit(float(v)) for v in values])).alias(feature)
-    spread = rows.select(*[F.col(f"`{c}`") for c in others], grid)
-    scored = model.transform(assemble(spread, columns))
-    return scored.groupBy(F.col(f"`{feature}`").alias("at")).agg(F.avg("prediction").alias("response")).withColumn(
-        "feature", F.lit(feature)
-    )
+    scored = model.transform(assemble(merged.select(*others, "_c", grid), columns))
+    mean = F.sum(F.col("prediction") * F.col("_c")) / F.sum("_c")
+    return scored.groupBy(F.col(f"`{feature}`").alias("at")).agg(mean.alias("response")).withColumn("feature", F.lit(feature))

@@ -12,7 +12,8 @@ from pyspark.sql import Window as W
 
 from fieldwater.functions import codes
 from fieldwater.functions.geo import reproject
-from fieldwater.functions.sizing import attach, measured
+from fieldwater.functions.scalar import lookup
+from fieldwater.operators.quantiles import quantiles
 
 
 @dataclass(frozen=True)
@@ -186,6 +187,18 @@ def align_to_grid(target: GridSpec, cells: DataFrame, source: GridSpec, keys: Se
 # --------------------------------------------------------------------------- composites in time
 
 
+CATALOGUE_ROWS = 10_000
+
+REDUCERS = {
+    "sum": lambda v, when: F.sum(v),
+    "mean": lambda v, when: F.avg(v),
+    "first": lambda v, when: F.min_by(v, when),
+    "last": lambda v, when: F.max_by(v, when),
+    "last_minus_first": lambda v, when: F.max_by(v, when) - F.min_by(v, when),
+    "sum_nonneg": lambda v, when: F.when(F.sum(v) >= 0, F.sum(v)),
+}
+
+
 def composite(
     cube: DataFrame,
     reducer: str,
@@ -199,20 +212,13 @@ def composite(
     Reducers: sum, mean, median, first, last, last_minus_first, and sum_nonneg
     (a negative sum is missing).
     """
-    when = F.struct(*order)
-    v = F.col(value)
-    made = {
-        "sum": lambda: F.sum(v),
-        "mean": lambda: F.avg(v),
-        "median": lambda: F.percentile(v, 0.5),
-        "first": lambda: F.min_by(v, when),
-        "last": lambda: F.max_by(v, when),
-        "last_minus_first": lambda: F.max_by(v, when) - F.min_by(v, when),
-        "sum_nonneg": lambda: F.when(F.sum(v) >= 0, F.sum(v)),
-    }
-    if reducer not in made:
+    if reducer == "median":
+        middle = quantiles(cube, keys, value, [0.5], [value])
+        return middle if scale == 1.0 else middle.withColumn(value, F.col(value) * F.lit(float(scale)))
+    if reducer not in REDUCERS:
         raise ValueError(f"unknown reducer {reducer}")
-    return cube.groupBy(*keys).agg((made[reducer]() * F.lit(float(scale))).alias(value))
+    made = REDUCERS[reducer](F.col(value), F.struct(*order))
+    return cube.groupBy(*keys).agg((made * F.lit(float(scale))).alias(value))
 
 
 def composite_by_catalogue(
@@ -221,34 +227,26 @@ def composite_by_catalogue(
     keys: Sequence[str] = ("dataset", "row", "col", "year", "month"),
     order: Sequence[str] = ("ts",),
 ) -> DataFrame:
-    """Composite many products at once, each by the reducer and scale its catalogue row names.
+    """Composite many products, each by the reducer and scale its catalogue row names.
 
-    One shuffle computes the cheap aggregates of every product; the catalogue
-    row then selects among them. Only the products composited by median pay
-    for a median.
+    Products that share a reducer are reduced together in one aggregation over
+    just their rows (the dataset filter reaches the scan), so sums stay in
+    hash aggregation and only median products pay for a median.
     """
-    rules = catalogue.select(
-        F.col("dataset"), F.col("reducer").alias("_reducer"), F.col("scale").alias("_scale"), F.col("band").alias("_band")
-    )
-    rows = attach(cube, measured(rules), ["dataset"])
-    v, when = F.col("value"), F.struct(*order)
-    is_median = F.col("_reducer") == "median"
-    grouped = rows.groupBy(*keys, "_reducer", "_scale").agg(
-        F.sum(v).alias("_sum"),
-        F.avg(v).alias("_mean"),
-        F.min_by(v, when).alias("_first"),
-        F.max_by(v, when).alias("_last"),
-        F.percentile(F.when(is_median, v), 0.5).alias("_median"),
-    )
-    reducer = F.col("_reducer")
-    chosen = (
-        F.when(reducer == "sum", F.col("_sum"))
-        .when(reducer == "mean", F.col("_mean"))
-        .when(reducer == "median", F.col("_median"))
-        .when(reducer == "first", F.col("_first"))
-        .when(reducer == "last_minus_first", F.col("_last") - F.col("_first"))
-    )
-    return grouped.select(*keys, (chosen * F.col("_scale")).alias("value"))
+    rules = catalogue.select("dataset", "reducer", "scale").limit(CATALOGUE_ROWS + 1).collect()
+    if len(rules) > CATALOGUE_ROWS:
+        raise ValueError("the catalogue is not a short list")
+    by_reducer: dict[str, dict[str, float]] = {}
+    for rule in rules:
+        by_reducer.setdefault(rule["reducer"], {})[rule["dataset"]] = rule["scale"]
+    parts = []
+    for reducer, scales in by_reducer.items():
+        if reducer == "median" or reducer in REDUCERS:
+            rows = cube.where(F.col("dataset").isin(list(scales)))
+            scale = lookup(scales, F.col("dataset"))
+            reduced = composite(rows, reducer, keys, order=order)
+            parts.append(reduced.withColumn("value", F.col("value") * scale))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def et_minus_soil(et: DataFrame, soil: DataFrame, keys: Sequence[str] = ("row", "col", "year", "month")) -> DataFrame:

@@ -125,9 +125,11 @@ def nearest(
     spots = points.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(
         *keys, F.col(x).cast("double").alias("px"), F.col(y).cast("double").alias("py")
     ).distinct()
-    frontier = attach(spots, _sized(levels[0]), keys)
+    # No level has more nodes than there are target places.
+    small = n_places <= BROADCAST_ROWS // 10
+    frontier = attach(spots, _sized(levels[0], small), keys)
     for level in range(1, depth + 1):
-        frontier = _descend(frontier, _sized(levels[level]), keys, where)
+        frontier = _descend(frontier, _sized(levels[level], small), keys, where)
         if level % 4 == 0:
             frontier = cut_lineage(frontier)
 
@@ -154,9 +156,9 @@ def nearest(
     )
 
 
-def _sized(nodes: DataFrame) -> DataFrame:
-    """Mark a checkpointed level for broadcast when its counted rows allow it."""
-    return F.broadcast(nodes) if nodes.count() <= BROADCAST_ROWS // 10 else nodes
+def _sized(nodes: DataFrame, small: bool) -> DataFrame:
+    """Mark a checkpointed level for broadcast when its rows are known or counted to be few."""
+    return F.broadcast(nodes) if small or nodes.count() <= BROADCAST_ROWS // 10 else nodes
 
 
 def _descend(frontier: DataFrame, children: DataFrame, keys, where) -> DataFrame:

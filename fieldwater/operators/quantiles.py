@@ -10,8 +10,7 @@ from pyspark.sql import Window as W
 
 from fieldwater.functions.sizing import attach, measured
 
-# The built-in exact percentile keeps one value -> count map per group in one
-# task. Groups above this size are ranked piecewise instead.
+# A group up to this size is sorted by one task. Larger ones are ranked piecewise.
 HOT_ROWS = 5_000_000
 
 
@@ -26,13 +25,16 @@ def quantiles(
 ) -> DataFrame:
     """Linear-interpolated quantiles of ``value`` by ``keys`` (one row per group).
 
-    Missing values are ignored. Groups of at most ``hot_rows`` rows use the
-    built-in aggregate. For a larger group a sketch first brackets every
+    Missing values are ignored. Groups of at most ``hot_rows`` rows are sorted
+    whole, many to a task. For a larger group a sketch first brackets every
     quantile; rows below the bracket are only counted, and just the thin slice
     inside it is ranked, so no task ever holds the group.
     """
     keys = list(keys)
     base = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
+    # No group is hot when the whole table is not: a count without a shuffle settles most calls.
+    if base.count() <= hot_rows:
+        return _plain(base, keys, probs, names)
     sizes = base.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     hot = measured(sizes.where(F.col("_n") > hot_rows))
     if hot.isEmpty():
@@ -46,8 +48,19 @@ def quantiles(
 
 
 def _plain(base: DataFrame, keys: list[str], probs, names) -> DataFrame:
-    grouped = base.groupBy(*keys).agg(F.percentile("_v", [float(p) for p in probs]).alias("_q"))
-    return grouped.select(*keys, *[F.col("_q")[i].alias(n) for i, n in enumerate(names)])
+    """Sort each group once and pick the neighbours of every quantile: one shuffle, one spillable sort."""
+    group = W.partitionBy(*keys)
+    ranked = base.select(
+        *keys, "_v", F.row_number().over(group.orderBy("_v")).alias("_r"), F.count(F.lit(1)).over(group).alias("_n")
+    )
+
+    def pick(p: float, name: str):
+        position = (F.col("_n") - 1) * float(p)
+        lo = F.max(F.when(F.col("_r") == F.floor(position) + 1, F.col("_v")))
+        hi = F.max(F.when(F.col("_r") == F.ceil(position) + 1, F.col("_v")))
+        return (lo + F.max(position - F.floor(position)) * (hi - lo)).alias(name)
+
+    return ranked.groupBy(*keys).agg(*[pick(p, n) for p, n in zip(probs, names)])
 
 
 def _ranked(base: DataFrame, sizes: DataFrame, keys: list[str], probs, names, slack: float) -> DataFrame:

@@ -102,6 +102,8 @@ def model_inputs(
     kept = to_millimetres(kept, target)
     if soil_to_rate:
         kept = soil_group_to_infiltration(kept)
+    # The split, the vocabularies and the scaler each read the cleaned rows again.
+    kept = kept.persist()
     parted = split_train_test(
         kept, key, split_strategy, test_size, test_years, year_col, crop_col, seed
     )

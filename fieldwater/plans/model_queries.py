@@ -349,7 +349,7 @@ GROUP_MEANS = f"""(select avg(case when crop = '1-URGENT' then wu end) as rice,
 @query("grid_scoring", f"""
     with m as (select r, c, yr, mon, avg(val) as v from {V['cube']} q where mon in (6, 7) group by 1, 2, 3, 4)
     select a.r as "row", a.c as col, m.yr as year, m.mon as month, case when a.val <= 1500 then round(10 * case cls when 1 then corn when 2 then cotton
-      when 3 then rice when 5 then soy else (rice + corn + cotton + soy) / 4 end, 2) end as use
+      when 3 then rice when 5 then soy else (rice + corn + cotton + soy) / 4 end, 0) end as use
     from m join {V['cell']} a on a.r = m.r and a.c = m.c cross join {GROUP_MEANS} g where cls <> 4""")
 def grid_scoring(spark, d):
     """Score every cell and month with a model of the class alone, whose fit is the class mean."""
@@ -362,7 +362,7 @@ def grid_scoring(spark, d):
     model = LinearRegression(solver="normal", regParam=0.0, fitIntercept=False, labelCol="label").fit(features.assemble(coded, names))
     cells = _month_cells(spark, d)
     scored = scoring.score_cells(model, cells, ["PPT"], crops, "label", month_col=None)
-    return scored.select("row", "col", "year", "month", r(F.col("value"), 2).alias("use"))
+    return scored.select("row", "col", "year", "month", r(F.col("value"), 0).alias("use"))
 
 
 def _month_cells(spark, d):
