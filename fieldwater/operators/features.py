@@ -22,7 +22,10 @@ def vocabulary(df: DataFrame, column: str) -> list:
 
 
 def indicator_name(column: str, value) -> str:
-    return f"{column}_{value}"
+    """Column name of one class. A whole number loses its decimals; dots would read as field access."""
+    if isinstance(value, float) and value.is_integer():
+        value = int(value)
+    return f"{column}_{value}".replace(".", "_")
 
 
 def one_hot(df: DataFrame, vocabularies: Mapping[str, Sequence], drop: bool = True) -> DataFrame:

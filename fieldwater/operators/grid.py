@@ -74,7 +74,8 @@ class GridSpec:
     def save_row(self, spark: SparkSession, name: str) -> DataFrame:
         """This placement as a one-row table."""
         fields = "grid string, left double, top double, xres double, yres double, height int, width int, crs string, nodata double"
-        values = (name, self.left, self.top, self.xres, self.yres, self.height, self.width, self.crs, self.nodata)
+        place = [float(v) for v in (self.left, self.top, self.xres, self.yres)]
+        values = (name, *place, self.height, self.width, self.crs, float(self.nodata))
         return spark.createDataFrame([values], fields)
 
 

@@ -133,16 +133,17 @@ class NeighboursModel(Model, _NeighbourParams):
             return queries.mapInPandas(_against_broadcast(find, shared), shape)
         queries = queries.persist()
         n_train, n_query = math.ceil(self.n_rows / block_rows), max(1, math.ceil(queries.count() / block_rows))
+        numbers = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint")))
         asked = queries.withColumns(
             {
                 "_q": F.pmod(F.xxhash64("_id"), F.lit(n_query)),
-                "_b": F.explode(F.sequence(F.lit(0), F.lit(n_train - 1))).cast("bigint"),
+                "_b": numbers(n_train),
             }
         )
         train = self.rows.withColumns(
             {
                 "_b": F.pmod(F.xxhash64("_t", "_y"), F.lit(n_train)),
-                "_q": F.explode(F.sequence(F.lit(0), F.lit(n_query - 1))).cast("bigint"),
+                "_q": numbers(n_query),
             }
         )
         paired = asked.groupBy("_q", "_b").cogroup(train.groupBy("_q", "_b"))

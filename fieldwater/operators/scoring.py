@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.ml import Model
 from pyspark.sql import DataFrame
@@ -17,7 +17,12 @@ CELL_MONTH = ("year", "month", "row", "col")
 
 
 def predictor_frame(
-    cover: DataFrame, coordinates: DataFrame, predictors: DataFrame, datasets: Sequence[str], months: Sequence[int]
+    cover: DataFrame,
+    coordinates: DataFrame,
+    predictors: DataFrame,
+    datasets: Sequence[str],
+    months: Sequence[int],
+    soil_to_rate: bool = True,
 ) -> DataFrame:
     """One row per cell and month: class, coordinates and every predictor as a column.
 
@@ -40,7 +45,8 @@ def predictor_frame(
             wide = long.groupBy(*on).pivot("dataset", names).agg(F.first("value", ignorenulls=True))
             out = out.join(wide, on, "left")
     out = out.withColumn("crop", recode_crop(F.col("_class"))).drop("_class")
-    return soil_group_to_infiltration(mask_missing_class(out, "crop", datasets[0]))
+    masked = mask_missing_class(out, "crop", datasets[0])
+    return soil_group_to_infiltration(masked) if soil_to_rate else masked
 
 
 def score_cells(
@@ -54,16 +60,19 @@ def score_cells(
     month_col: str | None = "month",
     volume_units: bool = True,
     variants: Sequence[str] = codes.OTHER_VARIANTS,
+    other_classes: Mapping[str, Sequence] | None = None,
 ) -> DataFrame:
     """Predicted use per cell and month; missing where the cell had a missing predictor.
 
     ``columns`` are the model's features before encoding (class and month
-    excluded). A cell of class "Other" is scored once per variant crop and
+    excluded); ``other_classes`` holds the vocabularies of further encoded columns. A cell of class "Other" is scored once per variant crop and
     takes the mean, by extra narrow model passes over just those cells: no
     cell is ever shuffled. The absolute value is taken before unscaling.
     """
     filled = impute_remembering(cells, columns)
-    vocabularies = {crop_col: list(crops)}
+    vocabularies = {crop_col: list(crops), **{c: list(v) for c, v in (other_classes or {}).items()}}
+    for name in other_classes or {}:
+        filled = filled.withColumn("any_missing", F.col("any_missing") | F.col(name).isNull())
     if month_col:
         vocabularies[month_col] = list(MONTHS)
     encoded = one_hot(filled, vocabularies, drop=False)

@@ -49,13 +49,21 @@ def prepare(
     if fields is not None:
         out = link_to_fields(out, fields, x=x, y=y)
     out = sample_predictors(out, cells, specs, x, y, key, datasets)
+    return order_columns(derive(out, crop_coefficients, relative, effective))
+
+
+def derive(
+    rows: DataFrame, crop_coefficients: bool = False, relative: bool = False, effective: tuple[str, str] | None = None
+) -> DataFrame:
+    """The optional derived predictors, for training rows and map cells alike."""
+    out = rows
     if crop_coefficients:
         out = out.withColumn("CC", crop_coefficient(F.col("crop")))
     if relative:
         out = relative_et(out)
     if effective and all(c in out.columns for c in effective):
         out = out.withColumn("EFF_PPT", effective_precipitation(F.col(effective[0]), F.col(effective[1])))
-    return order_columns(out)
+    return out
 
 
 @dataclass

@@ -13,6 +13,7 @@ from fieldwater.config import RunConfig
 from fieldwater.functions import codes
 from fieldwater.functions.geo import centroid
 from fieldwater.operators import compare, grid, polygons, regrid
+from fieldwater.operators.clean import to_millimetres
 from fieldwater.operators.evaluate import split_metrics
 from fieldwater.operators.explain import partial_dependence
 from fieldwater.operators.features import assemble
@@ -21,7 +22,7 @@ from fieldwater.operators.metering import monthly_use
 from fieldwater.operators.scoring import predictor_frame, score_cells, score_maps
 from fieldwater.operators.split import TRAIN
 from fieldwater.operators.tuning import SearchResult, per_crop_models, predict_per_crop, prediction_table, search
-from fieldwater.plans.inputs import ModelInputs, model_inputs, prepare
+from fieldwater.plans.inputs import ModelInputs, derive, model_inputs, prepare
 from fieldwater.sources import rasters, stages, tables
 
 KEY = "row_id"
@@ -73,6 +74,10 @@ def field_centroids(fields: DataFrame, permit: str = "PermitNumb", year: str = "
     return fields.select(F.col(year), F.col(permit), cx.alias("long_dd"), cy.alias("lat_dd"))
 
 
+def effective_columns(conf: RunConfig) -> tuple[str, str] | None:
+    return ("SWB_PPT", "SWB_INF") if conf.effective_precipitation else None
+
+
 def training_rows(spark: SparkSession, conf: RunConfig, inputs: Inputs) -> DataFrame:
     """Monthly use table, then prepared rows; both are stages that can be reused."""
 
@@ -95,7 +100,7 @@ def training_rows(spark: SparkSession, conf: RunConfig, inputs: Inputs) -> DataF
         return prepare(
             rows, inputs.cells, inputs.specs, conf.predictors, KEY, centroids,
             crop_coefficients=conf.crop_coefficient, relative=conf.relative_et,
-            effective=("SWB_PPT", "SWB_INF") if conf.effective_precipitation else None,
+            effective=effective_columns(conf),
         )
 
     return stages.stage(spark, f"{conf.output}/prepared", build_prepared, conf.reuse_prepared)
@@ -206,16 +211,22 @@ def predict_maps(
         for part in parts[1:]:
             long = long.unionByName(part, allowMissingColumns=True)
         coordinates = grid.lon_lat_grid(spark, target).withColumnsRenamed({"lat": "lat_dd", "lon": "long_dd"})
-        return predictor_frame(extent, coordinates, long, conf.predictors, list(months))
+        frame = predictor_frame(
+            extent, coordinates, long, conf.predictors, list(months), conf.soil_group_to_infiltration
+        )
+        derived = derive(frame, conf.crop_coefficient, conf.relative_et, effective_columns(conf))
+        # Training rows were converted too, so the model sees the same units.
+        return to_millimetres(derived, trained.inputs.target)
 
     frame = stages.stage(spark, f"{conf.output}/predictors", build_predictors, conf.reuse_predictors, ["year", "month"])
 
     def build_scores() -> DataFrame:
         made = trained.inputs
+        apart = {c: v for c, v in made.vocabularies.items() if c not in ("crop", "Month")}
         crops = made.vocabularies.get("crop", [])
         return score_cells(
             trained.model, frame, made.base_columns, crops, made.target, made.scaler, month_col="Month",
-            volume_units=conf.volume_units,
+            volume_units=conf.volume_units, other_classes=apart,
         )
 
     scored = stages.stage(spark, f"{conf.output}/scores", build_scores, conf.reuse_scores, ["year", "month"])
