@@ -20,6 +20,15 @@ def r(column, digits: int):
     return F.round(column, digits)
 
 
+def single(column):
+    """A mean cut to single precision: unlike decimal rounding, exact ties do not occur."""
+    return column.cast("float").cast("double")
+
+
+def single_sql(text: str) -> str:
+    return f"cast(cast({text} as float) as double)"
+
+
 # ---------------------------------------------------------------- nearest, sampling, alignment
 
 
@@ -473,38 +482,38 @@ def cell_round_trip(spark, d):
 
 
 @query("crop_use", f"""
-    select crop, mon, round(avg(v), 4) as mean_use, round(stddev_samp(v), 4) as sd_use from (
+    select crop, mon, {single_sql('avg(v)')} as mean_use, {single_sql('stddev_samp(v)')} as sd_use from (
       select q.r, q.c, q.yr, q.mon, sum(q.val) as v from {V['cube']} q where q.mon between 4 and 9 group by 1, 2, 3, 4) w
     join (select r, c, case cls when 1 then 'Corn' when 2 then 'Cotton' when 3 then 'Rice' when 5 then 'Soybeans' else 'Other' end as crop
-      from {V['cell']} a) k on w.r = k.r and w.c = k.c group by 1, 2""")
+      from {V['cell']} a) k on w.r = k.r and w.c = k.c group by 1, 2 having count(*) > 1""")
 def crop_use(spark, d):
     water = grid.composite(domain.cube(spark, d), "sum")
     years = domain.cube(spark, d).select("year").distinct().agg(F.sort_array(F.collect_set("year")).alias("_y"))
     cover = domain.parts(spark, d).withColumn("_y", years.scalar())
     cover = cover.select("row", "col", F.col("cls").alias("value"), F.explode("_y").alias("year"))
     spread = cropstats.crop_month_spread(cropstats.crop_use(water, cover))
-    return spread.select("crop", F.col("month").alias("mon"), r(F.col("mean_use"), 4).alias("mean_use"), r(F.col("sd_use"), 4).alias("sd_use"))
+    return spread.select("crop", F.col("month").alias("mon"), single(F.col("mean_use")).alias("mean_use"), single(F.col("sd_use")).alias("sd_use"))
 
 
 @query("crop_month_std", f"""
-    select crop, mon, round(avg(wu), 4) as mean_wu, round(stddev_samp(wu), 4) as sd_wu from {V['annual']} a
-    where crop = '1-URGENT' or mon between 4 and 9 group by 1, 2""")
+    select crop, mon, {single_sql('avg(wu)')} as mean_wu, {single_sql('stddev_samp(wu)')} as sd_wu from {V['annual']} a
+    where crop = '1-URGENT' or mon between 4 and 9 group by 1, 2 having count(*) > 1""")
 def crop_month_std(spark, d):
     rows = domain.annual(spark, d).select("crop", F.col("mon").alias("month"), F.col("wu").alias("value"))
     made = cropstats.crop_month_spread(rows, "1-URGENT")
-    return made.select("crop", F.col("month").alias("mon"), r(F.col("mean_use"), 4).alias("mean_wu"), r(F.col("sd_use"), 4).alias("sd_wu"))
+    return made.select("crop", F.col("month").alias("mon"), single(F.col("mean_use")).alias("mean_wu"), single(F.col("sd_use")).alias("sd_wu"))
 
 
-@query("crop_month_means", f"select crop, mon, round(avg(wu), 4) as wu from {V['annual']} a group by 1, 2")
+@query("crop_month_means", f"select crop, mon, {single_sql('avg(wu)')} as wu from {V['annual']} a group by 1, 2")
 def crop_month_means(spark, d):
     rows = domain.annual(spark, d)
-    return cropstats.crop_month_means(rows, ["crop", "mon"], "wu").withColumn("wu", r(F.col("wu"), 4))
+    return cropstats.crop_month_means(rows, ["crop", "mon"], "wu").withColumn("wu", single(F.col("wu")))
 
 
-@query("month_mean_by_crop", f"select crop, round(avg(wu), 4) as wu from {V['annual']} a where mon = 4 group by 1")
+@query("month_mean_by_crop", f"select crop, {single_sql('avg(wu)')} as wu from {V['annual']} a where mon = 4 group by 1")
 def month_mean_by_crop(spark, d):
     april = domain.annual(spark, d).where(F.col("mon") == 4)
-    return cropstats.crop_month_means(april, ["crop"], "wu").withColumn("wu", r(F.col("wu"), 4))
+    return cropstats.crop_month_means(april, ["crop"], "wu").withColumn("wu", single(F.col("wu")))
 
 
 @query("crop_counts", f"""
@@ -529,16 +538,16 @@ MATCHED = f"""(select r, c, yr, mon, sum(val) as older, sum(case when flag <> 'R
 
 
 @query("model_compare", f"""
-    select mon, round(older, 4) as older, round(newer, 4) as newer, round(older - newer, 4) as difference,
-      round(abs((older - newer) * 100 / older), 6) as pct
+    select mon, {single_sql('older')} as older, {single_sql('newer')} as newer, {single_sql('older - newer')} as difference,
+      {single_sql('abs((older - newer) * 100 / older)')} as pct
     from (select mon, avg(o) as older, avg(n) as newer from (select yr, mon, sum(older) as o, sum(newer) as n from {MATCHED} m group by 1, 2) t
       where mon <> 10 group by mon) q""")
 def model_compare(spark, d):
     totals = compare.monthly_model_totals(_models(spark, d))
     made = compare.mean_month_comparison(totals)
     return made.select(
-        F.col("month").alias("mon"), *[r(F.col(c), 4).alias(c) for c in ("older", "newer", "difference")],
-        r(F.col("difference_percent"), 6).alias("pct"),
+        F.col("month").alias("mon"), *[single(F.col(c)).alias(c) for c in ("older", "newer", "difference")],
+        single(F.col("difference_percent")).alias("pct"),
     )
 
 

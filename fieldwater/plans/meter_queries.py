@@ -270,10 +270,10 @@ def use_per_acre(spark, d):
 
 
 @query("climatology", f"""
-    select mon, round(avg(m), 6) as wu from (select site, yr, mon, avg(wu) as m from {V['annual']} a group by 1, 2, 3) q group by mon""")
+    select mon, cast(cast(avg(m) as float) as double) as wu from (select site, yr, mon, avg(wu) as m from {V['annual']} a group by 1, 2, 3) q group by mon""")
 def climatology(spark, d):
     rows = domain.annual(spark, d).groupBy("site", "yr", F.col("mon").alias("Month")).agg(F.avg("wu").alias("value"))
-    return metering.climatology(rows).select(F.col("Month").alias("mon"), r(F.col("value"), 6).alias("wu"))
+    return metering.climatology(rows).select(F.col("Month").alias("mon"), F.col("value").cast("float").cast("double").alias("wu"))
 
 
 @query("weights", f"select crop, mon, round(wt, 8) as wt from {V['weight']} w")
