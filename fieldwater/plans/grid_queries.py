@@ -427,8 +427,8 @@ def project_points(spark, d):
 
 
 @query("lonlat_grid", f"""
-    select cast(r as int) as "row", cast(c as int) as col, round((c + 0.5) * 2.0, 6) as lon, round(100.0 - (r + 0.5) * 2.5, 6) as lat,
-      round(c * 2.0, 6) as corner_lon, round(100.0 - r * 2.5, 6) as corner_lat from {LATTICE} g""")
+    select cast(r as int) as "row", cast(c as int) as col, round((c + 0.5) * 2e0, 6) as lon, round(100e0 - (r + 0.5) * 2.5e0, 6) as lat,
+      round(c * 2e0, 6) as corner_lon, round(100e0 - r * 2.5e0, 6) as corner_lat from {LATTICE} g""")
 def lonlat_grid(spark, d):
     spec = domain.cell_spec(spark, d)
     centres = grid.lon_lat_grid(spark, spec)

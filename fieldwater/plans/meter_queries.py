@@ -173,7 +173,7 @@ def soil_infiltration(spark, d):
 
 
 @query("unit_conversion", f"""
-    select r as "row", c as col, round(val * 304.8, 4) as target, round(cls * 25.4, 4) as irrigation, cls as soil_group,
+    select r as "row", c as col, round(val * 304.8, 4) as target, round(cls * 25.4e0, 4) as irrigation, cls as soil_group,
            round((val - cls) * 25.4, 4) as effective, round(val * 304.8 * 10, 4) as volume,
            round(val * 304.8 * 2.471 * 4.047, 4) as compared
     from {V['cell']} a""")
@@ -434,12 +434,12 @@ def random_split(spark, d):
 
 
 @query("kfold", f"""
-    select crop, fold, count(*) as n, sum(id) as ids from (select id, crop, cast((row_number() over (partition by crop
+    select crop, fold, count(*) as n, cast(sum(id) as bigint) as ids from (select id, crop, cast((row_number() over (partition by crop
     order by md5(concat('0|', cast(id as varchar))), id) - 1) % 5 as int) as fold from {V['annual']} a) t group by 1, 2""")
 def kfold(spark, d):
     folded = split.repeated_folds(domain.annual(spark, d), "id", 5, 1, ["crop"], seed=0)
     return folded.groupBy("crop", F.col("fold_0").alias("fold")).agg(
-        F.count(F.lit(1)).alias("n"), F.sum("id").cast("decimal(38,0)").alias("ids")
+        F.count(F.lit(1)).alias("n"), F.sum("id").alias("ids")
     )
 
 

@@ -320,7 +320,7 @@ def importances(spark, d):
     y as (select distinct yr from {V['cube']} q), g as (select unnest(generate_series(1, 12)) as mon)
     select a.r as "row", a.c as col, y.yr as year, cast(g.mon as int) as month, round(m.v, 6) as ppt, a.val as awc,
       case cls when 1 then 'Corn' when 2 then 'Cotton' when 3 then 'Rice' when 5 then 'Soybeans' when 4 then null else 'Other' end as crop,
-      round((a.c + 0.5) * 2.0, 6) as lon
+      round((a.c + 0.5) * 2e0, 6) as lon
     from {V['cell']} a cross join y cross join g left join
       m on a.r = m.r and a.c = m.c and y.yr = m.yr and g.mon = m.mon and a.cls <> 4""")
 def predictor_frame(spark, d):
