@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from fieldwater.functions.sizing import attach, measured
+from fieldwater.functions.sizing import BROADCAST_ROWS, attach, measured
+from fieldwater.session import cut_lineage
 
 # A group up to this size is sorted by one task. Larger ones are ranked piecewise.
 HOT_ROWS = 5_000_000
+BINS = 1024
 
 
 def quantiles(
@@ -21,14 +23,12 @@ def quantiles(
     probs: Sequence[float],
     names: Sequence[str],
     hot_rows: int = HOT_ROWS,
-    slack: float = 1e-3,
 ) -> DataFrame:
     """Linear-interpolated quantiles of ``value`` by ``keys`` (one row per group).
 
     Missing values are ignored. Groups of at most ``hot_rows`` rows are sorted
-    whole, many to a task. For a larger group a sketch first brackets every
-    quantile; rows below the bracket are only counted, and just the thin slice
-    inside it is ranked, so no task ever holds the group.
+    whole, many to a task. In a larger group the wanted ranks are closed in on
+    by counting, so no task ever holds the group.
     """
     keys = list(keys)
     base = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
@@ -37,13 +37,16 @@ def quantiles(
         return _plain(base, keys, probs, names)
     sizes = base.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     hot = measured(sizes.where(F.col("_n") > hot_rows))
-    if hot.isEmpty():
+    n_hot = hot.count()
+    if not n_hot:
         return _plain(base, keys, probs, names)
+    # The facts about hot groups are broadcast only when they are counted to be few.
+    hint = F.broadcast if keys and n_hot * 2 * len(probs) <= BROADCAST_ROWS else lambda df: df
     if not keys:
-        return _ranked(base, hot, keys, probs, names, slack)
+        return _ranked(base, keys, probs, names, hot_rows, hint)
     tagged = attach(base, hot, keys, "left")
     cold_part = _plain(tagged.where(F.col("_n").isNull()).drop("_n"), keys, probs, names)
-    hot_part = _ranked(tagged.where(F.col("_n").isNotNull()).drop("_n"), hot, keys, probs, names, slack)
+    hot_part = _ranked(tagged.where(F.col("_n").isNotNull()).drop("_n"), keys, probs, names, hot_rows, hint)
     return cold_part.unionByName(hot_part)
 
 
@@ -63,44 +66,63 @@ def _plain(base: DataFrame, keys: list[str], probs, names) -> DataFrame:
     return ranked.groupBy(*keys).agg(*[pick(p, n) for p, n in zip(probs, names)])
 
 
-def _ranked(base: DataFrame, sizes: DataFrame, keys: list[str], probs, names, slack: float) -> DataFrame:
-    accuracy = int(10 / slack)
-    cuts = []
+def _slices(base: DataFrame, state: DataFrame, keys: list[str], hint) -> DataFrame:
+    """Rows of each open target: (keys, _t, _k, _lo, _hi, _v) for the values inside its range."""
+    targets = state.groupBy(*keys).agg(F.collect_list(F.struct("_t", "_k", "_lo", "_hi")).alias("_open"))
+    joined = attach(base, hint(targets), keys)
+    inside = F.filter("_open", lambda t: F.col("_v").between(t["_lo"], t["_hi"]))
+    return joined.select(*keys, "_v", F.explode(inside).alias("_o")).select(*keys, "_v", "_o._t", "_o._k", "_o._lo", "_o._hi")
+
+
+def _ranked(base: DataFrame, keys: list[str], probs, names, limit: int, hint) -> DataFrame:
+    """Distributed selection of the two neighbours of every quantile.
+
+    Each wanted rank starts with the range of its group. A pass counts the
+    range in equal bins (combined on the map side), and the bin that holds the
+    rank becomes the next range, until a range holds one value or few enough
+    rows to sort. Groups on this path hold more than ``limit`` rows each, so
+    the table of ranks stays short.
+    """
+    spans = base.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+    wanted = []
     for i, p in enumerate(probs):
-        low = F.percentile_approx("_v", float(p - slack), accuracy) if p > slack else F.min("_v")
-        high = F.percentile_approx("_v", float(p + slack), accuracy) if p + slack < 1 else F.max("_v")
-        cuts += [low.alias(f"_lo{i}"), high.alias(f"_hi{i}")]
-    brackets = measured(base.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), *cuts))
-    rows = attach(base, brackets, keys)
-    below = measured(
-        rows.groupBy(*keys).agg(
-            *[F.count_if(F.col("_v") < F.col(f"_lo{i}")).alias(f"_b{i}") for i in range(len(probs))]
-        )
-    )
-    # Only the slices inside the brackets travel, already counted by value.
-    slices = F.array(
-        *[F.when(F.col("_v").between(F.col(f"_lo{i}"), F.col(f"_hi{i}")), F.lit(i)) for i in range(len(probs))]
-    )
-    counted = (
-        rows.select(*keys, "_v", F.explode(F.array_compact(slices)).alias("_i"))
-        .groupBy(*keys, "_i", "_v")
-        .agg(F.count(F.lit(1)).alias("_c"))
+        position = (F.col("_n") - 1) * float(p)
+        wanted += [
+            F.struct(F.lit(2 * i).alias("t"), (F.floor(position) + 1).alias("k")),
+            F.struct(F.lit(2 * i + 1).alias("t"), (F.ceil(position) + 1).alias("k")),
+        ]
+    state = spans.select(*keys, "_n", "_lo", "_hi", F.explode(F.array(*wanted)).alias("_w")).select(
+        *keys, "_n", F.col("_w.t").alias("_t"), F.col("_w.k").alias("_k"), "_lo", "_hi", F.col("_n").alias("_in")
     )
-    running = W.partitionBy(*keys, "_i").orderBy("_v").rowsBetween(W.unboundedPreceding, W.currentRow)
-    placed = attach(counted.withColumn("_upto", F.sum("_c").over(running)), attach(below, brackets, keys), keys)
-
-    def pick(name: str, i: int):
-        # 1-based ranks of the two neighbours the quantile lies between.
-        position = (F.col("_n") - 1) * float(probs[i])
-        first = F.col(f"_b{i}") + F.col("_upto") - F.col("_c") + 1
-        last = F.col(f"_b{i}") + F.col("_upto")
-        inside = F.col("_i") == i
-        lo_rank, hi_rank = F.floor(position) + 1, F.ceil(position) + 1
-        lo = F.max(F.when(inside & lo_rank.between(first, last), F.col("_v")))
-        hi = F.max(F.when(inside & hi_rank.between(first, last), F.col("_v")))
-        weight = F.max(position - F.floor(position))
-        found = lo + weight * (hi - lo)
-        lost = F.raise_error(F.lit("quantile bracket missed its rank; raise slack"))
-        return F.coalesce(found, lost.cast("double")).alias(name)
-
-    return placed.groupBy(*keys).agg(*[pick(n, i) for i, n in enumerate(names)])
+    state = cut_lineage(state)
+    spread = F.col("_lo") < F.col("_hi")
+    rank = W.partitionBy(*keys, "_t")
+    while not state.where(spread & (F.col("_in") > limit)).isEmpty():
+        wide = state.where(spread & (F.col("_in") > limit))
+        bin_of = F.least(F.floor((F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * BINS), F.lit(BINS - 1))
+        bins = (
+            _slices(base, wide, keys, hint)
+            .groupBy(*keys, "_t", bin_of.alias("_b"))
+            .agg(F.count(F.lit(1)).alias("_in"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.max("_k").alias("_k"))
+        )
+        before = F.sum("_in").over(rank.orderBy("_b").rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("_in")
+        placed = bins.withColumn("_before", before).where(
+            (F.col("_k") > F.col("_before")) & (F.col("_k") <= F.col("_before") + F.col("_in"))
+        )
+        narrowed = placed.select(*keys, "_t", (F.col("_k") - F.col("_before")).alias("_k"), "_lo", "_hi", "_in")
+        totals = state.select(*keys, "_n").distinct()
+        narrowed = attach(narrowed, hint(totals), keys)
+        state = cut_lineage(state.where(~(spread & (F.col("_in") > limit))).unionByName(narrowed))
+    sorted_rows = _slices(base, state.where(spread), keys, hint).withColumn("_r", F.row_number().over(rank.orderBy("_v")))
+    picked = sorted_rows.where(F.col("_r") == F.col("_k")).select(*keys, "_t", "_v")
+    found = picked.unionByName(state.where(~spread).select(*keys, "_t", F.col("_lo").alias("_v")))
+    totals = state.select(*keys, "_n").distinct()
+    found = attach(found, hint(totals), keys)
+
+    def pick(p: float, name: str, i: int):
+        lo = F.max(F.when(F.col("_t") == 2 * i, F.col("_v")))
+        hi = F.max(F.when(F.col("_t") == 2 * i + 1, F.col("_v")))
+        position = (F.max("_n") - 1) * float(p)
+        return (lo + (position - F.floor(position)) * (hi - lo)).alias(name)
+
+    return found.groupBy(*keys).agg(*[pick(p, n, i) for i, (p, n) in enumerate(zip(probs, names))])

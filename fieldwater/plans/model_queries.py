@@ -347,7 +347,7 @@ GROUP_MEANS = f"""(select avg(case when crop = '1-URGENT' then wu end) as rice,
 
 
 @query("grid_scoring", f"""
-    with m as (select r, c, yr, mon, avg(val) as v from {V['cube']} q where mon in (6, 7) group by 1, 2, 3, 4)
+    with m as (select r, c, yr, mon, avg(val) as v from {V['cube']} q group by 1, 2, 3, 4)
     select a.r as "row", a.c as col, m.yr as year, m.mon as month, case when a.val <= 1500 then round(10 * case cls when 1 then corn when 2 then cotton
       when 3 then rice when 5 then soy else (rice + corn + cotton + soy) / 4 end, 0) end as use
     from m join {V['cell']} a on a.r = m.r and a.c = m.c cross join {GROUP_MEANS} g where cls <> 4""")
@@ -366,8 +366,8 @@ def grid_scoring(spark, d):
 
 
 def _month_cells(spark, d):
-    """Cells of two summer months; the predictor is zero, or missing for expensive parts."""
-    months = grid.composite(domain.cube(spark, d), "mean").where(F.col("month").isin(6, 7))
+    """Every cell and month; the predictor is zero, or missing for expensive parts."""
+    months = grid.composite(domain.cube(spark, d), "mean")
     p = domain.parts(spark, d).where(F.col("cls") != 4).select("row", "col", recode_crop(F.col("cls")).alias("crop"), F.col("value").alias("price"))
     joined = months.join(p, ["row", "col"])
     return joined.select("row", "col", "year", "month", "crop", F.when(F.col("price") <= 1500, 0.0).alias("PPT"))

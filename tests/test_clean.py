@@ -166,7 +166,7 @@ def test_quantile_paths_agree(spark, hot_rows):
     rows = [("hot", float(v)) for v in np.round(rng.gamma(2, 50, 900), 1)] + [("cold", float(v)) for v in rng.normal(size=77)] + [(None, 4.0)]
     df = spark.createDataFrame(rows, "g string, v double")
     probs, names = [0.0, 0.25, 0.5, 0.9, 1.0], ["a", "b", "c", "d", "e"]
-    made = {r.g: [r[n] for n in names] for r in quantiles(df, ["g"], "v", probs, names, hot_rows=hot_rows, slack=0.02).collect()}
+    made = {r.g: [r[n] for n in names] for r in quantiles(df, ["g"], "v", probs, names, hot_rows=hot_rows).collect()}
     for group in ("hot", "cold", None):
         want = np.quantile([v for g, v in rows if g == group], probs)
         assert made[group] == pytest.approx(list(want))
