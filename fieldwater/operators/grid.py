@@ -87,10 +87,17 @@ def extent_of_points(points: DataFrame, x: str, y: str, src: str = "lonlat", dst
     return box.select(x0.alias("xmin"), y0.alias("ymin"), x1.alias("xmax"), y1.alias("ymax"))
 
 
-def lon_lat_grid(spark: SparkSession, spec: GridSpec, dst: str = "lonlat", corner: bool = False) -> DataFrame:
-    """Coordinates of every cell: centres, or upper-left corners when ``corner``."""
+def with_coordinates(
+    cells: DataFrame, spec: GridSpec, dst: str = "lonlat", corner: bool = False, names: tuple[str, str] = ("lon", "lat")
+) -> DataFrame:
+    """Add the coordinates of each cell's centre, or of its upper-left corner: arithmetic on (row, col), no join."""
     x, y = reproject(spec.x_of(F.col("col"), corner), spec.y_of(F.col("row"), corner), spec.crs, dst)
-    return spec.lattice(spark).select("row", "col", x.alias("lon"), y.alias("lat"))
+    return cells.withColumns({names[0]: x, names[1]: y})
+
+
+def lon_lat_grid(spark: SparkSession, spec: GridSpec, dst: str = "lonlat", corner: bool = False) -> DataFrame:
+    """Coordinates of every cell of a grid."""
+    return with_coordinates(spec.lattice(spark), spec, dst, corner)
 
 
 # --------------------------------------------------------------------------- sampling

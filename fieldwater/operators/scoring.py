@@ -11,18 +11,19 @@ from pyspark.sql import functions as F
 from fieldwater.functions import codes
 from fieldwater.operators.clean import depth_to_volume, impute_remembering, mask_missing_class, recode_crop, soil_group_to_infiltration
 from fieldwater.operators.features import MONTHS, MinMaxScaler, assemble, indicator_name, one_hot
-from fieldwater.operators.grid import coarse_sum
+from fieldwater.operators.grid import GridSpec, coarse_sum, with_coordinates
 
 CELL_MONTH = ("year", "month", "row", "col")
 
 
 def predictor_frame(
     cover: DataFrame,
-    coordinates: DataFrame,
+    spec: GridSpec,
     predictors: DataFrame,
     datasets: Sequence[str],
     months: Sequence[int],
     soil_to_rate: bool = True,
+    coordinates: tuple[str, str] = ("lon", "lat"),
 ) -> DataFrame:
     """One row per cell and month: class, coordinates and every predictor as a column.
 
@@ -30,14 +31,13 @@ def predictor_frame(
     already on the target grid. One pivot per kind of product (monthly,
     yearly, static) serves all months.
     """
-    base = (
-        cover.select("year", "row", "col", F.col("value").alias("_class"))
-        .join(coordinates, ["row", "col"])
-        .withColumn("month", F.explode(F.array(*[F.lit(int(m)) for m in months])))
-    )
-    keys_of = {"monthly": ["year", "month"], "yearly": ["year"], "static": []}
-    out = base
+    cells = cover.select("year", "row", "col", F.col("value").alias("_class"))
+    out = with_coordinates(cells, spec, names=coordinates)
+    # What does not change with the month is joined before cells are multiplied by months.
+    keys_of = {"static": [], "yearly": ["year"], "monthly": ["year", "month"]}
     for kind, keys in keys_of.items():
+        if kind == "monthly":
+            out = out.withColumn("month", F.explode(F.array(*[F.lit(int(m)) for m in months])))
         names = [d for d in datasets if codes.temporal_kind(d) == kind]
         if names:
             on = [*keys, "row", "col"]

@@ -339,7 +339,7 @@ def _predictors(spark, d):
     monthly = grid.composite(cube, "mean").withColumn("dataset", F.lit("PPT"))
     static = p.select("row", "col", blank.alias("year"), blank.alias("month"), "value", F.lit("SWB_AWC").alias("dataset"))
     predictors = monthly.unionByName(static)
-    return scoring.predictor_frame(cover, grid.lon_lat_grid(spark, spec), predictors, ["PPT", "SWB_AWC"], features.MONTHS)
+    return scoring.predictor_frame(cover, spec, predictors, ["PPT", "SWB_AWC"], features.MONTHS)
 
 
 GROUP_MEANS = f"""(select avg(case when crop = '1-URGENT' then wu end) as rice, avg(case when crop = '2-HIGH' then wu end) as corn,

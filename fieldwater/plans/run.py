@@ -210,9 +210,8 @@ def predict_maps(
         long = parts[0]
         for part in parts[1:]:
             long = long.unionByName(part, allowMissingColumns=True)
-        coordinates = grid.lon_lat_grid(spark, target).withColumnsRenamed({"lat": "lat_dd", "lon": "long_dd"})
         frame = predictor_frame(
-            extent, coordinates, long, conf.predictors, list(months), conf.soil_group_to_infiltration
+            extent, target, long, conf.predictors, list(months), conf.soil_group_to_infiltration, ("long_dd", "lat_dd")
         )
         derived = derive(frame, conf.crop_coefficient, conf.relative_et, effective_columns(conf))
         # Training rows were converted too, so the model sees the same units.
