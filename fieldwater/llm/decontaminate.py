@@ -39,7 +39,8 @@ FOUND = "doc_id long, digest string, n_words long, hits array<int>, found array<
 
 def item_windows(items: DataFrame, size: int = WINDOW, item_id: str = "item_id", text: str = "text") -> DataFrame:
     """Distinct (window, item): every run of ``size`` consecutive words, or all words of a shorter item."""
-    listed = items.select(F.col(item_id).alias("item"), word_array(F.col(text)).alias("w")).filter(
+    # Exploded out of an array of one, so that the words are taken once and not again for every window.
+    listed = items.select(F.col(item_id).alias("item"), F.explode(F.array(word_array(F.col(text)))).alias("w")).filter(
         F.col("item").isNotNull() & (F.size("w") > 0)
     )
     starts = F.sequence(F.lit(0), F.greatest(F.size("w") - size, F.lit(0)))
