@@ -107,8 +107,10 @@ def _matches(rule: Rule) -> Column:
 def find_spans(texts: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
     """Findings of (blob_id, body, pending): code-point spans of the matches whose secret is long enough."""
     per_rule = texts.select("blob_id", F.explode(F.array_compact(F.array(*[_matches(r) for r in rules]))).alias("m"))
-    steps = F.arrays_zip(F.slice("m.gaps", 1, F.size("m.sizes")).alias("gap"), F.col("m.sizes").alias("size"), F.col("m.secrets").alias("secret"))
-    each = per_rule.select("blob_id", "m.rule", "m.kind", "m.least", F.posexplode(steps).alias("n", "s"))
+    # A document repeated whole offers its blob more than once.
+    per_rule = per_rule.select("blob_id", "m.*").dropDuplicates(["blob_id", "rule"])
+    steps = F.arrays_zip(F.slice("gaps", 1, F.size("sizes")).alias("gap"), F.col("sizes").alias("size"), F.col("secrets").alias("secret"))
+    each = per_rule.select("blob_id", "rule", "kind", "least", F.posexplode(steps).alias("n", "s"))
     each = each.select("blob_id", "rule", "kind", "least", "n", "s.gap", "s.size", "s.secret")
     # A match ends where all gaps and matches so far end.
     until = W.partitionBy("blob_id", "rule").orderBy("n")
