@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Column
+
 # ---- Fixed values: land-cover codes, 0 means missing, any other code is "Other".
 CROP_BY_CODE = {1: "Corn", 2: "Cotton", 3: "Rice", 5: "Soybeans", 92: "Fish Culture"}
 MISSING_CODE = 0
@@ -92,6 +94,11 @@ REMOTE_PRODUCTS = [
     ("NDVI", "LANDSAT/LC08/C01/T1_8DAY_NDVI", "NDVI", "mean", 1.0, None),
 ]
 
+# ---- Fixed values: the products a deficit is made from (evapotranspiration, soil moisture), and the
+# first month of the later collections.
+DEFICIT_SOURCES = {"DEF_SMAP": ("MOD16", "SMOS_SMAP")}
+LATER_COLLECTION_FROM = (2015, 4)
+
 # ---- Fixed values: products that are not fetched remotely, as (dataset, family, temporal).
 LOCAL_PRODUCTS = [
     ("SSEBop", "et", "monthly"),
@@ -131,3 +138,9 @@ def temporal_kind(dataset: str) -> str:
 
 def known_products() -> tuple[str, ...]:
     return tuple(p[0] for p in REMOTE_PRODUCTS) + tuple(p[0] for p in LOCAL_PRODUCTS)
+
+
+def in_later_collection(year: Column, month: Column) -> Column:
+    """Whether a month's own date falls to the later collections."""
+    first_year, first_month = LATER_COLLECTION_FROM
+    return (year > first_year) | ((year == first_year) & (month >= first_month))

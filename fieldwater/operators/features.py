@@ -13,11 +13,11 @@ MONTHS = tuple(range(1, 13))
 VOCABULARY_LIMIT = 1000
 
 
-def vocabulary(df: DataFrame, column: str) -> list:
-    """Sorted distinct values of a category. The bound is checked, nothing is cut off."""
-    values = [r[0] for r in df.select(column).where(F.col(column).isNotNull()).distinct().limit(VOCABULARY_LIMIT + 1).collect()]
-    if len(values) > VOCABULARY_LIMIT:
-        raise ValueError(f"{column} has more than {VOCABULARY_LIMIT} distinct values")
+def vocabulary(df: DataFrame, column: str, most: int = VOCABULARY_LIMIT) -> list:
+    """Sorted distinct values of a category. More than ``most`` are refused, nothing is cut off."""
+    values = [r[0] for r in df.select(column).where(F.col(column).isNotNull()).distinct().limit(most + 1).collect()]
+    if len(values) > most:
+        raise ValueError(f"{column} has more than {most} distinct values")
     return sorted(values)
 
 
@@ -94,8 +94,12 @@ class MinMaxScaler:
 
     @classmethod
     def from_table(cls, table: DataFrame) -> MinMaxScaler:
-        rows = table.limit(VOCABULARY_LIMIT * 10).collect()
-        return cls({r["feature"]: (r["lo"], r["hi"]) for r in rows})
+        """All saved features, which are columns of one table; a feature saved twice is refused."""
+        rows = table.collect()
+        limits = {r["feature"]: (r["lo"], r["hi"]) for r in rows}
+        if len(limits) != len(rows):
+            raise ValueError("a feature is saved more than once")
+        return cls(limits)
 
 
 def assemble(df: DataFrame, columns: Sequence[str], out: str = "features") -> DataFrame:

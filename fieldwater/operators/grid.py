@@ -195,7 +195,9 @@ def align_to_grid(target: GridSpec, cells: DataFrame, source: GridSpec, keys: Se
 # --------------------------------------------------------------------------- composites in time
 
 
+# More products than this are refused; the caller may raise the bound.
 CATALOGUE_ROWS = 10_000
+DEFICIT = "et_minus_soil"
 
 REDUCERS = {
     "sum": lambda v, when: F.sum(v),
@@ -234,26 +236,48 @@ def composite_by_catalogue(
     catalogue: DataFrame,
     keys: Sequence[str] = ("dataset", "row", "col", "year", "month"),
     order: Sequence[str] = ("ts",),
+    most_rules: int = CATALOGUE_ROWS,
 ) -> DataFrame:
     """Composite many products, each by the reducer and scale its catalogue row names.
 
     Products that share a reducer are reduced together in one aggregation over
     just their rows (the dataset filter reaches the scan), so sums stay in
-    hash aggregation and only median products pay for a median.
+    hash aggregation and only median products pay for a median. A deficit
+    product is made from the rows of its two source products. Where the cube
+    names each row's ``collection``, a product with a later collection takes
+    the rows of the one that holds in the row's own month. A product of the
+    cube that the catalogue lacks, and an unknown reducer, are refused.
     """
-    rules = catalogue.select("dataset", "reducer", "scale").limit(CATALOGUE_ROWS + 1).collect()
-    if len(rules) > CATALOGUE_ROWS:
+    rules = [r.asDict() for r in catalogue.limit(most_rules + 1).collect()]
+    if len(rules) > most_rules:
         raise ValueError("the catalogue is not a short list")
     by_reducer: dict[str, dict[str, float]] = {}
+    deficits = [r for r in rules if r["reducer"] == DEFICIT]
     for rule in rules:
-        by_reducer.setdefault(rule["reducer"], {})[rule["dataset"]] = rule["scale"]
+        if rule["reducer"] not in (DEFICIT, "median", *REDUCERS):
+            raise ValueError(f"unknown reducer {rule['reducer']} of {rule['dataset']}")
+        if rule["reducer"] != DEFICIT:
+            by_reducer.setdefault(rule["reducer"], {})[rule["dataset"]] = rule["scale"]
+    known = sorted({d for scales in by_reducer.values() for d in scales})
+    stray = cube.where(F.col("dataset").isNull() | ~F.col("dataset").isin(known)).select("dataset").limit(1).collect()
+    if stray:
+        raise ValueError(f"no rule reduces product {stray[0]['dataset']}")
+    later = {r["dataset"]: (r["collection"], r["later_collection"]) for r in rules if r.get("later_collection")}
+    if "collection" in cube.columns and later:
+        first, second = (lookup({d: pair[i] for d, pair in later.items()}, F.col("dataset")) for i in (0, 1))
+        held = F.when(codes.in_later_collection(F.col("year"), F.col("month")), second).otherwise(first)
+        cube = cube.where(held.isNull() | (F.col("collection") == held))
     parts = []
     for reducer, scales in by_reducer.items():
-        if reducer == "median" or reducer in REDUCERS:
-            rows = cube.where(F.col("dataset").isin(list(scales)))
-            scale = lookup(scales, F.col("dataset"))
-            reduced = composite(rows, reducer, keys, order=order)
-            parts.append(reduced.withColumn("value", F.col("value") * scale))
+        rows = cube.where(F.col("dataset").isin(list(scales)))
+        scale = lookup(scales, F.col("dataset"))
+        reduced = composite(rows, reducer, keys, order=order)
+        parts.append(reduced.withColumn("value", F.col("value") * scale))
+    places = [k for k in keys if k != "dataset"]
+    for rule in deficits:
+        et, soil = (cube.where(F.col("dataset") == name) for name in codes.DEFICIT_SOURCES[rule["dataset"]])
+        value = (F.col("value") * F.lit(float(rule["scale"]))).alias("value")
+        parts.append(et_minus_soil(et, soil, places).withColumn("dataset", F.lit(rule["dataset"])).select(*keys, value))
     return reduce(DataFrame.unionByName, parts)
 
 

@@ -1,128 +1,87 @@
-"""Exact quantiles by group that survive hot groups."""
+"""Exact quantiles by group, by one path for groups of every size."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
+from pyspark.sql import functions as F
 
-from fieldwater.functions.sizing import BROADCAST_ROWS, attach, measured
+from fieldwater.functions.sizing import attach
 from fieldwater.session import cut_lineage
 
-# A group up to this size is sorted by one task. Larger ones are ranked piecewise.
-HOT_ROWS = 5_000_000
-BINS = 1024
+# The sketch answers a rank within one part in so many. A group of no more rows
+# is its own bracket, as the sketch couldn't narrow it.
+ACCURACY = 10_000
 
 
 def quantiles(
-    df: DataFrame,
-    keys: Sequence[str],
-    value: str,
-    probs: Sequence[float],
-    names: Sequence[str],
-    hot_rows: int = HOT_ROWS,
+    df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float], names: Sequence[str], accuracy: int = ACCURACY
 ) -> DataFrame:
     """Linear-interpolated quantiles of ``value`` by ``keys`` (one row per group).
 
-    Missing values are ignored. Groups of at most ``hot_rows`` rows are sorted
-    whole, many to a task. In a larger group the wanted ranks are closed in on
-    by counting, so no task ever holds the group.
-    """
-    keys = list(keys)
-    base = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
-    # No group is hot when the whole table is not: a count without a shuffle settles most calls.
-    if base.count() <= hot_rows:
-        return _plain(base, keys, probs, names)
-    sizes = base.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    hot = measured(sizes.where(F.col("_n") > hot_rows))
-    n_hot = hot.count()
-    if not n_hot:
-        return _plain(base, keys, probs, names)
-    # The facts about hot groups are broadcast only when they are counted to be few.
-    hint = F.broadcast if keys and n_hot * 2 * len(probs) <= BROADCAST_ROWS else lambda df: df
-    if not keys:
-        return _ranked(base, keys, probs, names, hot_rows, hint)
-    tagged = attach(base, hot, keys, "left")
-    cold_part = _plain(tagged.where(F.col("_n").isNull()).drop("_n"), keys, probs, names)
-    hot_part = _ranked(tagged.where(F.col("_n").isNotNull()).drop("_n"), keys, probs, names, hot_rows, hint)
-    return cold_part.unionByName(hot_part)
-
-
-def _plain(base: DataFrame, keys: list[str], probs, names) -> DataFrame:
-    """Sort each group once and pick the neighbours of every quantile: one shuffle, one spillable sort."""
-    group = W.partitionBy(*keys)
-    ranked = base.select(
-        *keys, "_v", F.row_number().over(group.orderBy("_v")).alias("_r"), F.count(F.lit(1)).over(group).alias("_n")
-    )
-
-    def pick(p: float, name: str):
-        position = (F.col("_n") - 1) * float(p)
-        lo = F.max(F.when(F.col("_r") == F.floor(position) + 1, F.col("_v")))
-        hi = F.max(F.when(F.col("_r") == F.ceil(position) + 1, F.col("_v")))
-        return (lo + F.max(position - F.floor(position)) * (hi - lo)).alias(name)
-
-    return ranked.groupBy(*keys).agg(*[pick(p, n) for p, n in zip(probs, names)])
+    NULL and NaN are missing and ignored; infinities are values like others, and
+    the middle of an infinity and a number is that infinity.
 
-
-def _slices(base: DataFrame, state: DataFrame, keys: list[str], hint) -> DataFrame:
-    """Rows of each open target: (keys, _t, _k, _lo, _hi, _v) for the values inside its range."""
-    targets = state.groupBy(*keys).agg(F.collect_list(F.struct("_t", "_k", "_lo", "_hi")).alias("_open"))
-    joined = attach(base, hint(targets), keys)
-    inside = F.filter("_open", lambda t: F.col("_v").between(t["_lo"], t["_hi"]))
-    return joined.select(*keys, "_v", F.explode(inside).alias("_o")).select(*keys, "_v", "_o._t", "_o._k", "_o._lo", "_o._hi")
-
-
-def _ranked(base: DataFrame, keys: list[str], probs, names, limit: int, hint) -> DataFrame:
-    """Distributed selection of the two neighbours of every quantile.
-
-    Each wanted rank starts with the range of its group. A pass counts the
-    range in equal bins (combined on the map side), and the bin that holds the
-    rank becomes the next range, until a range holds one value or few enough
-    rows to sort. Groups on this path hold more than ``limit`` rows each, so
-    the table of ranks stays short.
+    A sketch brackets the wanted ranks of every group (``approx_percentile``,
+    merged on the map side). The rows are then counted: by value inside a
+    bracket, as one number between brackets. Cut points thus come from the data,
+    so infinities and heavy tails cost nothing extra, repeated values collapse,
+    and the last step ranks a few ten-thousandths of a large group.
     """
-    spans = base.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
-    wanted = []
-    for i, p in enumerate(probs):
-        position = (F.col("_n") - 1) * float(p)
-        wanted += [
-            F.struct(F.lit(2 * i).alias("t"), (F.floor(position) + 1).alias("k")),
-            F.struct(F.lit(2 * i + 1).alias("t"), (F.ceil(position) + 1).alias("k")),
-        ]
-    state = spans.select(*keys, "_n", "_lo", "_hi", F.explode(F.array(*wanted)).alias("_w")).select(
-        *keys, "_n", F.col("_w.t").alias("_t"), F.col("_w.k").alias("_k"), "_lo", "_hi", F.col("_n").alias("_in")
+    keys, probs = list(keys), [float(p) for p in probs]
+    number = F.col(value).cast("double")
+    base = cut_lineage(df.select(*keys, number.alias("_v")).where(F.col("_v").isNotNull() & ~F.isnan("_v")))
+    sizes = base.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_least"), F.max("_v").alias("_most"))
+    facts = cut_lineage(_brackets(base, sizes, keys, sorted(set(probs)), accuracy))
+    tagged = attach(base, facts.select(*keys, "_low", "_high"), keys)
+    counted = _counted(tagged, keys)
+    ranked = attach(counted, facts.select(*keys, "_n"), keys) if keys else counted.withColumn("_n", facts.select("_n").scalar())
+    return ranked.groupBy(*keys).agg(*[_pick(p, n) for p, n in zip(probs, names)])
+
+
+def _brackets(base: DataFrame, sizes: DataFrame, keys: list[str], probs: list[float], accuracy: int) -> DataFrame:
+    """(keys, _n, _low, _high): for every wanted share, values that its two neighbouring ranks lie between."""
+    slack = 4.0 / accuracy
+    ends = [max(0.0, p - slack) for p in probs] + [min(1.0, p + slack) for p in probs]
+    sketch = F.percentile_approx("_v", F.array(*[F.lit(e) for e in ends]), accuracy).alias("_ends")
+    large = sizes.where(F.col("_n") > accuracy)
+    if keys:
+        told = attach(base, large.select(*keys, F.lit(True).alias("_large")), keys).groupBy(*keys).agg(sketch)
+        facts = attach(sizes, told, keys, "left")
+    else:
+        facts = sizes.where(F.col("_n") > 0).withColumn("_ends", base.agg(sketch).scalar())
+    m = len(probs)
+    use = F.col("_n") > accuracy
+    pick = lambda first, whole: F.when(use, F.slice("_ends", first, m)).otherwise(F.array_repeat(F.col(whole), m))
+    return facts.select(*keys, "_n", pick(1, "_least").alias("_low"), pick(m + 1, "_most").alias("_high"))
+
+
+def _counted(tagged: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, _v, _first, _last): the ranks each value inside a bracket takes; _v is NULL for the rows between brackets."""
+    inside = F.exists(F.arrays_zip("_low", "_high"), lambda b: F.col("_v").between(b["_low"], b["_high"]))
+    below = F.size(F.filter("_high", lambda h: h < F.col("_v")))
+    rows = tagged.select(*keys, "_v", inside.alias("_in"), F.when(~inside, below).alias("_gap"))
+    counts = rows.groupBy(*keys, F.when(F.col("_in"), F.col("_v")).alias("_at"), "_gap").agg(
+        F.count(F.lit(1)).alias("_c"), F.min("_v").alias("_from")
     )
-    state = cut_lineage(state)
-    spread = F.col("_lo") < F.col("_hi")
-    rank = W.partitionBy(*keys, "_t")
-    while not state.where(spread & (F.col("_in") > limit)).isEmpty():
-        wide = state.where(spread & (F.col("_in") > limit))
-        bin_of = F.least(F.floor((F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * BINS), F.lit(BINS - 1))
-        bins = (
-            _slices(base, wide, keys, hint)
-            .groupBy(*keys, "_t", bin_of.alias("_b"))
-            .agg(F.count(F.lit(1)).alias("_in"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.max("_k").alias("_k"))
-        )
-        before = F.sum("_in").over(rank.orderBy("_b").rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("_in")
-        placed = bins.withColumn("_before", before).where(
-            (F.col("_k") > F.col("_before")) & (F.col("_k") <= F.col("_before") + F.col("_in"))
-        )
-        narrowed = placed.select(*keys, "_t", (F.col("_k") - F.col("_before")).alias("_k"), "_lo", "_hi", "_in")
-        totals = state.select(*keys, "_n").distinct()
-        narrowed = attach(narrowed, hint(totals), keys)
-        state = cut_lineage(state.where(~(spread & (F.col("_in") > limit))).unionByName(narrowed))
-    sorted_rows = _slices(base, state.where(spread), keys, hint).withColumn("_r", F.row_number().over(rank.orderBy("_v")))
-    picked = sorted_rows.where(F.col("_r") == F.col("_k")).select(*keys, "_t", "_v")
-    found = picked.unionByName(state.where(~spread).select(*keys, "_t", F.col("_lo").alias("_v")))
-    totals = state.select(*keys, "_n").distinct()
-    found = attach(found, hint(totals), keys)
-
-    def pick(p: float, name: str, i: int):
-        lo = F.max(F.when(F.col("_t") == 2 * i, F.col("_v")))
-        hi = F.max(F.when(F.col("_t") == 2 * i + 1, F.col("_v")))
-        position = (F.max("_n") - 1) * float(p)
-        return (lo + (position - F.floor(position)) * (hi - lo)).alias(name)
-
-    return found.groupBy(*keys).agg(*[pick(p, n, i) for i, (p, n) in enumerate(zip(probs, names))])
+    upto = F.sum("_c").over(W.partitionBy(*keys).orderBy("_from").rowsBetween(W.unboundedPreceding, W.currentRow))
+    return counts.select(*keys, F.col("_at").alias("_v"), (upto - F.col("_c") + 1).alias("_first"), upto.alias("_last"))
+
+
+def _pick(p: float, name: str) -> Column:
+    """The value at share p, between the two ranks next to it."""
+    position = (F.col("_n") - 1) * F.lit(p)
+    at = lambda rank: F.max(F.when(rank.between(F.col("_first"), F.col("_last")), F.col("_v")))
+    lo, hi = at(F.floor(position) + 1), at(F.ceil(position) + 1)
+    part = F.max(position - F.floor(position))
+    infinite = lambda c: F.abs(c) == F.lit(float("inf"))
+    between = (
+        F.when((part == 0) | (lo == hi) | infinite(lo), lo)
+        .when(infinite(hi), hi)
+        .when(infinite(hi - lo), lo * (1 - part) + hi * part)
+        .otherwise(lo + part * (hi - lo))
+    )
+    lost = F.max("_n").isNotNull() & (lo.isNull() | hi.isNull())
+    return F.when(lost, F.raise_error(F.lit("a wanted rank is outside its bracket"))).otherwise(between).alias(name)

@@ -176,18 +176,41 @@ def first_last(spark, d):
     return parts["first_v"].join(parts["last_v"], "cell").join(parts["change"], "cell")
 
 
+# Fourteen products dealt over the cube's rows, and their reduction written out in SQL.
+DEALT = ("MOD16", "SM_IDAHO", "SMOS_SMAP", "DROUGHT", "PPT", "TMIN", "TMAX", "WS", "RO", "DEF", "VPD", "SPH", "NDWI", "NDVI")
+
+
 @query("composite_catalogue", f"""
-    select dataset, yr, mon, count(*) as n, round(sum(v), 3) as total from (
-      select case flag when 'A' then 'PPT' when 'N' then 'TMAX' else 'WS' end as dataset, r, c, yr, mon,
-             case flag when 'A' then sum(val) when 'N' then quantile_cont(val, 0.5) else avg(val) * 0.01 end as v
-      from {V['cube']} q group by flag, r, c, yr, mon) t group by 1, 2, 3""")
+    with rows_ as (
+      select q.*, list_value({", ".join(f"'{n}'" for n in DEALT)})[1 + (k1 + k2) % {len(DEALT)}] as dataset,
+             case when k1 % 2 = 0 then 'early' else 'late' end as collection from {V['cube']} q),
+    held as (select * from rows_ where dataset <> 'SMOS_SMAP' or collection = case when yr > 2015 or (yr = 2015 and mon >= 4) then 'late' else 'early' end),
+    reduced as (
+      select dataset, r, c, yr, mon, case
+        when dataset in ('MOD16', 'DEF') then sum(val) * 0.1 when dataset in ('PPT', 'RO', 'VPD') then sum(val)
+        when dataset in ('DROUGHT', 'SPH', 'NDWI', 'NDVI') then avg(val) when dataset = 'WS' then avg(val) * 0.01
+        when dataset in ('TMIN', 'TMAX') then quantile_cont(val, 0.5)
+        when dataset = 'SM_IDAHO' then (array_agg(val order by ts, k1, k2, k3, k4))[1] * 0.1
+        else (array_agg(val order by ts desc, k1 desc, k2 desc, k3 desc, k4 desc))[1] - (array_agg(val order by ts, k1, k2, k3, k4))[1] end as v
+      from held group by dataset, r, c, yr, mon),
+    deficit as (
+      select 'DEF_SMAP' as dataset, e.r, e.c, e.yr, e.mon, e.v - s.v as v
+      from (select r, c, yr, mon, sum(val) * 0.1 as v from held where dataset = 'MOD16' group by 1, 2, 3, 4) e
+      join (select r, c, yr, mon, sum(val) as v from held where dataset = 'SMOS_SMAP' group by 1, 2, 3, 4) s
+        on e.r = s.r and e.c = s.c and e.yr = s.yr and e.mon = s.mon)
+    select dataset, r as "row", c as col, yr as year, mon as month, round(v, 6) as value from (select * from reduced union all select * from deficit) t""")
 def composite_catalogue(spark, d):
-    name = F.when(F.col("flag") == "A", "PPT").when(F.col("flag") == "N", "TMAX").otherwise("WS")
-    cube = domain.cube(spark, d).withColumn("dataset", name)
-    made = grid.composite_by_catalogue(cube, rasters.catalogue(spark), order=CUBE_ORDER)
-    return made.groupBy("dataset", F.col("year").alias("yr"), F.col("month").alias("mon")).agg(
-        F.count(F.lit(1)).alias("n"), r(F.sum("value"), 3).alias("total")
-    )
+    """All products of the catalogue, row by row, with the change of collection by the row's own month."""
+    names = F.array(*[F.lit(n) for n in DEALT])
+    cube = domain.cube(spark, d).withColumns({
+        "dataset": F.element_at(names, (1 + (F.col("k1") + F.col("k2")) % len(DEALT)).cast("int")),
+        "collection": F.when(F.col("k1") % 2 == 0, "early").otherwise("late"),
+    })
+    rules = rasters.catalogue(spark).withColumns({
+        c: F.when(F.col("later_collection").isNotNull(), F.lit(name)).otherwise(F.col(c)) for c, name in (("collection", "early"), ("later_collection", "late"))
+    })
+    made = grid.composite_by_catalogue(cube, rules, order=CUBE_ORDER)
+    return made.select("dataset", "row", "col", "year", "month", r(F.col("value"), 6).alias("value"))
 
 
 @query("daily_cube", f"""

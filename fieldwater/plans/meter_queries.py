@@ -407,11 +407,45 @@ def boxplot(spark, d):
     select crop, round(quantile_cont(wu, 0.05), 4) as p05, round(quantile_cont(wu, 0.5), 4) as p50,
            round(quantile_cont(wu, 0.95), 4) as p95 from {V['annual']} a group by crop""")
 def quantiles_ranked(spark, d):
-    """The path hot groups take, with the bound lowered so that every group takes it."""
-    made = quantiles(domain.annual(spark, d), ["crop"], "wu", [0.05, 0.5, 0.95], ["p05", "p50", "p95"], hot_rows=50)
+    """With a coarse sketch, so that brackets do not hold their whole group."""
+    made = quantiles(domain.annual(spark, d), ["crop"], "wu", [0.05, 0.5, 0.95], ["p05", "p50", "p95"], accuracy=50)
     return made.withColumns({c: r(F.col(c), 4) for c in ("p05", "p50", "p95")})
 
 
+def _extreme(order: str) -> str:
+    """Every 7th reading infinite, every 11th minus infinite, every 13th missing; others with a heavy tail."""
+    return (
+        f"case when {order} % 7 = 0 then cast('inf' as double) when {order} % 11 = 0 then cast('-inf' as double) "
+        f"when {order} % 13 = 0 then cast('nan' as double) when {order} % 17 = 0 then wu * 1e200 else wu end"
+    )
+
+
+@query("quantiles_extremes", f"""
+    with v as (select crop, {_extreme('id')} as v from {V['annual']} a),
+    g as (select 'all' as scope, v from v where not isnan(v) union all select crop, v from v where not isnan(v)),
+    k as (select scope, v, row_number() over (partition by scope order by v) as r, count(*) over (partition by scope) as n from g),
+    p as (select * from (values ('p05', 0.05), ('p50', 0.5), ('p80', 0.8), ('p99', 0.99)) t(name, p)),
+    e as (select scope, name, max(v) filter (r = floor((n - 1) * p) + 1) as lo, max(v) filter (r = ceil((n - 1) * p) + 1) as hi,
+          max((n - 1) * p - floor((n - 1) * p)) as part from k, p group by scope, name),
+    q as (select scope, name, case when part = 0 or lo = hi or isinf(lo) then lo when isinf(hi) then hi else lo + part * (hi - lo) end as x from e)
+    select scope, max(case when name = 'p05' then cast(x as varchar) end) = '-inf' as low_is_infinite,
+           max(round(case when name = 'p50' then x end, 4)) as p50, max(case when name = 'p80' and isinf(x) then 1 when name = 'p80' then 0 end) as p80_infinite,
+           max(case when name = 'p99' then cast(x as varchar) end) = 'inf' as high_is_infinite
+    from q group by scope""")
+def quantiles_extremes(spark, d):
+    """Quantiles among infinities, NaN and a heavy tail, by class and over all rows."""
+    rows = domain.annual(spark, d).select("crop", F.expr(_extreme("id").replace("'inf'", "'Infinity'").replace("'-inf'", "'-Infinity'")).alias("v"))
+    probs, names = [0.05, 0.5, 0.8, 0.99], ["p05", "p50", "p80", "p99"]
+    made = quantiles(rows, ["crop"], "v", probs, names, accuracy=200).withColumnRenamed("crop", "scope").unionByName(
+        quantiles(rows, [], "v", probs, names, accuracy=200).withColumn("scope", F.lit("all"))
+    )
+    infinite = F.lit(float("inf"))
+    return made.select(
+        "scope", (F.col("p05") == -infinite).alias("low_is_infinite"), r(F.col("p50"), 4).alias("p50"),
+        (F.abs("p80") == infinite).cast("int").alias("p80_infinite"), (F.col("p99") == infinite).alias("high_is_infinite"),
+    )
+
+
 # ---------------------------------------------------------------- splits, folds, samples
 
 

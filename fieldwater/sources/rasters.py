@@ -62,14 +62,9 @@ def catalogue(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(codes.REMOTE_PRODUCTS, fields)
 
 
-def local_catalogue(spark: SparkSession) -> DataFrame:
-    """Products kept as files: dataset, family and whether cells are static, yearly, monthly or daily."""
-    return spark.createDataFrame(codes.LOCAL_PRODUCTS, "dataset string, family string, temporal string")
-
-
 def collection_for(year: Column, month: Column) -> Column:
     """Collection of a catalogue row for a month: the later one starts in April 2015."""
-    late = F.make_date(year, month, F.lit(1)) >= F.to_date(F.lit("2015-04-01"))
+    late = codes.in_later_collection(year, month)
     return F.when(late & F.col("later_collection").isNotNull(), F.col("later_collection")).otherwise(F.col("collection"))
 
 

@@ -28,12 +28,12 @@ LOADERS = {
 
 
 def exists(spark: SparkSession, path: str) -> bool:
-    """True when a finished stage lies at ``path`` (a stage counts once its success marker is written)."""
-    try:
-        spark.read.parquet(path).schema
-    except Exception:  # noqa: BLE001 - any failure to open means "not there"
-        return False
-    return True
+    """True when a finished stage lies at ``path``: a stage counts once its success marker is written.
+
+    The marker is looked up in the stage's own file system, and a storage error is raised.
+    """
+    marker = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return marker.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(marker)
 
 
 def stage(

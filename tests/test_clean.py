@@ -158,15 +158,15 @@ def test_fence(spark):
     assert outliers.remove_outliers(df, "v", "crop", "y", outliers.KEEP_ALL).count() == 5
 
 
-@pytest.mark.parametrize("hot_rows", [0, 500, 10**9])
-def test_quantile_paths_agree(spark, hot_rows):
+@pytest.mark.parametrize("accuracy", [50, 500, 10_000])
+def test_quantiles_whatever_the_bracket(spark, accuracy):
     import numpy as np
 
     rng = np.random.default_rng(3)
     rows = [("hot", float(v)) for v in np.round(rng.gamma(2, 50, 900), 1)] + [("cold", float(v)) for v in rng.normal(size=77)] + [(None, 4.0)]
     df = spark.createDataFrame(rows, "g string, v double")
     probs, names = [0.0, 0.25, 0.5, 0.9, 1.0], ["a", "b", "c", "d", "e"]
-    made = {r.g: [r[n] for n in names] for r in quantiles(df, ["g"], "v", probs, names, hot_rows=hot_rows).collect()}
+    made = {r.g: [r[n] for n in names] for r in quantiles(df, ["g"], "v", probs, names, accuracy=accuracy).collect()}
     for group in ("hot", "cold", None):
         want = np.quantile([v for g, v in rows if g == group], probs)
         assert made[group] == pytest.approx(list(want))
@@ -174,7 +174,26 @@ def test_quantile_paths_agree(spark, hot_rows):
 
 def test_quantile_of_one_repeated_value(spark):
     df = spark.createDataFrame([(7.0,)] * 300 + [(1.0,)] * 10, "v double")
-    assert quantiles(df, [], "v", [0.5], ["m"], hot_rows=0).first().m == 7.0
+    assert quantiles(df, [], "v", [0.5], ["m"], accuracy=50).first().m == 7.0
+    assert quantiles(df.where("v > 100"), [], "v", [0.5], ["m"]).first().m is None
+
+
+@pytest.mark.parametrize("accuracy", [50, 10_000])
+@pytest.mark.parametrize("keys", [[], ["g"]])
+def test_quantiles_of_extreme_values(spark, accuracy, keys):
+    """Infinities, NaN, a heavy tail and a span beyond the largest double: for one hot group and for all rows."""
+    rows = [("hot", v) for v in [INF] * 3 + [-INF] * 2 + [NAN] * 9 + [1.7e308, -1.7e308] + [10.0**k for k in range(-150, 150)]]
+    df = spark.createDataFrame([*rows, ("hot", None)], "g string, v double")
+    finite = sorted(v for _, v in rows if v == v)
+    probs, names = [0.0, 0.004, 0.3, 0.5, 0.995, 1.0], list("abcdef")
+    made = quantiles(df, keys, "v", probs, names, accuracy=accuracy).select(*names).first()
+    for p, got in zip(probs, made):
+        at = (len(finite) - 1) * p
+        lo, hi = finite[int(at)], finite[min(len(finite) - 1, int(at) + (at > int(at)))]
+        if at == int(at) or abs(lo) == INF:
+            assert got == lo
+        else:
+            assert got == (hi if abs(hi) == INF else pytest.approx(lo + (at - int(at)) * (hi - lo)))
 
 
 def test_ratio_split_sizes(spark):
