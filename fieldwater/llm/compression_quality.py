@@ -25,7 +25,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldwater.llm.store import bounded_batches, held_out, labelled, stored
+from fieldwater.llm.store import bounded_batches, held_out, stored, training_labels, training_sample
 
 THRESHOLD = 0.3
 
@@ -78,13 +78,13 @@ def _dictionary(samples: list[bytes], size: int) -> bytes:
 
 
 def build_dictionaries(train: DataFrame, settings: Settings = Settings()) -> Dictionaries:
-    """Dictionaries from a bounded sample of (id, text, y)."""
+    """Dictionaries from a sample of (id, text, y), of which a bounded piece of each text is used."""
     span = F.greatest(F.length("text") - settings.sample_chars, F.lit(0)) + 1
     piece = F.substr("text", F.pmod(F.xxhash64("id", F.lit("place")), span).cast("int") + 1, F.lit(settings.sample_chars))
     made = []
     for y in (0, 1):
         rows = train.filter(F.col("y") == y).select(F.xxhash64("id").alias("h"), piece.alias("piece"))
-        made.append(_dictionary([r["piece"].encode() for r in rows.orderBy("h", "piece").limit(settings.sample_rows).collect()], settings.dictionary_bytes))
+        made.append(_dictionary([r["piece"].encode() for r in rows.orderBy("h", "piece").collect()], settings.dictionary_bytes))
     return Dictionaries(made[0], made[1], settings)
 
 
@@ -123,12 +123,11 @@ def fit_curve(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float,
 
 def quality(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, held_out, score, predicted, difference) for every row."""
-    train = labelled(docs, labels, "quality", doc_id, text)
+    train = training_sample(docs, labels, "quality", settings.sample_rows, doc_id, text)
     found = stored(differences(docs, build_dictionaries(train, settings), doc_id, text), "differences")
     # Every training row counts in the curve, by the step its difference falls into.
     step = F.round(F.col("difference") * settings.bins / 2) * 2 / settings.bins
-    wanted = labelled(docs.withColumn("_none", F.lit("")), labels, "quality", doc_id, "_none").select("id", "y").distinct()
-    counts = found.join(wanted, F.col("doc_id") == F.col("id")).groupBy(step.alias("x"), "y").agg(F.count("*").alias("n")).collect()
+    counts = found.join(training_labels(labels, "quality"), F.col("doc_id") == F.col("id")).groupBy(step.alias("x"), "y").agg(F.count("*").alias("n")).collect()
     x, y, n = (np.array([r[k] for r in counts], float) for k in ("x", "y", "n"))
     offset, slope = fit_curve(x, y, n)
     score = 1 / (1 + F.exp(-(F.lit(offset) + F.lit(slope) * F.col("difference"))))

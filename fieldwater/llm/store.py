@@ -60,16 +60,24 @@ def held_out(doc_id: Column, folds: int = 5) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % folds == 0, F.lit(True))
 
 
-def labelled(docs: DataFrame, labels: DataFrame, target: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Training rows: (id, text, y) of the documents that have a label and are not held out.
+def training_labels(labels: DataFrame, target: str) -> DataFrame:
+    """(id, y) of the labelled documents that are not held out.
 
     Repeated labels of one document count once, by their largest value; labels
     other than 0 and 1 and missing ids are left out.
     """
-    wanted = (
-        labels.filter(F.col(target).isin(0, 1) & ~held_out(F.col("doc_id")))
-        .groupBy(F.col("doc_id").alias("_label_id"))
-        .agg(F.max(target).cast("int").alias("y"))
-    )
-    rows = docs.select(F.col(doc_id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    return rows.join(wanted, F.col("id") == F.col("_label_id")).select("id", "text", "y")
+    usable = labels.filter(F.col(target).isin(0, 1) & ~held_out(F.col("doc_id")))
+    return usable.groupBy(F.col("doc_id").alias("id")).agg(F.max(target).cast("int").alias("y"))
+
+
+def training_sample(docs: DataFrame, labels: DataFrame, target: str, rows: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(id, text, y) of at most ``rows`` training documents of each class, first by hash of the id.
+
+    The sampled ids are few by that bound, so they are broadcast, and no text is moved to find its label.
+    """
+    known = training_labels(labels, target)
+    first = lambda y: known.filter(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(rows)
+    wanted = first(0).unionByName(first(1)).withColumnRenamed("id", "_label_id")
+    texts = docs.select(F.col(doc_id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    # A document repeated under one id counts once.
+    return texts.join(F.broadcast(wanted), F.col("id") == F.col("_label_id")).groupBy("id", "y").agg(F.min("text").alias("text"))

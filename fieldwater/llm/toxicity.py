@@ -1,10 +1,10 @@
 """Toxicity classifier with a counterfactual penalty.
 
 A text is described by which words of a vocabulary occur in it, so long texts
-weigh no more than short ones. The vocabulary holds the words whose document
-counts differ most between the two classes, counted over all training rows, and
-the identity terms. A logistic model is fitted on a bounded sample of training
-rows. For every sampled sentence with an identity term, the term is swapped for
+weigh no more than short ones. The model is fitted on a bounded sample of
+training rows. The vocabulary holds the words whose document counts differ most
+between the two classes, and the identity terms; their weights are those of a
+logistic model. For every sampled sentence with an identity term, the term is swapped for
 each other term of its group and the change of the score is penalised, which
 pulls the weights of a group's terms together and toward zero effect: a neutral
 mention of a group scores like any other sentence.
@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldwater.llm.store import bounded_batches, held_out, labelled, stored
+from fieldwater.llm.store import bounded_batches, held_out, stored, training_sample
 from fieldwater.llm.words import words
 
 THRESHOLD = 0.5
@@ -53,7 +53,7 @@ class Settings:
     vocabulary: int = 4096  # most telling words kept
     least_docs: int = 3  # a word must occur in so many training rows
     least_z: float = 4.0  # and its two class rates must differ by so many standard errors
-    sample_rows: int = 20_000  # training rows of each class that the fit sees at most
+    sample_rows: int = 20_000  # training rows of each class that the fit sees at most, first by hash of the id
     penalty: float = 1.0  # squared weights
     counterfactual: float = 50.0  # squared score change by a swapped identity term
     steps: int = 300
@@ -113,7 +113,7 @@ def _logistic(rows: list[np.ndarray], y: np.ndarray, size: int, pairs: dict[tupl
 def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), doc_id: str = "doc_id", text: str = "text") -> Model:
     """Learn from the labelled rows that are not held out."""
     bounded_batches(docs.sparkSession)
-    rows = labelled(docs, labels, "toxic", doc_id, text).select("id", F.col("text").cast("binary").alias("text"), "y")
+    rows = training_sample(docs, labels, "toxic", settings.sample_rows, doc_id, text).select("id", F.col("text").cast("binary").alias("text"), "y")
     train = stored(rows.mapInArrow(_distinct, "id long, words array<string>, y int"), "toxicity")
     size = {r["y"]: r["n"] for r in train.groupBy("y").agg(F.count("*").alias("n")).collect()}
     bad, good = size.get(1, 0), size.get(0, 0)
@@ -129,14 +129,8 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), doc
     terms = [t for group in settings.groups for t in group]
     names = list(dict.fromkeys(picked + terms))
     index = {w: i for i, w in enumerate(names)}
-    # The sample: the first rows of each class in an order by hash.
-    ids = [
-        train.filter(F.col("y") == y).select(F.xxhash64("id").alias("h")).orderBy("h").limit(settings.sample_rows).agg(F.max("h")).first()[0]
-        for y in (0, 1)
-    ]
     lookup = F.array(*[F.lit(w) for w in names])
-    sampled = train.filter(F.xxhash64("id") <= F.when(F.col("y") == 1, ids[1]).otherwise(ids[0]))
-    found = sampled.select("y", F.array_intersect("words", lookup).alias("words")).collect()
+    found = train.select("y", F.array_intersect("words", lookup).alias("words")).collect()
     x = [np.array(sorted(index[w] for w in r["words"]), np.int64) for r in found]
     pairs: dict[tuple[int, int], float] = {}
     for r in found:
