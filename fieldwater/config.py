@@ -91,7 +91,6 @@ class RunConfig:
     # Reuse of finished stages.
     reuse_monthly: bool = False
     reuse_prepared: bool = False
-    reuse_split: bool = False
     reuse_model: bool = False
     reuse_extent: bool = False
     reuse_predictors: bool = False

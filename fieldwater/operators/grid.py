@@ -340,13 +340,9 @@ def majority_regrid(cells: DataFrame, source: GridSpec, target: GridSpec, keys:
 
 
 def to_target_cells(cells: DataFrame, source: GridSpec, target: GridSpec) -> DataFrame:
-    """Replace (row, col) by the target cell that holds the source cell's centre."""
-    moved = cells.withColumns(
-        {
-            "_r": target.row_of(source.y_of(F.col("row"))),
-            "_c": target.col_of(source.x_of(F.col("col"))),
-        }
-    ).where(target.inside(F.col("_r"), F.col("_c")))
+    """Replace (row, col) by the target cell that holds the source cell's centre, projected where the systems differ."""
+    x, y = reproject(source.x_of(F.col("col")), source.y_of(F.col("row")), source.crs, target.crs)
+    moved = cells.withColumns({"_r": target.row_of(y), "_c": target.col_of(x)}).where(target.inside(F.col("_r"), F.col("_c")))
     return moved.drop("row", "col").withColumnsRenamed({"_r": "row", "_c": "col"})
 
 

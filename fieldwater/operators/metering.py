@@ -112,19 +112,30 @@ def disaggregate(
     return spread.withColumn(value, F.col(value) * weight).drop("_w")
 
 
-def relative_to_group(df: DataFrame, columns: Sequence[str], group: str, prefix: str = "Relative_") -> DataFrame:
-    """Divide each column by its mean in the group. Means are aggregated, never windowed."""
+def group_means(df: DataFrame, columns: Sequence[str], group: str) -> DataFrame:
+    """(group, mean_<column>, ...): one row per group, for the columns the table has."""
+    return df.groupBy(group).agg(*[F.avg(f"`{c}`").alias(f"mean_{c}") for c in columns if c in df.columns])
+
+
+def relative_to_group(
+    df: DataFrame, columns: Sequence[str], group: str, prefix: str = "Relative_", means: DataFrame | None = None
+) -> DataFrame:
+    """Divide each column by its mean in the group. Means are aggregated, never windowed.
+
+    With ``means`` (of ``group_means``) the given ones hold, as a model's map
+    cells need the means of its training rows; a group they lack has no ratio.
+    """
     present = [c for c in columns if c in df.columns]
     if not present:
         return df
-    means = df.groupBy(group).agg(*[F.avg(f"`{c}`").alias(f"_m_{i}") for i, c in enumerate(present)])
-    joined = attach(df, measured(means), [group])
-    ratios = {f"{prefix}{c}": F.try_divide(F.col(f"`{c}`"), F.col(f"_m_{i}")) for i, c in enumerate(present)}
-    return joined.withColumns(ratios).drop(*[f"_m_{i}" for i in range(len(present))])
+    known = group_means(df, present, group) if means is None else means.select(group, *[f"mean_{c}" for c in present])
+    joined = attach(df, measured(known), [group], "inner" if means is None else "left")
+    ratios = {f"{prefix}{c}": F.try_divide(F.col(f"`{c}`"), F.col(f"`mean_{c}`")) for c in present}
+    return joined.withColumns(ratios).drop(*[f"mean_{c}" for c in present])
 
 
-def relative_et(df: DataFrame, crop: str = "crop") -> DataFrame:
-    return relative_to_group(df, codes.ET_PRODUCTS, crop)
+def relative_et(df: DataFrame, crop: str = "crop", means: DataFrame | None = None) -> DataFrame:
+    return relative_to_group(df, codes.ET_PRODUCTS, crop, means=means)
 
 
 def monthly_estimates(

@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from fieldwater.functions.geo import reproject
 from fieldwater.functions.scalar import is_true
 from fieldwater.functions.sizing import BROADCAST_ROWS, attach
 from fieldwater.session import cut_lineage
@@ -190,20 +191,30 @@ def link_to_fields(
     y: str = "y",
     year: str = "Year",
     eligible: Column | None = None,
+    plane: str | None = None,
 ) -> DataFrame:
     """Move eligible rows to the centroid of the nearest field of their year and attach its permit.
 
-    ``fields`` holds (year, permit, x, y) centroids in the same plane. Rows
+    ``fields`` holds (year, permit, x, y) centroids in the same plane. With
+    ``plane`` both sides are longitudes and latitudes: distances are measured
+    in that projection, where a degree east is not a degree north. Rows
     that are not eligible, including those where eligibility is unknown, pass
     through with their own coordinates and no permit. By default a row is
     eligible when its state is MS or its source is VMP.
     """
     default = (F.col("State") == "MS") | (F.col("Data") == "VMP")
     marked = is_true(default if eligible is None else eligible)
-    centroids = fields.select(F.col(year), F.col(permit), F.col(x).alias("_fx"), F.col(y).alias("_fy"))
-    linked = nearest(rows.where(marked), centroids, permit, x, y, "_fx", "_fy", [year])
-    moved = linked.withColumns(
-        {x: F.coalesce(F.col("near_x"), F.col(x)), y: F.coalesce(F.col("near_y"), F.col(y))}
-    ).drop("near_x", "near_y", "dist2")
+    flat = lambda a, b: reproject(a, b, "lonlat", plane) if plane else (a, b)
+    fx, fy = flat(F.col(x), F.col(y))
+    centroids = fields.select(F.col(year), F.col(permit), fx.alias("_fx"), fy.alias("_fy"))
+    px, py = flat(F.col(x), F.col(y))
+    placed = rows.where(marked).withColumns({"_plane_x": px, "_plane_y": py})
+    linked = nearest(placed, centroids, permit, "_plane_x", "_plane_y", "_fx", "_fy", [year])
+    near_x, near_y = F.col("near_x"), F.col("near_y")
+    if plane:
+        near_x, near_y = reproject(near_x, near_y, plane, "lonlat")
+    moved = linked.withColumns({x: F.coalesce(near_x, F.col(x)), y: F.coalesce(near_y, F.col(y))}).drop(
+        "near_x", "near_y", "dist2", "_plane_x", "_plane_y"
+    )
     passed = rows.where(~marked).withColumn(permit, F.lit(None).cast(fields.schema[permit].dataType))
     return moved.unionByName(passed)

@@ -8,12 +8,15 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fieldwater.functions.geo import reproject
 from fieldwater.functions.sizing import attach, measured
 from fieldwater.operators.grid import BLOCK_REDUCERS, GridSpec, align_to_grid, most_frequent, to_target_cells
+from fieldwater.operators.quantiles import quantiles
 
 AGGREGATING = (*BLOCK_REDUCERS, "mode")
 # Half width of each interpolation kernel, in source cells.
 INTERPOLATING = {"bilinear": 1, "cubic": 2, "cubicspline": 2, "lanczos": 3}
+QUARTILES = {"q1": 0.25, "med": 0.5, "q3": 0.75}
 KINDS = ("near", *INTERPOLATING, *AGGREGATING)
 
 
@@ -61,6 +64,8 @@ def interpolate(cells: DataFrame, source: GridSpec, target: GridSpec, kind: str,
     are measured and joined one after the other, so each source cell is
     expanded along one axis, summed, and only then along the other.
     """
+    if source.crs != target.crs:
+        return _interpolate_projected(cells, source, target, kind, keys)
     spark = cells.sparkSession
     x0 = (target.left + target.xres / 2 - source.left) / source.xres - 0.5
     y0 = (source.top - target.top + target.yres / 2) / source.yres - 0.5
@@ -82,6 +87,29 @@ def interpolate(cells: DataFrame, source: GridSpec, target: GridSpec, kind: str,
     return down.select(*keys, F.col("target").alias("row"), "col", value.alias("value"))
 
 
+def _interpolate_projected(cells: DataFrame, source: GridSpec, target: GridSpec, kind: str, keys: Sequence[str]) -> DataFrame:
+    """Kernel interpolation between coordinate systems, whose axes do not line up.
+
+    Every target centre is projected once and spread over the source cells its
+    kernel reaches (at most 36), which are then joined by row and column.
+    """
+    reach = INTERPOLATING[kind]
+    x, y = reproject(target.x_of(F.col("col")), target.y_of(F.col("row")), target.crs, source.crs)
+    places = target.lattice(cells.sparkSession).select(
+        "row", "col", ((F.lit(source.top) - y) / source.yres - 0.5).alias("_y"), ((x - source.left) / source.xres - 0.5).alias("_x")
+    )
+    first = lambda c: F.floor(c).cast("int") - (reach - 1)
+    lines = places.select("*", F.explode(F.sequence(first(F.col("_y")), first(F.col("_y")) + 2 * reach - 1)).alias("_sr"))
+    spread = lines.select("*", F.explode(F.sequence(first(F.col("_x")), first(F.col("_x")) + 2 * reach - 1)).alias("_sc"))
+    weight = _kernel(kind, F.col("_y") - F.col("_sr")) * _kernel(kind, F.col("_x") - F.col("_sc"))
+    wanted = spread.where(source.inside(F.col("_sr"), F.col("_sc"))).select("row", "col", "_sr", "_sc", weight.alias("_w")).where("_w <> 0")
+    present = cells.where(F.col("value").isNotNull()).select(*keys, F.col("row").alias("_sr"), F.col("col").alias("_sc"), "value")
+    summed = wanted.join(present, ["_sr", "_sc"]).groupBy(*keys, "row", "col").agg(
+        F.sum(F.col("value") * F.col("_w")).alias("_s"), F.sum("_w").alias("_t")
+    )
+    return summed.select(*keys, "row", "col", F.when(F.abs("_t") > 1e-9, F.col("_s") / F.col("_t")).alias("value"))
+
+
 def regrid(cells: DataFrame, source: GridSpec, target: GridSpec, kind: str = "near", keys: Sequence[str] = ()) -> DataFrame:
     """Resample ``cells`` onto ``target``.
 
@@ -98,4 +126,7 @@ def regrid(cells: DataFrame, source: GridSpec, target: GridSpec, kind: str = "ne
     moved = to_target_cells(cells, source, target)
     if kind == "mode":
         return most_frequent(moved, [*keys, "row", "col"], "value")
+    if kind in QUARTILES:
+        # A target cell may hold any number of source cells, so its values are not gathered.
+        return quantiles(moved, [*keys, "row", "col"], "value", [QUARTILES[kind]], ["value"])
     return moved.groupBy(*keys, "row", "col").agg(BLOCK_REDUCERS[kind](F.col("value")).alias("value"))

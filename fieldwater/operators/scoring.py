@@ -27,6 +27,9 @@ def predictor_frame(
 ) -> DataFrame:
     """One row per cell and month: class, coordinates and every predictor as a column.
 
+    ``class_missing`` marks the cells without a class, which are not scored
+    whichever predictors a model uses.
+
     ``predictors`` is the long table (dataset, year, month, row, col, value)
     already on the target grid. One pivot per kind of product (monthly,
     yearly, static) serves all months.
@@ -45,7 +48,7 @@ def predictor_frame(
             wide = long.groupBy(*on).pivot("dataset", names).agg(F.first("value", ignorenulls=True))
             out = out.join(wide, on, "left")
     out = out.withColumn("crop", recode_crop(F.col("_class"))).drop("_class")
-    masked = mask_missing_class(out, "crop", datasets[0])
+    masked = mask_missing_class(out, "crop", datasets[0]).withColumn("class_missing", F.col("crop").isNull())
     return soil_group_to_infiltration(masked) if soil_to_rate else masked
 
 
@@ -71,6 +74,8 @@ def score_cells(
     """
     filled = impute_remembering(cells, columns)
     vocabularies = {crop_col: list(crops), **{c: list(v) for c, v in (other_classes or {}).items()}}
+    if "class_missing" in cells.columns:
+        filled = filled.withColumn("any_missing", F.col("any_missing") | F.col("class_missing"))
     for name in other_classes or {}:
         filled = filled.withColumn("any_missing", F.col("any_missing") | F.col(name).isNull())
     if month_col:

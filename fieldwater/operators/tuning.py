@@ -86,14 +86,24 @@ def search(
     candidates = []
     for i, params in enumerate(combos):
         mine = [s for j, s in done if j == i]
-        means = {k: sum(s.get(k) or 0.0 for s in mine) / len(mine) for k in mine[0]}
-        candidates.append({"params": params, **means})
+        candidates.append({"params": params, **fold_means(mine)})
     best = min(candidates, key=lambda c: c["validation_rmse"])["params"]
     model = configured(base, best).fit(folded)
     folded.unpersist()
     return SearchResult(model, best, candidates)
 
 
+def fold_means(scores: Sequence[dict]) -> dict[str, float]:
+    """Mean of every score over the folds that have it; a score that no fold has is refused."""
+    means = {}
+    for key in [f"{part}_{s}" for part in ("train", "validation") for s in SCORES]:
+        present = [s[key] for s in scores if s.get(key) is not None]
+        if not present:
+            raise ValueError(f"no fold has a {key}: there are too few rows for so many folds")
+        means[key] = sum(present) / len(present)
+    return means
+
+
 def split_counts(model: Model, path: str, spark) -> DataFrame:
     """Number of splits per feature index of a tree model, read from its saved node table."""
     model.write().overwrite().save(path)
@@ -133,10 +143,11 @@ def per_crop_models(train: DataFrame, crops: Sequence[str], fit, crop_col: str =
 
 
 def predict_per_crop(models: dict[str, Model], df: DataFrame, crop_col: str = "crop") -> DataFrame:
-    parts = [m.transform(df.where(F.col(crop_col) == c)) for c, m in models.items()]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
+    """Each row predicted by its crop's model; rows of no crop, or of one without a model, stay with a NULL prediction."""
+    known = F.coalesce(F.col(crop_col).isin(list(models)), F.lit(False))
+    out = df.where(~known).withColumn("prediction", F.lit(None).cast("double"))
+    for crop, model in models.items():
+        out = out.unionByName(model.transform(df.where(F.col(crop_col) == crop)))
     return out
 
 

@@ -427,19 +427,28 @@ def zonal_share(spark, d):
     return shares.withColumns({t: r(F.col(t), 6) for t in TYPES})
 
 
-@query("project_points", """
-    with k as (select radians(29.5e0) as p1, radians(45.5e0) as p2, radians(23e0) as p0, sqrt(0.00669438002290e0) as e, 0.00669438002290e0 as e2, 6378137e0 as a),
+def albers_sql(points: str) -> str:
+    """Common table expressions that project ``points`` (pid, lon, lat) to ``plane`` (pid, lon, lat, x, y)."""
+    return f"""
+    k as (select radians(29.5e0) as p1, radians(45.5e0) as p2, radians(23e0) as p0, sqrt(0.00669438002290e0) as e, 0.00669438002290e0 as e2, 6378137e0 as a),
     m as (select *, cos(p1) / sqrt(1 - e2 * sin(p1) * sin(p1)) as m1, cos(p2) / sqrt(1 - e2 * sin(p2) * sin(p2)) as m2,
       (1 - e2) * (sin(p1) / (1 - e2 * sin(p1) * sin(p1)) - ln((1 - e * sin(p1)) / (1 + e * sin(p1))) / (2 * e)) as q1,
       (1 - e2) * (sin(p2) / (1 - e2 * sin(p2) * sin(p2)) - ln((1 - e * sin(p2)) / (1 + e * sin(p2))) / (2 * e)) as q2,
       (1 - e2) * (sin(p0) / (1 - e2 * sin(p0) * sin(p0)) - ln((1 - e * sin(p0)) / (1 + e * sin(p0))) / (2 * e)) as q0 from k),
     n as (select *, (m1 * m1 - m2 * m2) / (q2 - q1) as n from m),
     c as (select *, m1 * m1 + n * q1 as c, a * sqrt(m1 * m1 + n * q1 - n * q0) / n as rho0 from n),
-    p as (select c_custkey as pid, -96 + cast((c_custkey * 61) % 1000 as double) / 100 as lon, 30 + cast((c_custkey * 17) % 1000 as double) / 100 as lat from customer),
-    q as (select pid, lon, lat, c.*, (1 - e2) * (sin(radians(lat)) / (1 - e2 * sin(radians(lat)) * sin(radians(lat)))
-      - ln((1 - e * sin(radians(lat))) / (1 + e * sin(radians(lat)))) / (2 * e)) as qq from p cross join c)
-    select pid, round(a * sqrt(c - n * qq) / n * sin(n * radians(lon + 96)), 3) as x,
-      round(rho0 - a * sqrt(c - n * qq) / n * cos(n * radians(lon + 96)), 3) as y, round(lon, 6) as lon, round(lat, 6) as lat from q""")
+    q as (select p.*, c.*, (1 - e2) * (sin(radians(lat)) / (1 - e2 * sin(radians(lat)) * sin(radians(lat)))
+      - ln((1 - e * sin(radians(lat))) / (1 + e * sin(radians(lat)))) / (2 * e)) as qq from ({points}) p cross join c),
+    plane as (select pid, lon, lat, a * sqrt(c - n * qq) / n * sin(n * radians(lon + 96)) as x,
+      rho0 - a * sqrt(c - n * qq) / n * cos(n * radians(lon + 96)) as y from q)"""
+
+
+CUSTOMER_POINTS = "select c_custkey as pid, -96 + cast((c_custkey * 61) % 1000 as double) / 100 as lon, 30 + cast((c_custkey * 17) % 1000 as double) / 100 as lat from customer"
+
+
+@query("project_points", f"""
+    with {albers_sql(CUSTOMER_POINTS)}
+    select pid, round(x, 3) as x, round(y, 3) as y, round(lon, 6) as lon, round(lat, 6) as lat from plane""")
 def project_points(spark, d):
     """Forward projection of every point and the way back."""
     p = domain.points(spark, d).select("pid", (F.col("x") / 10 - 96).alias("lon0"), (F.col("y") / 10 + 30).alias("lat0"))
@@ -449,14 +458,60 @@ def project_points(spark, d):
     return plane.select("pid", r(F.col("x"), 3).alias("x"), r(F.col("y"), 3).alias("y"), r(lon, 6).alias("lon"), r(lat, 6).alias("lat"))
 
 
+# One grid in degrees and one in metres, each with another resolution, for what moves between coordinate systems.
+DEGREES = grid.GridSpec(left=-101.0, top=38.0, xres=0.2, yres=0.15, height=1000, width=50)
+METRES = grid.GridSpec(left=-450e3, top=1650e3, xres=30e3, yres=40e3, height=100, width=40, crs="albers")
+
+
+@query("regrid_projected", f"""
+    with {albers_sql("select r * 100 + c as pid, -101e0 + (c + 0.5) * 0.2e0 as lon, 38e0 - (r + 0.5) * 0.15e0 as lat from (select unnest(range(0, 1000)) as r) t cross join (select unnest(range(0, 50)) as c) u")},
+    moved as (select cast(floor((1650e3 - y) / 40e3) as int) as r, cast(floor((x + 450e3) / 30e3) as int) as c, g.cls as v
+      from plane join {V['cell']} g on g.r * 100 + g.c = pid),
+    counted as (select r, c, v, count(*) as n from moved where r between 0 and 99 and c between 0 and 39 group by 1, 2, 3),
+    mode as (select r, c, v from (select *, row_number() over (partition by r, c order by n desc, v) as k from counted) t where k = 1),
+    seen as (select cast(floor(pid / 100) as int) as r, cast(pid % 100 as int) as c, (1650e3 - y) / 40e3 - 0.5 as sy, (x + 450e3) / 30e3 - 0.5 as sx
+      from plane where pid < 100 * 60),
+    corner as (select seen.*, cast(floor(sy) as int) + i as a, cast(floor(sx) as int) + j as b from seen, (values (0), (1)) u(i), (values (0), (1)) w(j)),
+    mixed as (select corner.r, corner.c, sum(g.val * (1 - abs(sy - a)) * (1 - abs(sx - b))) as s, sum((1 - abs(sy - a)) * (1 - abs(sx - b))) as t
+      from corner join {V['cell']} g on g.r = a and g.c = b where b between 0 and 39 and a between 0 and 99 group by 1, 2)
+    select 'mode' as kind, r as "row", c as col, cast(v as double) as value from mode
+    union all select 'bilinear', r, c, round(s / t, 4) from mixed where t > 1e-9""")
+def regrid_projected(spark, d):
+    """Majority from degrees to metres, and interpolation from metres to degrees."""
+    p = domain.parts(spark, d)
+    classes = regrid.regrid(p.select("row", "col", F.col("cls").cast("double").alias("value")), DEGREES, METRES, "mode")
+    mixed = regrid.regrid(p.where("row < 100 and col < 40").select("row", "col", "value"), METRES, replace(DEGREES, height=60), "bilinear")
+    named = lambda df, kind, value: df.select(F.lit(kind).alias("kind"), "row", "col", value.alias("value"))
+    return named(classes, "mode", F.col("value")).unionByName(named(mixed, "bilinear", r(F.col("value"), 4)))
+
+
+@query("link_lonlat", f"""
+    with f as (select s_suppkey as fid, s_nationkey % 3 as yr, -96 + cast((s_suppkey * 37) % 1000 as double) / 50 as lon, 30 + cast((s_suppkey * 91) % 1000 as double) / 50 as lat from supplier),
+    w as (select c_custkey as wid, c_nationkey % 3 as yr, -96 + cast((c_custkey * 61) % 1000 as double) / 50 as lon, 30 + cast((c_custkey * 17) % 1000 as double) / 50 as lat from customer),
+    {albers_sql("select fid * 2 as pid, lon, lat from f union all select wid * 2 + 1, lon, lat from w")},
+    fp as (select f.*, x, y from f join plane on pid = fid * 2), wp as (select w.*, x, y from w join plane on pid = wid * 2 + 1)
+    select wid, fid, lon, lat from (
+      select wp.wid, fp.fid, round(fp.lon, 6) as lon, round(fp.lat, 6) as lat, row_number() over (partition by wid
+        order by (wp.x - fp.x) * (wp.x - fp.x) + (wp.y - fp.y) * (wp.y - fp.y), fid) as k from wp join fp on wp.yr = fp.yr) t where k = 1""")
+def link_lonlat(spark, d):
+    """The nearest field of wells in degrees: some are nearer in degrees than in metres."""
+    place = lambda key, a, b: ((F.col(key) * a % 1000).cast("double") / 50 - 96, (F.col(key) * b % 1000).cast("double") / 50 + 30)
+    lon, lat = place("c_custkey", 61, 17)
+    rows = domain.table(spark, d, "customer").select(F.col("c_custkey").alias("wid"), (F.col("c_nationkey") % 3).alias("yr"), lon.alias("lon"), lat.alias("lat"))
+    lon, lat = place("s_suppkey", 37, 91)
+    fields = domain.table(spark, d, "supplier").select(F.col("s_suppkey").alias("fid"), (F.col("s_nationkey") % 3).alias("yr"), lon.alias("lon"), lat.alias("lat"))
+    linked = nearest.link_to_fields(rows, fields, "fid", "lon", "lat", "yr", F.lit(True), plane="albers")
+    return linked.where("fid is not null").select("wid", "fid", r(F.col("lon"), 6).alias("lon"), r(F.col("lat"), 6).alias("lat"))
+
+
 @query("lonlat_grid", f"""
-    select cast(r as int) as "row", cast(c as int) as col, round((c + 0.5) * 2e0, 6) as lon, round(100e0 - (r + 0.5) * 2.5e0, 6) as lat,
-      round(c * 2e0, 6) as corner_lon, round(100e0 - r * 2.5e0, 6) as corner_lat from {LATTICE} g""")
+    select r as "row", c as col, round((c + 0.5) * 2e0, 6) as lon, round(100e0 - (r + 0.5) * 2.5e0, 6) as lat,
+      round(c * 2e0, 6) as corner_lon, round(100e0 - r * 2.5e0, 6) as corner_lat from {V['cell']} g""")
 def lonlat_grid(spark, d):
+    """Centres and corners of the cells in ``part``."""
     spec = domain.cell_spec(spark, d)
-    centres = grid.lon_lat_grid(spark, spec)
-    corners = grid.lon_lat_grid(spark, spec, corner=True).withColumnsRenamed({"lon": "corner_lon", "lat": "corner_lat"})
-    both = centres.join(corners, ["row", "col"])
+    cells = domain.cells(spark, d).select("row", "col")
+    both = grid.with_coordinates(grid.with_coordinates(cells, spec), spec, corner=True, names=("corner_lon", "corner_lat"))
     return both.select("row", "col", *[r(F.col(c), 6).alias(c) for c in ("lon", "lat", "corner_lon", "corner_lat")])
 
 

@@ -39,28 +39,34 @@ def prepare(
     crop_coefficients: bool = False,
     relative: bool = False,
     effective: tuple[str, str] | None = None,
+    plane: str | None = None,
 ) -> DataFrame:
     """Link rows to fields, sample every predictor, and add the optional derived predictors.
 
-    ``effective`` names the precipitation and infiltration columns. Columns
-    come back in alphabetical order.
+    ``effective`` names the precipitation and infiltration columns, ``plane``
+    the projection that distances to fields are measured in. Columns come back
+    in alphabetical order.
     """
     out = rows.select(key, *sub_columns) if sub_columns else rows
     if fields is not None:
-        out = link_to_fields(out, fields, x=x, y=y)
+        out = link_to_fields(out, fields, x=x, y=y, plane=plane)
     out = sample_predictors(out, cells, specs, x, y, key, datasets)
     return order_columns(derive(out, crop_coefficients, relative, effective))
 
 
 def derive(
-    rows: DataFrame, crop_coefficients: bool = False, relative: bool = False, effective: tuple[str, str] | None = None
+    rows: DataFrame,
+    crop_coefficients: bool = False,
+    relative: bool = False,
+    effective: tuple[str, str] | None = None,
+    means: DataFrame | None = None,
 ) -> DataFrame:
-    """The optional derived predictors, for training rows and map cells alike."""
+    """The optional derived predictors. Map cells are given the crop ``means`` of the training rows."""
     out = rows
     if crop_coefficients:
         out = out.withColumn("CC", crop_coefficient(F.col("crop")))
     if relative:
-        out = relative_et(out)
+        out = relative_et(out, means=means)
     if effective and all(c in out.columns for c in effective):
         out = out.withColumn("EFF_PPT", effective_precipitation(F.col(effective[0]), F.col(effective[1])))
     return out

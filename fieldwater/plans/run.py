@@ -11,14 +11,14 @@ from pyspark.sql import functions as F
 
 from fieldwater.config import RunConfig
 from fieldwater.functions import codes
-from fieldwater.functions.geo import centroid
+from fieldwater.functions.geo import centroid, reproject
 from fieldwater.operators import compare, grid, polygons, regrid
 from fieldwater.operators.clean import to_millimetres
 from fieldwater.operators.evaluate import split_metrics
 from fieldwater.operators.explain import partial_dependence
-from fieldwater.operators.features import assemble
+from fieldwater.operators.features import assemble, vocabulary
 from fieldwater.operators.grid import GridSpec
-from fieldwater.operators.metering import monthly_use
+from fieldwater.operators.metering import group_means, monthly_use
 from fieldwater.operators.scoring import predictor_frame, score_cells, score_maps
 from fieldwater.operators.split import TRAIN
 from fieldwater.operators.tuning import SearchResult, per_crop_models, predict_per_crop, prediction_table, search
@@ -42,8 +42,8 @@ class Inputs:
     irrigation: DataFrame | None = None
     hydrography: DataFrame | None = None
     map_extent: DataFrame | None = None
-    fine_grid: GridSpec | None = None
     cover_grid: GridSpec | None = None
+    mask_grid: GridSpec | None = None
 
 
 def open_inputs(spark: SparkSession, conf: RunConfig) -> Inputs:
@@ -51,27 +51,37 @@ def open_inputs(spark: SparkSession, conf: RunConfig) -> Inputs:
     rings = lambda path: tables.read_rings(spark, path) if path else None
     grids = lambda path: rasters.read_cells(spark, path) if path else None
     rasters.check_products(conf.predictors)
-    spec = rasters.read_spec(spark, conf.cells)
     return Inputs(
         readings=tables.read_readings(spark, conf.readings, conf.columns),
         sites=tables.read_sites(spark, conf.sites, conf.columns),
         annual=tables.read_annual(spark, conf.annual, conf.columns) if conf.annual else None,
         fields=rings(conf.fields),
         cells=rasters.with_fallbacks(rasters.read_cells(spark, conf.cells), conf.predictors),
-        specs=dict.fromkeys(conf.predictors, spec),
+        specs=rasters.read_specs(spark, conf.cells, conf.predictors),
         land_cover=grids(conf.land_cover),
         irrigation=grids(conf.irrigation),
         hydrography=rings(conf.hydrography),
         map_extent=rings(conf.map_extent),
-        fine_grid=rasters.read_spec(spark, conf.land_cover) if conf.land_cover else None,
         cover_grid=rasters.read_spec(spark, conf.land_cover) if conf.land_cover else None,
+        mask_grid=rasters.read_spec(spark, conf.irrigation) if conf.irrigation else None,
     )
 
 
+# Wells, fields and predictors come in longitude and latitude; lengths and areas are taken in this projection.
+PLANE = "albers"
+
+
 def field_centroids(fields: DataFrame, permit: str = "PermitNumb", year: str = "Year") -> DataFrame:
-    """Field rings to (year, permit, long_dd, lat_dd) centroids."""
-    cx, cy = centroid(F.col("ring"))
-    return fields.select(F.col(year), F.col(permit), cx.alias("long_dd"), cy.alias("lat_dd"))
+    """Field rings to (year, permit, long_dd, lat_dd): the centroid of the projected ring, in degrees again."""
+
+    def flat(p):
+        x, y = reproject(p["x"], p["y"], "lonlat", PLANE)
+        return F.struct(x.alias("x"), y.alias("y"))
+
+    # Exploded out of an array of one, so that vertices are projected once and not again for every term.
+    rings = fields.select(year, permit, F.explode(F.array(F.transform("ring", flat))).alias("_ring"))
+    lon, lat = reproject(*centroid(F.col("_ring")), PLANE, "lonlat")
+    return rings.select(F.col(year), F.col(permit), lon.alias("long_dd"), lat.alias("lat_dd"))
 
 
 def effective_columns(conf: RunConfig) -> tuple[str, str] | None:
@@ -100,7 +110,7 @@ def training_rows(spark: SparkSession, conf: RunConfig, inputs: Inputs) -> DataF
         return prepare(
             rows, inputs.cells, inputs.specs, conf.predictors, KEY, centroids,
             crop_coefficients=conf.crop_coefficient, relative=conf.relative_et,
-            effective=effective_columns(conf),
+            effective=effective_columns(conf), plane=PLANE,
         )
 
     return stages.stage(spark, f"{conf.output}/prepared", build_prepared, conf.reuse_prepared)
@@ -128,7 +138,8 @@ def train(spark: SparkSession, conf: RunConfig, rows: DataFrame) -> Trained:
     made = encode(rows, conf)
     vectors = assemble(made.rows.withColumn("label", F.col(made.target)), made.columns).persist()
     training = vectors.where(F.col("DATA") == TRAIN)
-    strata = ["crop"] if conf.stratified_folds else []
+    # Any test year given means that splits and folds are stratified by year, else by crop.
+    strata = ["Year" if conf.test_years else "crop"] if conf.stratified_folds else []
 
     def fit(part: DataFrame, folds_by=strata) -> SearchResult:
         return search(
@@ -138,8 +149,7 @@ def train(spark: SparkSession, conf: RunConfig, rows: DataFrame) -> Trained:
 
     found, model_path = None, f"{conf.model_dir or conf.output}/model-{conf.model}"
     if conf.per_crop_models:
-        crops = [r[0] for r in training.select("crop").distinct().collect()]
-        model = per_crop_models(training, sorted(crops), lambda part: fit(part, []).model)
+        model = per_crop_models(training, vocabulary(training, "crop"), lambda part: fit(part, []).model)
         scored = predict_per_crop(model, vectors)
         predict: Callable = lambda rows_: scored
         table = prediction_table(_Scored(predict), vectors, made.scaler, made.target, made.columns)
@@ -180,7 +190,7 @@ def map_extent(spark: SparkSession, conf: RunConfig, inputs: Inputs, target: Gri
         years = list(conf.predict_years)
         wanted = lambda df: df.where(F.col("year").isin(years)) if years else df
         cover = grid.majority_regrid(wanted(inputs.land_cover), inputs.cover_grid, target, ["year"])
-        mask = grid.majority_regrid(wanted(inputs.irrigation), inputs.cover_grid, target, ["year"])
+        mask = grid.majority_regrid(wanted(inputs.irrigation), inputs.mask_grid, target, ["year"])
         fields = inputs.fields.withColumnRenamed("Year", "year").withColumn("_id", F.monotonically_increasing_id())
         burned = polygons.burn(fields, target, "_id", keys=["year"])
         water = polygons.burn(inputs.hydrography.withColumn("_id", F.monotonically_increasing_id()), target, "_id")
@@ -198,11 +208,12 @@ def predict_maps(
 ) -> tuple[DataFrame, DataFrame]:
     """Fine and coarse maps of every requested month, in one job each."""
     extent = map_extent(spark, conf, inputs, target)
+    predictors = rasters.prune_products(conf.predictors, conf.drop_attributes)
     months = range(conf.first_month, conf.last_month + 1)
 
     def build_predictors() -> DataFrame:
         parts = []
-        for name in conf.predictors:
+        for name in predictors:
             keys = {"monthly": ["dataset", "year", "month"], "yearly": ["dataset", "year"], "static": ["dataset"]}
             kept = keys[codes.temporal_kind(name)]
             moved = regrid.regrid(inputs.cells.where(F.col("dataset") == name), inputs.specs[name], target, "near", kept)
@@ -211,9 +222,10 @@ def predict_maps(
         for part in parts[1:]:
             long = long.unionByName(part, allowMissingColumns=True)
         frame = predictor_frame(
-            extent, target, long, conf.predictors, list(months), conf.soil_group_to_infiltration, ("long_dd", "lat_dd")
+            extent, target, long, predictors, list(months), conf.soil_group_to_infiltration, ("long_dd", "lat_dd")
         )
-        derived = derive(frame, conf.crop_coefficient, conf.relative_et, effective_columns(conf))
+        means = spark.read.parquet(f"{conf.output}/crop-means") if conf.relative_et else None
+        derived = derive(frame, conf.crop_coefficient, conf.relative_et, effective_columns(conf), means)
         # Training rows were converted too, so the model sees the same units.
         return to_millimetres(derived, trained.inputs.target)
 
@@ -254,8 +266,14 @@ def compare_maps(spark: SparkSession, conf: RunConfig, coarse: DataFrame, coarse
 def run(spark: SparkSession, conf: RunConfig, target: GridSpec | None = None) -> Trained:
     """Everything a configuration asks for."""
     inputs = open_inputs(spark, conf)
-    trained = train(spark, conf, training_rows(spark, conf, inputs))
-    if inputs.land_cover is not None and target is not None and not conf.per_crop_models:
+    rows = training_rows(spark, conf, inputs)
+    if conf.relative_et:
+        # What the model's ratios are relative to; the map's cells are given the same.
+        stages.stage(spark, f"{conf.output}/crop-means", lambda: group_means(rows, codes.ET_PRODUCTS, "crop"))
+    trained = train(spark, conf, rows)
+    if inputs.land_cover is not None:
+        if target is None or conf.per_crop_models:
+            raise ValueError("a map needs a target grid and one model for all crops")
         _, coarse = predict_maps(spark, conf, inputs, trained, target)
         if conf.compare_models:
             compare_maps(spark, conf, coarse, target.coarser(10))

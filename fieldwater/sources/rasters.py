@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -56,6 +57,26 @@ def read_spec(spark: SparkSession, path: str) -> GridSpec:
     return GridSpec(**row)
 
 
+def read_specs(spark: SparkSession, path: str, names: Sequence[str]) -> dict[str, GridSpec]:
+    """The placement of each named product: the stored row of its own name, else the row that holds for the whole table."""
+    stored = {}
+    for row in spark.read.parquet(f"{path}_spec").toLocalIterator():
+        held = row.asDict()
+        name = held.pop("grid")
+        stored[name] = GridSpec(**held)
+    common = next(iter(stored.values())) if len(stored) == 1 else stored.get("grid")
+    missing = [n for n in names if n not in stored and common is None]
+    if missing:
+        raise ValueError(f"no placement is stored for {', '.join(missing)}")
+    return {n: stored.get(n) or common for n in names}
+
+
+def write_specs(spark: SparkSession, path: str, specs: dict[str, GridSpec]) -> None:
+    """Store placements by product beside a cell table; the name "grid" holds for all others."""
+    rows = [spec.save_row(spark, name) for name, spec in specs.items()]
+    reduce(DataFrame.unionByName, rows).write.mode("overwrite").parquet(f"{path}_spec")
+
+
 def catalogue(spark: SparkSession) -> DataFrame:
     """Remote products: dataset, collection, band, reducer, scale, and the collection used from April 2015 on."""
     fields = "dataset string, collection string, band string, reducer string, scale double, later_collection string"
