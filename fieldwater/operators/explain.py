@@ -15,11 +15,11 @@ from fieldwater.operators.quantiles import quantiles
 from fieldwater.operators.ranking import hash_rank
 
 
-def permute(df: DataFrame, column: str, key: str, seed: int | str) -> DataFrame:
-    """Give every row the value another row has, one-to-one, by pairing two hash orders of the table."""
-    receivers = hash_rank(df, [], key, f"{seed}a", "_rank")
-    donors = hash_rank(df.select(key, column), [], key, f"{seed}b", "_rank").select("_rank", F.col(f"`{column}`").alias("_donated"))
-    return receivers.join(donors, "_rank").withColumn(column, F.col("_donated")).drop("_rank", "_donated")
+def paired_rows(rows: DataFrame, columns: Sequence[str], key: str, seed: int | str) -> DataFrame:
+    """Give every row another row's columns as ``_donor``, one-to-one, by pairing two hash orders of the table."""
+    receivers = hash_rank(rows, [], key, f"{seed}a", "_rank")
+    donated = rows.select(key, F.struct(*[F.col(f"`{c}`").alias(c) for c in columns]).alias("_donor"))
+    return receivers.join(hash_rank(donated, [], key, f"{seed}b", "_rank").select("_rank", "_donor"), "_rank").drop("_rank")
 
 
 def permutation_importance(
@@ -34,24 +34,24 @@ def permutation_importance(
 ) -> DataFrame:
     """Rise of the normalised RMSE when one feature is permuted: (feature, repeat, importance).
 
-    One row per (feature, repeat); each is one join of two ranks and one scoring pass.
+    A repeat is one pairing of the rows, shared by all features: each feature
+    in turn takes the paired row's value, which is one more pass of the model
+    over the same rows, and one aggregation scores all of them.
     """
+    names = list(features or columns)
     rows = rows.select(key, label, *[F.col(f"`{c}`") for c in columns]).persist()
-
-    def score(df: DataFrame) -> DataFrame:
-        scored = model.transform(assemble(df, columns))
-        return scored.agg(metric_columns(label, "prediction")["nrmse"].alias("_score"))
-
-    base = score(rows).first()[0]
+    whole = model.transform(assemble(rows, columns))
+    base = whole.agg(metric_columns(label, "prediction")["nrmse"].alias("_score")).first()[0]
     parts = []
-    for name in features or columns:
-        for r in range(repeats):
-            worse = score(permute(rows, name, key, f"{seed}-{name}-{r}"))
-            parts.append(
-                worse.select(
-                    F.lit(name).alias("feature"), F.lit(r).alias("repeat"), (F.col("_score") - base).alias("importance")
-                )
-            )
+    for r in range(repeats):
+        scored = paired_rows(rows, names, key, f"{seed}-{r}")
+        for i, name in enumerate(names):
+            swapped = scored.withColumn("_held", F.col(f"`{name}`")).withColumn(name, F.col("_donor")[name])
+            ready = assemble(swapped, columns, f"_f{i}").withColumn(name, F.col("_held")).drop("_held")
+            scored = model.copy({model.featuresCol: f"_f{i}", model.predictionCol: f"_p{i}"}).transform(ready)
+        scores = scored.agg(*[metric_columns(label, f"_p{i}")["nrmse"].alias(f"_s{i}") for i in range(len(names))])
+        told = [F.struct(F.lit(n).alias("feature"), F.lit(r).alias("repeat"), (F.col(f"_s{i}") - base).alias("importance")) for i, n in enumerate(names)]
+        parts.append(scores.select(F.inline(F.array(*told))))
     return reduce(DataFrame.unionByName, parts)
 
 

@@ -196,13 +196,15 @@ def metrics(spark, d):
 @query("split_metrics", f"""
     with q as (select *, case when yr in (1996, 2000) then 'TEST' else 'TRAIN' end as split from {RESIDUALS} z),
     g as (select split, cast(null as varchar) as crop, cast(null as int) as yr, y, p from q union all
-      select split, crop, null, y, p from q union all select split, null, yr, y, p from q)
-    select split, crop, yr, count(*) as n_rows, round(avg(abs(y - p)), 2) as mae, round(sqrt(avg((y - p) * (y - p))), 2) as rmse
-    from g group by 1, 2, 3""")
+      select split, crop, null, y, p from q union all select split, null, yr, y, p from q),
+    h as (select *, avg(y) over (partition by split, crop, yr) as ym from g)
+    select split, crop, yr, count(*) as n_rows, round(avg(abs(y - p)), 2) as mae, round(sqrt(avg((y - p) * (y - p))), 2) as rmse,
+      round(1 - sum((y - p) * (y - p)) / sum((y - ym) * (y - ym)), 2) as r2
+    from h group by 1, 2, 3""")
 def split_metrics(spark, d):
     parted = split.split_years(_predictions(spark, d), (1996, 2000), "yr")
     made = evaluate.split_metrics(parted, "DATA", "crop", "yr", precision=2)
-    return made.select(F.col("DATA").alias("split"), "crop", "yr", "n_rows", "mae", "rmse")
+    return made.select(F.col("DATA").alias("split"), "crop", "yr", "n_rows", "mae", "rmse", "r2")
 
 
 @query("std_residual", f"""
@@ -238,78 +240,133 @@ def partial_dependence(spark, d):
     return made.select(place.alias("i"), r(F.col("at"), 4).alias("at"), r(F.col("response"), 2).alias("response"))
 
 
-@query("permutation_importance")
+@query("permutation_importance", f"""
+    with a as (select id, mon, wu from {V['annual']} x),
+    o as (select r, id, mon, wu, row_number() over (partition by r order by md5(concat('1-', r, 'a|', cast(id as varchar))), id) as k from a, (values (0), (1)) t(r)),
+    q as (select r, mon, row_number() over (partition by r order by md5(concat('1-', r, 'b|', cast(id as varchar))), id) as k from a, (values (0), (1)) t(r)),
+    e as (select o.r, 100 * sqrt(avg(power(wu - (f.a * q.mon + f.b), 2))) / avg(wu) as worse, 100 * sqrt(avg(power(wu - (f.a * o.mon + f.b), 2))) / avg(wu) as plain
+      from o join q on o.r = q.r and o.k = q.k cross join {FIT} f group by o.r)
+    select 'm' as feature, round(avg(worse - plain), 6) as importance, round(stddev_samp(worse - plain), 6) as sd from e
+    union all select 'constant', 0e0, 0e0""")
 def permutation_importance(spark, d):
     """A real feature and a constant one; the constant scores exactly 0."""
     rows = domain.annual(spark, d).select(
         "id", F.col("mon").cast("double").alias("m"), F.lit(1.0).alias("constant"), F.col("wu").alias("label")
     )
-    model = estimators.make_estimator("DT").fit(features.assemble(rows, ["m", "constant"]))
+    model = _linear(features.assemble(rows, ["m", "constant"]))
     scores = explain.permutation_importance(model, rows, ["m", "constant"], "id", repeats=2)
-    return explain.permutation_summary(scores)
+    made = explain.permutation_summary(scores)
+    return made.select("feature", r(F.col("importance"), 6).alias("importance"), r(F.col("sd"), 6).alias("sd"))
 
 
 # ---------------------------------------------------------------- tuned models
-
-
-def _training(spark, d):
-    """Monthly composites of the cube with the class, size and place of the cell as features."""
-    p = domain.parts(spark, d).select("row", "col", "cls", F.col("value").alias("price"), "crop")
-    months = grid.composite(domain.cube(spark, d), "sum").join(p, ["row", "col"])
-    rows = months.select(
-        F.concat_ws("-", "row", "col", "year", "month").alias("key"), "crop", F.col("value").alias("label"),
-        *[F.col(c).cast("double").alias(c) for c in ("row", "col", "month", "cls", "price")],
-    )
-    return features.assemble(rows, ["row", "col", "month", "cls", "price"])
-
-
-COLUMNS = ("cls", "col", "month", "price", "row")
-
-
-@query("tree_search")
+#
+# Trees of depth 1 on the month have an exact answer in SQL: of the splits between
+# months, the one with the least variance left. Forests without sampling repeat it.
+
+
+def stump_sql(name: str, rows: str) -> str:
+    """Common table expressions ending in ``name`` (g, t, lo, hi): the best split of ``rows`` (g, mon, y, w) for every g."""
+    return f"""
+    {name}_m as (select g, mon, sum(w) as n, sum(w * y) as s from {rows} group by g, mon),
+    {name}_s as (select g, mon as t, sum(n) over (partition by g order by mon) as nl, sum(s) over (partition by g order by mon) as sl,
+      sum(n) over (partition by g) as nt, sum(s) over (partition by g) as st from {name}_m),
+    {name}_k as (select *, row_number() over (partition by g order by sl * sl / nl + (st - sl) * (st - sl) / (nt - nl) desc, t) as k from {name}_s where nt - nl > 1e-9),
+    {name} as (select g, t, sl / nl as lo, (st - sl) / (nt - nl) as hi from {name}_k where k = 1)"""
+
+
+ROWS_SQL = f"base as (select 0 as g, id, mon, wu as y, 1e0 as w from {V['annual']} a)"
+STUMP_SQL = f"""with {ROWS_SQL}, {stump_sql('s', 'base')}
+    select id, round(case when mon <= t then lo else hi end, 4) as p from base join s using (g)"""
+FOLD_SCORES = """
+    scored as (select g, held, y, p, avg(y) over (partition by g, held) as ym from predicted),
+    each as (select g, case when held then 'validation' else 'train' end as part, 1 - sum((y - p) * (y - p)) / sum((y - ym) * (y - ym)) as r2,
+      sqrt(avg((y - p) * (y - p))) as rmse, avg(abs(y - p)) as mae from scored group by g, held),
+    means as (select part, avg(r2) as r2, avg(rmse) as rmse, avg(mae) as mae from each group by part)
+    select concat(part, '_', name) as score, round(case name when 'r2' then r2 when 'rmse' then rmse else mae end, 6) as value
+    from means, (values ('r2'), ('rmse'), ('mae')) n(name)"""
+
+
+def _summary(spark, found):
+    rows = spark.createDataFrame([(k, float(v)) for k, v in found.summary().items()], "score string, value double")
+    return rows.withColumn("value", r(F.col("value"), 6))
+
+
+@query("tree_search", f"""
+    with a as (select *, (row_number() over (partition by crop order by md5(concat('7|', cast(id as varchar))), id) - 1) % 3 as fold from {V['annual']} x),
+    f as (select fold as g, mon, wu as y, 1e0 as w, fold = own as held from (select a.mon, a.wu, a.fold as own, h.fold from a, (values (0), (1), (2)) h(fold)) t),
+    fitted as (select * from f where not held), {stump_sql('s', 'fitted')},
+    predicted as (select g, held, y, case when mon <= t then lo else hi end as p from f join s using (g)), {FOLD_SCORES}""")
 def tree_search(spark, d):
-    """Grid search over stratified folds; one row per candidate with its mean scores."""
-    found = tuning.search(
-        _training(spark, d), "DT", "key", folds=3, repeats=1, strata=["crop"],
-        grid={"maxDepth": [3, 5], "minInstancesPerNode": [20]}, seed=7,
-    )
-    rows = [(str(sorted(c["params"].items())), *[float(c[k]) for k in ("train_r2", "train_rmse", "validation_r2", "validation_rmse", "validation_mae")]) for c in found.candidates]
-    return spark.createDataFrame(rows, "params string, train_r2 double, train_rmse double, validation_r2 double, validation_rmse double, validation_mae double")
+    """Search with folds stratified by class; the mean scores of the one candidate, a tree of depth 1."""
+    grid_ = {"maxDepth": [1], "minInstancesPerNode": [1]}
+    return _summary(spark, tuning.search(_labelled(spark, d), "DT", "id", folds=3, repeats=1, strata=["crop"], grid=grid_, seed=7))
 
 
-@query("linear_search")
+@query("linear_search", f"""
+    with a as (select id, mon, wu, r, (row_number() over (partition by r order by md5(concat(7 + r, '|', cast(id as varchar))), id) - 1) % 3 as own
+      from {V['annual']} x, (values (0), (1)) u(r)),
+    f as (select r * 3 + fold as g, mon, wu as y, fold = own as held from a, (values (0), (1), (2)) h(fold)),
+    fitted as (select g, regr_slope(y, mon) as a, regr_intercept(y, mon) as b from f where not held group by g),
+    predicted as (select g, held, y, a * mon + b as p from f join fitted using (g)), {FOLD_SCORES}""")
 def linear_search(spark, d):
-    found = tuning.search(_training(spark, d), "LR", "key", folds=3, repeats=2, seed=7)
-    summary = found.summary()
-    return spark.createDataFrame([(k, float(v)) for k, v in summary.items()], "score string, value double")
-
+    """Repeated folds of a least-squares fit: the mean scores."""
+    return _summary(spark, tuning.search(_labelled(spark, d), "LR", "id", folds=3, repeats=2, seed=7))
 
-def _fitted(spark, d, name, **params):
-    rows = _training(spark, d).persist()
-    model = estimators.configured(estimators.make_estimator(name, 7), params).fit(rows)
-    return rows, model
 
-
-def _fit_metrics(name, **params):
+def _predicted(name, digits=4, **params):
     def run(spark, d):
-        rows, model = _fitted(spark, d, name, **params)
-        return evaluate.metrics(model.transform(rows), ["crop"], "label", "prediction")
+        rows = _labelled(spark, d)
+        model = estimators.configured(estimators.make_estimator(name, 7), params).fit(rows)
+        return model.transform(rows).select("id", r(F.col("prediction"), digits).alias("p"))
 
     return run
 
 
-query("boosted_fit")(_fit_metrics("LGBM", maxIter=5, maxDepth=4, stepSize=0.1))
-query("forest_fit")(_fit_metrics("DRF", numTrees=10, maxDepth=5, subsamplingRate=0.9, featureSubsetStrategy="0.8"))
-query("bagged_fit")(_fit_metrics("BT", numTrees=5, maxDepth=5))
-query("extra_trees_fit")(_fit_metrics("ETR", numTrees=5, maxDepth=5))
-query("adaboost_fit")(_fit_metrics("ABR", maxIter=4, stepSize=0.5, maxDepth=3))
-query("huber_fit")(_fit_metrics("SVR", maxIter=20))
-
-
-@query("importances")
+WHOLE = {"numTrees": 3, "maxDepth": 1, "bootstrap": False, "subsamplingRate": 1.0, "featureSubsetStrategy": "all"}
+query("tree_fit", STUMP_SQL)(_predicted("DT", maxDepth=1))
+query("forest_fit", STUMP_SQL)(_predicted("DRF", **WHOLE))
+query("random_forest_fit", STUMP_SQL)(_predicted("RF", **WHOLE))
+query("bagged_fit", STUMP_SQL)(_predicted("BT", **WHOLE))
+# Extra trees stand in by few bins: with 12 months in 8 bins the split may differ, so they are given a bin for each.
+query("extra_trees_fit", STUMP_SQL)(_predicted("ETR", maxBins=16, **WHOLE))
+
+query("boosted_fit", f"""
+    with {ROWS_SQL}, {stump_sql('s', 'base')},
+    one as (select g, id, mon, y, w, case when mon <= t then lo else hi end as p from base join s using (g)),
+    gap as (select g, mon, 2 * (y - p) as y, w from one), {stump_sql('z', 'gap')}
+    select id, round(p + 0.1 * case when mon <= t then lo else hi end, 4) as p from one join z using (g)""")(
+    _predicted("LGBM", maxIter=2, maxDepth=1, stepSize=0.1, subsamplingRate=1.0, featureSubsetStrategy="all")
+)
+
+query("adaboost_fit", f"""
+    with {ROWS_SQL}, {stump_sql('s', 'base')},
+    one as (select g, id, mon, y, w, case when mon <= t then lo else hi end as p from base join s using (g)),
+    miss as (select *, abs(y - p) / max(abs(y - p)) over () as share from one),
+    loss as (select sum(w * share) / sum(w) as l from miss),
+    again as (select g, id, mon, y, p, w * power(l / (1 - l), 0.5 * (1 - share)) as w from miss cross join loss), {stump_sql('z', 'again')},
+    two as (select again.*, case when mon <= t then lo else hi end as q from again join z using (g)),
+    miss2 as (select *, abs(y - q) / max(abs(y - q)) over () as share from two),
+    loss2 as (select sum(w * share) / sum(w) as l2 from miss2)
+    select id, round(case when l2 >= 0.5 then p when p = q then p when (ln((1 - l) / l) >= ln((1 - l2) / l2)) then p else q end, 4) as p
+    from two cross join loss cross join loss2""")(_predicted("ABR", maxIter=2, stepSize=0.5, maxDepth=1))
+
+
+@query("huber_fit", f"select id, round(3e0 * mon + 7e0, 2) as p from {V['annual']} a")
+def huber_fit(spark, d):
+    """On a line without noise every robust fit is the line."""
+    rows = domain.annual(spark, d).select("id", F.col("mon").cast("double").alias("m"), (F.col("mon") * 3.0 + 7.0).alias("label"))
+    rows = features.assemble(rows, ["m"])
+    model = estimators.configured(estimators.make_estimator("SVR", 7), {"maxIter": 200, "tol": 1e-10}).fit(rows)
+    return model.transform(rows).select("id", r(F.col("prediction"), 2).alias("p"))
+
+
+@query("importances", f"select * from (select 'm' as feature, 1e0 as importance union all select 'constant', 0e0) t where (select count(*) from {V['annual']} a) > 0")
 def importances(spark, d):
-    rows, model = _fitted(spark, d, "DRF", numTrees=5, maxDepth=4)
-    return tuning.top_features(tuning.importances(model, COLUMNS, spark, "DRF", domain.scratch(spark, "forest")), 5)
+    """Split counts of a forest whose second feature is constant and can't be split on."""
+    rows = domain.annual(spark, d).select("id", F.col("mon").cast("double").alias("m"), F.lit(1.0).alias("constant"), F.col("wu").alias("label"))
+    model = estimators.configured(estimators.make_estimator("DRF", 7), WHOLE).fit(features.assemble(rows, ["m", "constant"]))
+    return tuning.top_features(tuning.importances(model, ["m", "constant"], spark, "DRF", domain.scratch(spark, "forest")), 5)
 
 
 # ---------------------------------------------------------------- maps
