@@ -76,11 +76,13 @@ def partial_dependence(
 
     Rows that agree in all other features are merged first and weighted. Each
     is expanded over the fixed grid in place and averaged on the map side, so
-    ``points`` rows are shuffled per task. A feature with few values uses
-    those values.
+    ``points`` rows are shuffled per task. A feature with fewer distinct values
+    than ``points`` is held at those values instead. Missing values are no place
+    on the axis.
     """
-    distinct = [r[0] for r in rows.select(f"`{feature}`").distinct().limit(points + 1).collect()]
-    if len(distinct) <= points:
+    present = rows.where(F.col(f"`{feature}`").isNotNull())
+    distinct = [r[0] for r in present.select(f"`{feature}`").distinct().limit(points).collect()]
+    if len(distinct) < points:
         values = sorted(float(v) for v in distinct)
     else:
         lo, hi = quantiles(rows, [], feature, [low, high], ["lo", "hi"]).first()

@@ -26,12 +26,12 @@ def _drain(writer, name: str, spark):
     select site, cast(year(ts) as int) as yr, cast(month(ts) as int) as mon, round(sum(value), 4) as wu
     from {V['reading']} q where value >= 0 group by 1, 2, 3""")
 def stream_monthly(spark, d):
-    """Running monthly totals in complete mode; each batch replaces the result table."""
+    """Daily totals in update mode, each batch's changes kept; months are summed from every day's last version."""
     path = domain.scratch(spark, "stream-monthly")
-    totals = meters.running_monthly_totals(_events(spark, d))
-    writer = totals.writeStream.outputMode("complete").foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(path))
+    totals = meters.running_daily_totals(_events(spark, d))
+    writer = totals.writeStream.outputMode("update").foreachBatch(meters.append_updates(path))
     _drain(writer, "monthly", spark)
-    made = spark.read.parquet(path)
+    made = meters.monthly_totals_so_far(spark.read.parquet(path))
     return made.select("site", F.year("month").alias("yr"), F.month("month").alias("mon"), F.round("value", 4).alias("wu"))
 
 

@@ -6,9 +6,8 @@ import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
-# Settings the operators rely on at scale. Skew joins are split by AQE, small
-# shuffle partitions are merged, and the initial partition count is left high
-# on purpose (AQE only ever merges).
+# Settings the operators rely on at scale. Skew joins are split and small shuffle
+# partitions merged at run time; written checkpoints go when nothing refers to them.
 DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
@@ -17,15 +16,32 @@ DEFAULTS = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.parquet.filterPushdown": "true",
     "spark.sql.files.maxPartitionBytes": "128m",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
+# Shuffles start from partitions of about this size; fewer come from merging, never more.
+PARTITION_BYTES = 128 * 2**20
+LEAST_PARTITIONS, MOST_PARTITIONS = 200, 200_000
 
-def build_session(app: str = "fieldwater", master: str | None = None, **conf: str) -> SparkSession:
-    """Return a session with the library defaults; keyword arguments override them."""
+
+def initial_partitions(input_bytes: int) -> int:
+    """How many partitions a shuffle of the whole input starts from."""
+    return min(MOST_PARTITIONS, max(LEAST_PARTITIONS, -(-input_bytes // PARTITION_BYTES)))
+
+
+def build_session(app: str = "fieldwater", master: str | None = None, input_bytes: int | None = None, **conf: str) -> SparkSession:
+    """Return a session with the library defaults; keyword arguments override them.
+
+    ``input_bytes`` is the size of the tables to be read. It sets the number of
+    partitions shuffles start from, which run-time merging can only lower.
+    """
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
-    for key, value in {**DEFAULTS, **{k: str(v) for k, v in conf.items()}}.items():
+    made = dict(DEFAULTS)
+    if input_bytes is not None:
+        made["spark.sql.adaptive.coalescePartitions.initialPartitionNum"] = str(initial_partitions(input_bytes))
+    for key, value in {**made, **{k: str(v) for k, v in conf.items()}}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
 

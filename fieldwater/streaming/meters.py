@@ -13,16 +13,33 @@ def event_time(readings: DataFrame, ts: str = "ts") -> DataFrame:
     return readings.withColumn(ts, F.col(ts).cast("timestamp"))
 
 
-def running_monthly_totals(
+def running_daily_totals(
     readings: DataFrame, site: str = "site", ts: str = "ts", value: str = "value", late: str = "2 days"
 ) -> DataFrame:
-    """Monthly totals per site so far. Write in update or complete mode: a month is open until it ends."""
+    """Daily totals per site so far, for update mode: each batch gives the days it changed.
+
+    A day's state is dropped once the watermark has passed its end, so what is
+    kept does not grow with the age of the stream. Readings later than ``late``
+    are dropped.
+    """
     rows = clean_rows(event_time(readings, ts).select(site, ts, value)).where(F.col(value) >= 0)
-    return (
-        rows.withWatermark(ts, late)
-        .groupBy(F.date_trunc("month", ts).alias("month"), site)
-        .agg(F.sum(value).alias(value))
-    )
+    grouped = rows.withWatermark(ts, late).groupBy(F.window(ts, "1 day").alias("_w"), site).agg(F.sum(value).alias(value))
+    return grouped.select(site, F.to_date("_w.start").alias("day"), value)
+
+
+def append_updates(path: str):
+    """A ``foreachBatch`` sink that keeps every batch's rows with its number; a repeated batch replaces itself."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return write
+
+
+def monthly_totals_so_far(updates: DataFrame, site: str = "site", value: str = "value", batch: str = "batch") -> DataFrame:
+    """Monthly totals per site from written updates: of every day, what the last batch said."""
+    days = updates.groupBy(site, "day").agg(F.max_by(value, batch).alias(value))
+    return days.groupBy(site, F.trunc("day", "month").alias("month")).agg(F.sum(value).alias(value))
 
 
 def daily_totals(readings: DataFrame, site: str = "site", ts: str = "ts", value: str = "value", late: str = "2 days") -> DataFrame:

@@ -143,8 +143,8 @@ def test_permuting_a_constant_changes_nothing(rows):
 
 
 def test_permutation_is_one_to_one(rows):
-    mixed = explain.permute(rows.select("id", "a"), "a", "id", 3)
-    before, after = {r.id: r.a for r in rows.collect()}, {r.id: r.a for r in mixed.collect()}
+    mixed = explain.paired_rows(rows.select("id", "a"), ["a"], "id", 3)
+    before, after = {r.id: r.a for r in rows.collect()}, {r.id: r._donor.a for r in mixed.collect()}
     assert sorted(before.values()) == sorted(after.values()) and before != after
 
 
