@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import json
 import math
 
 from pyspark import keyword_only
 from pyspark.ml import Estimator, Model
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.param.shared import HasFeaturesCol, HasLabelCol, HasMaxIter, HasPredictionCol, HasSeed, HasStepSize
-from pyspark.ml.regression import DecisionTreeRegressor
-from pyspark.sql import DataFrame
+from pyspark.ml.regression import DecisionTreeRegressionModel, DecisionTreeRegressor
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldwater.session import cut_lineage
@@ -88,6 +89,18 @@ class AdaBoostModel(Model, _BoostParams):
         names = {p.name: v for p, v in (extra or {}).items()}
         return new._set(**names)
 
+    def save_stage(self, path: str) -> None:
+        """Every tree in a folder of its own, and what joins them."""
+        for i, tree in enumerate(self.trees):
+            tree.write().overwrite().save(f"{path}/tree-{i}")
+        told = json.dumps([[float(w) for w in self.weights], self.getFeaturesCol(), self.getPredictionCol()])
+        SparkSession.active().createDataFrame([(told,)], "settings string").write.mode("overwrite").parquet(f"{path}/settings")
+
+    @classmethod
+    def load_stage(cls, spark: SparkSession, path: str) -> AdaBoostModel:
+        weights, features, prediction = json.loads(spark.read.parquet(f"{path}/settings").first()[0])
+        return cls([DecisionTreeRegressionModel.load(f"{path}/tree-{i}") for i in range(len(weights))], weights, features, prediction)
+
     def _transform(self, df: DataFrame) -> DataFrame:
         out = df
         for i, tree in enumerate(self.trees):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import math
 
 from pyspark import keyword_only
@@ -9,11 +10,15 @@ from pyspark.ml import Estimator, Model
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.param.shared import HasFeaturesCol, HasLabelCol, HasPredictionCol
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Training rows one task holds at a time. A training table within it is broadcast.
+from fieldwater.session import cut_lineage
+
+# Training rows, and queries, that one task holds at a time.
 BLOCK_ROWS = 50_000
+# Training points that divide the space into cells, first by hash; so few are sent to every task.
+PIVOTS = 256
 
 
 class _NeighbourParams(HasFeaturesCol, HasLabelCol, HasPredictionCol):
@@ -43,7 +48,7 @@ class NeighboursRegressor(Estimator, _NeighbourParams):
             .persist()
         )
         settings = {q.name: v for q, v in self.extractParamMap().items()}
-        return NeighboursModel(rows, rows.count(), settings)
+        return NeighboursModel(rows, settings)
 
 
 def _nearest_rows(k: int, p: float):
@@ -77,7 +82,7 @@ def _pair_of_blocks(find):
         import pandas as pd
 
         if not len(queries) or not len(block):
-            return pd.DataFrame({"_id": [], "_near": []})
+            return pd.DataFrame({"_id": pd.Series([], dtype=object), "_near": pd.Series([], dtype=object)})
         near = find(
             np.stack(queries["_x"].to_numpy()), np.stack(block["_t"].to_numpy()), block["_y"].to_numpy(), block["_c"].to_numpy()
         )
@@ -86,18 +91,47 @@ def _pair_of_blocks(find):
     return run
 
 
-def _against_broadcast(find, held):
-    """Task helper: batches of queries against the broadcast training rows."""
+def _place(pivots, p: float):
+    """Task helper: the cell of each training row, which is its nearest pivot, and the distance to it."""
+
+    def run(batches):
+        import numpy as np
+
+        for rows in batches:
+            if len(rows):
+                gaps = np.abs(np.stack(rows["_t"].to_numpy())[:, None, :] - pivots[None, :, :])
+                distance = (gaps**p).sum(axis=2) ** (1.0 / p)
+                cell = distance.argmin(axis=1)
+                yield rows.assign(_cell=cell.astype("int32"), _far=distance[np.arange(len(rows)), cell])
+
+    return run
+
+
+def _reach(pivots, radius, held, k: int, p: float):
+    """Task helper: the cells that may hold one of the k nearest rows of each query.
+
+    The cells within reach of some distance hold k rows for sure; a cell farther
+    off than that, less its radius, holds none of the k nearest (the triangle
+    inequality).
+    """
 
     def run(batches):
         import numpy as np
         import pandas as pd
 
-        train, y, copies = held.value
-        for queries in batches:
-            if len(queries):
-                near = find(np.stack(queries["_x"].to_numpy()), train, y, copies)
-                yield pd.DataFrame({"_id": queries["_id"].to_numpy(), "_near": list(near)})
+        for rows in batches:
+            if not len(rows):
+                continue
+            gaps = np.abs(np.stack(rows["_x"].to_numpy())[:, None, :] - pivots[None, :, :])
+            distance = (gaps**p).sum(axis=2) ** (1.0 / p)
+            farthest = distance + radius
+            order = farthest.argsort(axis=1)
+            enough = (held[order].cumsum(axis=1) < k).sum(axis=1)
+            sure = np.take_along_axis(farthest, order, axis=1)
+            at = np.minimum(enough, sure.shape[1] - 1)
+            limit = np.where(enough < sure.shape[1], sure[np.arange(len(rows)), at], np.inf)
+            query, cell = np.nonzero((distance - radius) * (1 - 1e-9) <= limit[:, None] * (1 + 1e-9))
+            yield pd.DataFrame({"_id": rows["_id"].to_numpy()[query], "_x": rows["_x"].to_numpy()[query], "_cell": cell.astype("int32")})
 
     return run
 
@@ -105,49 +139,64 @@ def _against_broadcast(find, held):
 class NeighboursModel(Model, _NeighbourParams):
     """Mean, or inverse-distance mean, of the k nearest training targets.
 
-    A training table within ``BLOCK_ROWS`` distinct rows is broadcast. A larger
-    one meets the queries block by block: both sides are dealt into blocks of
-    bounded size, every pair of blocks is one task, and only k rows per query
-    leave it. Equal feature vectors are looked up once.
+    A bounded set of training points divides the space into cells. A query is
+    sent only to the cells that can hold one of its k nearest rows, by the
+    triangle inequality of the Minkowski distance, so pairs of far rows never
+    meet. Crowded cells are dealt into blocks of bounded size, and only k rows
+    per query leave a block. Equal feature vectors are looked up once.
     """
 
-    def __init__(self, rows: DataFrame, n_rows: int, settings: dict):
+    def __init__(self, rows: DataFrame, settings: dict):
         super().__init__()
-        self.rows, self.n_rows = rows, n_rows
+        self.rows = rows
         self._setDefault(k=5, weights="uniform", p=2.0)
         self._set(**settings)
+        if self.getOrDefault("p") < 1:
+            raise ValueError("a Minkowski distance has an order of at least 1")
 
     def copy(self, extra=None):
-        settings = {q.name: v for q, v in self.extractParamMap().items()}
-        return NeighboursModel(self.rows, self.n_rows, {**settings, **{q.name: v for q, v in (extra or {}).items()}})
+        return NeighboursModel(self.rows, {**self._settings(), **{q.name: v for q, v in (extra or {}).items()}})
+
+    def _settings(self) -> dict:
+        return {q.name: v for q, v in self.extractParamMap().items()}
+
+    def save_stage(self, path: str) -> None:
+        self.rows.write.mode("overwrite").parquet(f"{path}/rows")
+        told = self.rows.sparkSession.createDataFrame([(json.dumps(self._settings()),)], "settings string")
+        told.write.mode("overwrite").parquet(f"{path}/settings")
+
+    @classmethod
+    def load_stage(cls, spark: SparkSession, path: str) -> NeighboursModel:
+        return cls(spark.read.parquet(f"{path}/rows"), json.loads(spark.read.parquet(f"{path}/settings").first()[0]))
 
     def _candidates(self, queries: DataFrame, block_rows: int) -> DataFrame:
-        find = _nearest_rows(self.getOrDefault("k"), self.getOrDefault("p"))
-        shape = "_id binary, _near array<struct<d: double, y: double, c: bigint>>"
-        if self.n_rows <= block_rows:
-            import numpy as np
-
-            held = self.rows.toPandas()
-            arrays = (np.stack(held["_t"].to_numpy()), held["_y"].to_numpy(), held["_c"].to_numpy())
-            shared = queries.sparkSession.sparkContext.broadcast(arrays)
-            return queries.mapInPandas(_against_broadcast(find, shared), shape)
-        queries = queries.persist()
-        n_train, n_query = math.ceil(self.n_rows / block_rows), max(1, math.ceil(queries.count() / block_rows))
-        numbers = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint")))
-        asked = queries.withColumns(
-            {
-                "_q": F.pmod(F.xxhash64("_id"), F.lit(n_query)),
-                "_b": numbers(n_train),
-            }
-        )
-        train = self.rows.withColumns(
-            {
-                "_b": F.pmod(F.xxhash64("_t", "_y"), F.lit(n_train)),
-                "_q": numbers(n_query),
-            }
-        )
-        paired = asked.groupBy("_q", "_b").cogroup(train.groupBy("_q", "_b"))
-        return paired.applyInPandas(_pair_of_blocks(find), shape)
+        import numpy as np
+
+        k, p = self.getOrDefault("k"), self.getOrDefault("p")
+        find, shape = _nearest_rows(k, p), "_id binary, _near array<struct<d: double, y: double, c: bigint>>"
+        picked = self.rows.select("_t").distinct().orderBy(F.xxhash64("_t"), "_t").limit(PIVOTS).collect()
+        if not picked:
+            return queries.sparkSession.createDataFrame([], shape)
+        pivots = np.array([row["_t"] for row in picked])
+        train = cut_lineage(self.rows.mapInPandas(_place(pivots, p), "_t array<double>, _y double, _c bigint, _cell int, _far double"))
+        stats = train.groupBy("_cell").agg(F.max("_far").alias("far"), F.sum("_c").alias("held"), F.count(F.lit(1)).alias("rows")).collect()
+        # A cell without rows is out of everybody's reach.
+        radius, held, rows = np.full(len(pivots), -np.inf), np.zeros(len(pivots)), np.zeros(len(pivots))
+        for cell in stats:
+            radius[cell["_cell"]], held[cell["_cell"]], rows[cell["_cell"]] = cell["far"], cell["held"], cell["rows"]
+        live = np.flatnonzero(held)
+        asked = cut_lineage(queries.mapInPandas(_reach(pivots[live], radius[live], held[live], k, p), "_id binary, _x array<double>, _cell int"))
+        cells = F.array(*[F.lit(int(c)) for c in live])
+        asked = asked.withColumn("_cell", F.element_at(cells, F.col("_cell") + 1))
+        sent = {r["_cell"]: r["n"] for r in asked.groupBy("_cell").agg(F.count(F.lit(1)).alias("n")).collect()}
+        shares = lambda n: max(1, math.ceil(n / block_rows))
+        blocks = lambda sizes: F.create_map(*[F.lit(v) for c in live for v in (int(c), shares(sizes.get(int(c), 0)))])[F.col("_cell")]
+        of_rows, of_queries = blocks({int(c): rows[c] for c in live}), blocks(sent)
+        every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+        asked = asked.withColumns({"_q": F.pmod(F.xxhash64("_id"), of_queries).cast("int"), "_b": every(of_rows)})
+        dealt = train.withColumns({"_b": F.pmod(F.xxhash64("_t", "_y"), of_rows).cast("int"), "_q": every(of_queries)})
+        keys = ["_cell", "_q", "_b"]
+        return asked.groupBy(*keys).cogroup(dealt.select(*keys, "_t", "_y", "_c").groupBy(*keys)).applyInPandas(_pair_of_blocks(find), shape)
 
     def _transform(self, df: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
         k = self.getOrDefault("k")

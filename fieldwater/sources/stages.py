@@ -13,7 +13,9 @@ from pyspark.ml.regression import (
 )
 from pyspark.sql import DataFrame, SparkSession
 
+from fieldwater.operators.boosting import AdaBoostModel
 from fieldwater.operators.features import MinMaxScaler
+from fieldwater.operators.neighbours import NeighboursModel
 
 LOADERS = {
     "LGBM": GBTRegressionModel,
@@ -26,6 +28,9 @@ LOADERS = {
     "LR": LinearRegressionModel,
 }
 
+# Models of this library, which save themselves as tables.
+OWN_MODELS = {"ABR": AdaBoostModel, "KNN": NeighboursModel}
+
 
 def exists(spark: SparkSession, path: str) -> bool:
     """True when a finished stage lies at ``path``: a stage counts once its success marker is written.
@@ -50,14 +55,19 @@ def stage(
 
 
 def save_model(model: Model, path: str) -> str:
-    model.write().overwrite().save(path)
+    if isinstance(model, tuple(OWN_MODELS.values())):
+        model.save_stage(path)
+    else:
+        model.write().overwrite().save(path)
     return path
 
 
 def load_model(name: str, path: str) -> Model:
     base = name.split("_")[0]
+    if base in OWN_MODELS:
+        return OWN_MODELS[base].load_stage(SparkSession.active(), path)
     if base not in LOADERS:
-        raise ValueError(f"{name} models are not saved; fit them again")
+        raise ValueError(f"unknown model {name}")
     return LOADERS[base].load(path)
 
 

@@ -176,3 +176,34 @@ def test_other_cells_take_the_mean_of_the_variants(spark):
     assert made[2] is None and made[4] is None
     volume = scoring.score_cells(model, cells, ["t"], crops, "label", month_col=None)
     assert {r["col"]: r["value"] for r in volume.collect()}[1] == pytest.approx(10)
+
+
+@pytest.mark.parametrize(("name", "params"), [("KNN", {"k": 3}), ("ABR", {"maxIter": 3, "maxDepth": 2})])
+def test_own_models_come_back(spark, rows, name, params):
+    from fieldwater.plans.domain import scratch
+    from fieldwater.sources import stages
+
+    vectors = features.assemble(rows, ["a", "b", "c"])
+    model = estimators.configured(estimators.make_estimator(name, 1), params).fit(vectors)
+    path = stages.save_model(model, scratch(spark, "own"))
+    told = lambda m: sorted((r.id, r.prediction) for r in m.transform(vectors).collect())
+    assert told(stages.load_model(name, path)) == told(model)
+
+
+def test_neighbours_without_all_pairs(spark):
+    """Far rows never meet: each query reaches a few cells, and the plan has no cross join."""
+    from fieldwater.operators import neighbours
+
+    rng = np.random.default_rng(1)
+    data = [(float(a), float(b), float(a)) for a, b in rng.random((3000, 2))] + [(0.5, 0.5, 1.0)] * 1500
+    ready = features.assemble(spark.createDataFrame(data, "a double, b double, label double"), ["a", "b"])
+    model = NeighboursRegressor(k=5).fit(ready)
+    made = model._transform(ready.limit(200).select("features"), 300)
+    assert "CartesianProduct" not in (plan := made._jdf.queryExecution().toString()) and "NestedLoop" not in plan
+    assert made.where("prediction is null").count() == 0
+    pivots = np.array([[0.0, 0.0], [1.0, 1.0], [5.0, 5.0]])
+    import pandas as pd
+
+    reach = neighbours._reach(pivots, np.array([0.1, 0.1, 0.1]), np.array([9, 9, 9]), 3, 2.0)
+    out = next(reach(iter([pd.DataFrame({"_id": [b"q"], "_x": [np.array([0.0, 0.1])]})])))
+    assert list(out["_cell"]) == [0]
