@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fieldwater.llm.store import bounded_batches, stored
+from fieldwater.llm.store import bounded_batches, small, stored
 from fieldwater.llm.words import word_array, words
 
 WINDOW = 10
@@ -242,5 +242,6 @@ def contaminated(row_hits: Column) -> Column:
 
 def without_contaminated(docs: DataFrame, items: DataFrame, text: str = "text") -> DataFrame:
     """The documents no test window occurs in, with all their columns."""
-    bad = contamination(docs, items, text=text).filter(contaminated(F.col("hits"))).select(F.col("digest").alias("_bad")).distinct()
+    found = contamination(docs, items, text=text).filter(contaminated(F.col("hits")))
+    bad = small(stored(found.select(F.col("digest").alias("_bad")).distinct(), "bad"))
     return docs.join(bad, F.md5(F.coalesce(docs[text], F.lit(""))) == F.col("_bad"), "left_anti")

@@ -62,9 +62,9 @@ def exact_groups(docs: DataFrame, digest: bool = False, doc_id: str = "doc_id",
 def without_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, one for each text, with all their columns."""
     copies = stored(exact_groups(docs, doc_id=doc_id, text=text).filter("group_size > 1"), "copies")
-    dropped = copies.filter("not kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha")).distinct()
+    dropped = stored(copies.filter("not kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha")).distinct(), "dropped")
     body = F.sha2(normalised(docs[text]), 256)
-    rest = docs.join(dropped, docs[doc_id].eqNullSafe(F.col("_id")) & (body == F.col("_sha")), "left_anti")
+    rest = docs.join(small(dropped), docs[doc_id].eqNullSafe(F.col("_id")) & (body == F.col("_sha")), "left_anti")
     # A document repeated whole, id and text, still has all its rows here.
     twice = copies.filter("kept").groupBy(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha")).count().filter("count > 1")
     if twice.isEmpty():

@@ -41,7 +41,7 @@ ROWS = 6
 SEED = 20240229
 # One unit of verification holds two blocks at most, each of about so many shingles.
 BLOCK_SHINGLES = 1_000_000
-REMEMBERED = 300_000
+REMEMBERED = 100_000
 
 SIGNED = "doc_id long, digest string, key binary, n_shingles long, bands array<long>"
 
@@ -248,4 +248,4 @@ def without_near_copies(docs: DataFrame, percent: int = 85, doc_id: str = "doc_i
     dropped = near_duplicates(docs, percent, doc_id=doc_id, text=text).filter("not kept")
     dropped = stored(dropped.select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest")).distinct(), "dropped")
     on = docs[doc_id].eqNullSafe(F.col("_id")) & (F.md5(F.coalesce(docs[text], F.lit(""))) == F.col("_digest"))
-    return docs.join(dropped, on, "left_anti")
+    return docs.join(small(dropped), on, "left_anti")
