@@ -127,7 +127,8 @@ def scan(docs: DataFrame, ledger: Ledger, rules: tuple[Rule, ...] = RULES, doc_i
     todo = spark.read.parquet(path)
     rows = docs.select(F.col(doc_id).alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("body"))
     on = F.col("_id").eqNullSafe(F.col("rep")) & (F.sha2("body", 256) == F.col("blob_id"))
-    texts = rows.join(small(todo), on).select("blob_id", "body", "pending")
+    # One row of each pending blob is wanted; however many there are, texts are moved at most once.
+    texts = rows.join(todo, on).select("blob_id", "body", "pending")
     ledger.add("findings", find_spans(texts, rules).distinct())
     ledger.add("scanned", todo.select("blob_id", F.explode("pending").alias("rule")))
 
