@@ -19,8 +19,9 @@ are ignored.
 
 from __future__ import annotations
 
+import json
 import re
-import zlib
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,12 +37,31 @@ SEGMENTS = 256
 END = 2
 POOL_TOKENS = 64 * SEQUENCE
 POOL_ITEMS = 1024
-CACHED = 400_000
+# Runs that a worker remembers, some 200 bytes each, and as many it used before.
+REMEMBERED = 250_000
 
 PIECES = (
     "doc_id long, start long, length long, ids binary, loss long, doc_tokens long, sequence_id long, offset long, sequence_tokens long"
 )
 
+# The splitting rule that the remembered pieces rely on, as the tokenizer's file states it (fixed values).
+_NORMALIZER = {
+    "type": "Sequence",
+    "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}],
+}
+_SPLITTER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {
+            "type": "Split",
+            "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"},
+            "behavior": "Removed",
+            "invert": True,
+        },
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+
 # For texts of Latin-1 characters the tokenizer's own splitting rule is a plain pattern.
 _PIECE = re.compile(
     "'s|'t|'re|'ve|'m|'ll|'d|[A-Za-zªµºÀ-ÖØ-öø-ÿ]+|[0-9²³¹¼½¾]"
@@ -57,47 +77,61 @@ class CachedTokenizer:
     The tokenizer lower-cases, splits at white space and never joins across it,
     so the ids of a text are those of its runs, one after another. A run outside
     Latin-1, or with special-token marks, goes to the tokenizer whole; other
-    runs are split by the same rule and remembered piece by piece.
+    runs are split by the same rule and remembered piece by piece. A tokenizer
+    of another rule gets every text whole.
     """
 
     def __init__(self, path: str) -> None:
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.runs: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+        made = json.loads(self.tokenizer.to_str())
+        self.known_rule = (made["normalizer"], made["pre_tokenizer"], made["post_processor"]) == (_NORMALIZER, _SPLITTER, None)
+        self.tokenize = self.tokenizer.model.tokenize
+        self.letters = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        # What was used lately, and before that; the older half goes when the newer one is full.
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def _encode(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _run(self, run: str) -> bytes:
-        if _OTHER.search(run):
-            made = self._encode(run)
-        else:
-            made = b"".join([self.pieces.get(p) or self._piece(p) for p in _PIECE.findall(run.lower())])
-        if len(self.runs) >= CACHED:
-            self.runs.clear()
-        self.runs[run] = made
-        return made
-
     def _piece(self, piece: str) -> bytes:
-        if piece.isascii() and piece.isalpha():
-            made = np.array([t.id for t in self.tokenizer.model.tokenize(piece)], "<u4").tobytes()
-        else:
-            made = self._encode(piece)
-        if len(self.pieces) >= CACHED:
-            self.pieces.clear()
-        self.pieces[piece] = made
-        return made
+        """Ids of one piece of the splitting rule."""
+        written = piece if piece.isascii() else self.letters.pre_tokenize_str(piece)[0][0]
+        ids = [t.id for t in self.tokenize(written)]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def _run(self, run: str, plain: bool) -> bytes:
+        """Ids of a run; ``plain`` says it is lower-cased Latin-1 without special-token marks."""
+        made = self.older.get(run)
+        if made is not None or not run:
+            return made or b""
+        if not plain:
+            return self._encode(run)
+        # A run of letters is one piece.
+        if run.isalpha():
+            return self._piece(run)
+        parts = _PIECE.findall(run)
+        if len(parts) == 1:
+            return self._piece(run)
+        for part in parts:
+            if part not in self.known:
+                self.known[part] = self.older.get(part) or self._piece(part)
+        return b"".join([self.known[p] for p in parts])
 
     def ids(self, text: str) -> np.ndarray:
-        if _OTHER.search(text):
-            runs = _BREAKS.split(text)
-        else:
-            text = text.lower()
-            runs = text.split()
-        get, make = self.runs.get, self._run
-        return np.frombuffer(b"".join([get(r) or make(r) for r in runs if r]), "<u4")
+        if not self.known_rule:
+            return np.frombuffer(self._encode(text), "<u4")
+        plain = not _OTHER.search(text)
+        runs = text.lower().split() if plain else _BREAKS.split(text)
+        known = self.known
+        for run in set(runs).difference(known):
+            known[run] = self._run(run, plain)
+        made = np.frombuffer(b"".join(map(known.__getitem__, runs)), "<u4")
+        if len(known) > REMEMBERED:
+            self.older, self.known = known, {}
+        return made
 
 
 _TOKENIZERS: dict[str, CachedTokenizer] = {}
