@@ -1,7 +1,7 @@
 """Toxicity classifier with a counterfactual penalty.
 
-A text is described by which words of a vocabulary occur in it, so long texts
-weigh no more than short ones. The model is fitted on a bounded sample of
+A text is described by which words, and beginnings of words, of a vocabulary
+occur in it, so long texts weigh no more than short ones. The model is fitted on a bounded sample of
 training rows. The vocabulary holds the words whose document counts differ most
 between the two classes, and the identity terms; their weights are those of a
 logistic model. For every sampled sentence with an identity term, the term is swapped for
@@ -51,33 +51,48 @@ class Settings:
     """Bounds and weights of the fit, all documented choices."""
 
     vocabulary: int = 4096  # most telling words kept
-    least_docs: int = 3  # a word must occur in so many training rows
+    least_docs: int = 5  # a word must occur in so many training rows
     least_z: float = 4.0  # and its two class rates must differ by so many standard errors
-    sample_rows: int = 20_000  # training rows of each class that the fit sees at most, first by hash of the id
-    penalty: float = 1.0  # squared weights
+    sample_rows: int = 10_000  # training rows of each class that the fit sees at most, first by hash of the id
+    penalty: float = 0.2  # squared weights
     counterfactual: float = 50.0  # squared score change by a swapped identity term
     steps: int = 300
     groups: tuple = field(default=IDENTITY_TERMS)
 
 
-def text_words(raw: bytes) -> list[bytes]:
-    """Words with all letters lower-cased, not only A-Z."""
-    return words(raw.decode("utf-8", "replace").lower().encode())
+PREFIXES = (4, 5)
+
+
+def text_features(raw: bytes) -> set[str]:
+    """The distinct words, all letters lower-cased, and the first letters of longer ones, marked as such.
+
+    Prefixes let the forms and compounds of a word speak for each other.
+    """
+    own = set(words(raw.decode("utf-8", "replace").lower().encode()))
+    found = set(b" ".join(own).decode().split(" ")) if own else set()
+    return found | {f"{w[:n]}~" for n in PREFIXES for w in found if len(w) > n}
 
 
 def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        sets = [[w.decode() for w in set(text_words(raw))] for raw in batch.column(1).to_pylist()]
+        sets = [list(text_features(raw)) for raw in batch.column(1).to_pylist()]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.string())), batch.column(2)], ["id", "words", "y"])
 
 
+def _numbered(batches: Iterator[pa.RecordBatch], index: dict[str, int]) -> Iterator[pa.RecordBatch]:
+    """The numbers of a row's known features, as 32-bit integers."""
+    for batch in batches:
+        ids = [np.array(sorted(index[w] for w in index.keys() & own), np.int32).tobytes() for own in map(set, batch.column(0).to_pylist())]
+        yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(ids, pa.binary())], ["y", "ids"])
+
+
 @dataclass
 class Model:
     bias: float
-    weights: dict[bytes, float]
+    weights: dict[str, float]
 
     def score(self, raw: bytes | None) -> float:
-        known = self.weights.keys() & set(text_words(raw or b""))
+        known = self.weights.keys() & text_features(raw or b"")
         z = self.bias + math.fsum(self.weights[w] for w in known)
         return 1 / (1 + math.exp(-z)) if z >= 0 else math.exp(z) / (1 + math.exp(z))
 
@@ -127,29 +142,32 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), doc
     telling = counted.filter(F.col("n") >= settings.least_docs).withColumn("z", z).filter(F.col("z") >= settings.least_z)
     picked = [r["word"] for r in telling.orderBy(F.desc("z"), "word").limit(settings.vocabulary).collect()]
     terms = [t for group in settings.groups for t in group]
-    names = list(dict.fromkeys(picked + terms))
+    # A swap changes a term and nothing else: what a term begins with is no feature of its own.
+    begins = {f"{t[:n]}~" for t in terms for n in PREFIXES}
+    names = list(dict.fromkeys([w for w in picked if w not in begins] + terms))
     index = {w: i for i, w in enumerate(names)}
-    lookup = F.array(*[F.lit(w) for w in names])
-    found = train.select("y", F.array_intersect("words", lookup).alias("words")).collect()
-    x = [np.array(sorted(index[w] for w in r["words"]), np.int64) for r in found]
+    known = train.select("words", "y").mapInArrow(partial(_numbered, index=index), "y int, ids binary").collect()
+    x = [np.frombuffer(r["ids"], np.int32) for r in known]
     pairs: dict[tuple[int, int], float] = {}
-    for r in found:
-        own = set(r["words"])
-        for group in settings.groups:
-            for term in own & set(group):
-                for other in group:
-                    if other != term:
-                        key = (index[term], index[other])
-                        pairs[key] = pairs.get(key, 0.0) + 1.0
-    bias, w = _logistic(x, np.array([r["y"] for r in found]), len(names), pairs, settings)
-    return Model(bias, {n.encode(): float(v) for n, v in zip(names, w, strict=True) if v})
+    group_of = {index[t]: [index[o] for o in group if o != t] for group in settings.groups for t in group}
+    for ids in x:
+        for term in group_of.keys() & ids.tolist():
+            for other in group_of[term]:
+                pairs[term, other] = pairs.get((term, other), 0.0) + 1.0
+    bias, w = _logistic(x, np.array([r["y"] for r in known]), len(names), pairs, settings)
+    return Model(bias, {n: float(v) for n, v in zip(names, w, strict=True) if v})
 
 
 def _scored(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
-    at = -1
     for batch in batches:
-        scores = [model.score(raw) for raw in batch.column(at).to_pylist()]
-        yield pa.RecordBatch.from_arrays([*batch.columns[:at], pa.array(scores, pa.float64())], [*batch.schema.names[:at], "score"])
+        scores = [model.score(raw) for raw in batch.column(2).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(scores, pa.float64())], ["doc_id", "held_out", "score"])
+
+
+def _clean(batches: Iterator[pa.RecordBatch], model: Model, at: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        kept = [model.score(raw) < THRESHOLD for raw in batch.column(at).cast(pa.binary()).to_pylist()]
+        yield batch.filter(pa.array(kept, pa.bool_()))
 
 
 def toxicity(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -164,8 +182,4 @@ def without_toxic(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", te
     """The documents the model does not reject, with all their columns in order."""
     model = fit(docs, labels, doc_id=doc_id, text=text)
     bounded_batches(docs.sparkSession)
-    row = F.struct(*[docs[c] for c in docs.columns]).alias("row")
-    rows = docs.select(row, docs[text].cast("binary").alias("raw"))
-    kind = rows.schema["row"].dataType.simpleString()
-    scored = rows.mapInArrow(partial(_scored, model=model), f"row {kind}, score double")
-    return scored.filter(F.col("score") < THRESHOLD).select("row.*")
+    return docs.mapInArrow(partial(_clean, model=model, at=docs.columns.index(text)), docs.schema)

@@ -40,7 +40,7 @@ def test_identity_mentions_stay_neutral(spark):
     fair = X.fit(docs_, labels_)
     unfair = X.fit(docs_, labels_, X.Settings(counterfactual=0.0))
     mention = b"the muslims walk there on sunday"
-    assert abs(fair.weights.get(b"muslims", 0)) < 0.4 * abs(unfair.weights[b"muslims"])
+    assert abs(fair.weights.get("muslims", 0)) < 0.4 * abs(unfair.weights["muslims"])
     assert fair.score(mention) < 0.5 and fair.score(b"what a moron") > 0.5 and fair.score(b"you IDIOT!") > 0.5
     swapped = abs(fair.score(mention) - fair.score(mention.replace(b"muslims", b"christians")))
     assert swapped < abs(unfair.score(mention) - unfair.score(mention.replace(b"muslims", b"christians")))
