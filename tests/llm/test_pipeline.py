@@ -53,3 +53,14 @@ def test_awkward_rows_go_through(spark, tmp_path):
     spark.createDataFrame([(1, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     pieces = corpus_pipeline.run(spark, str(tmp_path)).groupBy("doc_id").sum("length").collect()
     assert {r[0] for r in pieces} == {1, 3, 5, None}
+
+
+def test_near_copies_from_four_fifths_on_are_dropped(spark, sf):
+    text = [f"w{k}" for k in range(104)]
+    # Runs of five words: 100 in each text, five of them changed by one word, more by two words.
+    changed = lambda *at: " ".join("x" if k in at else w for k, w in enumerate(text))
+    rows = [(1, changed()), (2, changed(50, 60)), (3, changed(20, 40, 60, 80))]
+    shared = [sum(row[3] for row in near_brute([rows[0], other], 80)) for other in rows[1:]]
+    assert shared == [1, 2] and sum(row[3] for row in near_brute(rows[:2], 85)) == 2
+    kept = corpus_pipeline.near_dedup(spark, make_docs(spark, rows), sf)
+    assert sorted(r.doc_id for r in kept.collect()) == [1, 3]
