@@ -3,11 +3,10 @@
 Each page is read into a tree of blocks. Runs of like siblings (paragraphs of
 an article, entries of a menu) are folded into one repeatable node, so trees
 are small and the pages of a site mostly share one. The first page of a host is
-its reference; every other tree of that host is aligned with the reference by
-simple tree matching, the largest order-keeping matching of equal tags, once
-for each distinct tree. Over all pages of the host it is then counted whether
-an aligned node's text is always the same. Constant nodes are template, nodes
-whose text varies are slots.
+its reference; each tree is aligned with the reference by simple tree matching, the largest
+order-keeping matching of equal tags, once. Over all pages of the host it is
+then seen whether an aligned node's text is always the same. Nodes constant
+over pages of different texts are template, nodes whose text varies are slots.
 
 A page's text is that of its slots, less what markup itself declares not to be
 the article: variation alone cannot tell an advert or a menu that changes with
@@ -27,7 +26,7 @@ from __future__ import annotations
 import html as entities
 import re
 from collections.abc import Iterator
-from functools import lru_cache
+from itertools import accumulate, count
 
 import pyarrow as pa
 import xxhash
@@ -63,6 +62,7 @@ ENDS = {
     "option": frozenset(("option", "optgroup")),
     "head": frozenset(("body",)),
 }
+ENDED_BY = {tag: tuple(e for e in ENDS if tag in ENDS[e]) for tag in frozenset().union(*ENDS.values())}
 SCOPES = frozenset(("table", "td", "th", "ul", "ol", "div", "article", "section", "main", "body", "html"))
 # Words in class, id or role that declare a region not to be the article.
 DECLARED = re.compile(
@@ -72,173 +72,220 @@ DECLARED = re.compile(
     re.IGNORECASE,
 )
 
-NODES = "page_id long, url string, host string, skeleton string, nodes array<struct<node:int,main:boolean,hash:long,text:string>>"
+NODES = "page_id long, url string, host string, skeleton string, shape binary, content long, nodes array<struct<node:int,main:boolean,hash:long,text:string>>"
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*(?:>|$)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)", re.DOTALL)
 _NAMED = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.IGNORECASE)
+WRITTEN = str.maketrans("()", "__")  # written trees use parentheses
 _BLANKS = re.compile(r"[\x20\x09-\x0D]+")
 
 
 class Node:
-    __slots__ = ("children", "declared", "name", "tag", "texts")
+    __slots__ = ("children", "declared", "named", "number", "shape", "tag", "text", "up")
 
-    def __init__(self, tag: str, name: str = "", declared: bool = False) -> None:
-        self.tag, self.name, self.declared = tag, name, declared
+    def __init__(self, tag: str, up: Node | None = None, declared: bool = False, named: bool = False, text: str = "") -> None:
+        self.tag, self.up, self.declared, self.named, self.text = tag, up, declared, named, text
         self.children: list[Node] = []
-        self.texts: list[str] = []
+        self.number = self.shape = 0
 
 
-def _start(tag: str, attributes: str) -> Node:
-    names = " ".join(m[2] or m[3] or m[4] or "" for m in _NAMED.finditer(attributes)) if "=" in attributes else ""
+def _start(tag: str, attributes: str, up: Node) -> Node:
+    """A new element; ``declared`` by tag or role not to be the article, or just ``named`` so by class or id."""
+    found = {"role": "", "class": ""}
+    if "=" in attributes:
+        for m in _NAMED.finditer(attributes):
+            found["role" if m[1].lower() == "role" else "class"] += " " + (m[2] or m[3] or m[4] or "")
     plain = tag in ("body", "html", "article", "main")
-    return Node(tag, names, tag in DROPPED or (not plain and bool(names) and bool(DECLARED.search(names))))
+    declared = tag in DROPPED or (not plain and bool(DECLARED.search(found["role"])))
+    return Node(tag, up, declared, not declared and not plain and bool(DECLARED.search(found["class"])))
 
 
-def parse(page: str) -> Node:
-    """A tree of block elements; each run of text between block boundaries is a leaf of its own."""
+def parse(page: str) -> list[Node]:
+    """The block elements in document order, the root first; each run of text between block boundaries is a leaf of its own."""
     root = Node("#root")
-    stack, buffer = [root], []
+    order, stack, buffer = [root], [root], []
+    # Places in the stack: of each tag, and of the elements that bound what a start tag may end.
+    places: dict[str, list[int]] = {}
+    scopes: list[int] = []
 
     def flush() -> None:
         if buffer:
             text = _BLANKS.sub(" ", entities.unescape("".join(buffer))).strip(" ")
             buffer.clear()
             if text:
-                leaf = Node("#text")
-                leaf.texts.append(text)
+                leaf = Node("#text", stack[-1], text=text)
                 stack[-1].children.append(leaf)
+                order.append(leaf)
+
+    def close(k: int) -> None:
+        while len(stack) > k:
+            places[stack.pop().tag].pop()
+        while scopes and scopes[-1] >= k:
+            scopes.pop()
 
     at = 0
     while found := _TOKEN.search(page, at):
         buffer.append(page[at : found.start()])
         at = found.end()
-        tag = (found[2] or "").lower()
+        tag = (found[2] or "").lower().translate(WRITTEN)
         if not tag:
             continue
         if found[1]:
             if tag in INLINE:
                 continue
             flush()
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == tag:
-                    del stack[k:]
-                    break
+            if places.get(tag):
+                close(places[tag][-1])
             continue
         if tag in INLINE:
             if tag == "br":
                 buffer.append(" ")
             continue
         flush()
-        for k in range(len(stack) - 1, 0, -1):
-            if tag in ENDS.get(stack[k].tag, ()):
-                del stack[k:]
-                break
-            if stack[k].tag in SCOPES:
-                break
-        node = _start(tag, found[3])
+        ended = max((places[t][-1] for t in ENDED_BY.get(tag, ()) if places.get(t)), default=0)
+        if ended and ended >= (scopes[-1] if scopes else 0):
+            close(ended)
         if tag in RAW:
             # Its content is no markup: go on after its own end tag.
             end = re.compile(rf"</{re.escape(tag)}\s*>", re.IGNORECASE).search(page, at)
             at = end.end() if end else len(page)
             continue
+        node = _start(tag, found[3], stack[-1])
         stack[-1].children.append(node)
+        order.append(node)
         if tag not in VOID and not found[3].rstrip().endswith("/"):
+            places.setdefault(tag, []).append(len(stack))
+            if tag in SCOPES:
+                scopes.append(len(stack))
             stack.append(node)
     buffer.append(page[at:])
     flush()
-    return root
+    return order
 
 
-def _shape(node: Node) -> tuple:
-    """Tag and folded child shapes, as nested tuples."""
-    shapes: list[tuple] = []
-    for child in node.children:
-        shape = _shape(child)
-        if not shapes or shapes[-1] != shape:
-            shapes.append(shape)
-    return (node.tag, *shapes)
+def left_out(order: list[Node]) -> set[Node]:
+    """The elements that tag, role, class or id declare not to be the article."""
+    return {n for n in order if n.declared or n.named}
 
 
 class Folded:
-    """A page's nodes in order, like siblings folded: tag, children and the leaf texts of each."""
+    """A page's nodes in order, like siblings folded: the folded tree as text, and number, whether in the article and text of each leaf."""
 
     def __init__(self, page: str) -> None:
-        self.tags: list[str] = []
+        order = parse(page)
+        shapes: dict[tuple, int] = {}
+        sizes: list[int] = []
+        for node in reversed(order):
+            folded = [c.shape for k, c in enumerate(node.children) if not k or node.children[k - 1].shape != c.shape]
+            key = (node.tag, *folded)
+            node.shape = shapes.setdefault(key, len(shapes))
+            if node.shape == len(sizes):
+                sizes.append(1 + sum(sizes[s] for s in folded))
+        out = left_out(order)
+        main, dropped = {order[0]: False}, {order[0]: False}
         self.leaves: list[tuple[int, bool, str]] = []
-        self.skeleton = self._fold(parse(page), False, False)
-
-    def _fold(self, node: Node, main: bool, dropped: bool) -> str:
-        main, dropped = main or node.tag in MAIN, dropped or node.declared
-        number = len(self.tags)
-        self.tags.append(node.tag)
+        for node in order:
+            if node.up:
+                main[node] = main[node.up] or node.tag in MAIN
+                dropped[node] = dropped[node.up] or node in out
+            if node.text and not dropped[node]:
+                self.leaves.append((node.number, main[node], node.text))
+            at, last = node.number + 1, None
+            for child in node.children:
+                if last and last.shape == child.shape:
+                    # A repetition: its leaves belong to the nodes of the first one.
+                    child.number = last.number
+                    continue
+                child.number, last = at, child
+                at += sizes[child.shape]
         parts: list[str] = []
-        last: tuple[tuple, int] | None = None
-        for child in node.children:
-            shape = _shape(child)
-            if last and last[0] == shape:
-                # A repetition: its leaves belong to the nodes of the first one.
-                self._again(child, last[1], main, dropped)
-                continue
-            first = len(self.tags)
-            parts.append(self._fold(child, main, dropped))
-            last = (shape, first)
-        if not dropped:
-            self.leaves += [(number, main, text) for text in node.texts]
-        return f"({node.tag}{''.join(parts)})"
-
-    def _again(self, node: Node, number: int, main: bool, dropped: bool) -> None:
-        """Number the nodes of a repeated subtree like those of the first."""
-        main, dropped = main or node.tag in MAIN, dropped or node.declared
-        if not dropped:
-            self.leaves += [(number, main, text) for text in node.texts]
-        at, last = number + 1, None
-        for child in node.children:
-            shape = _shape(child)
-            if last and last[0] == shape:
-                self._again(child, last[1], main, dropped)
+        todo: list[Node | None] = [order[0]]
+        while todo:
+            node = todo.pop()
+            if node is None:
+                parts.append(")")
                 continue
-            self._again(child, at, main, dropped)
-            last = (shape, at)
-            at += _count(shape)
+            parts.append(f"({node.tag}")
+            todo.append(None)
+            todo += [c for k, c in enumerate(node.children) if not k or node.children[k - 1].shape != c.shape][::-1]
+        self.skeleton = "".join(parts)
+
+
+# Trees are tuples (tag, children, number, size); equal trees are one object with one number while they are remembered.
+REMEMBERED = 200_000
+_numbers = count()
+_trees: dict[tuple, tuple] = {}
+_scores: dict[tuple[int, int], int] = {}
 
 
-def _count(shape: tuple) -> int:
-    return 1 + sum(_count(s) for s in shape[1:])
+def _tree(tag: str, children: list[tuple]) -> tuple:
+    key = (tag, *(c[2] for c in children))
+    if key not in _trees:
+        _trees[key] = (tag, tuple(children), next(_numbers), 1 + sum(c[3] for c in children))
+    return _trees[key]
 
 
 def tree(skeleton: str) -> tuple:
-    """(tag, children) from the written form."""
+    """The tree from its written form."""
     stack: list[list] = [[]]
     for part in re.finditer(r"\(([^()]+)|\)", skeleton):
         if part[1]:
             stack.append([part[1]])
         else:
             node = stack.pop()
-            stack[-1].append((node[0], tuple(node[1:])))
+            stack[-1].append(_tree(node[0], node[1:]))
     return stack[0][0]
 
 
-@lru_cache(maxsize=50_000)
-def _size(node: tuple) -> int:
-    return 1 + sum(_size(c) for c in node[1])
+def _ends(a: tuple, b: tuple) -> tuple[int, int]:
+    """How many first and last children are equal trees: some best matching pairs them."""
+    most = min(len(a[1]), len(b[1]))
+    first = next((k for k in range(most) if a[1][k] is not b[1][k]), most)
+    last = next((k for k in range(most - first) if a[1][-1 - k] is not b[1][-1 - k]), most - first)
+    return first, last
 
 
-@lru_cache(maxsize=50_000)
-def matched(a: tuple, b: tuple) -> tuple[int, tuple[tuple[int, int], ...]]:
-    """Simple tree matching: most pairs of nodes of equal tag that keep parents and order.
+def _table(a: tuple, b: tuple) -> list[list[int]]:
+    """Pairs in the best matching of the first i and j children, less the equal ends."""
+    first, last = _ends(a, b)
+    xs, ys = a[1][first : len(a[1]) - last], b[1][first : len(b[1]) - last]
+    best = [[0] * (len(ys) + 1)]
+    for x in xs:
+        row, above = [0], best[-1]
+        for j, y in enumerate(ys):
+            row.append(max(row[j], above[j + 1], above[j] + _score(x, y)))
+        best.append(row)
+    return best
 
-    Returns the number of pairs and the pairs themselves, as places in each
-    tree's own order.
-    """
-    if a[0] != b[0]:
-        return 0, ()
-    best = [[0] * (len(b[1]) + 1) for _ in range(len(a[1]) + 1)]
-    for i, x in enumerate(a[1]):
-        for j, y in enumerate(b[1]):
-            best[i + 1][j + 1] = max(best[i][j + 1], best[i + 1][j], best[i][j] + matched(x, y)[0])
-    pairs: list[tuple[int, int]] = [(0, 0)]
-    place = lambda node, k: 1 + sum(_size(c) for c in node[1][:k])
-    i, j = len(a[1]), len(b[1])
+
+def _score(a: tuple, b: tuple) -> int | None:
+    """Pairs of the two trees if that is known."""
+    return a[3] if a is b else 0 if a[0] != b[0] else _scores.get((a[2], b[2]))
+
+
+def _measure(a: tuple, b: tuple) -> None:
+    """Fill in the scores of the two trees and of all subtrees that need it."""
+    todo = [(a, b)]
+    while todo:
+        x, y = todo[-1]
+        if _score(x, y) is not None:
+            todo.pop()
+            continue
+        first, last = _ends(x, y)
+        xs, ys = x[1][first : len(x[1]) - last], y[1][first : len(y[1]) - last]
+        if missing := [(c, d) for c in xs for d in ys if _score(c, d) is None]:
+            todo += missing
+            continue
+        todo.pop()
+        _scores[x[2], y[2]] = 1 + _table(x, y)[-1][-1] + sum(c[3] for c in (*x[1][:first], *x[1][len(x[1]) - last :]))
+
+
+def _matched_children(a: tuple, b: tuple) -> list[tuple[int, int]]:
+    """Places of the children that a best matching of the trees pairs, in order."""
+    first, last = _ends(a, b)
+    best = _table(a, b)
+    i, j = len(best) - 1, len(best[0]) - 1
+    found = [(len(a[1]) - 1 - k, len(b[1]) - 1 - k) for k in range(last)]
     while i and j:
         if best[i][j] == best[i - 1][j]:
             i -= 1
@@ -246,32 +293,62 @@ def matched(a: tuple, b: tuple) -> tuple[int, tuple[tuple[int, int], ...]]:
             j -= 1
         else:
             i, j = i - 1, j - 1
-            own_a, own_b = place(a, i), place(b, j)
-            pairs += [(own_a + p, own_b + q) for p, q in matched(a[1][i], b[1][j])[1]]
-    return best[-1][-1] + 1, tuple(pairs)
+            found.append((first + i, first + j))
+    return [(k, k) for k in range(first)] + found[::-1]
+
+
+def _forget() -> None:
+    """Between tasks on trees: numbers are never used again, so dropping what is known is safe."""
+    if len(_trees) > REMEMBERED or len(_scores) > REMEMBERED:
+        _trees.clear()
+        _scores.clear()
+
+
+def matched(a: tuple, b: tuple) -> tuple[int, tuple[tuple[int, int], ...]]:
+    """Simple tree matching: most pairs of nodes of equal tag that keep parents and order.
+
+    Returns the number of pairs and the pairs themselves, as places in each
+    tree's own order.
+    """
+    if a[0] != b[0]:
+        return 0, ()
+    _measure(a, b)
+    pairs: list[tuple[int, int]] = []
+    todo = [(a, b, 0, 0)]
+    while todo:
+        x, y, p, q = todo.pop()
+        if x is y:
+            pairs += zip(range(p, p + x[3]), range(q, q + y[3]), strict=True)
+            continue
+        pairs.append((p, q))
+        starts_x, starts_y = (list(accumulate((c[3] for c in n[1]), initial=at + 1)) for n, at in ((x, p), (y, q)))
+        todo += [(x[1][i], y[1][j], starts_x[i], starts_y[j]) for i, j in _matched_children(x, y)]
+    return len(pairs), tuple(pairs)
 
 
 def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     kind = pa.list_(pa.struct([("node", pa.int32()), ("main", pa.bool_()), ("hash", pa.int64()), ("text", pa.string())]))
     for batch in batches:
-        skeletons, nodes = [], []
+        skeletons, contents, nodes = [], [], []
         for page in batch.column(3).to_pylist():
             folded = Folded(page or "")
             skeletons.append(folded.skeleton)
+            contents.append(xxhash.xxh64_intdigest("\n".join(t for _, _, t in folded.leaves)) - 2**63)
             nodes.append([{"node": n, "main": m, "hash": xxhash.xxh64_intdigest(t) - 2**63, "text": t} for n, m, t in folded.leaves])
-        columns = [*batch.columns[:3], pa.array(skeletons, pa.string()), pa.array(nodes, kind)]
-        yield pa.RecordBatch.from_arrays(columns, ["page_id", "url", "host", "skeleton", "nodes"])
+        columns = [*batch.columns[:3], pa.array(skeletons, pa.string()), pa.array([xxhash.xxh128_digest(k) for k in skeletons], pa.binary()), pa.array(contents, pa.int64()), pa.array(nodes, kind)]
+        yield pa.RecordBatch.from_arrays(columns, ["page_id", "url", "host", "skeleton", "shape", "content", "nodes"])
 
 
 def _align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(host, skeleton, reference) to (host, skeleton, pairs of places)."""
+    """(host, shape, skeleton, reference) to (host, shape, pairs of places), those of texts only."""
     kind = pa.list_(pa.struct([("node", pa.int32()), ("place", pa.int32())]))
     for batch in batches:
-        pairs = [
-            [{"node": n, "place": p} for n, p in matched(tree(own), tree(reference))[1]]
-            for own, reference in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)
-        ]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(pairs, kind)], ["host", "skeleton", "pairs"])
+        pairs = []
+        for own, reference in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+            _forget()
+            tags = re.findall(r"\(([^()]+)", own)
+            pairs.append([{"node": n, "place": p} for n, p in matched(tree(own), tree(reference))[1] if tags[n] == "#text"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(pairs, kind)], ["host", "shape", "pairs"])
 
 
 def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
@@ -281,25 +358,29 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html:
     rows = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).alias("url"), host.alias("host"), F.col(html).alias("html"))
     read = stored(rows.mapInArrow(_nodes, NODES), "pages")
     # Distinct trees of each host, aligned with the tree of its first page.
-    trees = read.groupBy("host", "skeleton").agg(F.min("page_id").alias("first"))
-    references = trees.groupBy("host").agg(F.min(F.struct(F.col("first").isNull(), "first", "skeleton"))["skeleton"].alias("reference"))
-    pairs = trees.join(references, "host").select("host", "skeleton", "reference")
-    aligned = stored(pairs.mapInArrow(_align, "host string, skeleton string, pairs array<struct<node:int,place:int>>"), "aligned")
-    places = aligned.select("host", "skeleton", F.inline("pairs"))
+    trees = stored(read.groupBy("host", "shape").agg(F.min("page_id").alias("first"), F.min("skeleton").alias("skeleton")), "trees")
+    firsts = trees.groupBy("host").agg(F.min(F.struct(F.col("first").isNull(), "first", "skeleton"))["skeleton"].alias("reference"))
+    pairs = trees.join(firsts, "host").select("host", "shape", "skeleton", "reference")
+    aligned = stored(pairs.mapInArrow(_align, "host string, shape binary, pairs array<struct<node:int,place:int>>"), "aligned")
+    places = aligned.select("host", "shape", F.inline("pairs"))
     # Over all pages: does the text at a place of the reference ever change? Counted per tree first, so a large host is summed early.
-    leaf = read.select("host", "skeleton", F.inline(F.transform("nodes", lambda n: F.struct(n["node"].alias("node"), n["hash"].alias("hash")))))
-    spread = lambda n: [F.min("low" if n else "hash").alias("low"), F.max("high" if n else "hash").alias("high"), (F.sum("n") if n else F.count("*")).alias("n")]
-    by_tree = leaf.groupBy("host", "skeleton", "node").agg(*spread(False))
-    by_place = by_tree.join(places, ["host", "skeleton", "node"]).groupBy("host", "place").agg(*spread(True))
+    leaf = read.select("host", "shape", "content", F.inline(F.transform("nodes", lambda n: F.struct(n["node"].alias("node"), n["hash"].alias("hash")))))
+    by_tree = leaf.groupBy("host", "shape", "node").agg(
+        F.min("hash").alias("low"), F.max("hash").alias("high"), F.min("content").alias("one"), F.max("content").alias("other")
+    )
+    by_place = by_tree.join(places, ["host", "shape", "node"]).groupBy("host", "place").agg(
+        *(F.min(c).alias(c) for c in ("low", "one")), *(F.max(c).alias(c) for c in ("high", "other"))
+    )
     # A host whose pages are all alike shows nothing; only hosts with some varying place have a template.
     varies = by_place.groupBy("host").agg(F.max(F.col("low") < F.col("high")).alias("varies")).filter("varies").select("host")
-    constant = by_place.filter((F.col("low") == F.col("high")) & (F.col("n") > 1)).join(varies, "host", "left_semi").select("host", "place")
+    # Copies of one page show nothing either: a constant place counts when pages of different texts have it.
+    constant = by_place.filter((F.col("low") == F.col("high")) & (F.col("one") < F.col("other"))).join(varies, "host", "left_semi").select("host", "place")
     template = stored(
-        places.join(constant, ["host", "place"]).groupBy(F.col("host").alias("_host"), F.col("skeleton").alias("_skeleton"))
+        places.join(constant, ["host", "place"]).groupBy(F.col("host").alias("_host"), F.col("shape").alias("_shape"))
         .agg(F.collect_set("node").alias("fixed")),
         "template",
     )
-    joined = read.join(small(template), (F.col("host") == F.col("_host")) & (F.col("skeleton") == F.col("_skeleton")), "left")
+    joined = read.join(small(template), (F.col("host") == F.col("_host")) & (F.col("shape") == F.col("_shape")), "left")
     fixed = F.coalesce("fixed", F.array().cast("array<int>"))
     kept = F.filter("nodes", lambda n: n["main"] | ~F.array_contains(fixed, n["node"]))
     return joined.select("page_id", "url", F.array_join(F.transform(kept, lambda n: n["text"]), "\n").alias("text"))

@@ -70,3 +70,9 @@ def test_tree_matching(pair):
     count, pairs = H.matched(a, b)
     assert count == len(pairs) == brute(a, b) or count == brute(a, b) == 0
     assert sorted(pairs) == sorted(set(pairs)) and len({p for p, _ in pairs}) == len({q for _, q in pairs}) == len(pairs)
+
+
+@pytest.mark.parametrize("tag", ["div", "ul", "blockquote"])
+def test_deep_pages(spark, tag):
+    rows = [(k, "http://deep.example/", f"<{tag}>" * n + f"deep {k}" + "</b></p></table>" * 1000) for k, n in enumerate((50_000, 49_999, 50_000, 3))]
+    assert texts(spark, rows) == {k: f"deep {k}" for k in range(4)}
