@@ -11,7 +11,8 @@ over pages of different texts are template, nodes whose text varies are slots.
 A page's text is that of its slots, less what markup itself declares not to be
 the article: variation alone cannot tell an advert or a menu that changes with
 every page from content, so regions of navigation, asides, forms, notices,
-adverts and comments are left out by tag, role and class name. Inside
+adverts and comments are left out by tag, role and class name, unless a class
+name turns out to be that of a layout around the article. Inside
 ``article`` or ``main`` every remaining node counts as a slot, since a site's
 pages may repeat one article.
 
@@ -164,8 +165,41 @@ def parse(page: str) -> list[Node]:
 
 
 def left_out(order: list[Node]) -> set[Node]:
-    """The elements that tag, role, class or id declare not to be the article."""
-    return {n for n in order if n.declared or n.named}
+    """The outermost elements that are not the article.
+
+    Tag and role decide by themselves. A class or id may also name a layout
+    ("has-sidebar"), so an element named by them stays when it holds ``main``,
+    or holds ``article`` while the region around it has none elsewhere, or when
+    neither has any or both have, if it holds most of the region's text. A
+    region is the page, an article, or such an element that stays.
+    """
+    # Of each element: text inside, and the articles and mains inside; those outside named elements are told apart.
+    size, mains, inside, bare = ({n: 0 for n in order} for _ in range(4))
+    for node in reversed(order):
+        size[node] += len(node.text)
+        if node.up and not node.declared:
+            up, own = node.up, node.tag in MAIN
+            size[up] += size[node]
+            mains[up] += mains[node] + (node.tag == "main")
+            inside[up] += inside[node] + own
+            bare[up] += 0 if node.named else bare[node] + own
+    out: set[Node] = set()
+    region: dict[Node, Node] = {order[0]: order[0]}
+    for node in order[1:]:
+        if node.up not in region:
+            continue
+        around = region[node.up]
+        if node.declared:
+            out.add(node)
+        elif node.named:
+            holds, elsewhere = bool(inside[node]), bool(bare[around])
+            if mains[node] or (holds and not elsewhere) or (holds == elsewhere and 2 * size[node] > size[around]):
+                region[node] = node
+            else:
+                out.add(node)
+        else:
+            region[node] = node if node.tag in MAIN else around
+    return out
 
 
 class Folded:

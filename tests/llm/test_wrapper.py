@@ -72,6 +72,20 @@ def test_tree_matching(pair):
     assert sorted(pairs) == sorted(set(pairs)) and len({p for p, _ in pairs}) == len({q for _, q in pairs}) == len(pairs)
 
 
+@pytest.mark.parametrize("name", ["content-sidebar-wrap", "has-sidebar", "no-sidebar", "with-comments", "search-results"])
+def test_a_class_of_the_layout_does_not_drop_the_article(spark, name):
+    shell = "<body><div class='menu'>m {0}</div><div class='%s'>%s<div id='comments'>c {0}</div></div></body>"
+    inner = ["<main><article>a {0}</article></main>", "<article>a {0}</article>", "<p>a {0}, a text longer than all the comments</p>"]
+    pages = [(shell % (name, i)).replace("{0}", str(k)) for i in inner for k in range(2)]
+    got = texts(spark, [(k, f"http://h{k // 2}.example/", p) for k, p in enumerate(pages)])
+    assert got == {**{k: f"a {k % 2}" for k in range(4)}, **{k: f"a {k % 2}, a text longer than all the comments" for k in (4, 5)}}
+
+
+def test_side_regions_with_articles_of_their_own_are_left_out(spark):
+    page = "<body><main><article>post {0}</article><div id='comments'><article>reader</article></div></main><aside><article>x {0}</article></aside></body>"
+    assert texts(spark, [(k, "http://h.example/", page.replace("{0}", str(k))) for k in range(2)]) == {0: "post 0", 1: "post 1"}
+
+
 @pytest.mark.parametrize("tag", ["div", "ul", "blockquote"])
 def test_deep_pages(spark, tag):
     rows = [(k, "http://deep.example/", f"<{tag}>" * n + f"deep {k}" + "</b></p></table>" * 1000) for k, n in enumerate((50_000, 49_999, 50_000, 3))]
