@@ -2,8 +2,9 @@
 
 Each page is read into a tree of blocks. Runs of like siblings (paragraphs of
 an article, entries of a menu) are folded into one repeatable node, so trees
-are small and the pages of a site mostly share one. The first page of a host is
-its reference; each tree is aligned with the reference by simple tree matching, the largest
+are small and the pages of a site mostly share one. All distinct trees of a
+host are merged into its reference, so every node has a place there; each tree
+is aligned with the reference by simple tree matching, the largest
 order-keeping matching of equal tags, once. Over all pages of the host it is
 then seen whether an aligned node's text is always the same. Nodes constant
 over pages of different texts are template, nodes whose text varies are slots.
@@ -73,6 +74,9 @@ DECLARED = re.compile(
     re.IGNORECASE,
 )
 
+# About so many distinct trees of a host are merged by one task.
+MERGED = 32
+
 NODES = "page_id long, url string, host string, skeleton string, shape binary, content long, nodes array<struct<node:int,main:boolean,hash:long,text:string>>"
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*(?:>|$)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)", re.DOTALL)
@@ -271,6 +275,18 @@ def tree(skeleton: str) -> tuple:
     return stack[0][0]
 
 
+def written(node: tuple) -> str:
+    parts: list[str] = []
+    todo: list[tuple | None] = [node]
+    while todo:
+        node = todo.pop()
+        parts.append(f"({node[0]}" if node else ")")
+        if node:
+            todo.append(None)
+            todo += node[1][::-1]
+    return "".join(parts)
+
+
 def _ends(a: tuple, b: tuple) -> tuple[int, int]:
     """How many first and last children are equal trees: some best matching pairs them."""
     most = min(len(a[1]), len(b[1]))
@@ -360,6 +376,38 @@ def matched(a: tuple, b: tuple) -> tuple[int, tuple[tuple[int, int], ...]]:
     return len(pairs), tuple(pairs)
 
 
+def merged(a: tuple, b: tuple) -> tuple:
+    """The tree that holds both: matched nodes once, all others between them in order."""
+    _measure(a, b)
+
+    def frame(x: tuple, y: tuple) -> list:
+        parts, i, j = [], 0, 0
+        for p, q in [*_matched_children(x, y), (len(x[1]), len(y[1]))]:
+            parts += [(c, c) for c in (*x[1][i:p], *y[1][j:q])]
+            if p < len(x[1]):
+                parts.append((x[1][p], y[1][q]))
+            i, j = p + 1, q + 1
+        return [x[0], parts[::-1], []]
+
+    if a is b:
+        return a
+    stack = [frame(a, b)]
+    while True:
+        tag, todo, done = stack[-1]
+        if todo:
+            x, y = todo.pop()
+            if x is y:
+                done.append(x)
+            else:
+                stack.append(frame(x, y))
+            continue
+        stack.pop()
+        node = _tree(tag, done)
+        if not stack:
+            return node
+        stack[-1][2].append(node)
+
+
 def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     kind = pa.list_(pa.struct([("node", pa.int32()), ("main", pa.bool_()), ("hash", pa.int64()), ("text", pa.string())]))
     for batch in batches:
@@ -373,6 +421,28 @@ def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(columns, ["page_id", "url", "host", "skeleton", "shape", "content", "nodes"])
 
 
+def _merge(table: pa.Table) -> pa.Table:
+    """One tree that holds all trees of a part of a host."""
+    _forget()
+    own = sorted(zip(*(table.column(c).to_pylist() for c in ("first", "skeleton")), strict=True), key=lambda r: (r[0] is None, *r[r[0] is None :]))
+    whole = tree(own[0][1])
+    for _, skeleton in own[1:]:
+        whole = merged(whole, tree(skeleton))
+    return pa.table({"host": table.column("host")[:1], "first": pa.array([own[0][0]], pa.int64()), "skeleton": pa.array([written(whole)], pa.string())})
+
+
+def references(trees: DataFrame) -> DataFrame:
+    """(host, reference): a tree that holds every tree of the host, merged a bounded number at a time until one is left."""
+    parts = trees.select("host", "first", "skeleton")
+    while True:
+        sizes = parts.groupBy("host").agg(F.ceil(F.count("*") / MERGED).cast("int").alias("parts"))
+        most = sizes.agg(F.max("parts")).first()[0] or 1
+        dealt = parts.join(sizes, "host").withColumn("part", F.pmod(F.xxhash64("skeleton"), F.col("parts")))
+        parts = stored(dealt.groupBy("host", "part").applyInArrow(_merge, "host string, first long, skeleton string"), "references")
+        if most == 1:
+            return parts.select("host", F.col("skeleton").alias("reference"))
+
+
 def _align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(host, shape, skeleton, reference) to (host, shape, pairs of places), those of texts only."""
     kind = pa.list_(pa.struct([("node", pa.int32()), ("place", pa.int32())]))
@@ -391,10 +461,9 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html:
     host = F.lower(F.regexp_extract(F.coalesce(F.col(url), F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
     rows = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).alias("url"), host.alias("host"), F.col(html).alias("html"))
     read = stored(rows.mapInArrow(_nodes, NODES), "pages")
-    # Distinct trees of each host, aligned with the tree of its first page.
+    # Distinct trees of each host, aligned with the one that holds them all.
     trees = stored(read.groupBy("host", "shape").agg(F.min("page_id").alias("first"), F.min("skeleton").alias("skeleton")), "trees")
-    firsts = trees.groupBy("host").agg(F.min(F.struct(F.col("first").isNull(), "first", "skeleton"))["skeleton"].alias("reference"))
-    pairs = trees.join(firsts, "host").select("host", "shape", "skeleton", "reference")
+    pairs = trees.join(references(trees), "host").select("host", "shape", "skeleton", "reference")
     aligned = stored(pairs.mapInArrow(_align, "host string, shape binary, pairs array<struct<node:int,place:int>>"), "aligned")
     places = aligned.select("host", "shape", F.inline("pairs"))
     # Over all pages: does the text at a place of the reference ever change? Counted per tree first, so a large host is summed early.

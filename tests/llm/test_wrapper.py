@@ -86,7 +86,32 @@ def test_side_regions_with_articles_of_their_own_are_left_out(spark):
     assert texts(spark, [(k, "http://h.example/", page.replace("{0}", str(k))) for k in range(2)]) == {0: "post 0", 1: "post 1"}
 
 
+@pytest.mark.parametrize("first", [None, "", "<div><div class='text'>only this</div></div>", "<h1>404</h1>"])
+def test_template_does_not_depend_on_the_first_page(spark, monkeypatch, first):
+    monkeypatch.setattr(H, "MERGED", 2)
+    bars = "<div><ul><li>Our bar</li></ul><table><tr><td>Rates</td></tr></table>%s<div class='text'>{0}</div><h2>Call us</h2></div>"
+    rows = [(0, "http://soup.example/", first)]
+    rows += [(k, "http://soup.example/", (bars % ("<hr>" * (k % 3) + "<section>s {0}</section>" * (k % 2))).replace("{0}", f"story {k}")) for k in range(1, 7)]
+    got = texts(spark, rows)
+    assert {k: got[k] for k in range(1, 7)} == {k: f"s story {k}\n" * (k % 2) + f"story {k}" for k in range(1, 7)}
+    assert got[0] == {"<h1>404</h1>": "404"}.get(first, "only this" if first else "")
+
+
+def test_copies_of_an_odd_page_are_no_template(spark):
+    rows = [(k, "http://h.example/", f"<p>story {k}</p>") for k in range(3)] + [(k, "http://h.example/", "<table><tr><td>odd page</td></tr></table>") for k in (7, 8)]
+    got = texts(spark, rows)
+    assert got[7] == got[8] == "odd page" and got[1] == "story 1"
+
+
 @pytest.mark.parametrize("tag", ["div", "ul", "blockquote"])
 def test_deep_pages(spark, tag):
     rows = [(k, "http://deep.example/", f"<{tag}>" * n + f"deep {k}" + "</b></p></table>" * 1000) for k, n in enumerate((50_000, 49_999, 50_000, 3))]
     assert texts(spark, rows) == {k: f"deep {k}" for k in range(4)}
+
+
+def test_merged_trees_hold_both():
+    trees = [H.tree(t) for t in ("(a(b)(c(d))(b))", "(a(c(d)(e))(b))", "(a)", "(a(p)(q)(p))", "(a(q)(p)(q(x)))", "(a(x(y))(b))")]
+    whole = trees[0]
+    for t in trees[1:]:
+        whole = H.merged(whole, t)
+    assert all(H.matched(t, whole)[0] == t[3] == brute(t, whole) for t in trees) and H.tree(H.written(whole)) is whole
