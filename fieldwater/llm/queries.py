@@ -18,6 +18,7 @@ from fieldwater.llm import (
     near_dedup,
     packing,
     secret_ledger,
+    sentence_pieces,
     toxicity,
     wrapper,
 )
@@ -262,3 +263,11 @@ LABELS_SQL = " ".join(
 )
 def op10(spark: SparkSession, d: str) -> DataFrame:
     return licenses.digest_columns(licenses.licenses(table(spark, d, "documents")))
+
+
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
+
+
+@query("op11_sentence_pieces")
+def op11(spark: SparkSession, d: str) -> DataFrame:
+    return sentence_pieces.digest_columns(sentence_pieces.encode(table(spark, d, "documents"), PIECES))
