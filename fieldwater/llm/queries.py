@@ -19,6 +19,7 @@ from fieldwater.llm import (
     packing,
     secret_ledger,
     sentence_pieces,
+    spelling,
     toxicity,
     wrapper,
 )
@@ -271,3 +272,53 @@ PIECES = public_tokenizers.path("piece_bpe_32k.model")
 @query("op11_sentence_pieces")
 def op11(spark: SparkSession, d: str) -> DataFrame:
     return sentence_pieces.digest_columns(sentence_pieces.encode(table(spark, d, "documents"), PIECES))
+
+
+@query(
+    "op12_spelling_variants",
+    r"""
+    with recursive steps(i, k, c) as (
+        select i, 0, i::bigint from range(256) as t(i)
+        union all select i, k + 1, case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end from steps where k < 8
+    ),
+    crc as materialized (select list(c order by i) as t from steps where k = 8),
+    runs as (
+        select doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+            '[A-Za-zÀ-ÿ]+')) as run from documents
+    ),
+    counted as (select doc_id, run, count(*) as n from runs group by all having length(run) >= 6),
+    bytes as (
+        select doc_id, run, n, coalesce(doc_id::varchar, '') || ':' as front,
+            list_concat([unicode(x)::bigint for x in string_split(coalesce(doc_id::varchar, '') || ':', '')],
+                flatten([case when unicode(x) < 128 then [unicode(x)::bigint] else [195::bigint, unicode(x)::bigint - 64] end for x in string_split(run, '')])) as b
+        from counted
+    ),
+    hashed as (
+        select run, n, xor(list_reduce(list_prepend(4294967295::bigint, b), lambda s, x: xor(s >> 8, t[xor(s & 255, x) + 1])), 4294967295) as h
+        from bytes, crc
+    ),
+    spelt as (select case when h % 199 = 0 then run[:h % length(run)] || run[h % length(run) + 2:] else run end as word, n from hashed),
+    words as materialized (select word, sum(n)::bigint as n from spelt where length(word) >= 6 group by word having sum(n) >= 5),
+    gaps as materialized (
+        select word, n, i, word[:i - 1] || word[i + 1:] as rest from (select word, n, unnest(range(1, length(word) + 1)) as i from words)
+    ),
+    near as (
+        select a.word, b.word as other, b.n as other_n from gaps a join gaps b on a.i = b.i and a.rest = b.rest and a.word <> b.word
+        union select g.word, w.word, w.n from gaps g join words w on w.word = g.rest
+        union select w.word, g.word, g.n from gaps g join words w on w.word = g.rest
+    ),
+    best as (
+        select word, count(*) as n_near, first(other order by other_n desc, other) as other, max(other_n) as other_n from near group by word
+    ),
+    formed as materialized (
+        select word, n, coalesce(n_near, 0) as n_near, case when other_n >= 5 * n then other end as form, case when other_n >= 5 * n then other_n end as form_n
+        from words left join best using (word)
+    ),
+    ends(word, stop) as (
+        select word, word from formed union all select e.word, f.form from ends e join formed f on f.word = e.stop where f.form is not null
+    )
+    select word, n, n_near, form, form_n, stop as root from formed join ends using (word) where stop in (select word from formed where form is null)
+    """,
+)
+def op12(spark: SparkSession, d: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, d, "documents"))
