@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldwater.llm import (
+    centroids,
     chat_examples,
     compression_quality,
     decontaminate,
@@ -322,3 +323,43 @@ def op11(spark: SparkSession, d: str) -> DataFrame:
 )
 def op12(spark: SparkSession, d: str) -> DataFrame:
     return spelling.spelling_variants(table(spark, d, "documents"))
+
+
+def rounds_sql(rounds: int) -> str:
+    """Assignment and new centroids of each round, over (r, d, x) and (c, d, x)."""
+    parts = []
+    for k in range(rounds + 1):
+        parts.append(f"""
+            a{k} as materialized (
+                select r, c, s from (
+                    select v.r, m.c, sum((v.x - m.x) * (v.x - m.x))::bigint as s from parts v join c{k} m using (d) group by v.r, m.c
+                ) qualify row_number() over (partition by r order by s, c) = 1
+            )""")
+        if k < rounds:
+            parts.append(f"""
+            n{k} as (select c, d, sum(x)::bigint as s, count(*) as n from parts join a{k} using (r) group by c, d),
+            c{k + 1} as materialized (
+                select m.c, m.d, case when n.n is null then m.x else (n.s - ((n.s % n.n) + n.n) % n.n) // n.n end as x
+                from c{k} m left join n{k} n on n.c = m.c and n.d = m.d
+            )""")
+    return ",".join(parts)
+
+
+@query(
+    "op13_centroids",
+    f"""
+    with v as materialized (
+        select row_number() over () as r, vec_id, [floor(256 * x::double)::bigint for x in embedding] as e from embeddings
+        where len(embedding) = 64 and len([x for x in embedding if x is not null and isfinite(x)]) = 64
+    ),
+    parts as materialized (select r, unnest(range(1, 65)) as d, unnest(e) as x from v),
+    firsts as (select r, row_number() over (order by h, e) - 1 as c from (select r, e, sha256('2:' || coalesce(vec_id::varchar, '')) as h from v order by h, e limit 40)),
+    c0 as materialized (select c, d, x from firsts join parts using (r)),
+    {rounds_sql(centroids.ROUNDS)},
+    digests as (select c, sha256(string_agg(x::varchar, ',' order by d)) as centroid_sha256 from c{centroids.ROUNDS} group by c)
+    select vec_id, c::int as cluster, s as distance, sum(s) over (partition by c)::bigint as cluster_inertia, sum(s) over ()::bigint as inertia, centroid_sha256
+    from a{centroids.ROUNDS} join v using (r) join digests using (c)
+    """,
+)
+def op13(spark: SparkSession, d: str) -> DataFrame:
+    return centroids.with_inertia(*centroids.cluster(table(spark, d, "embeddings")))
