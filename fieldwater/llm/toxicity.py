@@ -4,14 +4,20 @@ A text is described by which words, and beginnings of words, of a vocabulary
 occur in it, so long texts weigh no more than short ones. The model is fitted on a bounded sample of
 training rows. The vocabulary holds the words whose document counts differ most
 between the two classes, and the identity terms; their weights are those of a
-logistic model. For every sampled sentence with an identity term, the term is swapped for
-each other term of its group and the change of the score is penalised, which
-pulls the weights of a group's terms together and toward zero effect: a neutral
-mention of a group scores like any other sentence.
+logistic model, on the scale of log odds. Two kinds of counterfactual copies are penalised by
+their squared change of log odds: a sampled sentence with an identity term is
+copied with each other term of that group in its place, and a fixed share of
+all sampled sentences, with or without such a term, is copied with a term put in, for each term.
+The first pulls the terms of a group together, the second pulls a mention
+toward no effect, also where the sample happens to hold few mentions.
+
+The fit gives both classes the same weight. Its log odds are then calibrated on
+the sampled rows, weighted back to the class counts of all training rows, so a
+text without evidence scores like the share of toxic rows and not one half.
 
 Defined cases: a NULL or empty text has no words and gets the model's base
-score; repeated rows score alike; with no training rows, or one class only, the
-score is the share of toxic rows (0 with none). Other columns are ignored.
+score; repeated rows score alike; without telling words every text scores the share of toxic rows;
+with no training rows, or one class only, the score is that class (0 with none). Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,12 +32,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldwater.llm.store import bounded_batches, held_out, stored, training_sample
+from fieldwater.llm.store import bounded_batches, held_out, stored, training_labels, training_sample
 from fieldwater.llm.words import words
 
 THRESHOLD = 0.5
 
-# Identity terms by group, fixed values: within a group any term may stand for any other.
+# Identity terms by group in the languages of the documents, fixed values: within a group any term may stand for any other.
 IDENTITY_TERMS = (
     ("women", "men", "girls", "boys"),
     ("woman", "man", "girl", "boy"),
@@ -43,6 +49,24 @@ IDENTITY_TERMS = (
     ("american", "mexican", "chinese", "indian", "european"),
     ("blind", "deaf", "disabled"),
     ("young", "old", "elderly"),
+    ("frauen", "männer", "mädchen", "jungen"),
+    ("frau", "mann"),
+    ("schwul", "lesbisch", "bisexuell", "hetero"),
+    ("christ", "moslem", "jude", "hindu", "buddhist", "atheist"),
+    ("christen", "muslime", "juden", "hindus", "buddhisten", "atheisten"),
+    ("türken", "polen", "russen", "deutsche", "chinesen"),
+    ("femmes", "hommes", "filles", "garçons"),
+    ("femme", "homme", "fille", "garçon"),
+    ("gai", "lesbienne", "bisexuel", "hétéro"),
+    ("chrétien", "musulman", "juif", "hindou", "bouddhiste", "athée"),
+    ("chrétiens", "musulmans", "juifs", "hindous", "bouddhistes", "athées"),
+    ("arabes", "africains", "chinois", "européens", "français"),
+    ("mujeres", "hombres", "niñas", "niños"),
+    ("mujer", "hombre", "niña", "niño"),
+    ("lesbiana", "homosexual", "bisexual", "heterosexual"),
+    ("cristiano", "musulmán", "judío", "hindú", "budista", "ateo"),
+    ("cristianos", "musulmanes", "judíos", "hindúes", "budistas", "ateos"),
+    ("mexicanos", "africanos", "chinos", "europeos", "españoles"),
 )
 
 
@@ -51,11 +75,12 @@ class Settings:
     """Bounds and weights of the fit, all documented choices."""
 
     vocabulary: int = 4096  # most telling words kept
-    least_docs: int = 5  # a word must occur in so many training rows
+    least_docs: int = 3  # a word must occur in so many training rows
     least_z: float = 4.0  # and its two class rates must differ by so many standard errors
-    sample_rows: int = 10_000  # training rows of each class that the fit sees at most, first by hash of the id
-    penalty: float = 0.2  # squared weights
-    counterfactual: float = 50.0  # squared score change by a swapped identity term
+    sample_rows: int = 20_000  # training rows of each class that the fit sees at most, first by hash of the id
+    penalty: float = 1.0  # squared weights
+    counterfactual: float = 50.0  # squared change of log odds by a swapped identity term
+    placed: float = 0.05  # share of the sampled sentences that are copied with a term put in, for each term
     steps: int = 300
     groups: tuple = field(default=IDENTITY_TERMS)
 
@@ -97,8 +122,13 @@ class Model:
         return 1 / (1 + math.exp(-z)) if z >= 0 else math.exp(z) / (1 + math.exp(z))
 
 
-def _logistic(rows: list[np.ndarray], y: np.ndarray, size: int, pairs: dict[tuple[int, int], float], s: Settings) -> tuple[float, np.ndarray]:
-    """Balanced logistic fit by accelerated gradient steps; ``pairs`` holds swapped terms and how many sentences swap them."""
+def _logistic(
+    rows: list[np.ndarray], y: np.ndarray, size: int, pairs: dict[tuple[int, int], float], mentions: np.ndarray, s: Settings
+) -> tuple[float, np.ndarray]:
+    """Balanced logistic fit by accelerated gradient steps.
+
+    ``pairs`` holds swapped terms and how many sentences swap them, ``mentions`` for each feature how many copies put it in.
+    """
     lengths = np.array([len(r) for r in rows])
     flat = np.concatenate(rows) if lengths.sum() else np.zeros(0, np.int64)
     owner = np.repeat(np.arange(len(rows)), lengths)
@@ -106,7 +136,8 @@ def _logistic(rows: list[np.ndarray], y: np.ndarray, size: int, pairs: dict[tupl
     left, right = (np.array([p[i] for p in pairs], np.int64) for i in (0, 1))
     times = np.array(list(pairs.values()), float) * s.counterfactual
     # Diagonal bounds of the curvature keep every step safe without a line search.
-    curve = np.bincount(flat, 0.25 * share[owner] * lengths.clip(1)[owner], size) + s.penalty
+    pull = s.penalty + s.counterfactual * mentions
+    curve = np.bincount(flat, 0.25 * share[owner] * lengths.clip(1)[owner], size) + pull
     curve += 4 * (np.bincount(left, times, size) + np.bincount(right, times, size))
     bias_curve = 0.25 * (share * (lengths + 1)).sum()
     w, bias = np.zeros(size), 0.0
@@ -115,7 +146,7 @@ def _logistic(rows: list[np.ndarray], y: np.ndarray, size: int, pairs: dict[tupl
         z = bias_ahead + np.bincount(owner, ahead[flat], len(rows))
         gap = share * (1 / (1 + np.exp(-z.clip(-30, 30))) - y)
         change = times * (ahead[left] - ahead[right])
-        slope = np.bincount(flat, gap[owner], size) + s.penalty * ahead
+        slope = np.bincount(flat, gap[owner], size) + pull * ahead
         slope += 2 * (np.bincount(left, change, size) - np.bincount(right, change, size))
         new, new_bias = ahead - slope / curve, bias_ahead - gap.sum() / bias_curve
         new_pace = (1 + math.sqrt(1 + 4 * pace**2)) / 2
@@ -125,12 +156,43 @@ def _logistic(rows: list[np.ndarray], y: np.ndarray, size: int, pairs: dict[tupl
     return bias, w
 
 
+def calibrated(z: np.ndarray, y: np.ndarray, weight: np.ndarray, steps: int = 50) -> tuple[float, float]:
+    """(slope, shift) of the logistic curve from log odds ``z`` to the weighted rows' labels.
+
+    Targets are drawn in by half a row of each class, so separable rows have a finite curve; the slope is at least 0.
+    """
+    bad, good = weight[y == 1].sum(), weight[y == 0].sum()
+    target = np.where(y == 1, (bad + 1) / (bad + 2), 1 / (good + 2))
+    center, spread = float(np.average(z, weights=weight)), max(float(z.std()), 1e-9)
+    u = (z - center) / spread if z.std() > 1e-9 else np.zeros(len(z))
+    slope, shift = 0.0, math.log((bad + 1) / (good + 1))
+
+    def loss(a: float, b: float) -> float:
+        t = a * u + b
+        return float((weight * (np.logaddexp(0, t) - target * t)).sum())
+
+    for _ in range(steps):
+        p = 1 / (1 + np.exp(-(slope * u + shift).clip(-30, 30)))
+        gap, curve = weight * (p - target), weight * p * (1 - p)
+        h = np.array([[(curve * u * u).sum() + 1e-6, (curve * u).sum()], [(curve * u).sum(), curve.sum() + 1e-6]])
+        step = np.linalg.solve(h, [(gap * u).sum(), gap.sum()])
+        size, now = 1.0, loss(slope, shift)
+        while size > 1e-6 and loss(slope - size * step[0], shift - size * step[1]) > now:
+            size /= 2
+        slope, shift = slope - size * step[0], shift - size * step[1]
+        if size * np.abs(step).max() < 1e-9:
+            break
+    slope = max(float(slope), 0.0) / spread
+    return slope, float(shift) - slope * center
+
+
 def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), doc_id: str = "doc_id", text: str = "text") -> Model:
     """Learn from the labelled rows that are not held out."""
     bounded_batches(docs.sparkSession)
     rows = training_sample(docs, labels, "toxic", settings.sample_rows, doc_id, text).select("id", F.col("text").cast("binary").alias("text"), "y")
     train = stored(rows.mapInArrow(_distinct, "id long, words array<string>, y int"), "toxicity")
     size = {r["y"]: r["n"] for r in train.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    every = {r["y"]: r["n"] for r in training_labels(labels, "toxic").groupBy("y").agg(F.count("*").alias("n")).collect()}
     bad, good = size.get(1, 0), size.get(0, 0)
     if not bad or not good:
         share = bad / max(1, bad + good)
@@ -154,8 +216,13 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), doc
         for term in group_of.keys() & ids.tolist():
             for other in group_of[term]:
                 pairs[term, other] = pairs.get((term, other), 0.0) + 1.0
-    bias, w = _logistic(x, np.array([r["y"] for r in known]), len(names), pairs, settings)
-    return Model(bias, {n: float(v) for n, v in zip(names, w, strict=True) if v})
+    mentions = np.zeros(len(names))
+    mentions[list(group_of)] = settings.placed * len(x)
+    y = np.array([r["y"] for r in known])
+    bias, w = _logistic(x, y, len(names), pairs, mentions, settings)
+    z = bias + np.array([w[ids].sum() for ids in x])
+    slope, shift = calibrated(z, y, np.where(y == 1, every[1] / bad, every[0] / good))
+    return Model(slope * bias + shift, {n: slope * float(v) for n, v in zip(names, w, strict=True) if v})
 
 
 def _scored(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:

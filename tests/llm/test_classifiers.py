@@ -46,6 +46,45 @@ def test_identity_mentions_stay_neutral(spark):
     assert swapped < abs(unfair.score(mention) - unfair.score(mention.replace(b"muslims", b"christians")))
 
 
+def test_penalty_changes_predictions_of_neutral_mentions(spark):
+    """Toxic sentences about women and no clean ones: without the penalty the mention itself is rejected."""
+    draw = random.Random(8)
+    docs, labels = [], []
+    for k in range(400):
+        words = [draw.choice(CLEAN) for _ in range(draw.randrange(8, 30))]
+        if k % 4 == 0:
+            words += ["mujeres"] + ([draw.choice(RUDE)] if k % 3 == 0 else [])
+        docs.append((k, " ".join(words)))
+        labels.append((k, 1, int(k % 4 == 0), None))
+    docs_, labels_ = make_docs(spark, docs), labels_table(spark, labels)
+    fair, unfair = X.fit(docs_, labels_), X.fit(docs_, labels_, X.Settings(counterfactual=0.0))
+    for mention in (b"las mujeres walk there on sunday", b"mujeres", b"the dogs of mujeres"):
+        assert unfair.score(mention) >= 0.5 > fair.score(mention)
+    # A swap for a term that no row holds changes less.
+    gap = lambda m: abs(m.score(b"mujeres walk there") - m.score(b"hombres walk there"))
+    assert gap(fair) < 0.1 < gap(unfair)
+    assert fair.score(b"such a moron") > fair.score(b"such a dog")
+
+
+def test_without_telling_words_every_text_scores_the_share(spark):
+    draw = random.Random(3)
+    docs = [(k, " ".join(draw.sample(CLEAN, 4))) for k in range(200)]
+    labels = [(k, 1, int(k % 10 == 0), None) for k in range(200)]
+    train = [t for k, _, t, _ in labels if zlib.crc32(str(k).encode()) % 5]
+    frame = make_docs(spark, [*docs, (300, None), (301, "")])
+    model = X.fit(frame, labels_table(spark, labels), X.Settings(least_z=1e9))
+    rows = X.toxicity(frame, model).collect()
+    assert all(r.score == pytest.approx(sum(train) / len(train), abs=0.02) and r.predicted == 0 for r in rows)
+
+
+def test_small_given_table_keeps_clean_rows(spark, sf):
+    docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
+    rows = X.toxicity(docs, X.fit(docs, labels)).join(labels, "doc_id").collect()
+    assert sum(r.predicted for r in rows if r.toxic) >= 0.5 * sum(r.toxic for r in rows)
+    assert not sum(r.predicted for r in rows if not r.toxic)
+    assert X.without_toxic(docs, labels).count() > 0.8 * docs.count()
+
+
 def test_toxicity_on_held_out_rows(spark):
     docs, labels = table(spark, SF, "documents"), table(spark, SF, "labels")
     scored = X.toxicity(docs, X.fit(docs, labels)).filter("held_out").join(labels, "doc_id").select("score", "toxic", "predicted").collect()

@@ -35,7 +35,7 @@ def check_texts(own, theirs, texts):
 def test_ids_and_spans_equal_the_library(spark, sf):
     theirs = sentencepiece.SentencePieceProcessor(model_file=PATH)
     own = P.Encoder(P.read_model(PATH))
-    assert own.by_run
+    assert own.by_part
     texts = [r.text for r in table(spark, sf, "documents").collect()]
     check_texts(own, theirs, AWKWARD + random_texts(400) + texts + [b"\xffa\xfe b\xe2\x96", b"\xed\xa0\x80", b"\xc3"])
 
@@ -69,20 +69,36 @@ def test_character_map_and_blanks_equal_the_library(charsmap, flags, mapped):
     check_texts(P.Encoder(model), theirs, AWKWARD + random_texts(300, 5) + [b"\xffa  \xfe b"])
 
 
-def test_whole_and_by_run_agree():
-    own, whole = P.Encoder(P.read_model(PATH)), P.Encoder(P.read_model(PATH))
-    whole.by_run = False
-    for text in AWKWARD + random_texts(200, 7):
-        assert all((a == b).all() for a, b in zip(own.encode(text.encode()), whole.encode(text.encode()), strict=True))
-
-
-def test_memory_of_runs_changes_nothing(monkeypatch):
-    texts = random_texts(200, 9) + AWKWARD
-    fresh = [P.Encoder(P.read_model(PATH)).encode(t.encode())[0].tolist() for t in texts[:20]]
-    monkeypatch.setattr(P, "REMEMBERED", 3)
-    own = P.Encoder(P.read_model(PATH))
-    assert [own.encode(t.encode())[0].tolist() for t in texts][:20] == fresh
-    assert len(own.known) <= 50
+def test_parts_and_whole_agree(monkeypatch):
+    whole = P.Encoder(P.read_model(PATH))
+    whole.by_part = False
+    for size in (1, 7, 30):
+        monkeypatch.setattr(P, "PART", size)
+        own = P.Encoder(P.read_model(PATH))
+        for text in AWKWARD + random_texts(200, 7):
+            assert all((a == b).all() for a, b in zip(own.encode(text.encode()), whole.encode(text.encode()), strict=True))
+
+
+def without_byte_pieces(model):
+    """The same model with its byte pieces turned into unused ones, and no byte fallback."""
+    made = b""
+    for number, value in P._fields(model):
+        if number == 1:
+            piece = dict(P._fields(value))
+            kind = 5 if piece.get(3, 1) == 6 else piece.get(3, 1)
+            value = b"\x0a" + bytes([len(piece[1])]) + piece[1] + b"\x15" + piece.get(2, bytes(4)) + b"\x18" + bytes([kind])
+            made += b"\x0a" + bytes([len(value)]) + value
+    rest = dict(P._fields(model))
+    trainer = b"\x18\x02\x98\x02\x00"
+    return made + b"\x12" + bytes([len(trainer)]) + trainer + b"\x1a" + bytes([len(rest[3])]) + rest[3]
+
+
+def test_unknown_pieces_equal_the_library():
+    model = without_byte_pieces(P.read_model(PATH))
+    theirs = sentencepiece.SentencePieceProcessor(model_proto=model)
+    own = P.Encoder(model)
+    assert own.unknown == theirs.unk_id() and theirs.unk_id() in theirs.encode("ab \U0001f9e8\U0001f9e8 c")
+    check_texts(own, theirs, AWKWARD + random_texts(200, 11) + ["a\U0001f9e8\U0001f9e8 \U0001f9e8b"])
 
 
 def test_rows(spark):
