@@ -9,7 +9,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -117,6 +117,55 @@ def centroid(ring: Column) -> tuple[Column, Column]:
     return cx, cy
 
 
+def rings_of(df: DataFrame, name: str) -> Column:
+    """A polygon column as an array of rings.
+
+    A column may hold one ring, or the rings of all parts and holes of a
+    polygon; the schema tells which.
+    """
+    inner = df.schema[name].dataType.elementType
+    return F.col(name) if inner.typeName() == "array" else F.array(F.col(name))
+
+
+def oriented(parts: Column) -> Column:
+    """Parts, each an outer ring followed by its holes, as one array of rings: outer ones counterclockwise, holes clockwise."""
+    turned = lambda ring, sign: F.when(signed_area(ring) * sign < 0, F.reverse(ring)).otherwise(ring)
+    return F.flatten(F.transform(parts, lambda part: F.transform(part, lambda ring, k: turned(ring, F.when(k == 0, 1).otherwise(-1)))))
+
+
+def edges_of(rings: Column) -> Column:
+    """Array of the segments of all rings."""
+    return F.flatten(F.transform(rings, edges))
+
+
+def area_of(rings: Column) -> Column:
+    """Area of oriented rings: outer ones less holes, whichever way the outer ones turn."""
+    return F.abs(F.aggregate(rings, F.lit(0.0), lambda acc, ring: acc + signed_area(ring)))
+
+
+def centroid_of(rings: Column) -> tuple[Column, Column]:
+    """Area centroid of oriented rings, holes taken out and parts together; NULL without area.
+
+    All sums run over coordinates relative to the first vertex of the first ring.
+    """
+    origin = F.get(F.get(F.filter(rings, lambda ring: F.size(ring) > 0), F.lit(0)), F.lit(0))
+    x0, y0 = origin["x"], origin["y"]
+    near = F.transform(rings, lambda ring: F.transform(ring, lambda p: F.struct((p["x"] - x0).alias("x"), (p["y"] - y0).alias("y"))))
+    cross = lambda s: s["x1"] * s["y2"] - s["x2"] * s["y1"]
+    zero = F.struct(F.lit(0.0).alias("a"), F.lit(0.0).alias("x"), F.lit(0.0).alias("y"))
+    sums = F.aggregate(
+        edges_of(near),
+        zero,
+        lambda t, s: F.struct(
+            (t["a"] + cross(s)).alias("a"),
+            (t["x"] + (s["x1"] + s["x2"]) * cross(s)).alias("x"),
+            (t["y"] + (s["y1"] + s["y2"]) * cross(s)).alias("y"),
+        ),
+        lambda t: F.struct(F.try_divide(t["x"], t["a"] * 3).alias("x"), F.try_divide(t["y"], t["a"] * 3).alias("y")),
+    )
+    return sums["x"] + x0, sums["y"] + y0
+
+
 def bounds(ring: Column) -> Column:
     """Struct (xmin, ymin, xmax, ymax) of a ring."""
     xs, ys = F.transform(ring, lambda p: p["x"]), F.transform(ring, lambda p: p["y"])

@@ -5,6 +5,10 @@ centre line of the grid rows it spans, the crossings of a row are paired up
 (even-odd rule), and each pair is a run of columns. Work is proportional to
 the edges and to the cells inside; no cell is ever tested against a polygon it
 is not in, and crowded places need no special care.
+
+A polygon column holds one ring, or an array of all rings of a polygon with
+holes and parts. The edges of all rings meet in one scan line, so a hole's
+crossings close and open runs by themselves. Parts must not overlap.
 """
 
 from __future__ import annotations
@@ -16,13 +20,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from fieldwater.functions.geo import edges
+from fieldwater.functions.geo import edges_of, rings_of
 from fieldwater.operators.grid import GridSpec
 
 
 def _edge_rows(polygons: DataFrame, spec: GridSpec, carry: Sequence[str], ring: str) -> DataFrame:
     """One row per edge in grid units: u counts columns from the left, v counts rows from the top."""
-    e = polygons.select(*carry, F.explode(edges(F.col(ring))).alias("_e"))
+    e = polygons.select(*carry, F.explode(edges_of(rings_of(polygons, ring))).alias("_e"))
     u = lambda x: (x - spec.left) / spec.xres
     v = lambda y: (F.lit(spec.top) - y) / spec.yres
     return e.select(

@@ -7,8 +7,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
-from fieldwater.functions.geo import reproject
+from fieldwater.functions.geo import bounds, edges, reproject, signed_area
 from fieldwater.functions.sizing import attach, measured
 from fieldwater.operators.grid import BLOCK_REDUCERS, GridSpec, align_to_grid, most_frequent, to_target_cells
 from fieldwater.operators.quantiles import quantiles
@@ -110,13 +111,129 @@ def _interpolate_projected(cells: DataFrame, source: GridSpec, target: GridSpec,
     return summed.select(*keys, "row", "col", F.when(F.abs("_t") > 1e-9, F.col("_s") / F.col("_t")).alias("value"))
 
 
-def regrid(cells: DataFrame, source: GridSpec, target: GridSpec, kind: str = "near", keys: Sequence[str] = ()) -> DataFrame:
+def _overlaps(spark: SparkSession, n_target: int, start: float, step: float, n_source: int) -> DataFrame:
+    """Rows (source, target, weight) along one axis: the share of each source cell that lies in a target cell.
+
+    Target cell i spans source coordinates ``start + i * step`` to ``start + (i + 1) * step``, counted in source cells from the grid's edge.
+    """
+    low, high = F.col("target") * step + start, (F.col("target") + 1) * step + start
+    targets = spark.range(n_target).select(F.col("id").cast("int").alias("target"))
+    first = F.greatest(F.floor(low), F.lit(0)).cast("int")
+    last = F.least(F.ceil(high) - 1, F.lit(n_source - 1)).cast("int")
+    spread = targets.select("target", low.alias("_lo"), high.alias("_hi"), first.alias("_a"), last.alias("_b")).where("_a <= _b")
+    lined = spread.select("target", "_lo", "_hi", F.explode(F.sequence("_a", "_b")).alias("source"))
+    share = F.least(F.col("_hi"), F.col("source") + 1.0) - F.greatest(F.col("_lo"), F.col("source").cast("double"))
+    # Borders that agree up to rounding share no area.
+    return lined.select("source", "target", share.alias("_w")).where(F.col("_w") > 1e-9)
+
+
+def _clamped(a: Column, b: Column, dv: Column) -> Column:
+    """Integral of min(max(u, 0), 1) along a segment from u = a to u = b over a height of ``dv``."""
+    area = lambda u: F.when(u <= 0, 0.0).when(u < 1, u * u / 2).otherwise(u - 0.5)
+    level = F.least(F.greatest((a + b) / 2, F.lit(0.0)), F.lit(1.0))
+    return dv * F.when(F.abs(b - a) < 1e-9, level).otherwise((area(b) - area(a)) / (b - a))
+
+
+def _projected_overlaps(cells: DataFrame, source: GridSpec, target: GridSpec, keys: Sequence[str]) -> DataFrame:
+    """(keys, row, col, value, weight) where the systems differ: each source cell becomes a quadrilateral of the target plane.
+
+    The area a quadrilateral shares with a target cell is the sum over its
+    edges of the distance from the cell's left border, kept between 0 and the
+    cell's width, integrated over the height the edge has in the cell's row.
+    A cell meets the few target cells of its own bounding box.
+    """
+    left, top = F.lit(source.left) + F.col("col") * source.xres, F.lit(source.top) - F.col("row") * source.yres
+
+    def corner(dx: int, dy: int) -> Column:
+        x, y = reproject(left + dx * source.xres, top - dy * source.yres, source.crs, target.crs)
+        return F.struct(((x - target.left) / target.xres).alias("x"), ((F.lit(target.top) - y) / target.yres).alias("y"))
+
+    # Exploded out of arrays of one, so that a corner is projected once.
+    ring = F.array(corner(0, 0), corner(1, 0), corner(1, 1), corner(0, 1))
+    quads = cells.where(F.col("value").isNotNull()).select(*keys, "value", F.explode(F.array(ring)).alias("_q"))
+    box = bounds(F.col("_q"))
+    sized = quads.select(*keys, "value", edges(F.col("_q")).alias("_e"), signed_area(F.col("_q")).alias("_area"), F.explode(F.array(box)).alias("_box"))
+    span = lambda low, high, size: F.sequence(
+        F.greatest(F.floor(low), F.lit(0)).cast("int"), F.least(F.floor(high), F.lit(size - 1)).cast("int")
+    )
+    reached = sized.where(
+        (F.col("_box.xmax") >= 0) & (F.col("_box.ymax") >= 0) & (F.col("_box.xmin") < target.width) & (F.col("_box.ymin") < target.height)
+    )
+    lines = reached.select("*", F.explode(span(F.col("_box.ymin"), F.col("_box.ymax"), target.height)).alias("_r"))
+    met = lines.select("*", F.explode(span(F.col("_box.xmin"), F.col("_box.xmax"), target.width)).alias("_c"))
+
+    def share(acc: Column, s: Column) -> Column:
+        low = F.greatest(F.least(s["y1"], s["y2"]), F.col("_r").cast("double"))
+        high = F.least(F.greatest(s["y1"], s["y2"]), F.col("_r") + 1.0)
+        slope = F.try_divide(s["x2"] - s["x1"], s["y2"] - s["y1"])
+        at = lambda y: F.coalesce(s["x1"] + slope * (y - s["y1"]), s["x1"]) - F.col("_c")
+        inside = _clamped(at(low), at(high), high - low) * F.signum(s["y2"] - s["y1"])
+        return acc + F.when(high > low, inside).otherwise(0.0)
+
+    weight = F.aggregate("_e", F.lit(0.0), share) / F.col("_area")
+    return met.select(*keys, F.col("_r").alias("row"), F.col("_c").alias("col"), "value", weight.alias("_w")).where(F.col("_w") > 1e-9)
+
+
+def overlaps(cells: DataFrame, source: GridSpec, target: GridSpec, keys: Sequence[str] = ()) -> DataFrame:
+    """(keys, row, col, value, _w): present source cells with the share of their area in each target cell they meet."""
+    if source.crs != target.crs:
+        return _projected_overlaps(cells, source, target, keys)
+    spark = cells.sparkSession
+    x0, y0 = (target.left - source.left) / source.xres, (source.top - target.top) / source.yres
+    columns = _overlaps(spark, target.width, x0, target.xres / source.xres, source.width)
+    lines = _overlaps(spark, target.height, y0, target.yres / source.yres, source.height)
+    present = cells.where(F.col("value").isNotNull()).select(*keys, "row", "col", "value")
+    across = attach(present.withColumnRenamed("col", "source"), measured(columns), ["source"]).select(
+        *keys, F.col("row").alias("source"), F.col("target").alias("col"), "value", F.col("_w").alias("_x")
+    )
+    down = attach(across, measured(lines), ["source"])
+    return down.select(*keys, F.col("target").alias("row"), "col", "value", (F.col("_x") * F.col("_w")).alias("_w"))
+
+
+def area_regrid(cells: DataFrame, source: GridSpec, target: GridSpec, kind: str, keys: Sequence[str] = ()) -> DataFrame:
+    """Aggregate source cells by the share of their area in each target cell.
+
+    ``sum`` deals a cell's value out in proportion, so the total over target
+    cells that cover the source is kept; ``average`` weighs by area; ``mode``
+    is the value with the most area, the smallest among equals; ``min`` and
+    ``max`` are over all cells that share area; quartiles are the smallest
+    value below which, itself included, that part of the area lies. Values of
+    a target cell are summed by value before they are compared, so many cells of few values stay few rows.
+    """
+    place = [*keys, "row", "col"]
+    met = overlaps(cells, source, target, keys)
+    if kind in ("min", "max"):
+        return met.groupBy(*place).agg(BLOCK_REDUCERS[kind](F.col("value")).alias("value"))
+    if kind == "sum":
+        return met.groupBy(*place).agg(F.sum(F.col("value") * F.col("_w")).alias("value"))
+    if kind == "average":
+        return met.groupBy(*place).agg((F.sum(F.col("value") * F.col("_w")) / F.sum("_w")).alias("value"))
+    if kind != "mode" and kind not in QUARTILES:
+        raise ValueError(f"no area weights for resampling kind {kind}")
+    # Rounded, so that equal shares tie whatever order they were added in.
+    weighed = met.groupBy(*place, "value").agg(F.round(F.sum("_w"), 9).alias("_w"))
+    if kind == "mode":
+        best = F.min(F.struct((-F.col("_w")).alias("_n"), F.col("value").alias("_v")))
+        return weighed.groupBy(*place).agg(best["_v"].alias("value"))
+    line = W.partitionBy(*place)
+    upto = F.sum("_w").over(line.orderBy("value").rowsBetween(W.unboundedPreceding, W.currentRow))
+    ranked = weighed.select(*place, "value", upto.alias("_upto"), F.sum("_w").over(line).alias("_all"))
+    return ranked.where(F.col("_upto") >= F.col("_all") * QUARTILES[kind] - 1e-9).groupBy(*place).agg(F.min("value").alias("value"))
+
+
+def regrid(
+    cells: DataFrame, source: GridSpec, target: GridSpec, kind: str = "near", keys: Sequence[str] = (), by: str = "centre"
+) -> DataFrame:
     """Resample ``cells`` onto ``target``.
 
     Aggregating kinds assign each source cell to the target cell that holds
-    its centre. ``near`` and the interpolating kinds work from the target
+    its centre, or, ``by`` area, to every target cell by the share it has in it. ``near`` and the interpolating kinds work from the target
     centre. Only present cells are returned.
     """
+    if by not in ("centre", "area"):
+        raise ValueError(f"cells are assigned by centre or by area, not by {by}")
+    if by == "area" and kind in AGGREGATING:
+        return area_regrid(cells, source, target, kind, keys)
     if kind == "near":
         return align_to_grid(target, cells, source, keys)
     if kind in INTERPOLATING:

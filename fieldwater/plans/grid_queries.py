@@ -319,6 +319,43 @@ def focal_fill_mode(spark, d):
     return made.select("row", "col", F.col("value").alias("v"))
 
 
+def _wider(spec: GridSpec) -> GridSpec:
+    """Cells ten thirds as wide and high, from the same corner: they don't nest."""
+    up = lambda n: -(-n * 3 // 10)
+    return replace(spec, xres=spec.xres * 10 / 3, yres=spec.yres * 10 / 3, width=up(spec.width), height=up(spec.height))
+
+
+# Overlaps in units of thirds of a source cell, so all shares are exact.
+SHARES = f"""(select cast(tr as int) as "row", cast(tc as int) as col, val, cls, w from (
+    select *, (least(3 * r + 3, 10 * tr + 10) - greatest(3 * r, 10 * tr)) * (least(3 * c + 3, 10 * tc + 10) - greatest(3 * c, 10 * tc)) as w
+    from (select *, unnest(generate_series(3 * r // 10, (3 * r + 2) // 10)) as tr from (
+      select *, unnest(generate_series(3 * c // 10, (3 * c + 2) // 10)) as tc from {V['cell']} a) b) q) o where w > 0)"""
+
+
+@query("regrid_area", f"""
+    with o as (select * from {SHARES} s), n as (select "row", col, cls, sum(w) as w from o group by all),
+    m as (select "row", col, cls as mode from n qualify row_number() over (partition by "row", col order by w desc, cls) = 1),
+    v as (select "row", col, val, sum(w) as w from o group by all),
+    q as (select "row", col, val, sum(w) over (partition by "row", col order by val) as upto, sum(w) over (partition by "row", col) as whole from v),
+    d as (select "row", col, min(val) filter (2 * upto >= whole) as med, min(val) filter (4 * upto >= whole) as q1,
+      min(val) filter (4 * upto >= 3 * whole) as q3 from q group by all)
+    select "row", col, round(sum(val * w) / 9, 5) as total, round(sum(val * w) / sum(w), 5) as average, min(val) as low, max(val) as high,
+      any_value(mode) as mode, any_value(med) as med, any_value(q1) as q1, any_value(q3) as q3
+    from o join m using ("row", col) join d using ("row", col) group by "row", col""")
+def regrid_area(spark, d):
+    spec = domain.cell_spec(spark, d)
+    made = None
+    names = {"sum": "total", "average": "average", "min": "low", "max": "high", "mode": "mode", "med": "med", "q1": "q1", "q3": "q3"}
+    for kind, name in names.items():
+        cells = domain.parts(spark, d).select("row", "col", F.col("cls" if kind == "mode" else "value").alias("value"))
+        value = F.col("value")
+        one = regrid.regrid(cells, spec, _wider(spec), kind, by="area").select(
+            "row", "col", (r(value, 5) if kind in ("sum", "average") else value).alias(name)
+        )
+        made = one if made is None else made.join(one, ["row", "col"])
+    return made
+
+
 # ---------------------------------------------------------------- land cover and polygons
 
 COVER = "case cls when 11 then 111 when 8 then 83 when 20 then 92 else cls end"
@@ -397,6 +434,78 @@ def clip_box(spark, d):
     return kept.select("row", "col", F.col("value").alias("val"))
 
 
+def _field_shapes(spark, d):
+    """Every field's box with a hole off its middle, and a second part to the right."""
+    f = domain.field_points(spark, d)
+    x, y, half = F.col("x"), F.col("y"), F.col("nation") * 0.37 + 0.3
+    outer = geo.box_ring(x - half, y - half * 1.5, x + half, y + half * 1.5)
+    # Rings turn as they like here; ``oriented`` sets them right.
+    hole = geo.box_ring(x - half * 0.5, y, x + half * 0.25, y + half)
+    other = F.reverse(geo.box_ring(x + half * 2, y - half, x + half * 3, y + half))
+    return f.select("fid", "bal", geo.oriented(F.array(F.array(outer, hole), F.array(other))).alias("ring"))
+
+
+SHAPE = f"""(select fid, bal, x, y, h, (x - h) / 2.0 as u0, (x + h) / 2.0 as u1, (100.0 - (y + h * 1.5)) / 2.5 as v0, (100.0 - (y - h * 1.5)) / 2.5 as v1,
+    (x - h * 0.5) / 2.0 as hu0, (x + h * 0.25) / 2.0 as hu1, (100.0 - (y + h)) / 2.5 as hv0, (100.0 - y) / 2.5 as hv1,
+    (x + h * 2) / 2.0 as pu0, (x + h * 3) / 2.0 as pu1, (100.0 - (y + h)) / 2.5 as pv0, (100.0 - (y - h)) / 2.5 as pv1
+    from (select *, nation * 0.37e0 + 0.3e0 as h from {V['field']} f) g)"""
+
+
+def _in_shape(r_: str, c_: str) -> str:
+    box = lambda k: f"({c_} + 0.5 >= b.{k}u0 and {c_} + 0.5 < b.{k}u1 and {r_} + 0.5 >= b.{k}v0 and {r_} + 0.5 < b.{k}v1)"
+    return f"(({box('')} and not {box('h')}) or {box('p')})"
+
+
+@query("burn_holes", f"""
+    select cast(g.r as int) as "row", cast(g.c as int) as col, round(sum(b.bal), 4) as v from {LATTICE} g join {SHAPE} b
+    on {_in_shape('g.r', 'g.c')} group by 1, 2""")
+def burn_holes(spark, d):
+    made = polygons.burn(_field_shapes(spark, d), domain.cell_spec(spark, d), "fid", "bal")
+    return made.select("row", "col", r(F.col("value"), 4).alias("v"))
+
+
+@query("clip_parts", f"""
+    select distinct a.r as "row", a.c as col, a.val from {V['cell']} a join {SHAPE} b on {_in_shape('a.r', 'a.c')}""")
+def clip_parts(spark, d):
+    kept = polygons.clip(domain.cells(spark, d), _field_shapes(spark, d), domain.cell_spec(spark, d), "fid")
+    return kept.select("row", "col", F.col("value").alias("val"))
+
+
+@query("centroid_parts", f"""
+    select fid, round((6 * x - 0.75 * (x - h * 0.125) + 2 * (x + h * 2.5)) / 7.25, 6) as x,
+      round((6 * y - 0.75 * (y + h * 0.5) + 2 * y) / 7.25, 6) as y, round(7.25 * h * h, 6) as area from {SHAPE} b""")
+def centroid_parts(spark, d):
+    shapes = _field_shapes(spark, d)
+    x, y = geo.centroid_of(F.col("ring"))
+    return shapes.select("fid", r(x, 6).alias("x"), r(y, 6).alias("y"), r(geo.area_of(F.col("ring")), 6).alias("area"))
+
+
+def _ringed_zones(spark, spec: GridSpec):
+    """A frame with two holes; two islands in them, one of which has a pond."""
+
+    def box(c0: float, r0: float, c1: float, r1: float):
+        x, y = lambda c: spec.left + c * spec.xres, lambda v: spec.top - v * spec.yres
+        return [{"x": float(x(c)), "y": float(y(v))} for c, v in ((c0, r0), (c1, r0), (c1, r1), (c0, r1))]
+
+    whole = box(-1, -1, spec.width + 1, spec.height + 1)
+    frame = [[whole, box(10, 2, 20, 15), box(30, 1, 40, 17)]]
+    islands = [[box(10, 2, 20, 15)], [box(30, 1, 40, 17), box(33, 3, 36, 9)]]
+    shapes = spark.createDataFrame([("frame", frame), ("islands", islands)], "zone string, parts array<array<array<struct<x: double, y: double>>>>")
+    return shapes.select("zone", geo.oriented(F.col("parts")).alias("ring"))
+
+
+@query("zonal_parts", f"""
+    select zone, cls % 2 as year, count(*) as cells, round(sum(val), 4) as total from (
+      select *, case when (c between 10 and 19 and r between 2 and 14) or (c between 30 and 39 and r between 1 and 16) then
+        case when c between 33 and 35 and r between 3 and 8 then null else 'islands' end else 'frame' end as zone from {V['cell']} a
+    ) t where zone is not null group by 1, 2""")
+def zonal_parts(spark, d):
+    spec = domain.cell_spec(spark, d)
+    rows = domain.parts(spark, d).select("row", "col", "value", (F.col("cls") % 2).alias("year"))
+    zoned = polygons.zonal_cells(rows, _ringed_zones(spark, spec), spec, "zone")
+    return zoned.groupBy("zone", "year").agg(F.count("*").alias("cells"), r(F.sum("value"), 4).alias("total"))
+
+
 def _zones(spark, spec: GridSpec):
     """Three bands across the grid, bounded by diagonals of cells."""
     x, y = lambda c: spec.left + c * spec.xres, lambda v: spec.top - v * spec.yres

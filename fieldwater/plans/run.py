@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from fieldwater.config import RunConfig
 from fieldwater.functions import codes
-from fieldwater.functions.geo import centroid, reproject
+from fieldwater.functions.geo import centroid_of, reproject, rings_of
 from fieldwater.operators import compare, grid, polygons, regrid
 from fieldwater.operators.clean import to_millimetres
 from fieldwater.operators.evaluate import split_metrics
@@ -72,15 +72,16 @@ PLANE = "albers"
 
 
 def field_centroids(fields: DataFrame, permit: str = "PermitNumb", year: str = "Year") -> DataFrame:
-    """Field rings to (year, permit, long_dd, lat_dd): the centroid of the projected ring, in degrees again."""
+    """Fields to (year, permit, long_dd, lat_dd): the centroid of the projected rings, in degrees again."""
 
     def flat(p):
         x, y = reproject(p["x"], p["y"], "lonlat", PLANE)
         return F.struct(x.alias("x"), y.alias("y"))
 
     # Exploded out of an array of one, so that vertices are projected once and not again for every term.
-    rings = fields.select(year, permit, F.explode(F.array(F.transform("ring", flat))).alias("_ring"))
-    lon, lat = reproject(*centroid(F.col("_ring")), PLANE, "lonlat")
+    planar = F.transform(rings_of(fields, "ring"), lambda ring: F.transform(ring, flat))
+    rings = fields.select(year, permit, F.explode(F.array(planar)).alias("_rings"))
+    lon, lat = reproject(*centroid_of(F.col("_rings")), PLANE, "lonlat")
     return rings.select(F.col(year), F.col(permit), lon.alias("long_dd"), lat.alias("lat_dd"))
 
 
@@ -179,8 +180,14 @@ class _Scored:
         self.transform = transform
 
 
+def _named(shapes: DataFrame) -> DataFrame:
+    """Polygons with an id made of their content, the same when a lost task runs again; repeated polygons count once."""
+    keys = [c for c in ("year",) if c in shapes.columns]
+    return shapes.withColumn("_id", F.md5(F.to_json("ring"))).dropDuplicates(["_id", *keys])
+
+
 def map_extent(spark: SparkSession, conf: RunConfig, inputs: Inputs, target: GridSpec) -> DataFrame:
-    """Yearly class cells inside the map extent: majority land cover, corrected, clipped.
+    """Yearly class cells inside the map extent: land cover of the most area, corrected, clipped.
 
     All years are one table; fields burn per year, hydrography once.
     """
@@ -188,16 +195,15 @@ def map_extent(spark: SparkSession, conf: RunConfig, inputs: Inputs, target: Gri
     def build() -> DataFrame:
         years = list(conf.predict_years)
         wanted = lambda df: df.where(F.col("year").isin(years)) if years else df
-        cover = grid.majority_regrid(wanted(inputs.land_cover), inputs.cover_grid, target, ["year"])
-        mask = grid.majority_regrid(wanted(inputs.irrigation), inputs.mask_grid, target, ["year"])
-        fields = inputs.fields.withColumnRenamed("Year", "year").withColumn("_id", F.monotonically_increasing_id())
+        cover = regrid.area_regrid(wanted(inputs.land_cover), inputs.cover_grid, target, "mode", ["year"])
+        mask = regrid.area_regrid(wanted(inputs.irrigation), inputs.mask_grid, target, "mode", ["year"])
+        fields = _named(inputs.fields.withColumnRenamed("Year", "year"))
         burned = polygons.burn(fields, target, "_id", keys=["year"])
-        water = polygons.burn(inputs.hydrography.withColumn("_id", F.monotonically_increasing_id()), target, "_id")
+        water = polygons.burn(_named(inputs.hydrography), target, "_id")
         fixed = grid.correct_land_cover_cells(cover, water, mask, burned, ["year"])
         if inputs.map_extent is None:
             return fixed
-        outline = inputs.map_extent.withColumn("_id", F.monotonically_increasing_id())
-        return polygons.clip(fixed, outline, target, "_id")
+        return polygons.clip(fixed, _named(inputs.map_extent), target, "_id")
 
     return stages.stage(spark, f"{conf.output}/extent", build, conf.reuse_extent, ["year"])
 

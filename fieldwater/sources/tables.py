@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fieldwater.config import ColumnNames
+from fieldwater.functions.geo import oriented
 
 RING = "array<struct<x: double, y: double>>"
 
@@ -61,12 +62,20 @@ def read_annual(spark: SparkSession, path: str, names: ColumnNames = ColumnNames
 
 
 def read_rings(spark: SparkSession, path: str) -> DataFrame:
-    """A polygon table: attributes and a ``ring`` column, checked for its type."""
+    """A polygon table: attributes and a ``ring`` column, checked for its type.
+
+    The column holds one ring, or the oriented rings of all parts and holes.
+    A table of ``parts`` (arrays of an outer ring followed by its holes) is turned into the latter.
+    """
     table = spark.read.parquet(path)
+    if "parts" in table.columns and "ring" not in table.columns:
+        table = table.withColumn("ring", oriented(F.col("parts"))).drop("parts")
     kind = table.schema["ring"].dataType
-    fields = kind.elementType.names if isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.StructType) else []
-    if fields != ["x", "y"]:
-        raise ValueError(f"{path}: ring must be {RING}")
+    while isinstance(kind, T.ArrayType):
+        kind = kind.elementType
+    depth = table.schema["ring"].dataType.simpleString().count("array<")
+    if depth not in (1, 2) or not isinstance(kind, T.StructType) or kind.names != ["x", "y"]:
+        raise ValueError(f"{path}: ring must be {RING} or an array of it")
     return table
 
 
