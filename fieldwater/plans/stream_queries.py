@@ -26,13 +26,15 @@ def _drain(writer, name: str, spark):
     select site, cast(year(ts) as int) as yr, cast(month(ts) as int) as mon, round(sum(value), 4) as wu
     from {V['reading']} q where value >= 0 group by 1, 2, 3""")
 def stream_monthly(spark, d):
-    """Daily totals in update mode, each batch's changes kept; months are summed from every day's last version."""
+    """Running monthly totals over readings that come shuffled, in eight batches, long after their days."""
     path = domain.scratch(spark, "stream-monthly")
-    totals = meters.running_daily_totals(_events(spark, d))
-    writer = totals.writeStream.outputMode("update").foreachBatch(meters.append_updates(path))
-    _drain(writer, "monthly", spark)
-    made = meters.monthly_totals_so_far(spark.read.parquet(path))
-    return made.select("site", F.year("month").alias("yr"), F.month("month").alias("mon"), F.round("value", 4).alias("wu"))
+    events = domain.table(spark, d, "events")
+    events.repartition(8, F.xxhash64("event_id")).write.parquet(f"{path}/events")
+    shuffled = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/events")
+    log = meters.DayLog(f"{path}/days", compact_every=3)
+    changes = meters.daily_changes(shuffled.withColumnRenamed("user_id", "site"))
+    _drain(changes.writeStream.foreachBatch(log.write), "monthly", spark)
+    return log.months(spark).select("site", F.year("month").alias("yr"), F.month("month").alias("mon"), F.round("value", 4).alias("wu"))
 
 
 @query("stream_daily", f"""
