@@ -240,7 +240,8 @@ def template_regex(template: str) -> str:
 
 
 LABELS_SQL = " ".join(
-    f"union all select r, '{label}' from t where regexp_matches(t.t, '{template_regex(text)}')" for label, text in licenses.TEMPLATES
+    f"union all select r, '{label}', {licenses.SCORES[kind]}::double from t where regexp_matches(t.t, '{template_regex(text)}')"
+    for label, kind, text in licenses.TEMPLATES
 )
 
 
@@ -254,13 +255,14 @@ LABELS_SQL = " ".join(
         from d, (values ('cc by', 'cc-by'), ('general public license', 'gpl'), ('all rights reserved', 'reserved')) as v(phrase, label)
         where contains(' ' || array_to_string(w, ' ') || ' ', ' ' || phrase || ' ')
     ),
-    more as (select null::bigint as r, '' as label where false {LABELS_SQL}),
+    more as (select null::bigint as r, '' as label, 0::double as sure where false {LABELS_SQL}),
+    surest as (select r, max(sure) as sure from more group by r),
     b as (select r, count(*) as n, min(i) as lo, max(i) as hi, string_agg(distinct label, ',' order by label) as labels from base group by r),
-    every as (select r, string_agg(distinct label, ',' order by label) as labels from (select r, label from base union all select * from more) group by r)
+    every as (select r, string_agg(distinct label, ',' order by label) as labels from (select r, label from base union all select r, label from more) group by r)
     select doc_id, len(w) as n_words, coalesce(n, 0) as n_base, lo as first_word, hi as last_word, coalesce(b.labels, '') as base_labels,
         coalesce(every.labels, '') as labels,
-        case when r in (select r from more) then 1.0::double when n > 0 then 0.5::double else 0.0::double end as score
-    from d left join b using (r) left join every using (r)
+        coalesce(sure, case when n > 0 then 0.5::double else 0.0::double end) as score
+    from d left join b using (r) left join every using (r) left join surest using (r)
     """,
 )
 def op10(spark: SparkSession, d: str) -> DataFrame:
