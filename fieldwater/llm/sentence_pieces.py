@@ -9,10 +9,10 @@ step. The normalised text is segmented by the model with its own normaliser
 switched off, and each piece's normalised span is projected through the record
 to a byte span of the original text.
 
-Where no piece of the vocabulary crosses from another character to a blank mark, runs
-that begin at a blank mark are segmented one by one and remembered; otherwise
-(or with another model type) a text is segmented whole. Both give the pieces of
-the library, for texts of any length.
+Where no piece of the vocabulary crosses from another character to a blank mark, a
+long text is cut at such places into parts of a few thousand characters, which
+are segmented one by one; otherwise (or with another model type) it is
+segmented whole. Both give the pieces of the library, for texts of any length.
 
 Each task reads its own rows; nothing is shuffled. The model's path is a
 parameter and its bytes travel with the tasks.
@@ -39,8 +39,8 @@ from pyspark.sql import functions as F
 from fieldwater.llm.store import bounded_batches
 
 MARK = "▁"
-# Runs that a worker remembers, and as many it used before.
-REMEMBERED = 150_000
+# Characters after which the next safe place ends a part.
+PART = 4000
 
 ENCODED = "doc_id long, ids binary, starts binary, ends binary, decoded string"
 SPANS = "doc_id long, position long, id int, piece string, start long, end long"
@@ -223,11 +223,11 @@ class Encoder:
     def __init__(self, model: bytes) -> None:
         from sentencepiece import SentencePieceProcessor
 
-        spec, trainer, symbols, crossing, pieces = b"", {}, [], False, set()
+        spec, trainer, symbols, crossing, kinds = b"", {}, [], False, []
         for number, value in _fields(model):
             if number == 1:
                 piece = dict(_fields(value))
-                pieces.add(piece[1])
+                kinds.append((piece[1], piece.get(3, _NORMAL)))
                 if piece.get(3, _NORMAL) == _USER:
                     symbols.append(piece[1])
                 crossing |= MARK in piece[1].decode().lstrip(MARK)
@@ -240,29 +240,29 @@ class Encoder:
         # Later fields of a message replace earlier ones: no character map, prefix, folding or marks.
         off = bytes([0x12, 0, 0x18, 0, 0x20, 0, 0x28, 0])
         self.segment = SentencePieceProcessor(model_proto=model + bytes([0x1A, len(off)]) + off)
-        self.by_run = trainer.get(3, 1) == _BPE and not crossing and not symbols and not bool(trainer.get(24, 0)) and MARK.encode() in pieces
-        self.runs = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
-        self.known: dict[str, tuple[bytes, bytes]] = {}
-        self.older: dict[str, tuple[bytes, bytes]] = {}
-
-    def _pieces(self, run: str) -> tuple[bytes, bytes]:
-        """Ids of a normalised run, and how many of its bytes each covers."""
-        made = self.segment.encode(run, return_type="proto").pieces
-        return np.array([p.id for p in made], "<u4").tobytes(), np.array([len(p.surface.encode()) for p in made], "<u4").tobytes()
+        self.by_part = trainer.get(3, 1) == _BPE and not crossing and not symbols and not bool(trainer.get(24, 0)) and any(p == MARK.encode() for p, _ in kinds)
+        self.cut = re.compile(f"(?s).{{{PART}}}[^{MARK}]*[^{MARK}](?={MARK})|.+")
+        # Bytes of normalised text that an id covers: those of its piece, or one of a character without a piece.
+        self.covers = np.array([1 if k == _BYTE else len(p) for p, k in kinds], np.int64)
+        self.unknown = self.whole.unk_id() if _BYTE not in {k for _, k in kinds} else -1
+
+    def _pieces(self, part: str) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of a normalised part, and how many of its bytes each covers."""
+        ids = np.asarray(self.segment.encode(part, return_type="numpy"), np.int64)
+        if self.unknown in ids:
+            # Without byte pieces an unknown piece has no length of its own.
+            made = self.segment.encode(part, return_type="proto").pieces
+            return np.array([p.id for p in made], np.int64), np.array([len(p.surface.encode()) for p in made], np.int64)
+        return ids, self.covers[ids]
 
     def encode(self, raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids with the begin and end ids, and the source span of each."""
         body, places = self.normalize(raw)
         text = body.decode()
-        runs = self.runs.findall(text) if self.by_run else [text] if text else []
-        known = self.known
-        for run in set(runs).difference(known):
-            known[run] = self.older.get(run) or self._pieces(run)
-        found = [known[r] for r in runs]
-        ids = np.frombuffer(b"".join([f[0] for f in found]), "<u4")
-        upto = np.cumsum(np.frombuffer(b"".join([f[1] for f in found]), "<u4"), dtype=np.int64)
-        if len(known) > REMEMBERED:
-            self.older, self.known = known, {}
+        parts = [text] if len(text) <= PART or not self.by_part else self.cut.findall(text)
+        found = [self._pieces(p) for p in parts if p]
+        ids = np.concatenate([f[0] for f in found]) if found else np.zeros(0, np.int64)
+        upto = np.cumsum(np.concatenate([f[1] for f in found])) if found else ids
         edges = places[np.concatenate([[0], upto])].astype(np.int64)
         first, last = self.whole.bos_id(), self.whole.eos_id()
         # The begin and end ids stand for no text.
@@ -280,7 +280,7 @@ _ENCODERS: dict[str, Encoder] = {}
 
 
 def encoder(model: bytes) -> Encoder:
-    """One encoder for a worker and model, with what earlier tasks remembered."""
+    """One encoder for a worker and model."""
     key = hashlib.sha256(model).hexdigest()
     if key not in _ENCODERS:
         _ENCODERS[key] = Encoder(model)
