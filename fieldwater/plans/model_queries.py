@@ -15,6 +15,7 @@ from fieldwater.plans.domain import VIEW as V
 from fieldwater.plans.inputs import model_inputs as make_inputs
 from fieldwater.plans.inputs import prepare
 from fieldwater.plans.registry import query
+from fieldwater.session import cut_lineage
 from fieldwater.sources import stages
 
 
@@ -372,6 +373,75 @@ def importances(spark, d):
 # ---------------------------------------------------------------- maps
 
 
+# Deeper models of several features have no closed form; what must hold of every row, and of the fit, is checked instead.
+
+MONTHLY = ("cls", "col", "month", "price", "row")
+MONTHLY_SQL = f"(select distinct a.r, a.c, q.yr, q.mon from {V['cube']} q join {V['cell']} a on a.r = q.r and a.c = q.c)"
+
+
+def _monthly(spark, d):
+    """Monthly use of the cube's cells on top of a need set by class and month, with the price and place of the cell as further features."""
+    p = domain.parts(spark, d).select("row", "col", "cls", F.col("value").alias("price"), "crop")
+    used = domain.cube(spark, d).groupBy("row", "col", "year", "month").agg(F.sum("value").alias("used"))
+    rows = used.join(p, ["row", "col"]).select(
+        F.concat_ws("-", "row", "col", "year", "month").alias("key"), "crop", (F.col("used") + F.col("cls") * 20.0 + F.col("month") * 10.0).alias("label"),
+        F.col("row").alias("r"), F.col("col").alias("c"), "year", F.col("month").alias("mon"),
+        *[F.col(c).cast("double").alias(c) for c in MONTHLY],
+    )
+    return features.assemble(rows, list(MONTHLY))
+
+
+def _deep(name, bounded=True, **params):
+    """Every row with whether its prediction lies between the labels, where the model averages labels, and whether the fit beats the mean."""
+
+    def run(spark, d):
+        rows = cut_lineage(_monthly(spark, d))
+        model = estimators.configured(estimators.make_estimator(name, 7), params).fit(rows)
+        told = cut_lineage(model.transform(rows).select("r", "c", "year", "mon", "label", "prediction"))
+        y, p_ = F.col("label"), F.col("prediction")
+        facts = told.agg(F.min(y).alias("lo"), F.max(y).alias("hi"), F.stddev_pop(y).alias("sd"), F.sqrt(F.avg((y - p_) * (y - p_))).alias("rmse")).first()
+        inside = p_.between(facts.lo - 1e-6, facts.hi + 1e-6) if bounded else p_.isNotNull() & ~F.isnan(p_)
+        better = F.lit(bool(facts.rmse < 0.9 * facts.sd))
+        return told.select(F.col("r").alias("row"), F.col("c").alias("col"), F.col("year").alias("yr"), "mon", inside.alias("inside"), better.alias("better"))
+
+    return run
+
+
+DEEP_SQL = f"""select r as "row", c as col, yr, mon, true as inside, true as better from {MONTHLY_SQL} t"""
+query("forest_rows", DEEP_SQL)(_deep("DRF", numTrees=10, maxDepth=5, subsamplingRate=0.9, featureSubsetStrategy="0.8"))
+query("bagged_rows", DEEP_SQL)(_deep("BT", numTrees=5, maxDepth=5))
+query("extra_trees_rows", DEEP_SQL)(_deep("ETR", numTrees=5, maxDepth=5))
+query("boosted_rows", DEEP_SQL)(_deep("LGBM", bounded=False, maxIter=5, maxDepth=4, stepSize=0.1))
+query("adaboost_rows", DEEP_SQL)(_deep("ABR", maxIter=4, stepSize=0.5, maxDepth=3))
+
+
+@query("search_choice", f"""
+    select n, cast(c as int) as depth, c = 6 as chosen, true as told from (select count(*) as n from {MONTHLY_SQL} t) m, (values (1), (3), (6)) v(c)""")
+def search_choice(spark, d):
+    """Three depths over stratified folds of five features: the deepest explains most here, and is chosen by its validation error."""
+    rows = cut_lineage(_monthly(spark, d))
+    found = tuning.search(rows, "DT", "key", folds=3, repeats=1, strata=["crop"], grid={"maxDepth": [1, 3, 6], "minInstancesPerNode": [20]}, seed=7)
+    least = min(c["validation_rmse"] for c in found.candidates)
+    told = [
+        (c["params"]["maxDepth"], c["params"] == found.best, (c["validation_rmse"] == least) == (c["params"] == found.best))
+        for c in found.candidates
+    ]
+    made = spark.createDataFrame(told, "depth int, chosen boolean, told boolean")
+    return made.withColumn("n", F.lit(rows.count()).cast("long"))
+
+
+@query("importances_many", f"""
+    select feature, feature = 'cls' as first, true as shared from (values ('cls'), ('col'), ('month'), ('price'), ('row')) v(feature)
+    where (select count(*) from {MONTHLY_SQL} t) > 0""")
+def importances_many(spark, d):
+    """Shares of five features in a sampled forest; they add up to one, and the class, which sets most of the need, leads."""
+    rows = cut_lineage(_monthly(spark, d))
+    model = estimators.configured(estimators.make_estimator("RF", 7), {"numTrees": 5, "maxDepth": 4, "featureSubsetStrategy": "all"}).fit(rows)
+    made = tuning.importances(model, MONTHLY, spark)
+    whole = made.agg(F.abs(F.sum("importance") - 1).alias("off"), F.max("importance").alias("top")).first()
+    return made.select("feature", (F.col("importance") == whole.top).alias("first"), F.lit(bool(whole.off < 1e-6)).alias("shared"))
+
+
 @query("predictor_frame", f"""
     with m as (select r, c, yr, mon, avg(val) as v from {V['cube']} q group by 1, 2, 3, 4),
     y as (select distinct yr from {V['cube']} q), g as (select unnest(generate_series(1, 12)) as mon)
