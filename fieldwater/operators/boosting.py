@@ -9,10 +9,11 @@ from pyspark import keyword_only
 from pyspark.ml import Estimator, Model
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.param.shared import HasFeaturesCol, HasLabelCol, HasMaxIter, HasPredictionCol, HasSeed, HasStepSize
-from pyspark.ml.regression import DecisionTreeRegressionModel, DecisionTreeRegressor
+from pyspark.ml.regression import DecisionTreeRegressor
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fieldwater.operators.nodes import NodeTable
 from fieldwater.session import cut_lineage
 
 CHECKPOINT_EVERY = 10
@@ -72,50 +73,37 @@ class AdaBoostRegressor(Estimator, _BoostParams):
             rows = missed.withColumn("_w", F.col("_w") * F.pow(F.lit(beta), rate * (1 - lost))).drop("_e")
             if (i + 1) % CHECKPOINT_EVERY == 0:
                 rows = cut_lineage(rows)
-        return AdaBoostModel(trees, weights, self.getFeaturesCol(), self.getPredictionCol())
+        nodes = NodeTable()
+        for tree in trees:
+            nodes.add_tree(tree)
+        return AdaBoostModel(nodes, weights, self.getFeaturesCol(), self.getPredictionCol())
 
 
 class AdaBoostModel(Model, _BoostParams):
-    """Weighted median of the trees' predictions."""
+    """Weighted median of the trees' predictions, walked through one table of nodes."""
 
-    def __init__(self, trees, weights, features, prediction):
+    def __init__(self, nodes, weights, features, prediction):
         super().__init__()
-        self.trees, self.weights = trees, weights
+        self.nodes, self.weights = nodes, weights
         self._setDefault(maxIter=50, stepSize=1.0, loss="linear", maxDepth=3, seed=0)
         self._set(featuresCol=features, predictionCol=prediction)
 
     def copy(self, extra=None):
-        new = AdaBoostModel(self.trees, self.weights, self.getFeaturesCol(), self.getPredictionCol())
+        new = AdaBoostModel(self.nodes, self.weights, self.getFeaturesCol(), self.getPredictionCol())
         names = {p.name: v for p, v in (extra or {}).items()}
         return new._set(**names)
 
     def save_stage(self, path: str) -> None:
-        """Every tree in a folder of its own, and what joins them."""
-        for i, tree in enumerate(self.trees):
-            tree.write().overwrite().save(f"{path}/tree-{i}")
+        """The nodes as a table, and what joins the trees."""
+        spark = SparkSession.active()
+        self.nodes.table(spark).write.mode("overwrite").parquet(f"{path}/nodes")
         told = json.dumps([[float(w) for w in self.weights], self.getFeaturesCol(), self.getPredictionCol()])
-        SparkSession.active().createDataFrame([(told,)], "settings string").write.mode("overwrite").parquet(f"{path}/settings")
+        spark.createDataFrame([(told,)], "settings string").write.mode("overwrite").parquet(f"{path}/settings")
 
     @classmethod
     def load_stage(cls, spark: SparkSession, path: str) -> AdaBoostModel:
         weights, features, prediction = json.loads(spark.read.parquet(f"{path}/settings").first()[0])
-        return cls([DecisionTreeRegressionModel.load(f"{path}/tree-{i}") for i in range(len(weights))], weights, features, prediction)
+        return cls(NodeTable.from_table(spark.read.parquet(f"{path}/nodes")), weights, features, prediction)
 
     def _transform(self, df: DataFrame) -> DataFrame:
-        out = df
-        for i, tree in enumerate(self.trees):
-            mapped = tree.copy({tree.featuresCol: self.getFeaturesCol(), tree.predictionCol: f"_p{i}"})
-            out = mapped.transform(out)
-        votes = F.array_sort(
-            F.array(*[F.struct(F.col(f"_p{i}").alias("p"), F.lit(float(w)).alias("w")) for i, w in enumerate(self.weights)])
-        )
-        half = 0.5 * sum(self.weights)
-        start = F.struct(F.lit(0.0).alias("sum"), F.lit(None).cast("double").alias("median"))
-
-        def step(acc, vote):
-            total = acc["sum"] + vote["w"]
-            reached = F.coalesce(acc["median"], F.when(total >= half - 1e-12, vote["p"]))
-            return F.struct(total.alias("sum"), reached.alias("median"))
-
-        median = F.aggregate(votes, start, step)["median"]
-        return out.withColumn(self.getPredictionCol(), median).drop(*[f"_p{i}" for i in range(len(self.trees))])
+        return df.withColumn(self.getPredictionCol(), self.nodes.weighted_median(F.col(self.getFeaturesCol()), self.weights))

@@ -10,6 +10,7 @@ from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, LinearReg
 
 from fieldwater.operators.boosting import AdaBoostRegressor
 from fieldwater.operators.neighbours import NeighboursRegressor
+from fieldwater.operators.support import LOSSES, SupportVectorRegressor
 
 MAX_DEPTH = 30  # deepest tree Spark ML grows; stands in for "no limit"
 
@@ -37,7 +38,7 @@ GRIDS = {
     "BT": {"numTrees": [500], "featureSubsetStrategy": ["all", "10", "5", "7"], "subsamplingRate": [1.0, 0.9]},
     "ABR": {"maxIter": [800], "stepSize": [0.005], "loss": ["linear", "square"]},
     "KNN": {"k": [20, 40, 50], "weights": ["uniform", "distance"], "p": [1, 3]},
-    "SVR": {"regParam": [1.0, 1 / 1.5, 0.5], "maxIter": [3000, 5000]},
+    "SVR": {"C": [1.0, 1.5, 2.0], "maxIter": [3000, 5000], "loss": list(LOSSES)},
     "LR": {},
 }
 NAMES = tuple(GRIDS)
@@ -48,8 +49,8 @@ SPLIT_COUNT_IMPORTANCES = ("LGBM", "DRF")
 def make_estimator(name: str, seed: int = 0, features: str = "features", label: str = "label") -> Estimator:
     """A fresh estimator by menu name. A suffix after ``_`` is ignored.
 
-    ETR is a forest with coarse bins (Spark ML draws no random thresholds) and
-    SVR a linear model with Huber loss; both are stand-ins, not equivalents.
+    ETR is a forest with coarse bins (Spark ML draws no random thresholds), a
+    stand-in, not an equivalent.
     """
     base = name.split("_")[0]
     common = {"featuresCol": features, "labelCol": label, "predictionCol": "prediction"}
@@ -62,7 +63,7 @@ def make_estimator(name: str, seed: int = 0, features: str = "features", label:
         "BT": lambda: RandomForestRegressor(seed=seed, featureSubsetStrategy="all", maxBins=256, **common),
         "ABR": lambda: AdaBoostRegressor(seed=seed, **common),
         "KNN": lambda: NeighboursRegressor(**common),
-        "SVR": lambda: LinearRegression(loss="huber", **common),
+        "SVR": lambda: SupportVectorRegressor(**common),
         "LR": lambda: LinearRegression(solver="normal", regParam=0.0, **common),
     }
     if base not in menu:

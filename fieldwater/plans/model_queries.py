@@ -33,6 +33,7 @@ def _linear(df):
     return LinearRegression(solver="normal", regParam=0.0, labelCol="label").fit(df)
 
 
+CROP_CODES = ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")
 FIT = f"(select regr_slope(wu, mon) as a, regr_intercept(wu, mon) as b from {V['annual']} f)"
 
 
@@ -358,10 +359,35 @@ def huber_fit(spark, d):
     """On a line without noise every robust fit is the line."""
     rows = domain.annual(spark, d).select("id", F.col("mon").cast("double").alias("m"), (F.col("mon") * 3.0 + 7.0).alias("label"))
     rows = features.assemble(rows, ["m"])
-    model = estimators.configured(estimators.make_estimator("SVR", 7), {"maxIter": 200, "tol": 1e-10}).fit(rows)
+    model = LinearRegression(loss="huber", maxIter=200, tol=1e-10, labelCol="label").fit(rows)
     return model.transform(rows).select("id", r(F.col("prediction"), 2).alias("p"))
 
 
+@query("svr_fit", f"""
+    select id, round(quantile_disc(wu / 1e6, 0.5) over (partition by crop), 5) as p from {V['annual']} a""")
+def svr_fit(spark, d):
+    """With one indicator a class, no intercept and nothing insensitive, the coefficients are the classes' lower medians, as these stay below C."""
+    rows = domain.annual(spark, d).select("id", "crop", (F.col("wu") / 1e6).alias("label"))
+    crops = list(CROP_CODES)
+    coded = features.assemble(features.one_hot(rows, {"crop": crops}), [f"crop_{c}" for c in crops])
+    settings = {"C": 2.0, "tol": 1e-10, "fitIntercept": False, "loss": "epsilon_insensitive"}
+    model = estimators.configured(estimators.make_estimator("SVR", 7), settings).fit(coded)
+    return model.transform(coded).select("id", r(F.col("prediction"), 5).alias("p"))
+
+
+@query("svr_squared_fit", f"""
+    with s as (select 1.5e0 as c, count(*) as n, sum(mon) as x, sum(mon * mon) as xx, sum(wu / 1e5) as y, sum(mon * wu / 1e5) as xy from {V['annual']} a),
+    m as (select 2 * c * xx + 1 as p, 2 * c * x as q, 2 * c * n + 1 as s, 2 * c * xy as u, 2 * c * y as v from s)
+    select id, round((u * s - q * v) / (p * s - q * q) * mon + (p * v - q * u) / (p * s - q * q), 6) as p
+    from {V['annual']} a cross join m""")
+def svr_squared_fit(spark, d):
+    """The squared loss without an insensitive band, whose normal equations SQL solves."""
+    rows = _labelled(spark, d).withColumn("label", F.col("label") / 1e5)
+    settings = {"C": 1.5, "tol": 1e-15, "loss": "squared_epsilon_insensitive"}
+    model = estimators.configured(estimators.make_estimator("SVR", 7), settings).fit(rows)
+    return model.transform(rows).select("id", r(F.col("prediction"), 6).alias("p"))
+
+
 @query("importances", f"select * from (select 'm' as feature, 1e0 as importance union all select 'constant', 0e0) t where (select count(*) from {V['annual']} a) > 0")
 def importances(spark, d):
     """Split counts of a forest whose second feature is constant and can't be split on."""

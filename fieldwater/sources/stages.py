@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from fieldwater.operators.boosting import AdaBoostModel
 from fieldwater.operators.features import MinMaxScaler
 from fieldwater.operators.neighbours import NeighboursModel
+from fieldwater.operators.support import SupportVectorModel
 
 LOADERS = {
     "LGBM": GBTRegressionModel,
@@ -24,12 +25,11 @@ LOADERS = {
     "ETR": RandomForestRegressionModel,
     "BT": RandomForestRegressionModel,
     "DT": DecisionTreeRegressionModel,
-    "SVR": LinearRegressionModel,
     "LR": LinearRegressionModel,
 }
 
 # Models of this library, which save themselves as tables.
-OWN_MODELS = {"ABR": AdaBoostModel, "KNN": NeighboursModel}
+OWN_MODELS = {"ABR": AdaBoostModel, "KNN": NeighboursModel, "SVR": SupportVectorModel}
 
 
 def exists(spark: SparkSession, path: str) -> bool:

@@ -1,11 +1,15 @@
+import time
+
 import numpy as np
 import pytest
-from pyspark.ml.regression import LinearRegression
+from pyspark.ml.regression import DecisionTreeRegressor, LinearRegression
 from pyspark.sql import functions as F
 
 from fieldwater.operators import estimators, evaluate, explain, features, scoring, tuning
-from fieldwater.operators.boosting import AdaBoostRegressor
+from fieldwater.operators.boosting import AdaBoostModel, AdaBoostRegressor
 from fieldwater.operators.neighbours import NeighboursRegressor
+from fieldwater.operators.nodes import NodeTable
+from fieldwater.operators.support import LOSSES, SupportVectorRegressor
 
 
 def plain_linear(df, **kw):
@@ -76,11 +80,10 @@ def test_boosting_follows_the_definition(spark):
     df = features.assemble(spark.createDataFrame([(float(a), float(b)) for a, b in zip(x, y)], "a double, label double"), ["a"])
     model = AdaBoostRegressor(maxIter=3, stepSize=0.5, maxDepth=2).fit(df)
 
-    def predicted(m):
-        named = m.copy({m.predictionCol: "prediction"})
-        return np.array([r.prediction for r in named.transform(df).orderBy("a").collect()])
-
-    votes = np.array([predicted(t) for t in model.trees])
+    told = df.withColumn("votes", model.nodes.predictions(F.col("features"))).orderBy("a").collect()
+    votes = np.array([r.votes for r in told]).T
+    first = DecisionTreeRegressor(maxDepth=2, seed=0).fit(df).transform(df).orderBy("a").collect()
+    assert list(votes[0]) == [r.prediction for r in first]
     w = np.ones(len(y))
     for p, weight in zip(votes, model.weights):
         loss = np.abs(p - y) / np.abs(p - y).max()
@@ -91,7 +94,66 @@ def test_boosting_follows_the_definition(spark):
     order = votes.argsort(axis=0)
     share = np.array(model.weights)[order].cumsum(axis=0)
     middle = order[(share >= 0.5 * sum(model.weights)).argmax(axis=0), np.arange(len(y))]
-    assert predicted(model) == pytest.approx(votes[middle, np.arange(len(y))])
+    made = [r.prediction for r in model.transform(df).orderBy("a").collect()]
+    assert made == pytest.approx(votes[middle, np.arange(len(y))])
+
+
+def test_plan_does_not_grow_with_trees(spark):
+    def model(count):
+        nodes = NodeTable()
+        for k in range(count):
+            root = nodes.add_node(0, k / count, len(nodes.feature) + 1, len(nodes.feature) + 2, 0.0)
+            nodes.add_node(-1, 0.0, 0, 0, float(k))
+            nodes.add_node(-1, 0.0, 0, 0, float(-k))
+            nodes.roots.append(root)
+        nodes.depth = 1
+        return AdaBoostModel(nodes, [1.0] * count, "features", "prediction")
+
+    df = features.assemble(spark.createDataFrame([(0.25, 1.0), (0.75, 1.0)], "a double, label double"), ["a"])
+    model(2).transform(df)._jdf.queryExecution().executedPlan()
+    start = time.perf_counter()
+    made = model(800).transform(df)
+    size = made._jdf.queryExecution().executedPlan().expressions().size()
+    assert time.perf_counter() - start < 2
+    assert size == model(2).transform(df)._jdf.queryExecution().executedPlan().expressions().size()
+    for a, got in made.select("a", "prediction").collect():
+        votes = sorted(float(k) if a <= k / 800 else float(-k) for k in range(800))
+        assert got == votes[399]
+
+
+@pytest.mark.parametrize("epsilon", [0.0, 0.05])
+@pytest.mark.parametrize("loss", LOSSES)
+def test_support_vectors_reach_the_least_objective(spark, loss, epsilon):
+    """The objective recomputed from the coefficients lies within the gap of a bound found without the library."""
+    rng = np.random.default_rng(3)
+    x = np.c_[rng.random((200, 2)), np.ones(200)]
+    y = 3 * x[:, 0] - 2 * x[:, 1] + 0.3 * rng.standard_t(2, 200)
+    df = features.assemble(
+        spark.createDataFrame([(float(a), float(b), float(t)) for (a, b, _), t in zip(x, y)] + [(1.0, 1.0, None)], "a double, b double, label double"), ["a", "b"])
+    model = SupportVectorRegressor(loss=loss, C=1.5, epsilon=epsilon, tol=1e-9).fit(df)
+
+    def objective(w):
+        out = np.maximum(np.abs(y - x @ w) - epsilon, 0)
+        return 0.5 * w @ w + 1.5 * (out if loss == LOSSES[0] else out * out).sum()
+
+    found = np.array([*model.coefficients, model.intercept])
+    assert objective(found) == pytest.approx(model.objective) and model.gap <= 1e-9 * model.objective and model.passes < 120
+    near = found + 1e-3 * rng.normal(size=(500, 3))
+    far = found + rng.normal(size=(500, 3))
+    assert min(map(objective, [*near, *far])) >= model.objective - model.gap
+    told = model.transform(df.where("label is not null")).select("a", "b", "prediction").collect()
+    assert [r.prediction for r in told] == pytest.approx([model.coefficients[0] * r.a + model.coefficients[1] * r.b + model.intercept for r in told])
+
+
+def test_support_vectors_of_odd_tables(spark):
+    empty = features.assemble(spark.createDataFrame([], "a double, label double"), ["a"])
+    with pytest.raises(ValueError):
+        SupportVectorRegressor().fit(empty)
+    with pytest.raises(ValueError):
+        SupportVectorRegressor(loss="absolute").fit(empty)
+    zero = features.assemble(spark.createDataFrame([(1.0, 0.0), (1.0, 0.0)], "a double, label double"), ["a"])
+    model = SupportVectorRegressor().fit(zero)
+    assert model.coefficients == [0.0] and model.intercept == 0.0 and model.gap == 0
 
 
 def test_weighted_median_of_equal_votes(spark):
@@ -178,7 +240,7 @@ def test_other_cells_take_the_mean_of_the_variants(spark):
     assert {r["col"]: r["value"] for r in volume.collect()}[1] == pytest.approx(10)
 
 
-@pytest.mark.parametrize(("name", "params"), [("KNN", {"k": 3}), ("ABR", {"maxIter": 3, "maxDepth": 2})])
+@pytest.mark.parametrize(("name", "params"), [("KNN", {"k": 3}), ("ABR", {"maxIter": 3, "maxDepth": 2}), ("SVR", {"C": 1.5})])
 def test_own_models_come_back(spark, rows, name, params):
     from fieldwater.plans.domain import scratch
     from fieldwater.sources import stages
