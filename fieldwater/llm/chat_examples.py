@@ -1,12 +1,13 @@
 """Chat formatting by prefix-target expansion.
 
 Every assistant turn becomes an example of its own: all turns before it are its
-context and only its reply bears loss. The examples of one conversation are
-prefixes of one string, so that string is written once, turn by turn, and each
-example is the row of its reply: its text is everything up to the row's
-``end``, its loss mask is [``loss_start``, ``loss_end``). Size and work stay in
-proportion to the turns, however long a conversation is; ``example_texts``
-spells the texts out where they are wanted.
+context and only its reply bears loss. ``expand`` writes every turn once, and
+``example_rows`` explodes the conversation: one row for each piece of each
+example, made by a range join of replies with the turns up to them. Positions
+are cut into blocks, which are part of the join key, so a conversation of any
+length is spread over tasks; within the examples of one conversation the rows
+grow with the square of its turns, as the method asks. ``example_texts`` joins
+the pieces of an example to its text, and ``read_back`` reads the written rows.
 
 A turn is written as ``<|im_start|>role`` newline ``text<|im_end|>`` newline.
 Inside texts and roles a backslash goes between ``<`` (and backslashes after it)
@@ -15,8 +16,8 @@ and ``|``, so no mark can appear there, and taking one away restores the text.
 Defined cases: a NULL text or role is empty; a NULL conversation id is a
 conversation of its own; rows of equal turn are ordered by role, then text,
 NULL turns first; repeated rows are repeated turns. A conversation without
-assistant turns, and turns after the last one, are written but are no example.
-Other columns are ignored.
+assistant turns, and turns after the last one, are written as rows of no example
+(``example`` is NULL). Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,16 +29,17 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
-from fieldwater.llm.store import bounded_batches
+from fieldwater.llm.store import bounded_batches, stored
 
 START, END = "<|im_start|>", "<|im_end|>"
 TARGET = "assistant"
+# Turns of a conversation that meet its replies under one join key.
+BLOCK_TURNS = 256
 
-EXPANDED = "conv_id long, position long, piece string, start long, `end` long, example long, loss_start long, loss_end long"
+EXPANDED = "conv_id long, position long, piece string, example long, since long, loss_start long, loss_end long"
 DIGESTS = (
-    "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_examples long"
+    "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string"
 )
 
 _MARK = re.compile(r"<(\\*)\|")
@@ -75,24 +77,26 @@ def parse_turn(piece: str) -> tuple[str, str]:
 
 def _expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (conv_id, role, text) in order; a conversation may go on in the next batch."""
-    current, position, at, example = object(), 0, 0, 0
+    names = [part.split()[0] for part in EXPANDED.split(", ")]
+    current, position, since, example = object(), 0, 0, 0
     for batch in batches:
         rows = []
         for conv, role, text in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
             if conv != current:
-                current, position, at, example = conv, 0, 0, 0
+                current, position, since, example = conv, 0, 0, 0
             piece, first, last = format_turn(role or "", text or "")
             trained = role == TARGET
-            rows.append((conv, position, piece, at, at + len(piece), *((example, at + first, at + last) if trained else (None,) * 3)))
-            position, at, example = position + 1, at + len(piece), example + trained
+            rows.append((conv, position, piece, *((example, since, first, last) if trained else (None,) * 4)))
+            position += 1
+            if trained:
+                since, example = position, example + 1
         if rows:
-            names = ["conv_id", "position", "piece", "start", "end", "example", "loss_start", "loss_end"]
             columns = [pa.array(c, pa.string() if n == "piece" else pa.int64()) for n, c in zip(names, zip(*rows, strict=True), strict=True)]
             yield pa.RecordBatch.from_arrays(columns, names)
 
 
 def expand(conversations: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
-    """Written turns in order, those of assistants with their example: see the module's text.
+    """Written turns in order. A reply's row names its example, the position after the reply before, and where its text lies in the piece.
 
     A conversation is read by one task as a sorted stream, of which only the
     current batch is in memory.
@@ -103,40 +107,61 @@ def expand(conversations: DataFrame, conv_id: str = "conv_id", turn: str = "turn
     return ordered.mapInArrow(_expand, EXPANDED)
 
 
-def example_texts(expanded: DataFrame) -> DataFrame:
-    """(conv_id, example, text, loss_start, loss_end) with every example's whole text.
+def example_rows(expanded: DataFrame) -> DataFrame:
+    """One row for each piece of each example: (conv_id, example, position, piece, trained, fresh, loss_start, loss_end).
 
-    The total length grows with the square of a conversation's turns, so this is
-    for conversations of ordinary length.
+    ``trained`` marks the reply, whose text lies at [``loss_start``,
+    ``loss_end``) of its piece; ``fresh`` marks what no earlier example of the
+    conversation holds. Turns after the last reply follow without an example.
     """
-    before = W.partitionBy("conv_id").orderBy("position").rowsBetween(W.unboundedPreceding, 0)
-    told = expanded.withColumn("text", F.array_join(F.collect_list("piece").over(before), ""))
-    return told.filter("example is not null").select("conv_id", "example", "text", "loss_start", "loss_end")
+    block = lambda position: F.floor(position / BLOCK_TURNS)
+    pieces = expanded.select("conv_id", "position", "piece", block(F.col("position")).alias("block"))
+    replies = expanded.filter("example is not null").select(
+        F.col("conv_id").alias("_conv"), "example", F.col("position").alias("upto"), "since", "loss_start", "loss_end",
+        F.explode(F.sequence(F.lit(0).cast("long"), block(F.col("position")))).alias("_block"),
+    )
+    on = F.col("conv_id").eqNullSafe(F.col("_conv")) & (F.col("block") == F.col("_block")) & (F.col("position") <= F.col("upto"))
+    trained = F.coalesce(F.col("position") == F.col("upto"), F.lit(False))
+    return pieces.join(replies, on, "left").select(
+        "conv_id", "example", "position", "piece", trained.alias("trained"),
+        F.coalesce(F.col("position") >= F.col("since"), F.lit(True)).alias("fresh"),
+        *[F.when(trained, F.col(c)).alias(c) for c in ("loss_start", "loss_end")],
+    )
+
+
+def example_texts(expanded: DataFrame) -> DataFrame:
+    """(conv_id, example, text, loss_start, loss_end) with every example's whole text."""
+    pieces = F.array_sort(F.collect_list(F.struct("position", "piece")))
+    before = F.sum(F.when(F.col("trained"), F.lit(0)).otherwise(F.length("piece")))
+    told = example_rows(expanded).filter("example is not null").groupBy("conv_id", "example").agg(
+        F.array_join(F.transform(pieces, lambda p: p["piece"]), "").alias("text"),
+        (before + F.max("loss_start")).alias("loss_start"), (before + F.max("loss_end")).alias("loss_end"),
+    )
+    return told
 
 
 class _Digest:
     """What one conversation's output says."""
 
     def __init__(self, conv: int | None) -> None:
-        self.conv, self.turns, self.examples, self.loss, self.formatted = conv, 0, 0, 0, 0
+        self.conv, self.turns, self.loss = conv, 0, 0
         self.turn_hash, self.loss_hash = hashlib.sha256(), hashlib.sha256()
 
-    def add(self, piece: str, start: int, end: int, example: int | None, loss_start: int | None, loss_end: int | None) -> None:
+    def add(self, piece: str, trained: bool, loss_start: int | None, loss_end: int | None) -> None:
         role, text = parse_turn(piece)
         self.turns += 1
         self.turn_hash.update(f"{role}\n{text}\n".encode())
-        if example is not None:
-            trained = unescape(piece[loss_start - start : loss_end - start])
-            self.loss += len(trained)
-            self.loss_hash.update(trained.encode())
-            self.examples += 1
-            self.formatted += end
+        if trained:
+            reply = unescape(piece[loss_start:loss_end])
+            self.loss += len(reply)
+            self.loss_hash.update(reply.encode())
 
     def row(self) -> tuple:
-        return self.conv, self.turns, self.turn_hash.hexdigest(), self.loss, self.loss_hash.hexdigest(), self.formatted, self.examples
+        return self.conv, self.turns, self.turn_hash.hexdigest(), self.loss, self.loss_hash.hexdigest()
 
 
 def _read_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (conv_id, position, piece, trained, loss_start, loss_end) in order."""
     names = [part.split()[0] for part in DIGESTS.split(", ")]
     kinds = [pa.string() if n.endswith("sha256") else pa.int64() for n in names]
     current: _Digest | None = None
@@ -159,8 +184,18 @@ def _read_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def read_back(expanded: DataFrame) -> DataFrame:
-    """One row a conversation, read from the expanded output: its turns, the text under the loss mask, and sizes.
+    """One row a conversation, read from its written example rows: its turns, the text under the loss mask, and sizes.
 
-    ``formatted_chars`` is the length of all its examples' texts together.
+    ``formatted_chars`` is the length of all its examples' texts together. A
+    hash is sequential, so one task reads a conversation's turns, each from the
+    first example that holds it, as a sorted stream; sizes are summed by Spark.
     """
-    return expanded.mapInArrow(_read_back, DIGESTS)
+    rows = stored(example_rows(stored(expanded, "turns")), "examples")
+    sizes = rows.groupBy(F.col("conv_id").alias("_conv")).agg(
+        F.coalesce(F.sum(F.when(F.col("example").isNotNull(), F.length("piece"))), F.lit(0)).cast("long").alias("formatted_chars"),
+        F.count(F.when(F.col("trained"), 1)).alias("n_examples"),
+    )
+    turns = rows.filter("fresh").select("conv_id", "position", "piece", "trained", "loss_start", "loss_end")
+    ordered = turns.repartition("conv_id").sortWithinPartitions("conv_id", "position")
+    told = ordered.mapInArrow(_read_back, DIGESTS)
+    return told.join(sizes, F.col("conv_id").eqNullSafe(F.col("_conv"))).drop("_conv")

@@ -63,5 +63,21 @@ def test_every_assistant_turn_is_one_example_with_all_turns_before(spark):
     assert [t[2].count("<|im_start|>") for t in texts] == [3, 5]
 
 
+def test_rows_of_every_example(spark, monkeypatch):
+    """Over blocks of three turns: each example holds all turns up to its reply, one of them trained."""
+    monkeypatch.setattr(C, "BLOCK_TURNS", 3)
+    rows = [(1, k, "assistant" if k in (2, 4, 5, 9) else "user", f"t{k}") for k in range(12)] + [(2, 0, "user", "none"), (3, 0, "assistant", "")]
+    made = C.example_rows(C.expand(frame(spark, rows))).collect()
+    told = sorted((r.conv_id, r.example, r.position, r.trained) for r in made if r.example is not None)
+    assert told == sorted([(1, e, p, p == at) for e, at in enumerate((2, 4, 5, 9)) for p in range(at + 1)] + [(3, 0, 0, True)])
+    assert sorted((r.conv_id, r.position) for r in made if r.example is None) == [(1, 10), (1, 11), (2, 0)]
+    assert sorted((r.conv_id, r.position) for r in made if r.fresh) == sorted((r[0], r[1]) for r in rows)
+
+
+def test_very_long_turns(spark):
+    rows = [(1, 0, "user", "<|" * 200_000), (1, 1, "assistant", "é" * 300_000), (1, 2, "assistant", "")]
+    assert {r.conv_id: tuple(r)[1:] for r in C.read_back(C.expand(frame(spark, rows))).collect()} == digest(rows)
+
+
 def test_empty(spark):
     assert C.read_back(C.expand(frame(spark, []))).count() == 0
