@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldwater.llm.store import stored
+from fieldwater.llm.store import spread_join, stored
 
 MOST_ROUNDS = 60
 
@@ -14,7 +14,7 @@ def _large_star(edges: DataFrame) -> DataFrame:
     """Link every larger neighbour of a node to the smallest of the node and its neighbours."""
     both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
     least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-    return both.filter("v > u").join(least, "u").select(F.col("m").alias("a"), F.col("v").alias("b")).distinct()
+    return spread_join(both.filter("v > u"), least, "u").select(F.col("m").alias("a"), F.col("v").alias("b")).distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
@@ -30,7 +30,7 @@ def components(links: DataFrame) -> DataFrame:
 
     Neither step gathers a node's neighbours: a minimum is aggregated and joined
     back, so a node linked to a third of all rows is summed before the shuffle
-    and its join can be split. Every round is written to the shared folder.
+    and joined by broadcast. Every round is written to the shared folder.
     """
     edges = links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct()
     edges = stored(edges, "edges")

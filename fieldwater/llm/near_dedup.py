@@ -1,16 +1,23 @@
 """Near-duplicate groups by MinHash, banding, verification on full sets and connected components.
 
 Every document gets many minima of universal hashes of its shingles. Documents
-that agree on all minima of a band share a bucket. Bucket members are linked to
-one member of the bucket, and the connected components of these links are the
-candidate groups; nobody's pairs are listed. A candidate group is verified on
-full shingle sets: its members are dealt to blocks of bounded size, and every
-pair of blocks is one unit of work that counts exact intersections through the
-shingles' own posting lists and returns at most one link for each document.
-Small groups share a unit. The components of the verified links are the result,
-so no link between different texts is lost that banding offers, however large a
-group is. At similarity 0.85 the default 30 bands of 6 rows miss a pair with
-probability 7e-7; lower thresholds need other bands (36 of 5 miss 6e-7 at 0.8).
+that agree on all minima of a band share a bucket. In rounds, each bucket's
+members are compared with one of them, its hub, by their signatures: those that
+agree on enough minima are linked to it, and those that agree on so many more
+that all their own near copies must have been linked too leave the bucket (the
+number of minima on which two documents differ obeys the triangle inequality).
+What a bucket still holds after the last round is linked without a look at
+signatures. So nobody's pairs are listed, documents that share a passage only
+are kept apart, and no pair is lost but by 6.5 standard deviations of the
+minima. The connected components of these links are the candidate groups. A
+candidate group is verified on full shingle sets: its members are dealt to
+classes by size, so that only equal and adjacent classes can hold near copies,
+and in a class to blocks of bounded size; every such pair of blocks is one unit
+of work that counts exact intersections through the shingles' own posting lists
+and returns at most one link for each document. Small groups share a unit. The
+components of the verified links are the result, however large a group is.
+At similarity 0.85 the default 30 bands of 6 rows miss a pair with probability
+7e-7; lower thresholds need other bands (36 of 5 miss 6e-7 at 0.8).
 
 Copies of one word sequence collapse before any of this.
 
@@ -31,9 +38,10 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from fieldwater.llm.components import components
-from fieldwater.llm.store import bounded_batches, small, stored
+from fieldwater.llm.store import bounded_batches, small, spread_join, stored
 from fieldwater.llm.words import tokens
 
 SHINGLE = 5
@@ -43,8 +51,11 @@ SEED = 20240229
 # One unit of verification holds two blocks at most, each of about so many shingles.
 BLOCK_SHINGLES = 1_000_000
 REMEMBERED = 100_000
+# Rounds in which a bucket's members are compared with a hub, and the share of minima from which a member is done with.
+ROUNDS = 3
+SETTLED = 0.8
 
-SIGNED = "doc_id long, digest string, key binary, n_shingles long, bands array<long>"
+SIGNED = "doc_id long, digest string, key binary, n_shingles long, bands array<long>, signature binary"
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
@@ -97,36 +108,93 @@ def _sign(batches: Iterator[pa.RecordBatch], bands: int, rows: int, size: int) -
     salt = _mixed(np.arange(1, bands + 1, dtype=np.uint64) * _MIX)
     with np.errstate(over="ignore"):
         for batch in batches:
-            keys, sizes, signed = [], [], []
+            keys, sizes, signed, kept = [], [], [], []
             for raw in batch.column(2).to_pylist():
                 own = tokens(raw or b"")
                 shingles = shingle_set(own, size)
                 sizes.append(len(shingles))
                 keys.append(xxhash.xxh128_digest(b" ".join(own)) if own else None)
                 if own:
-                    folded = (minima(shingles, family).reshape(bands, rows) * powers).sum(axis=1, dtype=np.uint64)
+                    least = minima(shingles, family)
+                    folded = (least.reshape(bands, rows) * powers).sum(axis=1, dtype=np.uint64)
                     signed.append(_mixed(folded ^ salt).view(np.int64))
+                    # Two bytes a minimum are enough to tell different ones apart.
+                    kept.append(least.astype("<u2").tobytes())
                 else:
                     signed.append(np.zeros(0, np.int64))
-            arrays = [batch.column(0), batch.column(1), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(signed, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "digest", "key", "n_shingles", "bands"])
+                    kept.append(None)
+            arrays = [
+                batch.column(0), batch.column(1), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()),
+                pa.array(signed, pa.list_(pa.int64())), pa.array(kept, pa.binary()),
+            ]
+            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "digest", "key", "n_shingles", "bands", "signature"])
 
 
 def signatures(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, size: int = SHINGLE, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, digest, key, n_shingles, bands) of every row; ``key`` stands for the word sequence, NULL without words."""
+    """(doc_id, digest, key, n_shingles, bands, signature) of every row; ``key`` stands for the word sequence, NULL without words."""
     bounded_batches(docs.sparkSession)
     body = F.coalesce(F.col(text), F.lit(""))
     picked = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.md5(body).alias("digest"), body.cast("binary").alias("raw"))
     return stored(picked.mapInArrow(lambda it: _sign(it, bands, rows, size), SIGNED), "signatures")
 
 
-def candidate_groups(signed: DataFrame, owners: DataFrame) -> DataFrame:
-    """(node, component) of the word sequences that share a bucket with another."""
+def _agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        left, right = (
+            np.frombuffer(b"".join(batch.column(name).to_pylist()), "<u2").reshape(batch.num_rows, -1) if batch.num_rows else np.zeros((0, 1))
+            for name in ("one", "other")
+        )
+        agree = (left == right).sum(axis=1)
+        yield pa.RecordBatch.from_arrays([batch.column("hub"), batch.column("key"), pa.array(agree, pa.int64())], ["hub", "key", "agree"])
+
+
+def agreement(pairs: DataFrame, known: DataFrame) -> DataFrame:
+    """(hub, key, agree): on how many minima the two agree. ``known`` holds the signature of every key."""
+    own = pairs.join(known.withColumnRenamed("signature", "other"), "key")
+    both = spread_join(own, known.select(F.col("key").alias("hub"), F.col("signature").alias("one")), "hub")
+    return both.select("hub", "key", "one", "other").mapInArrow(_agreeing, "hub binary, key binary, agree long")
+
+
+def signature_bounds(count: int, percent: int) -> tuple[int, int]:
+    """(linked, settled): the minima on which two must agree to be linked, and to be done with.
+
+    Documents of similarity ``percent`` differ on more minima than lie between
+    the two with a probability of some 1e-9.
+    """
+    miss = 1 - percent / 100
+    settled = math.ceil(SETTLED * count)
+    return max(1, settled - math.ceil(count * miss + 6.5 * math.sqrt(count * miss * (1 - miss)))), settled
+
+
+def candidate_links(placed: DataFrame, known: DataFrame, count: int, percent: int) -> DataFrame:
+    """Links (a, b) between word sequences of a bucket, confirmed by signature; ``placed`` holds (key, bucket)."""
+    linked, settled = signature_bounds(count, percent)
+    links = None
+    left = placed
+    for turn in range(ROUNDS + 1):
+        hubs = left.groupBy("bucket").agg(F.min("key").alias("hub"), F.count("*").alias("n")).filter("n > 1").select("bucket", "hub")
+        met = stored(left.join(hubs, "bucket").filter("hub <> key"), "met")
+        pairs = met.select("hub", "key").distinct()
+        if turn < ROUNDS:
+            agreed = stored(agreement(stored(pairs, "pairs"), known), "agreed")
+            found = agreed.filter(F.col("agree") >= linked)
+            left = stored(met.join(agreed.filter(F.col("agree") >= settled).select("hub", "key"), ["hub", "key"], "left_anti").select("key", "bucket"), "left")
+        else:
+            found = pairs
+        found = found.select(F.col("hub").alias("a"), F.col("key").alias("b"))
+        links = found if links is None else links.unionByName(found)
+        if turn < ROUNDS and left.isEmpty():
+            break
+    return links.distinct()
+
+
+def candidate_groups(signed: DataFrame, owners: DataFrame, count: int, percent: int) -> DataFrame:
+    """(node, component) of the word sequences that share a bucket and enough of their signatures with another."""
     ours = F.col("doc_id").eqNullSafe(F.col("rep")) & (F.col("digest") == F.col("rep_digest")) & (signed["key"] == F.col("_key"))
     firsts = signed.join(owners.select(F.col("key").alias("_key"), "rep", "rep_digest"), ours).dropDuplicates(["key"])
+    firsts = stored(firsts.select("key", "bands", "signature"), "firsts")
     placed = stored(firsts.select("key", F.explode("bands").alias("bucket")), "buckets")
-    hubs = placed.groupBy("bucket").agg(F.min("key").alias("hub"), F.count("*").alias("n")).filter("n > 1").select("bucket", "hub")
-    return components(placed.join(hubs, "bucket").filter("hub <> key").select(F.col("hub").alias("a"), F.col("key").alias("b")).distinct())
+    return components(candidate_links(placed, firsts.select("key", "signature"), count, percent))
 
 
 def exact_links(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, percent: int) -> list[tuple[int, int]]:
@@ -173,7 +241,7 @@ def exact_links(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, per
 
 
 def _verify(table: pa.Table, size: int, percent: int) -> pa.Table:
-    """Links of one unit: rows (key, block, raw) of one block, or of two that are compared with each other."""
+    """Links of one unit: rows (key, block, raw) of one side, or of two sides that are compared with each other."""
     keys, blocks, sets, seen = [], [], [], set()
     for key, block, raw in zip(*(table.column(c).to_pylist() for c in ("key", "block", "raw")), strict=True):
         own = tokens(raw)
@@ -197,19 +265,46 @@ def verified_links(docs: DataFrame, owners: DataFrame, groups: DataFrame, percen
         .join(owners, F.col("node") == F.col("key")).select("key", "rep", "rep_digest", "n_shingles", "component"),
         "members",
     )
-    weights = members.groupBy("component").agg(F.sum("n_shingles").alias("weight"))
+    # Sets as alike as that differ in size by less than a class.
+    width = math.log(100 / percent) * 1.001 if percent < 100 else 1e-9
+    members = members.withColumn("class", F.floor(F.log("n_shingles") / width))
+    weights = stored(members.groupBy("component", "class").agg(F.sum("n_shingles").alias("weight")), "weights")
     total = weights.agg(F.sum("weight")).first()[0] or 0
     units = max(1, math.ceil(total / BLOCK_SHINGLES))
-    blocks = F.ceil(F.col("weight") / BLOCK_SHINGLES).cast("int")
-    split = weights.select("component", blocks.alias("blocks"))
-    # A group of one block shares its unit with others; the blocks of a larger one meet pair by pair.
-    placed = members.join(split, "component").withColumn(
-        "block", F.when(F.col("blocks") > 1, F.pmod(F.xxhash64("key"), F.col("blocks"))).otherwise(F.lit(0)).cast("int")
+    whole, line = W.partitionBy("component"), W.partitionBy("component").orderBy("class")
+    beside = lambda step: F.when(step("class").over(line) == F.col("class") + (1 if step is F.lead else -1), step("blocks").over(line))
+    split = weights.select(
+        "component", "class", F.ceil(F.col("weight") / BLOCK_SHINGLES).cast("int").alias("blocks"), (F.sum("weight").over(whole) > BLOCK_SHINGLES).alias("large")
+    ).withColumns({"below": F.coalesce(beside(F.lag), F.lit(0)), "above": F.coalesce(beside(F.lead), F.lit(0))})
+    # A group of one block shares its unit with others; in a larger one the blocks of a class meet each other and those of the next class.
+    placed = members.join(split, ["component", "class"]).withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
+
+    def meetings(count, made):
+        return F.transform(F.when(F.col(count) > 0, F.sequence(F.lit(0), F.col(count) - 1)).otherwise(F.array().cast("array<int>")), made)
+
+    def unit(low, high, i, j, side):
+        return F.struct(
+            F.col("component").alias("component"), low.alias("low"), high.alias("high"), i.cast("int").alias("i"), j.cast("int").alias("j"), side.cast("int").alias("side")
+        )
+
+    own, one = F.col("class"), F.lit(1).cast("long")
+    block = F.col("block")
+    units_of = F.when(
+        F.col("large"),
+        F.concat(
+            meetings("blocks", lambda k: unit(own, own, F.least(block, k), F.greatest(block, k), F.when(block > k, 1).otherwise(0))),
+            meetings("above", lambda k: unit(own, own + one, block, k, F.lit(0))),
+            meetings("below", lambda k: unit(own - one, own, k, block, F.lit(1))),
+        ),
+    ).otherwise(F.array(F.struct(
+        F.lit(None).cast("binary").alias("component"), F.lit(0).cast("long").alias("low"), F.lit(0).cast("long").alias("high"),
+        F.pmod(F.xxhash64("component"), F.lit(units)).cast("int").alias("i"), F.lit(0).alias("j"), F.lit(0).alias("side"),
+    )))
+    dealt = stored(
+        placed.withColumn("_unit", F.explode(units_of))
+        .select("key", "rep", "rep_digest", F.col("_unit.side").alias("block"), F.struct(*[F.col(f"_unit.{c}") for c in ("component", "low", "high", "i", "j")]).alias("unit")),
+        "dealt",
     )
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    unit = F.when(F.col("blocks") > 1, F.struct("component", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")))
-    shared = F.struct(F.lit(None).cast("binary").alias("component"), F.pmod(F.xxhash64("component"), F.lit(units)).cast("int").alias("i"), F.lit(0).alias("j"))
-    dealt = stored(placed.withColumn("other", other).select("key", "rep", "rep_digest", "block", F.coalesce(unit, shared).alias("unit")), "dealt")
     texts = docs.select(F.col(doc_id).cast("long").alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
     on = F.col("_id").eqNullSafe(F.col("rep")) & (F.md5("_text") == F.col("rep_digest"))
     rows = texts.join(small(dealt), on).select("key", "block", F.col("_text").cast("binary").alias("raw"), "unit")
@@ -228,7 +323,7 @@ def near_duplicates(
         .select("key", F.col("o.doc_id").alias("rep"), F.col("o.digest").alias("rep_digest"), F.col("o.n_shingles").alias("n_shingles"), "copies"),
         "owners",
     )
-    groups = candidate_groups(signed, owners)
+    groups = candidate_groups(signed, owners, bands * rows, percent)
     links = stored(verified_links(docs, owners, groups, percent, size, doc_id, text), "links")
     found = components(links)
     named = owners.join(found.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))

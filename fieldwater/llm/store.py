@@ -34,6 +34,26 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
+# A key with more rows than this is joined apart from the others.
+HOT_ROWS = 1_000
+
+
+def spread_join(rows: DataFrame, facts: DataFrame, key: str) -> DataFrame:
+    """Join ``facts``, one row a key, to ``rows``, whose keys may be shared by many of them.
+
+    Keys with more than ``HOT_ROWS`` rows, of which there are few by that, get
+    their facts by a counted broadcast, so no task is dealt all rows of one key.
+    """
+    hot = stored(rows.groupBy(key).agg(F.count("*").alias("n")).filter(F.col("n") > HOT_ROWS).select(key), "hot")
+    few = hot.count()
+    if not few:
+        return rows.join(facts, key)
+    known = small(stored(facts.join(F.broadcast(hot) if few <= BROADCAST_ROWS else hot, key, "left_semi"), "hot-facts"))
+    names = [*rows.columns, *[c for c in facts.columns if c != key]]
+    rest = rows.join(F.broadcast(hot) if few <= BROADCAST_ROWS else hot, key, "left_anti").join(facts, key)
+    return rows.join(known, key).select(*names).unionByName(rest.select(*names))
+
+
 _shipped: set[str] = set()
 
 

@@ -5,6 +5,7 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from fieldwater.llm import exact_dedup as E
 from fieldwater.llm import near_dedup as N
@@ -110,6 +111,63 @@ def test_blocks_of_a_large_group_lose_no_link(spark, monkeypatch):
     assert near_rows(N.near_duplicates(make_docs(spark, docs))) == near_brute(docs)
 
 
+@pytest.mark.parametrize("rounds", [1, 3])
+def test_signature_rounds_lose_no_link(spark, monkeypatch, rounds):
+    """Chains of edits whose ends are far apart, in rounds enough and too few for them."""
+    monkeypatch.setattr(N, "ROUNDS", rounds)
+    draw, texts, own = random.Random(11), [], [f"w{k}" for k in range(150)]
+    for _ in range(120):
+        own = list(own)
+        own[draw.randrange(150)] = f"v{draw.randrange(10**6)}"
+        texts.append(" ".join(own))
+    docs = list(enumerate(texts))
+    assert near_rows(N.near_duplicates(make_docs(spark, docs))) == near_brute(docs)
+
+
+def test_signatures_keep_documents_of_one_passage_apart(spark):
+    """Documents that share half their words meet in buckets, and are no candidates."""
+    draw, passage = random.Random(12), " ".join(f"p{k}" for k in range(60))
+    docs = [(k, passage + " " + " ".join(f"d{draw.randrange(10**6)}" for _ in range(80))) for k in range(60)]
+    placed = N.signatures(make_docs(spark, docs), 60, 3)
+    known = placed.select("key", "signature")
+    buckets = placed.select("key", F.explode("bands").alias("bucket"))
+    assert buckets.groupBy("bucket").count().filter("count > 1").count() > 10
+    assert N.candidate_links(buckets, known, 180, 85).count() == 0
+
+
+def test_signatures_estimate_similarity(spark):
+    rows = N.signatures(make_docs(spark, list(enumerate(variants(8, 40, 200, 12)))))
+    known = N.stored(rows.select("key", "signature").distinct(), "known")
+    first = known.agg(F.min("key")).first()[0]
+    pairs = known.select(F.lit(first).alias("hub"), "key").filter("hub <> key")
+    agreed = {bytes(r.key): r.agree / 180 for r in N.agreement(pairs, known).collect()}
+    texts = {N.xxhash.xxh128_digest(" ".join(tokens(t)).encode()): t for t in variants(8, 40, 200, 12)}
+    grams = lambda t: {tuple(tokens(t)[k : k + 5]) for k in range(196)}
+    hub = grams(texts[bytes(first)])
+    assert agreed and all(abs(share - len(hub & grams(texts[k])) / len(hub | grams(texts[k]))) < 0.17 for k, share in agreed.items())
+    for percent in (80, 85, 95):
+        linked, settled = N.signature_bounds(180, percent)
+        assert 0 < linked < settled <= 180
+
+
+def test_size_classes_of_a_large_group_lose_no_link(spark, monkeypatch):
+    """Texts that grow word by word: each is near its neighbours, and their sizes span many classes."""
+    monkeypatch.setattr(N, "BLOCK_SHINGLES", 300)
+    words = [f"w{k}" for k in range(400)]
+    docs = [(k, " ".join(words[: 30 + 5 * k])) for k in range(70)]
+    assert near_rows(N.near_duplicates(make_docs(spark, docs))) == near_brute(docs)
+
+
+def test_joins_of_hot_keys_are_plain_joins(spark, monkeypatch):
+    from fieldwater.llm import store
+
+    monkeypatch.setattr(store, "HOT_ROWS", 10)
+    rows = spark.createDataFrame([(k % 7 if k % 2 else 0, k) for k in range(200)] + [(99, 1), (None, 2)], "k long, v long")
+    facts = spark.createDataFrame([(k, f"f{k}") for k in range(7)], "k long, f string")
+    made = sorted(map(tuple, store.spread_join(rows, facts, "k").select("k", "v", "f").collect()))
+    assert made == sorted(map(tuple, rows.join(facts, "k").select("k", "v", "f").collect()))
+
+
 def test_near_on_given_tables(spark, sf):
     docs = table(spark, sf, "documents")
     assert near_rows(N.near_duplicates(docs)) == near_brute([tuple(r) for r in docs.select("doc_id", "text").collect()])
