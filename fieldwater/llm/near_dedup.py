@@ -6,10 +6,11 @@ members are compared with one of them, its hub, by their signatures: those that
 agree on enough minima are linked to it, and those that agree on so many more
 that all their own near copies must have been linked too leave the bucket (the
 number of minima on which two documents differ obeys the triangle inequality).
-What a bucket still holds after the last round is linked without a look at
-signatures. So nobody's pairs are listed, documents that share a passage only
-are kept apart, and no pair is lost but by 6.5 standard deviations of the
-minima. The connected components of these links are the candidate groups. A
+What a bucket still holds after the last round, such as documents that share no
+more than a passage, is dealt to blocks, whose pairs are units of work that
+compare signatures and return at most one link for each document. So nobody's
+pairs are listed, unlike documents are kept apart, and no pair is lost but by
+6.5 standard deviations of the minima. The connected components of these links are the candidate groups. A
 candidate group is verified on full shingle sets: its members are dealt to
 classes by size, so that only equal and adjacent classes can hold near copies,
 and in a class to blocks of bounded size; every such pair of blocks is one unit
@@ -32,6 +33,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -52,8 +54,11 @@ SEED = 20240229
 BLOCK_SHINGLES = 1_000_000
 REMEMBERED = 100_000
 # Rounds in which a bucket's members are compared with a hub, and the share of minima from which a member is done with.
-ROUNDS = 3
+ROUNDS = 2
 SETTLED = 0.8
+# Members of a bucket in one block of the comparison after the rounds, and rows of small buckets that share a unit.
+BLOCK_MEMBERS = 2_000
+UNIT_ROWS = 20_000
 
 SIGNED = "doc_id long, digest string, key binary, n_shingles long, bands array<long>, signature binary"
 
@@ -155,37 +160,75 @@ def agreement(pairs: DataFrame, known: DataFrame) -> DataFrame:
     return both.select("hub", "key", "one", "other").mapInArrow(_agreeing, "hub binary, key binary, agree long")
 
 
-def signature_bounds(count: int, percent: int) -> tuple[int, int]:
-    """(linked, settled): the minima on which two must agree to be linked, and to be done with.
+def signature_bounds(count: int, percent: int) -> tuple[int, int, int]:
+    """(linked, settled, alike): the minima on which two must agree to be linked by a hub, to be done with, and to be linked directly.
 
     Documents of similarity ``percent`` differ on more minima than lie between
-    the two with a probability of some 1e-9.
+    the first two, or agree on fewer than the last, with a probability of some 1e-9.
     """
     miss = 1 - percent / 100
+    apart = math.ceil(count * miss + 6.5 * math.sqrt(count * miss * (1 - miss)))
     settled = math.ceil(SETTLED * count)
-    return max(1, settled - math.ceil(count * miss + 6.5 * math.sqrt(count * miss * (1 - miss)))), settled
+    return max(1, settled - apart), settled, max(1, count - apart)
+
+
+def _alike(table: pa.Table, least: int) -> pa.Table:
+    """Links of one unit: rows (bucket, key, side, signature) of a block, of two blocks, or of several whole buckets."""
+    keys, side = table.column("key").to_pylist(), table.column("side").to_numpy()
+    bucket = table.column("bucket").to_numpy()
+    signature = np.frombuffer(b"".join(table.column("signature").to_pylist()), "<u2").reshape(len(keys), -1)
+    order = np.argsort(bucket, kind="stable")
+    links: list[tuple[int, int]] = []
+    for rows in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1):
+        first, second = (rows[side[rows] == end] for end in (side[rows].min(), side[rows].max()))
+        same = side[rows].min() == side[rows].max()
+        parent = {int(k): int(k) for k in rows}
+
+        def root(k: int, parent=parent) -> int:
+            while parent[k] != k:
+                parent[k] = parent[parent[k]]
+                k = parent[k]
+            return k
+
+        for at, x in enumerate(first):
+            others = second[at + 1 :] if same else second
+            for y in others[(signature[others] == signature[x]).sum(axis=1) >= least]:
+                if (p := root(int(x))) != (q := root(int(y))):
+                    parent[p] = q
+                    links.append((int(x), int(y)))
+    return pa.table({"a": pa.array([keys[x] for x, _ in links], pa.binary()), "b": pa.array([keys[y] for _, y in links], pa.binary())})
+
+
+def remaining_links(left: DataFrame, known: DataFrame, least: int) -> DataFrame:
+    """Links (a, b) that connect all members of a bucket whose signatures agree on ``least`` minima; ``left`` holds (key, bucket)."""
+    sized = left.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK_MEMBERS).cast("int").alias("blocks"), F.count("*").alias("n"))
+    placed = stored(spread_join(left, sized.filter("n > 1").drop("n"), "bucket"), "remaining")
+    units = max(1, math.ceil(placed.filter("blocks = 1").count() / UNIT_ROWS))
+    block = F.pmod(F.xxhash64("key"), F.col("blocks"))
+    met = placed.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    unit = F.when(
+        F.col("blocks") > 1, F.struct("bucket", F.least("block", "other").cast("int").alias("i"), F.greatest("block", "other").cast("int").alias("j"))
+    ).otherwise(F.struct(F.lit(None).cast("long").alias("bucket"), F.pmod(F.xxhash64("bucket"), F.lit(units)).cast("int").alias("i"), F.lit(0).alias("j")))
+    dealt = met.select("bucket", "key", (F.col("block") > F.col("other")).cast("int").alias("side"), unit.alias("unit"))
+    return dealt.join(known, "key").groupBy("unit").applyInArrow(lambda t: _alike(t, least), "a binary, b binary")
 
 
 def candidate_links(placed: DataFrame, known: DataFrame, count: int, percent: int) -> DataFrame:
     """Links (a, b) between word sequences of a bucket, confirmed by signature; ``placed`` holds (key, bucket)."""
-    linked, settled = signature_bounds(count, percent)
-    links = None
-    left = placed
-    for turn in range(ROUNDS + 1):
+    linked, settled, alike = signature_bounds(count, percent)
+    links, left = [], placed
+    for _ in range(ROUNDS):
         hubs = left.groupBy("bucket").agg(F.min("key").alias("hub"), F.count("*").alias("n")).filter("n > 1").select("bucket", "hub")
         met = stored(left.join(hubs, "bucket").filter("hub <> key"), "met")
-        pairs = met.select("hub", "key").distinct()
-        if turn < ROUNDS:
-            agreed = stored(agreement(stored(pairs, "pairs"), known), "agreed")
-            found = agreed.filter(F.col("agree") >= linked)
-            left = stored(met.join(agreed.filter(F.col("agree") >= settled).select("hub", "key"), ["hub", "key"], "left_anti").select("key", "bucket"), "left")
-        else:
-            found = pairs
-        found = found.select(F.col("hub").alias("a"), F.col("key").alias("b"))
-        links = found if links is None else links.unionByName(found)
-        if turn < ROUNDS and left.isEmpty():
+        agreed = stored(agreement(stored(met.select("hub", "key").distinct(), "pairs"), known), "agreed")
+        links.append(agreed.filter(F.col("agree") >= linked).select(F.col("hub").alias("a"), F.col("key").alias("b")))
+        done = agreed.filter(F.col("agree") >= settled).select("hub", "key")
+        left = stored(met.join(done, ["hub", "key"], "left_anti").select("key", "bucket"), "left")
+        if left.isEmpty():
             break
-    return links.distinct()
+    else:
+        links.append(stored(remaining_links(left, known, alike), "remaining-links"))
+    return reduce(DataFrame.unionByName, links).distinct()
 
 
 def candidate_groups(signed: DataFrame, owners: DataFrame, count: int, percent: int) -> DataFrame:

@@ -113,8 +113,9 @@ def test_blocks_of_a_large_group_lose_no_link(spark, monkeypatch):
 
 @pytest.mark.parametrize("rounds", [1, 3])
 def test_signature_rounds_lose_no_link(spark, monkeypatch, rounds):
-    """Chains of edits whose ends are far apart, in rounds enough and too few for them."""
+    """Chains of edits whose ends are far apart, in rounds enough and too few for them, the rest of buckets in blocks."""
     monkeypatch.setattr(N, "ROUNDS", rounds)
+    monkeypatch.setattr(N, "BLOCK_MEMBERS", 20)
     draw, texts, own = random.Random(11), [], [f"w{k}" for k in range(150)]
     for _ in range(120):
         own = list(own)
@@ -146,8 +147,8 @@ def test_signatures_estimate_similarity(spark):
     hub = grams(texts[bytes(first)])
     assert agreed and all(abs(share - len(hub & grams(texts[k])) / len(hub | grams(texts[k]))) < 0.17 for k, share in agreed.items())
     for percent in (80, 85, 95):
-        linked, settled = N.signature_bounds(180, percent)
-        assert 0 < linked < settled <= 180
+        linked, settled, alike = N.signature_bounds(180, percent)
+        assert 0 < linked < settled <= 180 and linked < alike < 1.8 * percent
 
 
 def test_size_classes_of_a_large_group_lose_no_link(spark, monkeypatch):
