@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 # this bound. The frames joined this way have a handful of numeric columns, so
 # the bound stays near ten megabytes.
 BROADCAST_ROWS = 100_000
+# Rows that one task of a dealt frame is given, on average.
+TASK_ROWS = 250_000
 
 
 def measured(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -25,6 +27,18 @@ def measured(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(kept) if kept.count() <= max_rows else kept
 
 
+def dealt(df: DataFrame, keys: Sequence[str], rows: int, task_rows: int = TASK_ROWS) -> DataFrame:
+    """Deal rows by the hash of ``keys`` into partitions whose number follows ``rows``.
+
+    The session's shuffle partitions are one number for tables of every size,
+    and merging weighs compressed bytes. Here a task is given the same share
+    however large the table is, and what is grouped or joined by the keys
+    afterwards needs no further shuffle.
+    """
+    least = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(max(least, -(-rows // task_rows)), *keys)
+
+
 def same_keys(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
     """Null-safe equality over the named columns of both frames."""
     return reduce(lambda a, b: a & b, [left[k].eqNullSafe(right[k]) for k in keys])

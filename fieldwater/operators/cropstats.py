@@ -16,12 +16,15 @@ CROPS = tuple(codes.CROP_BY_CODE.values())
 
 
 def crop_use(water: DataFrame, cover: DataFrame, first_month: int = 4, last_month: int = 9) -> DataFrame:
-    """Long table (year, month, crop, value) of the months in range: water use by cell joined to its class."""
+    """Long table (year, month, crop, value) of the months in range: water use by cell joined to its class.
+
+    Neither side is broadcast: a cover repeated for its years is many times the size its files tell.
+    """
     wanted = water.where(F.col("month").between(first_month, last_month) & F.col("value").isNotNull())
     classes = cover.where((F.col("value").isNotNull()) & (F.col("value") != codes.MISSING_CODE)).select(
         "year", "row", "col", recode_crop(F.col("value")).alias("crop")
     )
-    return wanted.join(classes, ["year", "row", "col"]).select("year", "month", "crop", "value")
+    return wanted.join(classes.hint("merge"), ["year", "row", "col"]).select("year", "month", "crop", "value")
 
 
 def crop_month_spread(use: DataFrame, year_round: str = codes.YEAR_ROUND_CROP) -> DataFrame:

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import math
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fieldwater.functions.sizing import dealt
 from fieldwater.operators.grid import GridSpec
 from fieldwater.session import checkpoint_dir
 
@@ -105,6 +107,11 @@ def cube(spark, d) -> DataFrame:
     )
 
 
+def by_cell(spark, d, rows: DataFrame, keys: Sequence[str] = ("row", "col")) -> DataFrame:
+    """Deal a table of cells or of their dates by cell, in as many parts as the cube's lines ask for (counted in the file footer)."""
+    return dealt(rows, keys, table(spark, d, "lineitem").count())
+
+
 CUBE_ORDER = ("ts", "k1", "k2", "k3", "k4")
 
 
