@@ -406,10 +406,13 @@ MONTHLY_SQL = f"(select distinct a.r, a.c, q.yr, q.mon from {V['cube']} q join {
 
 
 def _monthly(spark, d):
-    """Monthly use of the cube's cells on top of a need set by class and month, with the price and place of the cell as further features."""
-    p = domain.parts(spark, d).select("row", "col", "cls", F.col("value").alias("price"), "crop")
-    used = domain.cube(spark, d).groupBy("row", "col", "year", "month").agg(F.sum("value").alias("used"))
-    rows = used.join(p, ["row", "col"]).select(
+    """Monthly use of the cube's cells on top of a need set by class and month, with the price and place of the cell as further features.
+
+    A fit holds its rows as objects, many times their size in a shuffle, so they come in parts of a bounded number of rows.
+    """
+    p = domain.by_cell(spark, d, domain.parts(spark, d).select("row", "col", "cls", F.col("value").alias("price"), "crop"))
+    used = domain.by_cell(spark, d, domain.cube(spark, d)).groupBy("row", "col", "year", "month").agg(F.sum("value").alias("used"))
+    rows = used.join(p.hint("merge"), ["row", "col"]).select(
         F.concat_ws("-", "row", "col", "year", "month").alias("key"), "crop", (F.col("used") + F.col("cls") * 20.0 + F.col("month") * 10.0).alias("label"),
         F.col("row").alias("r"), F.col("col").alias("c"), "year", F.col("month").alias("mon"),
         *[F.col(c).cast("double").alias(c) for c in MONTHLY],

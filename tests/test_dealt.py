@@ -45,6 +45,16 @@ def test_the_number_of_parts_follows_the_rows(spark):
     assert made.rdd.getNumPartitions() == 10 * least + 1 and made.count() == 10
 
 
+def test_a_fit_is_given_parts_of_bounded_rows(spark, tables, small_tasks):
+    rows = model_queries._monthly(spark, tables)
+    assert rows.rdd.getNumPartitions() == LINES // TASK
+    cube, parts = (spark.read.parquet(f"{tables}/{t}.parquet") for t in ("lineitem", "part"))
+    assert rows.count() == cube.select("l_partkey", F.year("l_shipdate"), F.month("l_shipdate")).distinct().count()
+    assert rows.agg(F.sum("price")).first()[0] == pytest.approx(
+        cube.select("l_partkey", F.year("l_shipdate"), F.month("l_shipdate")).distinct().join(parts, F.col("l_partkey") == F.col("p_partkey")).agg(F.sum("p_retailprice")).first()[0]
+    )
+
+
 def test_a_cover_repeated_for_its_years_is_not_broadcast(spark):
     water = spark.createDataFrame([(0, 0, 2014, 5, 2.0), (0, 1, 2014, 5, 4.0), (0, 1, 2015, 3, 9.0), (None, 1, 2015, 5, 9.0)], "row int, col int, year int, month int, value double")
     cover = spark.createDataFrame([(0, 0, 1), (0, 1, 3)], "row int, col int, value int").withColumn("year", F.explode(F.array(F.lit(2014), F.lit(2015))))
