@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldwater.functions import codes
+from fieldwater.functions.sizing import dealt
 from fieldwater.operators.clean import depth_to_volume, impute_remembering, mask_missing_class, recode_crop, soil_group_to_infiltration
 from fieldwater.operators.features import MONTHS, MinMaxScaler, assemble, indicator_name, one_hot
 from fieldwater.operators.grid import GridSpec, coarse_sum, with_coordinates
@@ -32,21 +33,33 @@ def predictor_frame(
 
     ``predictors`` is the long table (dataset, year, month, row, col, value)
     already on the target grid. One pivot per kind of product (monthly,
-    yearly, static) serves all months.
+    yearly, static) serves all months. A cell's monthly values meet it as one
+    list a year and are taken apart where the months are made, so the product
+    of cells and months is never shuffled; cells are dealt by their count.
     """
+    months = [int(m) for m in months]
     cells = cover.select("year", "row", "col", F.col("value").alias("_class"))
     out = with_coordinates(cells, spec, names=coordinates)
     # What does not change with the month is joined before cells are multiplied by months.
     keys_of = {"static": [], "yearly": ["year"], "monthly": ["year", "month"]}
     for kind, keys in keys_of.items():
-        if kind == "monthly":
-            out = out.withColumn("month", F.explode(F.array(*[F.lit(int(m)) for m in months])))
         names = [d for d in datasets if codes.temporal_kind(d) == kind]
         if names:
             on = [*keys, "row", "col"]
             long = predictors.where(F.col("dataset").isin(names))
+            if kind == "monthly":
+                cell, frame_rows = ["year", "row", "col"], cover.count() * len(months)
+                long, out = (dealt(df, cell, frame_rows) for df in (long.where(F.col("month").isin(months)), out))
             wide = long.groupBy(*on).pivot("dataset", names).agg(F.first("value", ignorenulls=True))
-            out = out.join(wide, on, "left")
+            if kind == "monthly":
+                on, wide = cell, wide.groupBy(*cell).agg(F.collect_list(F.struct("month", *names)).alias("_months"))
+            out = out.join(wide.hint("merge") if kind == "monthly" else wide, on, "left")
+    out = out.withColumn("month", F.explode(F.array(*[F.lit(m) for m in months])))
+    if "_months" in out.columns:
+        own = F.get(F.filter("_months", lambda m: m["month"] == F.col("month")), 0)
+        monthly = [d for d in datasets if codes.temporal_kind(d) == "monthly"]
+        rest = [c for c in out.columns if c not in (*CELL_MONTH, "_months")]
+        out = out.withColumn("_own", own).select(*CELL_MONTH, *rest, *[F.col("_own")[d].alias(d) for d in monthly])
     out = out.withColumn("crop", recode_crop(F.col("_class"))).drop("_class")
     masked = mask_missing_class(out, "crop", datasets[0]).withColumn("class_missing", F.col("crop").isNull())
     return soil_group_to_infiltration(masked) if soil_to_rate else masked

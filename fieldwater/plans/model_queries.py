@@ -492,7 +492,7 @@ def _predictors(spark, d):
     code = F.when(F.col("cls") == 4, 0).otherwise(F.col("cls"))
     cover = p.withColumn("_y", years.scalar()).select("row", "col", code.alias("value"), F.explode("_y").alias("year"))
     blank = F.lit(None).cast("int")
-    monthly = grid.composite(cube, "mean").withColumn("dataset", F.lit("PPT"))
+    monthly = grid.composite(domain.by_cell(spark, d, cube), "mean").withColumn("dataset", F.lit("PPT"))
     static = p.select("row", "col", blank.alias("year"), blank.alias("month"), "value", F.lit("SWB_AWC").alias("dataset"))
     predictors = monthly.unionByName(static)
     return scoring.predictor_frame(cover, spec, predictors, ["PPT", "SWB_AWC"], features.MONTHS)

@@ -61,3 +61,21 @@ def test_a_cover_repeated_for_its_years_is_not_broadcast(spark):
     used = cropstats.crop_use(water, cover)
     assert "Broadcast" not in used._jdf.queryExecution().executedPlan().toString()
     assert sorted((r.crop, r.month, r.value) for r in used.collect()) == [("Corn", 5, 2.0), ("Rice", 5, 4.0)]
+
+
+def test_monthly_values_meet_their_cells_before_the_months_are_made(spark):
+    spec = grid.GridSpec(0.0, 10.0, 1.0, 1.0, 10, 10)
+    cover = spark.createDataFrame([(2014, 0, 0, 1), (2014, 0, 1, 3), (2015, 0, 0, 0), (2014, 0, 1, 3)], "year int, row int, col int, value int")
+    told = [("PPT", 2014, 1, 0, 0, 5.0), ("PPT", 2014, 2, 0, 0, None), ("PPT", 2015, 1, 0, 0, 7.0), ("PPT", 2014, 3, 0, 1, 8.0), ("TMAX", 2014, 2, 0, 0, 30.0), ("SWB_AWC", None, None, 0, 0, 0.5), ("PPT", None, 1, 0, 1, 6.0)]
+    predictors = spark.createDataFrame(told, "dataset string, year int, month int, row int, col int, value double")
+    frame = scoring.predictor_frame(cover, spec, predictors, ["PPT", "TMAX", "SWB_AWC"], [1, 2])
+    assert frame.columns[:4] == ["year", "month", "row", "col"]
+    lines = _plan(frame).splitlines()
+    at = lambda word: next(i for i, line in enumerate(lines) if word in line)
+    assert at("Generate explode") < at("Join LeftOuter")
+    got = sorted((r.year, r.month, r.row, r.col, r.PPT, r.TMAX, r.SWB_AWC) for r in frame.na.fill(-1.0).collect())
+    one, two = (2014, 1, 0, 1, -1.0, -1.0, -1.0), (2014, 2, 0, 1, -1.0, -1.0, -1.0)
+    assert got == [
+        (2014, 1, 0, 0, 5.0, -1.0, 0.5), one, one, (2014, 2, 0, 0, -1.0, 30.0, 0.5), two, two,
+        (2015, 1, 0, 0, -1.0, -1.0, 0.5), (2015, 2, 0, 0, -1.0, -1.0, 0.5),
+    ]
