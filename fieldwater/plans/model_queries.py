@@ -523,9 +523,9 @@ def grid_scoring(spark, d):
 
 def _month_cells(spark, d):
     """Every cell and month; the predictor is zero, or missing for expensive parts."""
-    months = grid.composite(domain.cube(spark, d), "mean")
+    months = grid.composite(domain.by_cell(spark, d, domain.cube(spark, d)), "mean")
     p = domain.parts(spark, d).where(F.col("cls") != 4).select("row", "col", recode_crop(F.col("cls")).alias("crop"), F.col("value").alias("price"))
-    joined = months.join(p, ["row", "col"])
+    joined = months.join(domain.by_cell(spark, d, p).hint("merge"), ["row", "col"])
     return joined.select("row", "col", "year", "month", "crop", F.when(F.col("price") <= 1500, 0.0).alias("PPT"))
 
 

@@ -55,6 +55,14 @@ def test_a_fit_is_given_parts_of_bounded_rows(spark, tables, small_tasks):
     )
 
 
+def test_month_cells_are_dealt_by_cell(spark, tables, small_tasks):
+    cells = model_queries._month_cells(spark, tables)
+    assert cells.rdd.getNumPartitions() == LINES // TASK and "Broadcast" not in cells._jdf.queryExecution().executedPlan().toString()
+    where = F.col("p_size") != 4
+    months = spark.read.parquet(f"{tables}/lineitem.parquet").join(spark.read.parquet(f"{tables}/part.parquet").where(where), F.col("l_partkey") == F.col("p_partkey"))
+    assert cells.count() == months.select("l_partkey", F.year("l_shipdate"), F.month("l_shipdate")).distinct().count()
+
+
 def test_products_are_dealt_by_cell(spark, tables, small_tasks):
     made = grid_queries.composite_catalogue(spark, tables)
     assert f", {LINES // TASK})" in made._jdf.queryExecution().executedPlan().toString()
