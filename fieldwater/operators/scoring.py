@@ -41,6 +41,7 @@ def predictor_frame(
     cells = cover.select("year", "row", "col", F.col("value").alias("_class"))
     out = with_coordinates(cells, spec, names=coordinates)
     # What does not change with the month is joined before cells are multiplied by months.
+    frame_rows = cover.count() * len(months)
     keys_of = {"static": [], "yearly": ["year"], "monthly": ["year", "month"]}
     for kind, keys in keys_of.items():
         names = [d for d in datasets if codes.temporal_kind(d) == kind]
@@ -48,12 +49,13 @@ def predictor_frame(
             on = [*keys, "row", "col"]
             long = predictors.where(F.col("dataset").isin(names))
             if kind == "monthly":
-                cell, frame_rows = ["year", "row", "col"], cover.count() * len(months)
-                long, out = (dealt(df, cell, frame_rows) for df in (long.where(F.col("month").isin(months)), out))
+                long = long.where(F.col("month").isin(months))
+            cell = [k for k in on if k != "month"]
+            long, out = (dealt(df, cell, frame_rows) for df in (long, out))
             wide = long.groupBy(*on).pivot("dataset", names).agg(F.first("value", ignorenulls=True))
             if kind == "monthly":
-                on, wide = cell, wide.groupBy(*cell).agg(F.collect_list(F.struct("month", *names)).alias("_months"))
-            out = out.join(wide.hint("merge") if kind == "monthly" else wide, on, "left")
+                wide = wide.groupBy(*cell).agg(F.collect_list(F.struct("month", *names)).alias("_months"))
+            out = out.join(wide.hint("merge"), cell, "left")
     out = out.withColumn("month", F.explode(F.array(*[F.lit(m) for m in months])))
     if "_months" in out.columns:
         own = F.get(F.filter("_months", lambda m: m["month"] == F.col("month")), 0)
